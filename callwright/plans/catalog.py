@@ -180,3 +180,243 @@ FROM firsts f LEFT JOIN descs d USING (func)"""
 def q_function_spec_inference(spark, sf_dir):
     values = prof.func_arg_value_list(_pargs(spark, sf_dir))
     return prof.function_spec(values, prof.descriptions_frame(spark))
+
+
+# ---------------------------------------------------------------- calls (B1)
+
+from ..functions.args import args_text, with_args  # noqa: E402
+from ..functions.tags import first_call  # noqa: E402
+from ..operators import calls as calls_op  # noqa: E402
+from ..operators import rules as rules_op  # noqa: E402
+
+ARG_COLS = "row_id, pos, func, arg_pos, key, raw, vtype, canon, cmp"
+
+
+def _calls(spark, sf_dir, keys=("row_id",)):
+    return calls_op.calls_table(fx.tagged(spark, sf_dir), "llm_output", keys)
+
+
+@register("parse_calls", o.with_(o.TAGGED, o.CALLS) + "SELECT row_id, pos, func, raw_args FROM calls")
+def q_parse_calls(spark, sf_dir):
+    return _calls(spark, sf_dir)
+
+
+def _args_oracle(dialect):
+    return (
+        o.with_(o.TAGGED, o.CALLS, o.typed_args("cargs", "calls", "row_id, pos", dialect))
+        + f"SELECT a.row_id, a.pos, c.func, a.arg_pos, a.key, CASE WHEN a.raw = a.key AND {'true' if dialect == 'lenient' else 'false'} THEN '' ELSE a.raw END AS raw, a.vtype, a.canon, a.cmp FROM cargs a JOIN calls c USING (row_id, pos)"
+    )
+
+
+@register("parse_args_plain", _args_oracle("plain"))
+def q_parse_args_plain(spark, sf_dir):
+    return calls_op.call_args_table(_calls(spark, sf_dir), "plain")
+
+
+@register("parse_args_quoted", _args_oracle("quoted"))
+def q_parse_args_quoted(spark, sf_dir):
+    return calls_op.call_args_table(_calls(spark, sf_dir), "quoted")
+
+
+@register("parse_args_lenient", _args_oracle("lenient"))
+def q_parse_args_lenient(spark, sf_dir):
+    return calls_op.call_args_table(_calls(spark, sf_dir), "lenient")
+
+
+@register("args_profile_dialect")
+def q_args_profile_dialect(spark, sf_dir):
+    """Rows-only: the quote/paren-aware profile dialect over every tagged call (UDF branch on irregular rows)."""
+    return calls_op.call_args_table(_calls(spark, sf_dir), "profile")
+
+
+FC_FULL = r"<\s*function_([A-Za-z0-9]+)\s*>\s*\(([^\n]*?)\)\s*(?:<\s*end\s*>\s*)?$"
+FC_LOOSE = r"<\s*function_([A-Za-z0-9]+)\s*>\s*(?:\(([^\n]*?)\))?"
+FIRST_CALL_SQL = o.with_(
+    o.TAGGED,
+    f"""fc0 AS (SELECT row_id, {o.strip(f"split_part({o.strip('llm_output')}, ';', 1)")} AS t FROM tagged)""",
+    f"""fc AS (SELECT row_id, 1 AS pos,
+        CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 1) ELSE regexp_extract(t, '{FC_LOOSE}', 1) END AS fname,
+        CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 2) ELSE regexp_extract(t, '{FC_LOOSE}', 2) END AS raw_args
+      FROM fc0 WHERE regexp_matches(t, '{FC_LOOSE}'))""",
+    o.typed_args("fargs", "fc", "row_id, pos", "lenient"),
+) + """SELECT f.row_id, 'function_' || f.fname AS name, f.raw_args,
+   coalesce((SELECT string_agg(a.key || '=' || a.canon, ', ' ORDER BY a.arg_pos) FROM fargs a WHERE a.row_id = f.row_id), '') AS args_text
+FROM fc f"""
+
+
+@register("first_call", FIRST_CALL_SQL)
+def q_first_call(spark, sf_dir):
+    t = fx.tagged(spark, sf_dir)
+    fc = t.select("row_id", first_call(F.col("llm_output")).alias("fc")).filter(F.col("fc").isNotNull())
+    return fc.select("row_id", "fc.name", "fc.raw_args", args_text(F.col("fc.args")).alias("args_text"))
+
+
+# ---------------------------------------------------------------- rules
+
+
+def _plain_calls(spark, sf_dir, dialect="plain"):
+    c = calls_op.calls_table(fx.tagged(spark, sf_dir), "llm_output", ("row_id", "query"))
+    return with_args(c, "raw_args", dialect, "args")
+
+
+def _rules(spark):
+    return rules_op.rules_from_conditions(fx.rule_conditions(spark))
+
+
+RULE_ORACLE_HEAD = o.with_(
+    o.TAGGED, o.CALLS, o.RULES, o.typed_args("cargs", "calls", "row_id, pos", "plain"), o.first_rule("best", "cargs", "'*', '__ANY__'")
+)
+RULE_ORACLE_CONVERTED = (
+    RULE_ORACLE_HEAD
+    + """, rr AS (SELECT DISTINCT seq, map_func, map_enum FROM rule_conditions),
+margs AS (SELECT b.row_id, b.pos, string_agg(r.k || '=' || a.canon, ', ' ORDER BY r.k_pos) AS map_args
+          FROM best b JOIN rule_conditions r ON r.seq = b.seq JOIN cargs a ON a.row_id = b.row_id AND a.pos = b.pos AND a.key = r.k
+          GROUP BY b.row_id, b.pos),
+converted AS (
+  SELECT c.row_id, c.pos, c.func, c.raw_args, t.query, coalesce(rr.map_func, '') AS map_func, coalesce(rr.map_enum, '') AS map_enum,
+         coalesce(m.map_args, '') AS map_args
+  FROM calls c JOIN tagged t USING (row_id) LEFT JOIN best b USING (row_id, pos) LEFT JOIN rr ON rr.seq = b.seq
+  LEFT JOIN margs m USING (row_id, pos))
+"""
+)
+
+
+def _converted(spark, sf_dir):
+    return rules_op.convert_calls(_plain_calls(spark, sf_dir), _rules(spark))
+
+
+@register("rule_convert", RULE_ORACLE_CONVERTED + "SELECT * FROM converted")
+def q_rule_convert(spark, sf_dir):
+    return _converted(spark, sf_dir).drop("args")
+
+
+@register(
+    "rule_convert_report",
+    RULE_ORACLE_CONVERTED
+    + "SELECT count(*) AS total, count(*) FILTER (WHERE map_func <> '') AS matched, count(*) FILTER (WHERE map_func = '') AS unmatched FROM converted",
+)
+def q_rule_convert_report(spark, sf_dir):
+    return rules_op.conversion_report(_converted(spark, sf_dir))
+
+
+@register(
+    "emit_message_expected",
+    RULE_ORACLE_CONVERTED
+    + f"""SELECT trim(v.query) AS message,
+   '{{"name":' || CAST(to_json(v.map_func) AS VARCHAR) || ',"arguments":{{"code":' || CAST(to_json(v.func) AS VARCHAR)
+   || coalesce((SELECT ',' || string_agg(CAST(to_json(a.key) AS VARCHAR) || ':' || {o.json_value('a.vtype', 'a.canon')}, ',' ORDER BY a.arg_pos)
+                FROM cargs a WHERE a.row_id = v.row_id AND a.pos = v.pos), '') || '}}}}' AS expected
+FROM converted v""",
+)
+def q_emit_message_expected(spark, sf_dir):
+    return rules_op.message_expected(_converted(spark, sf_dir))
+
+
+TEMPLATE_ORACLE = (
+    o.with_(
+        o.TAGGED,
+        o.CALLS,
+        o.RULES,
+        o.typed_args("cargs", "calls", "row_id, pos", "quoted"),
+        o.first_rule("best", "cargs", "'*'"),
+        "tout AS (" + fx.TEMPLATE_OUT_SQL + ")",
+    )
+    + """, filled AS (
+  SELECT b.row_id, b.pos, b.seq, t.pos AS opos, t.name,
+    CASE WHEN regexp_matches(x.v, '\\{[^{}]*\\}') THEN t.template ELSE x.v END AS val
+  FROM best b JOIN calls c USING (row_id, pos) JOIN tout t ON t.seq = b.seq,
+  LATERAL (SELECT replace(replace(replace(t.template, '{code}', c.func),
+             '{location}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'location'), '{location}')),
+             '{volume}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'volume'), '{volume}')) AS v) x)
+SELECT c.row_id, c.pos, c.func, c.raw_args,
+  CASE WHEN b.seq IS NOT NULL THEN
+    '{"functionName":' || CAST(to_json(coalesce(nullif((SELECT DISTINCT map_func FROM rule_conditions r WHERE r.seq = b.seq), ''), c.func)) AS VARCHAR)
+    || ',"arguments":{' || coalesce((SELECT string_agg(CAST(to_json(f.name) AS VARCHAR) || ':' || CAST(to_json(f.val) AS VARCHAR), ',' ORDER BY f.opos)
+                                     FROM filled f WHERE f.row_id = c.row_id AND f.pos = c.pos), '') || '}}'
+  ELSE
+    '{"functionName":' || CAST(to_json(c.func) AS VARCHAR) || ',"arguments":{'
+    || coalesce((SELECT string_agg(CAST(to_json(a.key) AS VARCHAR) || ':' || """
+    + o.json_value("a.vtype", "a.canon")
+    + """, ',' ORDER BY a.arg_pos) FROM cargs a WHERE a.row_id = c.row_id AND a.pos = c.pos), '') || '}}'
+  END AS mapped
+FROM calls c LEFT JOIN best b USING (row_id, pos)"""
+)
+
+
+@register("map_calls_template", TEMPLATE_ORACLE)
+def q_map_calls_template(spark, sf_dir):
+    c = with_args(_calls(spark, sf_dir), "raw_args", "quoted", "args")
+    return rules_op.map_calls_template(c, fx.template_rules(spark)).drop("args")
+
+
+PAIRS_ORACLE = (
+    o.with_(o.TAGGED, o.CALLS, o.RULES, o.typed_args("cargs", "calls", "row_id, pos", "quoted"), o.first_rule("best", "cargs", "'*'"))
+    + """SELECT c.row_id, c.pos, c.func, c.raw_args,
+  CASE WHEN b.seq IS NOT NULL THEN (SELECT DISTINCT '{"name":"' || map_func || '","enum":"' || map_enum || '"}' FROM rule_conditions r WHERE r.seq = b.seq)
+  ELSE '{"functionName":' || CAST(to_json(c.func) AS VARCHAR) || ',"arguments":{'
+    || coalesce((SELECT string_agg(CAST(to_json(a.key) AS VARCHAR) || ':' || """
+    + o.json_value("a.vtype", "a.canon")
+    + """, ',' ORDER BY a.arg_pos) FROM cargs a WHERE a.row_id = c.row_id AND a.pos = c.pos), '') || '}}' END AS mapped
+FROM calls c LEFT JOIN best b USING (row_id, pos)"""
+)
+
+
+@register("map_calls_pairs", PAIRS_ORACLE)
+def q_map_calls_pairs(spark, sf_dir):
+    c = with_args(_calls(spark, sf_dir), "raw_args", "quoted", "args")
+    return rules_op.map_calls_pairs(c, fx.pair_rules(spark)).drop("args")
+
+
+FORWARD_ORACLE = (
+    RULE_ORACLE_HEAD
+    + """, fwd AS (
+  SELECT c.row_id, c.pos, coalesce(r.map_func, c.func) AS out_func,
+    CASE WHEN b.seq IS NOT NULL THEN 'enum=' || r.map_enum
+         ELSE coalesce((SELECT string_agg(a.key || '=' || a.canon, ', ' ORDER BY a.arg_pos) FROM cargs a WHERE a.row_id = c.row_id AND a.pos = c.pos), '') END AS out_args,
+    b.seq IS NOT NULL AS matched, r.map_enum
+  FROM calls c LEFT JOIN best b USING (row_id, pos) LEFT JOIN (SELECT DISTINCT seq, map_func, map_enum FROM rule_conditions) r ON r.seq = b.seq)
+"""
+)
+
+
+def _forward(spark, sf_dir):
+    return rules_op.substitute(_plain_calls(spark, sf_dir), _rules(spark), "forward")
+
+
+@register("substitute_forward", FORWARD_ORACLE + "SELECT row_id, pos, out_func, out_args FROM fwd")
+def q_substitute_forward(spark, sf_dir):
+    return _forward(spark, sf_dir).select("row_id", "pos", "out_func", args_text(F.col("out_args")).alias("out_args"))
+
+
+REVERSE_ORACLE = (
+    FORWARD_ORACLE
+    + """, rev_rule AS (
+  SELECT map_func, map_enum, min(seq) AS seq FROM rule_conditions GROUP BY map_func, map_enum),
+rev_when AS (
+  SELECT seq, coalesce(string_agg(k || '=' || CASE WHEN expect IN ('*', '__ANY__') THEN expect ELSE substr(expect, 3) END, ', ' ORDER BY k_pos), '') AS txt
+  FROM rule_conditions GROUP BY seq)
+SELECT f.row_id, f.pos, coalesce(rc.code, f.out_func) AS out_func, CASE WHEN rc.code IS NOT NULL THEN w.txt ELSE f.out_args END AS out_args
+FROM fwd f
+LEFT JOIN rev_rule rr ON f.matched AND rr.map_func = f.out_func AND rr.map_enum = f.map_enum
+LEFT JOIN (SELECT DISTINCT seq, code FROM rule_conditions) rc ON rc.seq = rr.seq
+LEFT JOIN rev_when w ON w.seq = rr.seq"""
+)
+
+
+@register("substitute_reverse", REVERSE_ORACLE)
+def q_substitute_reverse(spark, sf_dir):
+    fwd = _forward(spark, sf_dir).select("row_id", "pos", F.col("out_func").alias("func"), F.col("out_args").alias("args"))
+    rev = rules_op.substitute(fwd, _rules(spark), "reverse")
+    return rev.select("row_id", "pos", "out_func", args_text(F.col("out_args")).alias("out_args"))
+
+
+@register(
+    "group_by_query",
+    o.with_(o.TAGGED, o.CALLS)
+    + """SELECT t.query, min(c.row_id) OVER (PARTITION BY t.query) AS query_first,
+   row_number() OVER (PARTITION BY t.query ORDER BY c.row_id, c.pos) AS call_seq, c.func, c.raw_args
+FROM calls c JOIN tagged t USING (row_id) WHERE t.query <> ''""",
+)
+def q_group_by_query(spark, sf_dir):
+    c = calls_op.calls_table(fx.tagged(spark, sf_dir), "llm_output", ("row_id", "query"))
+    return rules_op.group_by_query(c)

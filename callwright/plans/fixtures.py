@@ -43,19 +43,35 @@ SELECT conv_id, turn, text AS user_text, next_text AS assistant FROM (
 WHERE role = 'user' AND next_role = 'assistant'
 """
 
-# one row per rule condition; expect is the equality key (n:<number>, s:<text>) or '*'.
+# one row per rule condition; expect is the equality key (n:<number>, s:<text>) or '*';
+# k_pos keeps the condition order of the rule as written.
 # The conversion rules of the fixture.
 RULE_CONDITIONS_SQL = """
 SELECT * FROM (VALUES
- (1,'BP','mode_on','AI_Mode','enable','n:0'),(1,'BP','mode_on','AI_Mode','type','n:-1'),
- (2,'BP','mode_off','Outdoor','enable','n:1'),(2,'BP','mode_off','Outdoor','type','n:0'),
- (3,'GN','info','Personal_Info','get','n:1'),
- (4,'GN','mode_off','Privacy_Mode','enable','n:0'),
- (5,'ZV','swap_env','Volume','volume','n:-1'),
- (6,'ZV','set_env','Volume','volume','*'),
- (7,'IO','info','Air_Quality','timeframe','n:0'),(7,'IO','info','Air_Quality','location','*'),
- (8,'MR','talk','Default',CAST(NULL AS STRING),CAST(NULL AS STRING))
-) AS r(seq, code, map_func, map_enum, k, expect)
+ (1,'BP','mode_on','AI_Mode','enable',1,'n:0'),(1,'BP','mode_on','AI_Mode','type',2,'n:-1'),
+ (2,'BP','mode_off','Outdoor','enable',1,'n:1'),(2,'BP','mode_off','Outdoor','type',2,'n:0'),
+ (3,'GN','info','Personal_Info','get',1,'n:1'),
+ (4,'GN','mode_off','Privacy_Mode','enable',1,'n:0'),
+ (5,'ZV','swap_env','Volume','volume',1,'n:-1'),
+ (6,'ZV','set_env','Volume','volume',1,'*'),
+ (7,'IO','info','Air_Quality','timeframe',1,'n:0'),(7,'IO','info','Air_Quality','location',2,'*'),
+ (8,'MR','talk','Default',CAST(NULL AS STRING),CAST(NULL AS INT),CAST(NULL AS STRING))
+) AS r(seq, code, map_func, map_enum, k, k_pos, expect)
+"""
+
+# Output arguments of the template map built on F3 (J2): the rule's new name is map_func.
+# Argument templates; {code} and {location} are filled from the call.
+TEMPLATE_OUT_SQL = """
+SELECT * FROM (VALUES
+ (1,1,'mode','AI_Mode'),(1,2,'src','{code}'),
+ (2,1,'mode','Outdoor'),(2,2,'src','{code}'),
+ (3,1,'type','Personal_Info'),
+ (4,1,'mode','Privacy_Mode'),
+ (5,1,'target','Volume'),(5,2,'step','{volume}'),
+ (6,1,'target','Volume'),(6,2,'level','{volume}'),
+ (7,1,'type','Air_Quality'),(7,2,'where','{location}'),(7,3,'missing','{nowhere}'),
+ (8,1,'style','Default')
+) AS t(seq, pos, name, template)
 """
 
 # predictions(ex_id, user_text, gold, raw) from events.
@@ -99,6 +115,40 @@ def rule_conditions(spark: SparkSession) -> DataFrame:
     return spark.sql(RULE_CONDITIONS_SQL)
 
 
+def template_rules(spark: SparkSession) -> DataFrame:
+    """(seq, code, new_name, when, out) built from F3 and F3b."""
+    from pyspark.sql import functions as F
+
+    from ..operators.rules import rules_from_conditions
+
+    rules = rules_from_conditions(rule_conditions(spark))
+    out = spark.sql(TEMPLATE_OUT_SQL).groupBy("seq").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "name", "template"))).alias("out")
+    )
+    return rules.join(out, "seq", "left").select("seq", "code", F.col("map_func").alias("new_name"), "when", F.coalesce("out", F.array().cast("array<struct<pos:int,name:string,template:string>>")).alias("out"))
+
+
+def pair_rules(spark: SparkSession) -> DataFrame:
+    """(seq, code, args, json) from F3: each rule written as tag text + JSON, then the tag parsed
+    back with the tag reader + quoted dialect, first call kept (S11)."""
+    from pyspark.sql import functions as F
+
+    from ..functions.args import parse_args
+    from ..functions.tags import extract_calls
+
+    val = F.when(F.col("expect") == "*", F.lit("*")).otherwise(F.substr(F.col("expect"), F.lit(3)))
+    part = F.when(F.col("k").isNotNull(), F.struct("k_pos", F.concat("k", F.lit("="), val).alias("kv")))
+    grouped = rule_conditions(spark).groupBy("seq", "code", "map_func", "map_enum").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    tag = F.concat(F.lit("<function_"), F.col("code"), F.lit(">("), F.array_join(F.transform("parts", lambda x: x["kv"]), ", "), F.lit(")"))
+    js = F.concat(F.lit('{"name":"'), F.col("map_func"), F.lit('","enum":"'), F.col("map_enum"), F.lit('"}'))
+    first = F.get(extract_calls(tag), 0)
+    return (
+        grouped.select("seq", first.alias("c"), js.alias("json"))
+        .filter(F.col("c").isNotNull())
+        .select("seq", F.col("c.func").alias("code"), parse_args(F.col("c.raw_args"), "quoted").alias("args"), "json")
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PREDICTIONS_SQL, ["events"])
 

@@ -99,3 +99,57 @@ def plain_typed(raw: str = "raw") -> str:
 
 def with_(*blocks: str) -> str:
     return "WITH " + ",\n".join(blocks) + "\n"
+
+
+def quoted_typed(raw: str = "raw") -> tuple[str, str, str]:
+    q = f"((starts_with({raw}, '\"') AND ends_with({raw}, '\"')) OR (starts_with({raw}, '''') AND ends_with({raw}, '''')))"
+    mid = f"substr({raw}, 2, greatest(length({raw}) - 2, 0))"
+    pv, pc, pm = plain_typed(raw)
+    vtype = f"CASE WHEN {q} THEN 'str' WHEN NOT regexp_matches({raw}, '^[0-9+\\-.]*$') AND regexp_matches({raw}, '[^\\x00-\\x7f]') THEN 'str' ELSE {pv} END"
+    canon = f"CASE WHEN {q} THEN {mid} WHEN NOT regexp_matches({raw}, '^[0-9+\\-.]*$') AND regexp_matches({raw}, '[^\\x00-\\x7f]') THEN {raw} ELSE {pc} END"
+    cmp = f"CASE WHEN {q} THEN 's:' || {mid} WHEN NOT regexp_matches({raw}, '^[0-9+\\-.]*$') AND regexp_matches({raw}, '[^\\x00-\\x7f]') THEN 's:' || {raw} ELSE {pm} END"
+    return vtype, canon, cmp
+
+
+def lenient_typed(raw: str = "raw") -> tuple[str, str, str]:
+    q = f"((starts_with({raw}, '\"') AND ends_with({raw}, '\"')) OR (starts_with({raw}, '''') AND ends_with({raw}, '''')))"
+    unq = f"(CASE WHEN {q} THEN substr({raw}, 2, greatest(length({raw}) - 2, 0)) ELSE {raw} END)"
+    vtype = f"""CASE WHEN length({raw}) = 0 THEN 'str' WHEN lower({unq}) IN ('true', 'false') THEN 'bool'
+        WHEN regexp_matches({unq}, '^-?[0-9]+$') AND try_cast({unq} AS BIGINT) IS NOT NULL THEN 'int'
+        WHEN regexp_matches({unq}, '{FLOAT_RE}') THEN 'float' ELSE 'str' END"""
+    canon = f"""CASE WHEN length({raw}) = 0 THEN '' WHEN lower({unq}) = 'true' THEN 'True' WHEN lower({unq}) = 'false' THEN 'False'
+        WHEN regexp_matches({unq}, '^-?[0-9]+$') AND try_cast({unq} AS BIGINT) IS NOT NULL THEN CAST(CAST({unq} AS BIGINT) AS VARCHAR)
+        WHEN regexp_matches({unq}, '{FLOAT_RE}') THEN CAST(CAST({unq} AS DOUBLE) AS VARCHAR) ELSE {unq} END"""
+    cmp = f"""CASE WHEN length({raw}) = 0 THEN 's:' WHEN lower({unq}) = 'true' THEN 'n:1' WHEN lower({unq}) = 'false' THEN 'n:0'
+        WHEN regexp_matches({unq}, '^-?[0-9]+$') AND try_cast({unq} AS BIGINT) IS NOT NULL THEN 'n:' || CAST(CAST({unq} AS BIGINT) AS VARCHAR)
+        ELSE 's:' || {unq} END"""
+    return vtype, canon, cmp
+
+
+def typed_args(name: str, src: str, keys: str, dialect: str) -> str:
+    """(keys, arg_pos, key, raw, vtype, canon, cmp) for the rows of ``src`` with column raw_args."""
+    split_name = f"{name}_kv"
+    typer = {"plain": plain_typed, "quoted": quoted_typed, "lenient": lenient_typed}[dialect]
+    v, c, m = typer("raw")
+    return (
+        kv_split(src, split_name, "raw_args", keys, require_eq=(dialect != "lenient"))
+        + f""",
+{name} AS (
+  SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY first_ord) AS INTEGER) AS arg_pos,
+         arg_key AS key, raw, {v} AS vtype, {c} AS canon, {m} AS cmp, first_ord
+  FROM {split_name})"""
+    )
+
+
+def json_value(vtype: str = "vtype", canon: str = "canon") -> str:
+    return f"CASE WHEN {vtype} = 'bool' THEN lower({canon}) WHEN {vtype} IN ('int', 'float') THEN {canon} WHEN {vtype} = 'none' THEN 'null' ELSE CAST(to_json({canon}) AS VARCHAR) END"
+
+
+def first_rule(name: str, args: str, wild: str) -> str:
+    """Per call (row_id, pos): the first rule (min seq) of its code whose conditions all hold."""
+    return f"""{name}_cand AS (
+  SELECT c.row_id, c.pos, r.seq, count(r.k) AS need, count(a.key) AS have
+  FROM calls c JOIN rule_conditions r ON r.code = c.func
+  LEFT JOIN {args} a ON a.row_id = c.row_id AND a.pos = c.pos AND a.key = r.k AND (r.expect IN ({wild}) OR a.cmp = r.expect)
+  GROUP BY c.row_id, c.pos, r.seq),
+{name} AS (SELECT row_id, pos, min(seq) AS seq FROM {name}_cand WHERE need = have GROUP BY row_id, pos)"""
