@@ -420,3 +420,92 @@ FROM calls c JOIN tagged t USING (row_id) WHERE t.query <> ''""",
 def q_group_by_query(spark, sf_dir):
     c = calls_op.calls_table(fx.tagged(spark, sf_dir), "llm_output", ("row_id", "query"))
     return rules_op.group_by_query(c)
+
+
+# ---------------------------------------------------------------- chat, split
+
+from ..operators import chat as chat_op  # noqa: E402
+
+SYS = chat_op.DEFAULT_SYSTEM_PROMPT
+
+
+def _chat(spark, sf_dir):
+    return chat_op.chat_examples(fx.chat_labelled(spark, sf_dir), "user_text", "assistant", SYS)
+
+
+@register(
+    "json_repair",
+    o.with_(o.TAGGED.replace("tagged AS", "unused AS"), o.PREDS, o.REPAIR_INPUT)
+    + r"""SELECT ex_id,
+  CASE WHEN json_valid(raw_out) THEN 'as_is' WHEN json_valid(fixed) THEN 'repaired' ELSE 'failed' END AS status,
+  CASE WHEN json_valid(raw_out) THEN json_extract_string(raw_out, '$.calls[0].name')
+       WHEN json_valid(fixed) THEN json_extract_string(fixed, '$.calls[0].name') END AS name
+FROM (SELECT ex_id, raw_out,
+  regexp_replace(replace(replace(replace(trim(raw_out), chr(92) || '"', '"'), chr(92) || 'n', chr(10)), chr(92) || 't', chr(9)),
+                 '([\{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:', '\1"\2":', 'g') AS fixed
+  FROM repair_input) r""",
+)
+def q_json_repair(spark, sf_dir):
+    df = chat_op.normalise_assistant(fx.repair_input(spark, sf_dir), "raw_out", repair=True)
+    return df.select("ex_id", "status", F.try_variant_get("parsed", "$.calls[0].name", "string").alias("name"))
+
+
+CHAT_ORACLE = o.with_(o.CHAT, o.CHAT_LABELLED) + f""", chat AS (
+  SELECT conv_id, turn, trim(user_text) AS user_content, assistant,
+    CAST(to_json([{{'role': 'system', 'content': '{SYS.replace("'", "''")}'}}, {{'role': 'user', 'content': trim(user_text)}}]) AS VARCHAR) AS messages_json
+  FROM chat_labelled)
+"""
+
+
+@register("chat_examples", CHAT_ORACLE + "SELECT conv_id, turn, messages_json, assistant FROM chat")
+def q_chat_examples(spark, sf_dir):
+    return _chat(spark, sf_dir).select("conv_id", "turn", F.to_json("messages").alias("messages_json"), "assistant")
+
+
+@register(
+    "message_expected_normalise",
+    CHAT_ORACLE + "SELECT user_content AS message, assistant AS expected FROM chat WHERE user_content <> ''",
+)
+def q_message_expected_normalise(spark, sf_dir):
+    return chat_op.message_expected(_chat(spark, sf_dir))
+
+
+def _prompt_sql(user: str) -> str:
+    head, rest = chat_op.PROMPT_TEMPLATE.split("{sys}")
+    mid, tail = rest.split("{user}")
+    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"{lit(head)} || {lit(SYS)} || {lit(mid)} || {user} || {lit(tail.replace('{{', '{'))}"
+
+
+@register(
+    "training_text",
+    CHAT_ORACLE
+    + f"""SELECT conv_id, turn, {_prompt_sql('user_content')} AS prompt,
+  CASE WHEN NOT json_valid(assistant) THEN assistant
+       WHEN json_type(assistant) = 'ARRAY' THEN array_to_string(list_transform(json_extract(assistant, '$[*]'), lambda x: CAST(x AS VARCHAR)), '')
+       ELSE CAST(json(assistant) AS VARCHAR) END AS target
+FROM chat""",
+)
+def q_training_text(spark, sf_dir):
+    return chat_op.training_text(_chat(spark, sf_dir)).select("conv_id", "turn", "prompt", "target")
+
+
+SPLIT_ORACLE = o.with_(o.CHAT, o.CHAT_LABELLED) + """SELECT conv_id, turn,
+  CASE WHEN idx < floor(n * 0.8) THEN 'train' WHEN idx < floor(n * 0.8) + floor(n * 0.1) THEN 'eval' ELSE 'test' END AS split
+FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), conv_id, turn) - 1 AS idx,
+             count(*) OVER () AS n FROM chat_labelled) x"""
+
+
+@register("split_exact", SPLIT_ORACLE)
+def q_split_exact(spark, sf_dir):
+    df = _chat(spark, sf_dir)
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return chat_op.split_exact(df, key, "80,10,10", 42, True, ["conv_id", "turn"]).select("conv_id", "turn", "split")
+
+
+@register(
+    "limit_in_order",
+    o.with_(o.CHAT, o.CHAT_LABELLED) + "SELECT conv_id, turn, user_text, assistant FROM chat_labelled ORDER BY conv_id, turn LIMIT 100",
+)
+def q_limit_in_order(spark, sf_dir):
+    return chat_op.limit_in_order(fx.chat_labelled(spark, sf_dir), ["conv_id", "turn"], 100)

@@ -98,6 +98,28 @@ REPLACEMENT_RULES = [
 EVAL_CASES = [("baseline", False), ("baseline", True), ("finetuned", False), ("finetuned", True)]
 
 
+# Labelled chat examples from F2; the assistant side is JSON text (object, array, or the raw
+# prose for every fifth conversation so the unparsable path is exercised).
+CHAT_LABELLED_SQL = """
+SELECT conv_id, turn, user_text,
+  CASE WHEN conv_id % 5 = 0 THEN assistant
+       WHEN turn % 4 = 1 THEN concat('[{"arguments":{"conv":', CAST(conv_id AS STRING),
+                                     '},"functionName":"reply"},{"arguments":{},"functionName":"end"}]')
+       ELSE concat('{"arguments":{"turn":', CAST(turn AS STRING), '},"functionName":"reply"}') END AS assistant
+FROM chat_pairs
+"""
+
+# JSON text with the defects the repair step targets (bare keys, escaped quotes) and junk.
+REPAIR_INPUT_SQL = """
+SELECT ex_id,
+  CASE ex_id % 4 WHEN 0 THEN gold
+       WHEN 1 THEN replace(replace(replace(gold, '"calls"', 'calls'), '"name"', 'name'), '"arguments"', 'arguments')
+       WHEN 2 THEN replace(gold, '"', concat(chr(92), '"'))
+       ELSE concat('x', gold) END AS raw_out
+FROM predictions
+"""
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str, tables) -> DataFrame:
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)
@@ -111,6 +133,16 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, CHAT_PAIRS_SQL, ["conversations"])
 
 
+def chat_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat_pairs(spark, sf_dir).createOrReplaceTempView("chat_pairs")
+    return spark.sql(CHAT_LABELLED_SQL)
+
+
+def repair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions(spark, sf_dir).createOrReplaceTempView("predictions")
+    return spark.sql(REPAIR_INPUT_SQL)
+
+
 def rule_conditions(spark: SparkSession) -> DataFrame:
     return spark.sql(RULE_CONDITIONS_SQL)
 
