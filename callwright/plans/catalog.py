@@ -509,3 +509,219 @@ def q_split_exact(spark, sf_dir):
 )
 def q_limit_in_order(spark, sf_dir):
     return chat_op.limit_in_order(fx.chat_labelled(spark, sf_dir), ["conv_id", "turn"], 100)
+
+
+# ---------------------------------------------------------------- evaluation
+
+from ..functions.normalise import format_valid, normalise_calls  # noqa: E402
+from ..operators import evaluate as ev  # noqa: E402
+
+
+def _p27_sql(x: str) -> str:
+    s = f"lower(trim({x}))"
+    return (
+        f"CASE WHEN regexp_matches({s}, '{ev.NIGHT_RE}') THEN 'enable_night_mode' "
+        f"WHEN regexp_matches({s}, '{ev.OFF_RE}') THEN 'power_off' WHEN regexp_matches({s}, '{ev.ON_RE}') THEN 'power_on' END"
+    )
+
+
+@register(
+    "keyword_router",
+    f"SELECT conv_id, turn, role, {_p27_sql('text')} AS route FROM conversations",
+)
+def q_keyword_router(spark, sf_dir):
+    from ..session import register_tables
+
+    register_tables(spark, sf_dir, ["conversations"])
+    conv = spark.table("conversations")
+    return conv.select("conv_id", "turn", "role", ev.route_keywords(F.col("text")).alias("route"))
+
+
+def _p28_sql(x: str) -> str:
+    one = lambda n: f"""'{{"calls":[{{"name":"' || {n} || '","arguments":{{}}}}]}}'"""
+    full = "(?s)" + ev.REGEX_FULL
+    wn = "(?s)" + ev.REGEX_TAIL_WITH_NAME
+    nl = "(?s)" + ev.REGEX_TAIL_NAMELESS
+    return f"""CASE WHEN regexp_matches({x}, '{full}')
+          THEN replace(replace(regexp_extract({x}, '{full}', 0), '"arguments":[]', '"arguments":{{}}'), '"arguments": []', '"arguments": {{}}')
+        WHEN regexp_matches({x}, '{wn}') THEN {one(f"regexp_extract({x}, '{wn}', 1)")}
+        WHEN regexp_matches({x}, '{nl}') THEN {one(f"regexp_extract({x}, '{nl}', 1)")}
+        WHEN regexp_matches({x}, '{ev.REGEX_BARE_NAME}') THEN {one(f"regexp_extract({x}, '{ev.REGEX_BARE_NAME}', 1)")}
+        ELSE '' END"""
+
+
+CUT_SQL = "split_part(coalesce(raw, ''), chr(10) || 'User:', 1)"
+EVAL_ROWS_SQL = o.with_(o.PREDS) + f""", ex AS (SELECT ex_id, user_text, gold, raw, {_p28_sql(CUT_SQL)} AS ptxt FROM predictions),
+sc AS (
+  SELECT ex_id, user_text, gold, ptxt,
+    CASE WHEN ptxt <> '' AND json_valid(ptxt) THEN json_extract_string(ptxt, '$.calls[0].name') END AS pname,
+    json_extract_string(gold, '$.calls[0].name') AS gname,
+    {_p27_sql('user_text')} AS fb
+  FROM ex),
+sc2 AS (
+  SELECT ex_id, gold, gname,
+    CASE WHEN pname IS NULL AND allow AND fb IS NOT NULL THEN 'fallback' ELSE 'model' END AS source,
+    CASE WHEN pname IS NULL AND allow AND fb IS NOT NULL THEN '{{"calls":[{{"name":"' || fb || '","arguments":{{}}}}]}}' ELSE ptxt END AS pred_text,
+    CASE WHEN pname IS NULL AND allow AND fb IS NOT NULL THEN fb ELSE pname END AS pname2, allow
+  FROM sc, (SELECT true AS allow) a),
+scored AS (
+  SELECT ex_id, source, pred_text,
+    coalesce(pred_text <> '' AND json_valid(pred_text) AND json_valid(gold)
+             AND CAST(json(CASE WHEN json_valid(pred_text) THEN pred_text ELSE '{{}}' END) AS VARCHAR)
+                 = CAST(json(CASE WHEN json_valid(gold) THEN gold ELSE '[]' END) AS VARCHAR), false) AS exact,
+    coalesce(pname2 IS NOT NULL AND gname IS NOT NULL AND pname2 = gname, false) AS name1,
+    (CASE WHEN pname2 = 'power_on' THEN 'on' ELSE 'off' END) = (CASE WHEN gname = 'power_on' THEN 'on' ELSE 'off' END)
+      AND coalesce(pname2 = 'enable_night_mode', false) = coalesce(gname = 'enable_night_mode', false) AS state
+  FROM sc2)
+"""
+
+
+@register("extract_calls_json", o.with_(o.PREDS) + f"SELECT ex_id, {_p28_sql(CUT_SQL)} AS pred_text FROM predictions")
+def q_extract_calls_json(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    return p.select("ex_id", ev.extract_calls_json(ev.cut_continuation("raw")).alias("pred_text"))
+
+
+@register("eval_exact_name_state", EVAL_ROWS_SQL + "SELECT ex_id, source, pred_text, exact, name1, state FROM scored")
+def q_eval_exact_name_state(spark, sf_dir):
+    return ev.score(fx.predictions(spark, sf_dir), True).select("ex_id", "source", "pred_text", "exact", "name1", "state")
+
+
+@register(
+    "eval_suite_cases",
+    EVAL_ROWS_SQL
+    + """, m AS (SELECT count(*) AS total, avg(CAST(exact AS DOUBLE)) AS exact, avg(CAST(name1 AS DOUBLE)) AS name1,
+                 avg(CAST(state AS DOUBLE)) AS state, count(*) FILTER (WHERE source = 'fallback') AS fb,
+                 avg(CAST(source = 'fallback' AS DOUBLE)) AS fb_rate FROM scored)
+SELECT c.case_name, m.total, m.exact, m.name1, m.state, m.fb, m.fb_rate
+FROM (VALUES ('baseline_fb_on', 'baseline'), ('baseline_nofb', 'baseline'), ('finetuned_fb_on', 'finetuned'), ('finetuned_nofb', 'finetuned')) c(case_name, model)
+LEFT JOIN m ON c.model = 'baseline'""",
+)
+def q_eval_suite_cases(spark, sf_dir):
+    preds = fx.predictions(spark, sf_dir).withColumn("model", F.lit("baseline"))
+    cases = spark.createDataFrame(fx.EVAL_CASES, "case_name string, model string, allow_fallback boolean")
+    return ev.eval_suite(preds, cases)
+
+
+GRID_ORACLE = (
+    o.with_(o.TAGGED)
+    + ", prompts AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{t}')" for i, t in fx.GRID_PROMPTS)
+    + ") p(prompt_id, prompt)),\n"
+    + f"""grid AS (SELECT p.prompt_id, t.row_id AS msg_id, trim(t.llm_output) AS expected, {fx.GRID_RAW_SQL} AS raw
+         FROM tagged t CROSS JOIN prompts p WHERE trim(p.prompt) <> '' AND trim(t.query) <> '')
+SELECT prompt_id, count(*) AS rows, count(*) FILTER (WHERE expected = {o.p15("replace(trim(raw), '\"', '')")}) AS all_match
+FROM grid GROUP BY prompt_id"""
+)
+
+
+def _grid(spark, sf_dir):
+    t = fx.tagged(spark, sf_dir)
+    messages = t.select(F.col("row_id").alias("msg_id"), F.col("query").alias("message"), F.col("llm_output").alias("expected"), "llm_output")
+    prompts = spark.createDataFrame(fx.GRID_PROMPTS, "prompt_id int, prompt string")
+    return ev.prompt_grid(prompts, messages).withColumn("raw", F.expr(fx.GRID_RAW_SQL))
+
+
+@register("text_match_by_prompt", GRID_ORACLE)
+def q_text_match_by_prompt(spark, sf_dir):
+    return ev.text_match(_grid(spark, sf_dir))
+
+
+@register(
+    "arg_compare_policy",
+    RULE_ORACLE_HEAD.replace("WITH ", "WITH ", 1)
+    + ", "
+    + o.typed_args("largs", "calls", "row_id, pos", "lenient")
+    + """, rr AS (SELECT DISTINCT seq, map_func FROM rule_conditions),
+named AS (SELECT c.row_id, c.pos, coalesce(rr.map_func, '') AS name FROM calls c LEFT JOIN best b USING (row_id, pos) LEFT JOIN rr ON rr.seq = b.seq),
+cmp AS (
+  SELECT n.row_id, n.pos, n.name,
+    (SELECT count(*) FROM cargs a WHERE a.row_id = n.row_id AND a.pos = n.pos) AS na,
+    (SELECT count(*) FROM largs b WHERE b.row_id = n.row_id AND b.pos = n.pos) AS nb,
+    (SELECT count(*) FROM cargs a JOIN largs b ON a.row_id = b.row_id AND a.pos = b.pos AND a.key = b.key AND a.canon = b.canon
+      WHERE a.row_id = n.row_id AND a.pos = n.pos) AS nm,
+    coalesce((SELECT canon FROM cargs a WHERE a.row_id = n.row_id AND a.pos = n.pos AND a.key = 'mode'), 'None') AS a_mode,
+    coalesce((SELECT canon FROM largs b WHERE b.row_id = n.row_id AND b.pos = n.pos AND b.key = 'mode'), 'None') AS b_mode,
+    coalesce((SELECT canon FROM cargs a WHERE a.row_id = n.row_id AND a.pos = n.pos AND a.key = 'type'), 'None') AS a_type,
+    coalesce((SELECT canon FROM largs b WHERE b.row_id = n.row_id AND b.pos = n.pos AND b.key = 'type'), 'None') AS b_type
+  FROM named n)
+SELECT row_id, pos, name,
+  CASE WHEN lower(name) = 'talk' THEN true
+       WHEN lower(name) IN ('info_air_quality', 'info_weather', 'info_caution', 'info_organic_compound') THEN a_type = b_type
+       WHEN lower(name) IN ('mode_on', 'mode_off') THEN a_mode = b_mode
+       ELSE na = nb AND nb = nm END AS args_equal
+FROM cmp""",
+)
+def q_arg_compare_policy(spark, sf_dir):
+    conv = rules_op.convert_calls(_plain_calls(spark, sf_dir), _rules(spark))
+    both = with_args(conv.withColumnRenamed("args", "a"), "raw_args", "lenient", "b")
+    return both.select("row_id", "pos", F.col("map_func").alias("name"), ev.args_equal(F.col("a"), F.col("b"), F.col("map_func")).alias("args_equal"))
+
+
+@register(
+    "expected_any_of",
+    TEMPLATE_ORACLE.replace("\nFROM calls c LEFT JOIN best b USING (row_id, pos)", "\nFROM calls c LEFT JOIN best b USING (row_id, pos)), percall AS (SELECT * FROM mapped_calls", 1)
+    .replace("SELECT c.row_id, c.pos, c.func, c.raw_args,\n  CASE WHEN b.seq IS NOT NULL THEN", ", mapped_calls AS (SELECT c.row_id, c.pos, c.func, c.raw_args,\n  CASE WHEN b.seq IS NOT NULL THEN", 1)
+    + f"""),
+lists AS (SELECT row_id, '[' || string_agg(mapped, ',' ORDER BY pos) || ']' AS expected_json FROM percall GROUP BY row_id),
+fc0 AS (SELECT row_id, {o.strip(f"split_part({o.strip('llm_output')}, ';', 1)")} AS t FROM tagged),
+fc AS (SELECT row_id, CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 1) ELSE regexp_extract(t, '{FC_LOOSE}', 1) END AS pname
+       FROM fc0 WHERE regexp_matches(t, '{FC_LOOSE}'))
+SELECT f.row_id, f.pname AS predicted, coalesce(list_contains(json_extract_string(l.expected_json, '$[*].functionName'), f.pname), false) AS any_match
+FROM fc f LEFT JOIN lists l USING (row_id)""",
+)
+def q_expected_any_of(spark, sf_dir):
+    t = fx.tagged(spark, sf_dir)
+    c = with_args(calls_op.calls_table(t), "raw_args", "quoted", "args")
+    mapped = rules_op.map_calls_template(c, fx.template_rules(spark))
+    lists = rules_op.per_row_json_list(mapped, t.select("row_id", "llm_output"))
+    fc = lists.select("row_id", F.regexp_replace(first_call(F.col("llm_output"))["name"], "^function_", "").alias("predicted"), "mapped_json")
+    fc = fc.filter(F.col("predicted").isNotNull())
+    return fc.select("row_id", "predicted", ev.any_of(ev.expected_candidates(F.col("mapped_json")), F.col("predicted")).alias("any_match"))
+
+
+@register("json_continuation_repair")
+def q_json_continuation_repair(spark, sf_dir):
+    """Rows-only: gold texts cut after '{"calls":[{"name":' and truncated at several points, then closed."""
+    p = fx.predictions(spark, sf_dir)
+    body = F.substr(F.col("gold"), F.lit(len('{"calls":[{"name":') + 1))
+    cont = F.substr(body, F.lit(1), F.length(body) - (F.col("ex_id") % 6).cast("int"))
+    return ev.with_continuation_repair(p.select("ex_id", cont.alias("cont")), "cont")
+
+
+# ---------------------------------------------------------------- repair
+
+
+@register("call_normalise", o.with_(o.TAGGED) + f"SELECT row_id, {o.p15('llm_output')} AS normalised FROM tagged")
+def q_call_normalise(spark, sf_dir):
+    return fx.tagged(spark, sf_dir).select("row_id", normalise_calls(F.col("llm_output")).alias("normalised"))
+
+
+def _p16_sql(x: str) -> str:
+    txt = o.strip(x)
+    head0 = f"regexp_replace(substr({txt}, 1, greatest(length({txt}) - 5, 0)), '\\s+$', '')"
+    head1 = f"(CASE WHEN ends_with({head0}, ';') THEN substr({head0}, 1, length({head0}) - 1) ELSE {head0} END)"
+    head = o.strip(head1)
+    return f"""(ends_with({txt}, '<end>') AND {head} <> ''
+   AND list_bool_and(list_transform(string_split({head}, ';'), lambda p: {o.strip('p')} <> '' AND regexp_matches({o.strip('p')}, '(?s)^<(function_[A-Za-z0-9_]+)>\\((.*?)\\)$')))
+   AND NOT regexp_matches({head}, '\\)\\s*<function_'))"""
+
+
+@register("format_validity", o.with_(o.TAGGED) + f"SELECT row_id, {_p16_sql('llm_output')} AS valid FROM tagged")
+def q_format_validity(spark, sf_dir):
+    return fx.tagged(spark, sf_dir).select("row_id", format_valid(F.col("llm_output")).alias("valid"))
+
+
+@register(
+    "repair_status",
+    o.with_(o.TAGGED)
+    + f""", rep AS (SELECT llm_output AS raw, {o.p15('llm_output')} AS repaired FROM tagged)
+SELECT CASE WHEN {_p16_sql('repaired')} AND trim(repaired) = trim(raw) THEN 'already_ok'
+            WHEN {_p16_sql('repaired')} THEN 'repaired_success' ELSE 'still_broken' END AS status, count(*) AS count
+FROM rep GROUP BY 1""",
+)
+def q_repair_status(spark, sf_dir):
+    from ..operators import repair as rep
+
+    t = fx.tagged(spark, sf_dir)
+    return rep.repair_report(rep.repair_status(t, "llm_output", normalise_calls))

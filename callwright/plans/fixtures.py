@@ -94,8 +94,25 @@ REPLACEMENT_RULES = [
     (3, ["signup"], ["signup", "register"]),
 ]
 
-# evaluation cases for the four-case suite (E6); 'finetuned' cases need a model.
-EVAL_CASES = [("baseline", False), ("baseline", True), ("finetuned", False), ("finetuned", True)]
+# evaluation cases for the four-case suite (E6); only the baseline model has predictions here.
+EVAL_CASES = [
+    ("baseline_fb_on", "baseline", True),
+    ("baseline_nofb", "baseline", False),
+    ("finetuned_fb_on", "finetuned", True),
+    ("finetuned_nofb", "finetuned", False),
+]
+
+# F8: system prompts of the prompt x message grid (J7, E7); the empty one is skipped.
+# Prompt texts.
+GRID_PROMPTS = [(0, ""), (1, "You route voice commands to calls."), (2, "Answer with tagged calls only."), (3, "Be brief.")]
+
+# Messages of the grid from F1 and the prediction text each prompt produced; prompt 2 wraps
+# the output in quotes and prompt 3 misspells the tag, so the normaliser has work to do.
+GRID_RAW_SQL = """
+CASE prompt_id WHEN 1 THEN llm_output
+               WHEN 2 THEN concat('"', llm_output, '"')
+               ELSE replace(llm_output, '<function_', '<fuction_') END
+"""
 
 
 # Labelled chat examples from F2; the assistant side is JSON text (object, array, or the raw

@@ -155,3 +155,24 @@ def first_rule(name: str, args: str, wild: str) -> str:
   LEFT JOIN {args} a ON a.row_id = c.row_id AND a.pos = c.pos AND a.key = r.k AND (r.expect IN ({wild}) OR a.cmp = r.expect)
   GROUP BY c.row_id, c.pos, r.seq),
 {name} AS (SELECT row_id, pos, min(seq) AS seq FROM {name}_cand WHERE need = have GROUP BY row_id, pos)"""
+
+
+P15_CALL = r"<fu(?:n)?ction_([A-Za-z0-9_]+)>\s*(?:\(([^()]*)\))?"
+
+
+def p15(expr: str) -> str:
+    """Normaliser for regular text (flat parens, plain tag names) as one SQL expression."""
+    s = f"replace({expr}, '\"', '')"
+    names = f"list_slice(regexp_extract_all({s}, '{P15_CALL}', 1), 1, 2)"
+    argss = f"regexp_extract_all({s}, '{P15_CALL}', 2)"
+    piece = strip("p")
+    key = strip("split_part(p, '=', 1)")
+    val = strip("substr(p, strpos(p, '=') + 1)")
+    arg_i = strip(f"coalesce({argss}[i], '')")
+    kv = (
+        f"array_to_string(list_transform(list_slice(list_filter(list_transform(string_split({arg_i}, ','), lambda p: {piece}), "
+        f"lambda p: strpos(p, '=') > 0 AND {key} <> ''), 1, 2), "
+        f"lambda p: {key} || '=' || {val}), ', ')"
+    )
+    body = f"array_to_string(list_transform(range(1, len({names}) + 1), lambda i: '<function_' || {names}[i] || '>(' || {kv} || ')'), ';')"
+    return f"({body} || '<end>')"
