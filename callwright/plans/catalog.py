@@ -725,3 +725,169 @@ def q_repair_status(spark, sf_dir):
 
     t = fx.tagged(spark, sf_dir)
     return rep.repair_report(rep.repair_status(t, "llm_output", normalise_calls))
+
+
+# ---------------------------------------------------------------- augmentation
+
+from ..operators import augment as aug  # noqa: E402
+from ..operators import pairing as pair_op  # noqa: E402
+
+
+def _augment_oracle(keep_original: bool) -> str:
+    """Choice-path enumeration: c_k = 0 (rule k not applied) or j (replacement j), only when applicable."""
+    blocks = ["r0 AS (SELECT row_id, query AS q0, llm_output AS o0 FROM tagged)"]
+    order = []
+    for k, (_, ori, sr) in enumerate(sorted(fx.REPLACEMENT_RULES), start=1):
+        prev = f"r{k - 1}"
+        q, oo = f"q{k - 1}", f"o{k - 1}"
+        applicable = " OR ".join(f"(strpos({q}, '{t}') > 0 OR strpos({oo}, '{t}') > 0)" for t in ori)
+        sr_list = "[" + ", ".join(f"'{s}'" for s in sr) + "]"
+
+        def rep(col):
+            expr = col
+            for t in ori:
+                expr = f"replace({expr}, '{t}', {sr_list}[c{k}])"
+            return expr
+
+        keep = ", ".join([f"c{i}" for i in range(1, k)] + ["row_id"])
+        blocks.append(
+            f"""{prev}x AS (SELECT {keep}, {q}, {oo}, unnest(CASE WHEN {applicable} THEN range(0, {len(sr) + 1}) ELSE [0] END) AS c{k} FROM {prev})"""
+        )
+        blocks.append(
+            f"""r{k} AS (SELECT {keep}, c{k}, CASE WHEN c{k} = 0 THEN {q} ELSE {rep(q)} END AS q{k},
+                       CASE WHEN c{k} = 0 THEN {oo} ELSE {rep(oo)} END AS o{k} FROM {prev}x)"""
+        )
+        order.append(f"c{k}")
+    last = len(fx.REPLACEMENT_RULES)
+    ordc = ", ".join(order)
+    drop_first = "" if keep_original else f"WHERE NOT ({' AND '.join(f'{c} = 0' for c in order)})"
+    return o.with_(o.TAGGED, *blocks) + f""", fin AS (SELECT * FROM r{last} {drop_first}),
+dedup AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY row_id, q{last}, o{last} ORDER BY {ordc}) = 1)
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY {ordc}) - 1 AS INTEGER) AS variant_idx,
+  CASE WHEN row_number() OVER (PARTITION BY row_id ORDER BY {ordc}) = 1 THEN CAST(row_id AS VARCHAR)
+       ELSE CAST(row_id AS VARCHAR) || '-R' || CAST(row_number() OVER (PARTITION BY row_id ORDER BY {ordc}) - 1 AS VARCHAR) END AS index_label,
+  q{last} AS query, o{last} AS llm_output
+FROM dedup"""
+
+
+def _augmented(spark, sf_dir, keep_original):
+    t = fx.tagged(spark, sf_dir)
+    v = aug.expand_variants(t, ["query", "llm_output"], fx.REPLACEMENT_RULES, keep_original=keep_original)
+    return aug.explode_variants(v, "row_id").select("row_id", "variant_idx", "index_label", "query", "llm_output")
+
+
+@register("augment_rules", _augment_oracle(True))
+def q_augment_rules(spark, sf_dir):
+    return _augmented(spark, sf_dir, True)
+
+
+@register("augment_drop_original", _augment_oracle(False))
+def q_augment_drop_original(spark, sf_dir):
+    return _augmented(spark, sf_dir, False)
+
+
+LOC_SQL = r"location\s*=\s*(['\"])?([^'\"\s,);\]}]+)"
+
+
+@register(
+    "delexicalise",
+    o.with_(o.TAGGED)
+    + f""", v AS (SELECT row_id, query, llm_output,
+    CASE WHEN regexp_matches(llm_output, '{LOC_SQL.replace("'", "''")}') THEN regexp_extract(llm_output, '{LOC_SQL.replace("'", "''")}', 2) END AS val FROM tagged),
+d AS (SELECT row_id,
+    CASE WHEN val IS NOT NULL AND val <> '' AND strpos(query, val) > 0 THEN replace(query, val, '<loc>') ELSE query END AS query,
+    CASE WHEN val IS NOT NULL AND val <> '' AND strpos(query, val) > 0 THEN replace(llm_output, val, '<loc>') ELSE llm_output END AS llm_output FROM v)
+SELECT row_id, query, llm_output, strpos(query, '<loc>') > 0 OR strpos(llm_output, '<loc>') > 0 AS has_placeholder FROM d""",
+)
+def q_delexicalise(spark, sf_dir):
+    d = aug.delexicalise(fx.tagged(spark, sf_dir), "query", "llm_output", "location", "<loc>")
+    kept = aug.drop_placeholders(d, ["query", "llm_output"]).select("row_id", F.lit(False).alias("has_placeholder"))
+    return d.join(kept, "row_id", "left").select("row_id", "query", "llm_output", F.coalesce("has_placeholder", F.lit(True)).alias("has_placeholder"))
+
+
+MERGED_TAGS_SQL = o.with_(o.TTAGS) + """, firsts AS (
+  SELECT block, slot, value, arg_min(prio, prio * 100000000 + pos) AS prio, arg_min(pos, prio * 100000000 + pos) AS pos FROM ttags GROUP BY block, slot, value),
+merged AS (SELECT block, slot, value, row_number() OVER (PARTITION BY block, slot ORDER BY prio, pos, value) AS vpos FROM firsts)
+"""
+
+
+@register("template_tag_merge", MERGED_TAGS_SQL + "SELECT block, slot, value, vpos FROM merged")
+def q_template_tag_merge(spark, sf_dir):
+    return aug.merge_tags(fx.template_tags(spark, sf_dir))
+
+
+@register(
+    "template_expand",
+    MERGED_TAGS_SQL.replace("WITH ", "WITH " + o.TFORMATS + ",\n", 1)
+    + """, f AS (SELECT *, regexp_extract_all(fmt, '<[^>]+>') AS slots FROM tformats),
+l1 AS (SELECT f.block, f.fname, f.fmt_pos, f.slots, m.value AS v1, m.vpos AS p1 FROM f JOIN merged m ON m.block = f.block AND m.slot = f.slots[1]),
+l2 AS (SELECT l1.*, m.value AS v2, m.vpos AS p2 FROM l1 JOIN merged m ON m.block = l1.block AND m.slot = l1.slots[2] WHERE len(slots) >= 2
+       UNION ALL SELECT l1.*, NULL AS v2, 0 AS p2 FROM l1 WHERE len(slots) < 2),
+l3 AS (SELECT l2.*, m.value AS v3, m.vpos AS p3 FROM l2 JOIN merged m ON m.block = l2.block AND m.slot = l2.slots[3] WHERE len(slots) >= 3
+       UNION ALL SELECT l2.*, NULL AS v3, 0 AS p3 FROM l2 WHERE len(slots) < 3),
+q AS (SELECT block, fname, fmt_pos, concat_ws(' ', v1, v2, v3) AS query, p1, p2, p3 FROM l3),
+kept AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query, fname ORDER BY block, fmt_pos, p1, p2, p3) = 1)
+SELECT row_number() OVER (ORDER BY block, fmt_pos, p1, p2, p3) AS "index", query, fname AS function FROM kept""",
+)
+def q_template_expand(spark, sf_dir):
+    merged = aug.merge_tags(fx.template_tags(spark, sf_dir))
+    return aug.number_queries(aug.expand_templates(fx.template_formats(spark), merged))
+
+
+# ---------------------------------------------------------------- pairing
+
+HS_SQL = o.with_(o.TAGGED) + r""", named AS (SELECT row_id, query, llm_output AS function, regexp_extract(llm_output, '<\s*([^>\s]+)\s*>', 1) AS func_name,
+                          md5('42:' || CAST(row_id AS VARCHAR)) AS k FROM tagged),
+hs AS (SELECT *, row_number() OVER (PARTITION BY func_name ORDER BY k, row_id) AS r, count(*) OVER (PARTITION BY func_name) AS n
+       FROM named WHERE func_name <> ''),
+pool AS (SELECT * FROM hs WHERE r <= n // 2),
+sizes AS (SELECT func_name, count(*) AS gsize FROM pool GROUP BY func_name),
+st AS (SELECT sum(gsize) AS n, max(gsize) AS m FROM sizes),
+par AS (SELECT CASE WHEN m <= n // 2 THEN n // 2 ELSE m END AS off, CASE WHEN m <= n // 2 THEN n // 2 ELSE n - m END AS np FROM st),
+ord AS (SELECT p.*, row_number() OVER (ORDER BY s.gsize DESC, p.func_name, p.k, p.row_id) - 1 AS pos FROM pool p JOIN sizes s USING (func_name))
+"""
+
+
+def _pairing_input(spark, sf_dir):
+    t = fx.tagged(spark, sf_dir)
+    return t.select("row_id", "query", F.col("llm_output").alias("function"))
+
+
+@register("half_sample", HS_SQL + "SELECT row_id, func_name, r <= n // 2 AS in_pool FROM hs")
+def q_half_sample(spark, sf_dir):
+    return pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id").select("row_id", "func_name", "in_pool")
+
+
+@register(
+    "pair_functions",
+    HS_SQL
+    + """, pr AS (SELECT a.pos AS pair_no, a.query AS qa, b.query AS qb, a.function AS fa, b.function AS fb,
+                  substr(md5('42:pair:' || CAST(a.pos AS VARCHAR)), 1, 1) IN ('0','1','2','3','4','5','6','7') AS bit
+           FROM ord a JOIN ord b ON b.pos = a.pos + (SELECT off FROM par) WHERE a.pos < (SELECT np FROM par))
+SELECT 'P' || lpad(CAST(pair_no AS VARCHAR), 6, '0') AS "index",
+  CASE WHEN bit THEN qa || ' 다음으로 ' || qb ELSE qb || ' 다음으로 ' || qa END AS query,
+  CASE WHEN bit THEN fa || ';' || fb || '<end>' ELSE fb || ';' || fa || '<end>' END AS function
+FROM pr""",
+)
+def q_pair_functions(spark, sf_dir):
+    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
+    paired, _ = pair_op.pair_pool(sampled, "row_id")
+    return pair_op.merge_pairs(paired).drop("pair_no")
+
+
+@register(
+    "pair_singles",
+    HS_SQL
+    + """, lo AS (SELECT 1 AS kind, func_name, k, row_id, query, function FROM ord
+             WHERE NOT (pos < (SELECT np FROM par) OR (pos >= (SELECT off FROM par) AND pos < (SELECT off + np FROM par)))),
+outside AS (SELECT 0 AS kind, func_name, k, row_id, query, function FROM hs WHERE r > n // 2),
+al AS (SELECT * FROM outside UNION ALL SELECT * FROM lo)
+SELECT 'P' || lpad(CAST(row_number() OVER (ORDER BY kind, func_name, k, row_id) - 1 + (SELECT np FROM par) AS VARCHAR), 6, '0') AS "index",
+  query, CASE WHEN ends_with(trim(function), '<end>') THEN trim(function) ELSE trim(function) || '<end>' END AS function
+FROM al""",
+)
+def q_pair_singles(spark, sf_dir):
+    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
+    paired, left = pair_op.pair_pool(sampled, "row_id")
+    n_pairs = paired.count()
+    return pair_op.singles(sampled, left, n_pairs, "row_id")

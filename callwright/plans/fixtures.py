@@ -137,6 +137,29 @@ FROM predictions
 """
 
 
+# slot templates.  Two blocks of formats (block 1 repeats a format and has one whose slot <x>
+# has no values); tags come from block literals (prio 0) and from the region and part tables
+# shared by every block (prio 1).  Fixed values: the formats and the literal tag words.
+TEMPLATE_FORMATS_SQL = """
+SELECT * FROM (VALUES
+ (1, '<function_BP>(enable=0, type=-1)', 1, '<o><v>'),
+ (1, '<function_BP>(enable=0, type=-1)', 2, '<o><a><v>'),
+ (1, '<function_BP>(enable=0, type=-1)', 3, '<x><v>'),
+ (1, '<function_BP>(enable=0, type=-1)', 4, '<o><v>'),
+ (2, '<function_IO>(timeframe=0)', 1, '<v> <o>')
+) AS f(block, fname, fmt_pos, fmt)
+"""
+
+TEMPLATE_TAGS_SQL = """
+SELECT 1 AS block, '<a>' AS slot, v AS value, 0 AS prio, pos FROM (VALUES ('now', 1), ('please', 2)) AS t(v, pos)
+UNION ALL SELECT 2 AS block, '<o>' AS slot, 'there' AS value, 0 AS prio, 1 AS pos
+UNION ALL SELECT b.block, '<a>' AS slot, t.v AS value, 1 AS prio, t.pos FROM (VALUES ('please', 1), ('kindly', 2)) AS t(v, pos)
+  CROSS JOIN (VALUES (1), (2)) AS b(block)
+UNION ALL SELECT b.block, '<o>' AS slot, r_name AS value, 1 AS prio, r_regionkey AS pos FROM region CROSS JOIN (VALUES (1), (2)) AS b(block)
+UNION ALL SELECT b.block, '<v>' AS slot, p_name AS value, 1 AS prio, p_partkey AS pos FROM part CROSS JOIN (VALUES (1), (2)) AS b(block)
+"""
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str, tables) -> DataFrame:
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)
@@ -160,6 +183,14 @@ def repair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REPAIR_INPUT_SQL)
 
 
+def template_formats(spark: SparkSession) -> DataFrame:
+    return spark.sql(TEMPLATE_FORMATS_SQL)
+
+
+def template_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, TEMPLATE_TAGS_SQL, ["region", "part"])
+
+
 def rule_conditions(spark: SparkSession) -> DataFrame:
     return spark.sql(RULE_CONDITIONS_SQL)
 

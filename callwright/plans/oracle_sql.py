@@ -6,7 +6,7 @@ semantics in plain SQL, independently of the Spark column code.
 """
 from __future__ import annotations
 
-from .fixtures import CHAT_LABELLED_SQL, CHAT_PAIRS_SQL, PREDICTIONS_SQL, REPAIR_INPUT_SQL, RULE_CONDITIONS_SQL, TAGGED_SQL
+from .fixtures import CHAT_LABELLED_SQL, CHAT_PAIRS_SQL, PREDICTIONS_SQL, REPAIR_INPUT_SQL, RULE_CONDITIONS_SQL, TAGGED_SQL, TEMPLATE_FORMATS_SQL, TEMPLATE_TAGS_SQL
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
@@ -24,6 +24,8 @@ RULES = f"rule_conditions AS ({RULE_CONDITIONS_SQL})"
 PREDS = f"predictions AS ({PREDICTIONS_SQL})"
 CHAT_LABELLED = f"chat_labelled AS ({CHAT_LABELLED_SQL})"
 REPAIR_INPUT = f"repair_input AS ({REPAIR_INPUT_SQL})"
+TFORMATS = f"tformats AS ({TEMPLATE_FORMATS_SQL})"
+TTAGS = f"ttags AS ({TEMPLATE_TAGS_SQL})"
 
 # P6 profile calls
 P6 = r"<function_([A-Z]{2})>\(([^\n]*?)\)"
