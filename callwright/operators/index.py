@@ -15,6 +15,7 @@ Nothing holds more than one bucket per task; the order key must be unique
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | No
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
     spark = df.sparkSession
     order_cols = list(order_cols)
+    # The index needs several passes (count, sample, bucket counts, final); keep the input once
+    # (memory, spilling to disk) so the passes do not recompute its lineage.  A lost block is
+    # recomputed from the lineage, which gives the same rows: the order key is total.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     b = buckets or default_buckets(df)
     key = F.struct(*[F.col(c) for c in order_cols])
     fields = df.select(*order_cols).schema.fields

@@ -164,7 +164,7 @@ cast_v AS (
          WHEN t.arg_type = 'boolean' THEN CASE WHEN trim(value) = '1' THEN 'true' ELSE 'false' END
          WHEN t.arg_type = 'number' AND regexp_matches(trim(value), '^-?[0-9]+$') THEN CAST(CAST(trim(value) AS BIGINT) AS VARCHAR)
          WHEN t.arg_type = 'number' THEN CAST(CAST(trim(value) AS DOUBLE) AS VARCHAR)
-         ELSE to_json(trim(value)) END AS enum_value,
+         ELSE CAST(to_json(trim(value)) AS VARCHAR) END AS enum_value,
     CASE WHEN t.arg_type = 'number' THEN CAST(CAST(trim(value) AS DOUBLE) AS VARCHAR) END AS num_key
   FROM vl v JOIN typ t USING (func, arg_key)),
 firsts AS (
@@ -891,3 +891,57 @@ def q_pair_singles(spark, sf_dir):
     paired, left = pair_op.pair_pool(sampled, "row_id")
     n_pairs = paired.count()
     return pair_op.singles(sampled, left, n_pairs, "row_id")
+
+
+# ---------------------------------------------------------------- prompts
+
+from ..operators import prompts as prompts_op  # noqa: E402
+
+SECTION_ORACLE = (
+    "WITH spec AS (" + _spec_oracle() + "),\n"
+    + """sp AS (SELECT func, description, arg_key AS arg, enum_pos,
+   CASE WHEN arg_type = 'boolean' THEN CASE WHEN enum_value = 'true' THEN 'True' ELSE 'False' END
+        WHEN arg_type = 'string' THEN json_extract_string(enum_value, '$') ELSE enum_value END AS enum_text FROM spec),
+hints AS (SELECT func, description, arg, string_agg(enum_text, '/' ORDER BY enum_pos) AS hint FROM sp GROUP BY func, description, arg),
+blocks AS (SELECT func, '- ' || func || ': ' || description || chr(10) || '  arguments (object):' || chr(10)
+   || string_agg('    - ' || arg || ':' || CASE WHEN hint <> '' THEN '  ' || hint ELSE '' END, chr(10) ORDER BY arg) || chr(10)
+   || '  example: {"name": "' || func || '", "arguments": {' || string_agg('"' || arg || '": "..."', ', ' ORDER BY arg) || '}}' AS block
+ FROM hints GROUP BY func, description)
+"""
+)
+
+
+def _blocks(spark, sf_dir):
+    return prompts_op.function_blocks(prompts_op.spec_from_inferred(q_function_spec_inference(spark, sf_dir)))
+
+
+@register("prompt_function_section", SECTION_ORACLE + "SELECT func, block FROM blocks")
+def q_prompt_function_section(spark, sf_dir):
+    return _blocks(spark, sf_dir)
+
+
+def _matrix_oracle() -> str:
+    header = "\n".join(prompts_op.SECTION_HEADER) + "\n"
+    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    parts = ", ".join(f"('{k}', {p}, {lit(t)})" for k, p, t in fx.PROMPT_PARTS)
+    return (
+        SECTION_ORACLE
+        + f""", section AS (SELECT {lit(header)} || string_agg(block, chr(10) ORDER BY func) AS section FROM blocks),
+parts AS (SELECT * FROM (VALUES {parts}) AS p(kind, pos, text)),
+f AS (SELECT pos AS format_pos, text AS format FROM parts WHERE kind = 'format'),
+w AS (SELECT pos AS what_pos, text AS what FROM parts WHERE kind = 'what'),
+h AS (SELECT pos AS how_pos, text AS how FROM parts WHERE kind = 'how'),
+r AS (SELECT pos AS rule_pos, text AS rule FROM parts WHERE kind = 'rule')
+SELECT format_pos, what_pos, how_pos, rule_pos,
+  concat_ws(chr(10), CASE WHEN what <> '' THEN what END, CASE WHEN how <> '' THEN how END,
+            CASE WHEN format <> '' THEN 'FORMAT=' || format END, CASE WHEN rule <> '' THEN rule END, {lit(prompts_op.MATRIX_GUARD)})
+  || chr(10) || chr(10) || section AS prompt
+FROM f, w, h, r, section"""
+    )
+
+
+@register("prompt_matrix", _matrix_oracle())
+def q_prompt_matrix(spark, sf_dir):
+    parts = spark.createDataFrame(fx.PROMPT_PARTS, "kind string, pos int, text string")
+    section = prompts_op.functions_section(_blocks(spark, sf_dir))
+    return prompts_op.prompt_matrix(parts, section)

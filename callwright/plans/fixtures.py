@@ -160,6 +160,17 @@ UNION ALL SELECT b.block, '<v>' AS slot, p_name AS value, 1 AS prio, p_partkey A
 """
 
 
+# prompt parts for the prompt matrix (J8).  Fixed values: part texts; an empty HOW is skipped.
+PROMPT_PARTS = [
+    ("format", 1, '{"functionName":"...","arguments":{}}'),
+    ("what", 1, "Route the voice command to one function."),
+    ("what", 2, "Map the request to calls in order."),
+    ("how", 1, "Focus on the verb."),
+    ("how", 2, ""),
+    ("rule", 1, "Never invent function names."),
+]
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str, tables) -> DataFrame:
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)
