@@ -24,3 +24,122 @@ def repair_status(df: DataFrame, raw_col: str, repair=normalise_calls) -> DataFr
 def repair_report(statuses: DataFrame) -> DataFrame:
     """E9 counts per status."""
     return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ------------------------------------------------------------------ P17 schema-driven repair (our contract)
+
+from ..functions.args import parse_args  # noqa: E402
+from ..functions.tags import extract_calls  # noqa: E402
+
+# Bracket look-alikes mapped to ASCII (full-width and CJK angle brackets only).
+LOOKALIKES = {"＜": "<", "＞": ">", "〈": "<", "〉": ">", "（": "(", "）": ")", "；": ";"}
+
+
+def repair_text(text) -> F.Column:
+    """Tag-list repair: look-alike brackets, text after the first <end>, blanks around ';' and at the
+    ends, a missing '>' after the tag name, a missing ')' before the next call or the end, and a
+    final <end>.  Returns STRUCT<text, tags ARRAY<STRING>>.  Calls run together without ';', text
+    without '<' before the tag and square brackets are left broken on purpose (their labels say so)."""
+    s0 = F.coalesce(text if isinstance(text, F.Column) else F.col(text), F.lit(""))
+    src, dst = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
+    s1 = F.translate(s0, src, dst)
+    s2 = F.when(F.contains(s1, F.lit("<end>")), F.substring_index(s1, "<end>", 1)).otherwise(s1)
+    s3 = F.trim(F.regexp_replace(s2, r"\s*;\s*", ";"))
+    s4 = F.regexp_replace(s3, r"<function_([A-Za-z0-9_]+)\(", "<function_$1>(")
+    s5 = F.regexp_replace(F.regexp_replace(s4, r"\(([^()<>]*);<function_", "($1);<function_"), r"\(([^()<>]*)$", "($1)")
+    s6 = F.concat(F.regexp_replace(s5, r";$", ""), F.lit("<end>"))
+    tags = F.array_compact(
+        F.array(
+            F.when(s1 != s0, F.lit("fullwidth")),
+            F.when(s2 != s1, F.lit("trim-after-end")),
+            F.when(s3 != s2, F.lit("whitespace")),
+            F.when(s4 != s3, F.lit("missing-gt")),
+            F.when(s5 != s4, F.lit("closeparen-insert")),
+        )
+    )
+    return F.struct(s6.alias("text"), tags.alias("tags"))
+
+
+def _rules_map(arg_rules: dict) -> F.Column:
+    """arg -> [(targets, type, enum texts)] as a map literal (a small asset)."""
+    entries = []
+    for arg, rules in sorted(arg_rules.items()):
+        arr = F.array(
+            *[
+                F.struct(
+                    F.array(*[F.lit(str(t)) for t in (r.get("target") or [])]).cast("array<string>").alias("target"),
+                    F.lit(str(r.get("type", "string"))).alias("type"),
+                    F.array(*[F.lit(str(v)) for v in (r.get("enum") or [])]).cast("array<string>").alias("enum"),
+                )
+                for r in rules
+            ]
+        )
+        entries += [F.lit(arg), arr]
+    return F.create_map(*entries)
+
+
+def _sig_map(signatures: dict) -> F.Column:
+    entries = []
+    for func, sigs in sorted(signatures.items()):
+        entries += [F.lit(func), F.array(*[F.array(*[F.lit(a) for a in s]).cast("array<string>") for s in sigs]).cast("array<array<string>>")]
+    return F.create_map(*entries)
+
+
+def _cast(canon: F.Column, typ: F.Column) -> F.Column:
+    low = F.lower(canon)
+    return (
+        F.when(typ == "integer", F.when(canon.rlike(r"^-?[0-9]+$"), canon.try_cast("bigint").cast("string")))
+        .when(typ == "boolean", F.when(low.isin("true", "1"), F.lit("True")).when(low.isin("false", "0"), F.lit("False")))
+        .when(typ.isin("float", "number"), canon.try_cast("double").cast("string"))
+        .otherwise(canon)
+    )
+
+
+def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dict) -> DataFrame:
+    """Text repair, then per call: cast arguments by the rule for (arg, function), drop unknown
+    and invalid ones, pick the first signature holding every kept key (else the largest overlap),
+    drop extra keys and fill missing signature keys with the first enum value.  All inside the row:
+    the schemas are map literals, so there is no join and no shuffle."""
+    rmap, smap = _rules_map(arg_rules), _sig_map(signatures)
+    staged = df.withColumn("_rep", repair_text(F.col(text_col)))
+    staged = staged.withColumn("_calls", extract_calls(F.col("_rep.text")))
+
+    def fix_call(c):
+        fn = F.concat(F.lit("function_"), c["func"])
+        args = parse_args(c["raw_args"], "lenient")
+        checked = F.transform(
+            args,
+            lambda a: F.struct(
+                a["key"].alias("key"),
+                F.get(F.filter(F.coalesce(F.element_at(rmap, a["key"]), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0).alias("rule"),
+                a["canon"].alias("canon"),
+            ),
+        )
+        typed = F.transform(checked, lambda x: F.struct(x["key"].alias("key"), x["rule"].alias("rule"), _cast(x["canon"], x["rule"]["type"]).alias("val")))
+        kept = F.filter(typed, lambda x: x["rule"].isNotNull() & x["val"].isNotNull() & ((F.size(x["rule"]["enum"]) == 0) | F.array_contains(x["rule"]["enum"], x["val"])))
+        keys = F.transform(kept, lambda x: x["key"])
+        sigs = F.coalesce(F.element_at(smap, fn), F.array().cast("array<array<string>>"))
+        full = F.get(F.filter(sigs, lambda s: F.forall(keys, lambda k: F.array_contains(s, k))), 0)
+        best = F.aggregate(
+            sigs,
+            F.struct(F.lit(-1).alias("n"), F.array().cast("array<string>").alias("s")),
+            lambda acc, s: F.when(F.size(F.array_intersect(s, keys)) > acc["n"], F.struct(F.size(F.array_intersect(s, keys)).alias("n"), s.alias("s"))).otherwise(acc),
+        )["s"]
+        chosen = F.when(F.size(sigs) == 0, keys).otherwise(F.coalesce(full, best))
+        final = F.transform(
+            chosen,
+            lambda k: F.coalesce(
+                F.get(F.transform(F.filter(kept, lambda x: x["key"] == k), lambda x: F.concat(k, F.lit("="), x["val"])), 0),
+                F.concat(k, F.lit("="), F.get(F.get(F.filter(F.coalesce(F.element_at(rmap, k), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0)["enum"], 0)),
+            ),
+        )
+        final = F.filter(final, lambda t: t.isNotNull())
+        return F.concat(F.lit("<"), fn, F.lit(">("), F.array_join(final, ", "), F.lit(")"))
+
+    rebuilt = F.concat(F.array_join(F.transform(F.col("_calls"), fix_call), ";"), F.lit("<end>"))
+    out = staged.withColumn("repaired", F.when(F.size("_calls") > 0, rebuilt).otherwise(F.col("_rep.text")))
+    out = out.withColumn("tags", F.when(F.size("_calls") > 0, F.array_union(F.col("_rep.tags"), F.array(F.lit("rebuild-calls")))).otherwise(F.col("_rep.tags")))
+    ok = format_valid(F.col("repaired"))
+    same = F.trim(F.col("repaired")) == F.trim(F.col(text_col))
+    status = F.when(ok & same, F.lit("already_ok")).when(ok, F.lit("repaired_success")).otherwise(F.lit("still_broken"))
+    return out.withColumn("status", status).drop("_rep", "_calls")

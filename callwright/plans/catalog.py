@@ -945,3 +945,12 @@ def q_prompt_matrix(spark, sf_dir):
     parts = spark.createDataFrame(fx.PROMPT_PARTS, "kind string, pos int, text string")
     section = prompts_op.functions_section(_blocks(spark, sf_dir))
     return prompts_op.prompt_matrix(parts, section)
+
+
+@register("schema_repair")
+def q_schema_repair(spark, sf_dir):
+    """Rows-only: P17 over damaged tagged text (our contract; no reference implementation)."""
+    from ..operators import repair as rep
+
+    out = rep.schema_repair(fx.damaged(spark, sf_dir), "raw", fx.REPAIR_ARG_RULES, fx.REPAIR_SIGNATURES)
+    return out.select("row_id", "raw", "repaired", F.array_join("tags", ";").alias("tags"), "status")

@@ -171,6 +171,40 @@ PROMPT_PARTS = [
 ]
 
 
+# damaged tagged text for the schema repair (P17) and the repair schemas of the fixture functions.
+DAMAGED_SQL = """
+SELECT row_id,
+  CASE row_id % 6 WHEN 0 THEN replace(replace(llm_output, '<', '＜'), '>', '＞')
+                  WHEN 1 THEN replace(llm_output, '>(', '(')
+                  WHEN 2 THEN replace(llm_output, ')', '')
+                  WHEN 3 THEN concat('  ', replace(llm_output, ';', ' ; '), '  ')
+                  WHEN 4 THEN concat(llm_output, ' trailing')
+                  ELSE llm_output END AS raw
+FROM tagged
+"""
+
+# Argument rules (target functions, type, enum) and call signatures of the fixture.
+REPAIR_ARG_RULES = {
+    "enable": [
+        {"target": ["function_BP"], "type": "integer", "enum": [0, 1]},
+        {"target": ["function_GN"], "type": "boolean", "enum": [True, False]},
+    ],
+    "type": [{"target": ["function_BP"], "type": "integer", "enum": [-1, 0, 1, 2]}],
+    "get": [{"target": [], "type": "boolean", "enum": [True, False]}],
+    "volume": [{"target": ["function_ZV"], "type": "integer", "enum": [-1, 0, 1, 2, 3, 4, 5]}],
+    "timeframe": [{"target": ["function_IO"], "type": "integer", "enum": list(range(10))}],
+    "location": [{"target": ["function_IO"], "type": "string", "enum": []}],
+}
+REPAIR_SIGNATURES = {
+    "function_BP": [["get"], ["enable", "type"]],
+    "function_GN": [["get"], ["enable"]],
+    "function_ZV": [["volume"]],
+    "function_IO": [["timeframe", "location"]],
+    "function_MR": [[]],
+    "function_UY": [[]],
+}
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str, tables) -> DataFrame:
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)
@@ -202,6 +236,11 @@ def template_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, TEMPLATE_TAGS_SQL, ["region", "part"])
 
 
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged(spark, sf_dir).createOrReplaceTempView("tagged")
+    return spark.sql(DAMAGED_SQL)
+
+
 def rule_conditions(spark: SparkSession) -> DataFrame:
     return spark.sql(RULE_CONDITIONS_SQL)
 
