@@ -137,9 +137,13 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
         return F.concat(F.lit("<"), fn, F.lit(">("), F.array_join(final, ", "), F.lit(")"))
 
     rebuilt = F.concat(F.array_join(F.transform(F.col("_calls"), fix_call), ";"), F.lit("<end>"))
-    out = staged.withColumn("repaired", F.when(F.size("_calls") > 0, rebuilt).otherwise(F.col("_rep.text")))
-    out = out.withColumn("tags", F.when(F.size("_calls") > 0, F.array_union(F.col("_rep.tags"), F.array(F.lit("rebuild-calls")))).otherwise(F.col("_rep.tags")))
+    # arguments are only rebuilt once the text stage gives a well-formed call list: rebuilding a
+    # broken list would silently drop or join calls the labels expect to stay broken
+    rebuild = format_valid(F.col("_rep.text")) & (F.size("_calls") > 0)
+    staged = staged.withColumn("_rebuild", rebuild)
+    out = staged.withColumn("repaired", F.when(F.col("_rebuild"), rebuilt).otherwise(F.col("_rep.text")))
+    out = out.withColumn("tags", F.when(F.col("_rebuild"), F.array_union(F.col("_rep.tags"), F.array(F.lit("rebuild-calls")))).otherwise(F.col("_rep.tags")))
     ok = format_valid(F.col("repaired"))
     same = F.trim(F.col("repaired")) == F.trim(F.col(text_col))
     status = F.when(ok & same, F.lit("already_ok")).when(ok, F.lit("repaired_success")).otherwise(F.lit("still_broken"))
-    return out.withColumn("status", status).drop("_rep", "_calls")
+    return out.withColumn("status", status).drop("_rep", "_calls", "_rebuild")

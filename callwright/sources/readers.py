@@ -34,12 +34,19 @@ def _glob_filter(df: DataFrame, patterns: str | None) -> DataFrame:
     return df.filter(cond)
 
 
+def _name_glob(patterns: str | None, default: str) -> str:
+    """File-name part of the patterns for ``pathGlobFilter`` (the full path is matched afterwards)."""
+    names = sorted({p.strip().split("/")[-1] for p in (patterns or "").split(",") if p.strip()}) or [default]
+    return names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
+
+
 def read_json_arrays(spark: SparkSession, root: str, pattern: str = "json/*.json", user_key: str = "user", assistant_key: str = "assistant") -> DataFrame:
     """JSON files holding an array of objects; ``user`` must be text, ``assistant`` an object or
     JSON text.  Adds ``error`` (null when the row is valid) instead of raising; see ``require_valid``."""
     raw = (
         spark.read.option("multiLine", True)
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _name_glob(pattern, "*.json"))
         .schema(f"`{user_key}` string, `{assistant_key}` string, _corrupt_record string")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(root)
@@ -65,6 +72,7 @@ def read_labelled_csv(spark: SparkSession, root: str, pattern: str = "csv/*.csv"
         .option("multiLine", True)
         .option("escape", '"')
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _name_glob(pattern, "*.csv"))
         .csv(root)
     )
     missing = [c for c in (input_col, output_col) if c not in raw.columns]
