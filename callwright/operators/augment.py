@@ -59,7 +59,8 @@ def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = Tru
 
 def explode_variants(df: DataFrame, id_col: str, use_suffix: bool = True) -> DataFrame:
     """One row per variant; variant 0 keeps the id, variant i>0 becomes ``<id>-R<i>``."""
-    ex = df.select("*", F.posexplode("variants").alias("variant_idx", "_v")).drop("variants")
+    # posexplode_outer + null filter: avoids the inferred size(variants) > 0 filter that would run the fold twice
+    ex = df.select("*", F.posexplode_outer("variants").alias("variant_idx", "_v")).filter(F.col("_v").isNotNull()).drop("variants")
     label = F.col(id_col).cast("string")
     if use_suffix:
         label = F.when(F.col("variant_idx") == 0, label).otherwise(F.concat(label, F.lit("-R"), F.col("variant_idx").cast("string")))

@@ -18,13 +18,16 @@ READERS = {"tags": extract_calls, "profile": extract_calls_profile}
 def calls_table(df: DataFrame, text_col: str = "llm_output", keys=("row_id",), reader: str = "tags") -> DataFrame:
     """``(keys..., pos, func, raw_args)``; pos is the 1-based call order inside the text."""
     extract = READERS[reader]
-    return df.select(*keys, F.inline(extract(F.col(text_col))))
+    # inline_outer + null filter: a plain inline makes the optimizer add an inferred
+    # size(array) > 0 filter, which evaluates the extraction a second time
+    return df.select(*keys, F.inline_outer(extract(F.col(text_col)))).filter(F.col("pos").isNotNull())
 
 
 def call_args_table(calls: DataFrame, dialect: str = "plain", keys=("row_id",)) -> DataFrame:
     """``(keys..., pos, func, arg_pos, key, raw, vtype, canon, cmp)`` from a calls table."""
     parsed = with_args(calls.select(*keys, "pos", "func", "raw_args"), "raw_args", dialect, "args")
-    return parsed.select(*keys, "pos", "func", F.posexplode("args").alias("arg_pos", "a")).select(
+    exploded = parsed.select(*keys, "pos", "func", F.posexplode_outer("args").alias("arg_pos", "a")).filter(F.col("a").isNotNull())
+    return exploded.select(
         *keys, "pos", "func", (F.col("arg_pos") + 1).alias("arg_pos"), "a.key", "a.raw", "a.vtype", "a.canon", "a.cmp"
     )
 

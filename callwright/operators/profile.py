@@ -172,19 +172,6 @@ def descriptions_frame(spark) -> DataFrame:
     return spark.createDataFrame(sorted(FUNC_DESCRIPTIONS.items()), "func string, description string")
 
 
-def func_bigrams(calls: DataFrame, keys=("row_id",)) -> DataFrame:
-    """Consecutive call pairs inside a row, counted; no pair crosses rows.
-
-    Shuffle-free per row: calls are already grouped per text, so the pairs come from
-    the call array itself (zip with its tail), then one partial/final count.
-    """
-    per_row = calls.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "func"))).alias("cs"))
-    pairs = per_row.select(
-        F.explode(F.arrays_zip(F.slice("cs", 1, F.greatest(F.size("cs") - 1, F.lit(0))).alias("a"), F.slice("cs", 2, F.greatest(F.size("cs") - 1, F.lit(1))).alias("b"))).alias("p")
-    ).filter(F.col("p.b").isNotNull())
-    return pairs.groupBy(F.col("p.a.func").alias("func_a"), F.col("p.b.func").alias("func_b")).agg(F.count(F.lit(1)).alias("count"))
-
-
 def func_bigrams_from_text(df: DataFrame, text_col: str = "llm_output") -> DataFrame:
     """W1 without any shuffle before the count: pairs come from each text's own call array."""
     from ..functions.tags import extract_calls_profile
@@ -193,7 +180,8 @@ def func_bigrams_from_text(df: DataFrame, text_col: str = "llm_output") -> DataF
     n = F.size(cs)
     pairs = F.zip_with(F.slice(cs, 1, F.greatest(n - 1, F.lit(1))), F.slice(cs, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.struct(a["func"].alias("func_a"), b["func"].alias("func_b")))
     return (
-        df.select(F.explode(F.when(n >= 2, pairs)).alias("p"))
+        df.select(F.explode_outer(F.when(n >= 2, pairs)).alias("p"))
+        .filter(F.col("p").isNotNull())
         .groupBy("p.func_a", "p.func_b")
         .agg(F.count(F.lit(1)).alias("count"))
     )
