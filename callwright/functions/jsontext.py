@@ -1,9 +1,8 @@
 """JSON text checks as Column expressions.
 
 ``strict_json`` parses only text that a strict JSON reader accepts as one whole
-value: trailing text after the value makes it null.  The check wraps the text as
-``{"v": <text>}`` and requires exactly one key, so ``1, "x": 2`` and ``{..} junk``
-are rejected while every single JSON value passes.
+value: trailing text after the value makes it null (``1, "x": 2``, ``{..} junk`` and
+``{..}}`` are rejected while every single JSON value passes).
 """
 from __future__ import annotations
 
@@ -16,10 +15,13 @@ def _col(c) -> Column:
 
 
 def strict_json(c) -> Column:
-    """VARIANT of the text when it is exactly one JSON value, else null."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), _col(c), F.lit("}")))
-    one_key = F.size(F.try_variant_get(wrapped, "$", "map<string,variant>")) == 1
-    return F.when(one_key, F.try_variant_get(wrapped, "$.v", "variant"))
+    """VARIANT of the text when it is exactly one JSON value, else null.
+
+    ``json_array_length('[' || text || ']') = 1`` (a streaming parse) rejects trailing text,
+    empty text and value lists; the VARIANT parse then rejects what the variant format cannot
+    hold (duplicate keys, NaN)."""
+    one_value = F.json_array_length(F.concat(F.lit("["), _col(c), F.lit("]"))) == 1
+    return F.when(one_value, F.try_parse_json(_col(c)))
 
 
 def normalise_json(c) -> Column:

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES_PER_BUCKET = 64
+# Inputs with at most this many rows (a counted, proven bound) are numbered by one ordered
+# window: one task sorting a few tens of thousands of rows costs less than the sampling jobs.
+SMALL_ROWS = 50_000
 
 
 def _literal_key(row_key, schema_fields) -> Column:
@@ -42,7 +45,7 @@ def default_buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | None = None, seed: int = 17) -> DataFrame:
+def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | None = None, seed: int = 17, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
     spark = df.sparkSession
     order_cols = list(order_cols)
@@ -56,6 +59,8 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | No
     n = df.count()
     if n == 0:
         return df.withColumn(name, F.lit(None).cast("bigint"))
+    if n <= small_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)) - 1)
     frac = min(1.0, SAMPLES_PER_BUCKET * b / n)
     sample = [r[0] for r in df.select(key.alias("k")).sample(False, frac, seed).orderBy("k").collect()]
     bounds = []
@@ -80,9 +85,12 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | No
     )
 
 
-def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None) -> DataFrame:
+def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """1-based rank inside each group; a hot group is spread over many buckets, never one task."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)))
+    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=small_rows)
     starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
     return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
