@@ -46,7 +46,8 @@ def main() -> None:
     timings = {}
     for name in names:
         best = None
-        for _ in range(repeats):  # best of N: plan + run, JVM warm
+        for _ in range(repeats):  # best of N: plan + run, JVM warm, no cached data from the last run
+            spark.catalog.clearCache()
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             el = time.perf_counter() - t0
