@@ -139,3 +139,25 @@ def number_queries(expanded: DataFrame) -> DataFrame:
     flat = firsts.select("query", "fname", F.col("_k.block").alias("block"), F.col("_k.fmt_pos").alias("fmt_pos"), F.col("_k.order").alias("order"))
     indexed = global_index(flat, ["block", "fmt_pos", "order"], "_i")
     return indexed.select((F.col("_i") + 1).alias("index"), "query", F.col("fname").alias("function"))
+
+
+def slot_type(slot) -> Column:
+    """The slot's type letter (``<s1>`` -> s, ``s_g_bp_1`` -> s); same-type grouping does not change
+    the text because only one space is ever used between slots."""
+    s = F.col(slot) if isinstance(slot, str) else slot
+    a = F.regexp_extract(s, r"^<([a-zA-Z]+)", 1)
+    b = F.regexp_extract(s, r"^([a-zA-Z])_", 1)
+    return F.lower(F.when(a != "", F.substr(a, F.lit(1), F.lit(1))).when(b != "", b).otherwise(F.lit("")))
+
+
+def blocks_from_named_datas(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The alternative template shape ``{name, datas: ["<a> <b>"], tags: [{tag_name, word: [..]}]}``
+    -> (formats, tags) in the shape ``expand_templates`` / ``merge_tags`` take; block = row order."""
+    blocks = df.withColumn("block", F.monotonically_increasing_id())
+    formats = blocks.select("block", F.col("name").alias("fname"), F.posexplode("datas").alias("fmt_pos", "fmt")).withColumn("fmt_pos", F.col("fmt_pos") + 1)
+    tags = (
+        blocks.select("block", F.explode("tags").alias("t"))
+        .select("block", F.concat(F.lit("<"), F.col("t.tag_name"), F.lit(">")).alias("slot"), F.posexplode("t.word").alias("pos", "value"))
+        .withColumn("prio", F.lit(0))
+    )
+    return formats, tags

@@ -200,3 +200,8 @@ def empty_arg_calls(calls: DataFrame) -> DataFrame:
 def calls_with_source(calls: DataFrame, source: DataFrame, keys=("row_id",)) -> DataFrame:
     """Every call joined back to its source row (equi join on the row key)."""
     return calls.join(source, list(keys))
+
+
+def rows_by_function(calls_with_src: DataFrame, keys=("row_id",)) -> DataFrame:
+    """A11 flat form: every call row with its position inside its function, ordered by (row, call)."""
+    return rank_in_group(calls_with_src, ["func"], [*keys, "pos"], "func_seq")

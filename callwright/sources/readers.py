@@ -174,9 +174,24 @@ def read_csv_dir(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_prompt_parts(spark: SparkSession, path: str) -> DataFrame:
-    """``{"datas": [text | object]}`` -> (pos, text); objects become compact JSON text."""
-    doc = spark.read.option("multiLine", True).schema("datas array<string>").json(path)
-    return doc.select(F.posexplode("datas").alias("pos", "text")).withColumn("pos", F.col("pos") + 1)
+    """``{"datas": [text | object]}`` -> (pos, text); objects become compact JSON text in their
+    own key order.  A prompt-part list is a small hand-written asset, so it is read on the driver."""
+    import json
+    from pathlib import Path
+
+    p = Path(path)
+    if not p.exists():
+        return spark.createDataFrame([], "pos int, text string")
+    raw = p.read_text(encoding="utf-8")
+    try:
+        obj = json.loads(raw)
+    except ValueError:
+        import yaml
+
+        obj = yaml.safe_load(raw)
+    items = (obj or {}).get("datas", [])
+    rows = [(i, x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))) for i, x in enumerate(items, start=1)]
+    return spark.createDataFrame(rows, "pos int, text string")
 
 
 def read_repair_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -189,3 +204,18 @@ def read_repair_cases(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("repair cases must be .csv or .jsonl")
     cols = [F.col(c) for c in ("raw", "text") if c in df.columns]
     return df.withColumn("raw", F.coalesce(*cols, F.lit("")) if cols else F.lit(""))
+
+
+def read_pair_rules(spark: SparkSession, path: str) -> DataFrame:
+    """S11 pair rules: JSON lines ``{"tag": "<function_X>(..)", "json": {...}}``; bad lines are skipped,
+    the first call of the tag is kept, its arguments use the quoted dialect; ``seq`` is file order."""
+    from ..functions.args import parse_args
+
+    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    v = strict_json(F.col("value"))
+    tag = F.try_variant_get(v, "$.tag", "string")
+    js = F.try_variant_get(v, "$.json", "variant")
+    is_obj = F.schema_of_variant(js).startswith("OBJECT")
+    first = F.get(extract_calls(tag), 0)
+    good = lines.select("seq", first.alias("c"), F.when(is_obj, F.to_json(js)).alias("json")).filter(F.col("c").isNotNull() & F.col("json").isNotNull())
+    return good.select("seq", F.col("c.func").alias("code"), parse_args(F.col("c.raw_args"), "quoted").alias("args"), "json")
