@@ -2,87 +2,72 @@
 
 ``global_index`` gives every row its 0-based position in a total order:
 
-1. sample the order key (about 64 rows per bucket, a bounded driver collect) and
-   cut it into range buckets;
-2. the bucket of a row is a balanced CASE tree over the cut points, a pure
-   function of the row, so a lost executor recomputes the same bucket;
-3. rows per bucket are counted (one row per bucket to the driver) and turned
-   into offsets held in a broadcast table of a known, bounded size;
-4. inside a bucket the position is ``row_number`` over the bucket only.
-
-Nothing holds more than one bucket per task; the order key must be unique
-(add the row key as the last order column).
+1. the input is range-partitioned on the order key (Spark samples the key once per
+   exchange) and sorted inside each partition; the partition count grows with the row
+   count (``rows_per_bucket``), so no partition outgrows a task;
+2. a row's position inside its partition comes from ``monotonically_increasing_id``
+   on the sorted partition; the result is persisted, so every later pass sees the same
+   positions (a lost block is recomputed from the same shuffle output and sort order:
+   the key is total, so the positions are the same);
+3. rows per partition are counted (one row per partition to the driver) and turned
+   into offsets held in a broadcast table whose size is the partition count.
+
+No window over the whole input, no extra shuffle beyond the range exchange, and no
+``collect`` of rows.  The order key must be unique (add the row key as the last column).
+Inputs with at most ``small_rows`` rows (a counted bound) use one ordered window instead.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES_PER_BUCKET = 64
 # Inputs with at most this many rows (a counted, proven bound) are numbered by one ordered
-# window: one task sorting a few tens of thousands of rows costs less than the sampling jobs.
+# window: one task sorting a few tens of thousands of rows costs less than the extra jobs.
 SMALL_ROWS = 50_000
-
-
-def _literal_key(row_key, schema_fields) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row_key, schema_fields)])
-
-
-def _bucket_expr(key: Column, bounds, fields) -> Column:
-    """Index of the first bound greater than the key (0..len(bounds)), as a balanced CASE tree."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < _literal_key(bounds[mid], fields), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
+ROWS_PER_BUCKET = 2_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def global_index(df: DataFrame, order_cols, name: str = "idx", buckets: int | None = None, seed: int = 17, small_rows: int = SMALL_ROWS) -> DataFrame:
+def global_index(
+    df: DataFrame,
+    order_cols,
+    name: str = "idx",
+    buckets: int | None = None,
+    small_rows: int = SMALL_ROWS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
     spark = df.sparkSession
     order_cols = list(order_cols)
-    # The index needs several passes (count, sample, bucket counts, final); keep the input once
-    # (memory, spilling to disk) so the passes do not recompute its lineage.  A lost block is
-    # recomputed from the lineage, which gives the same rows: the order key is total.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    b = buckets or default_buckets(df)
-    key = F.struct(*[F.col(c) for c in order_cols])
-    fields = df.select(*order_cols).schema.fields
-    n = df.count()
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = src.count()
     if n == 0:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
+        return src.withColumn(name, F.lit(None).cast("bigint"))
     if n <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)) - 1)
-    frac = min(1.0, SAMPLES_PER_BUCKET * b / n)
-    sample = [r[0] for r in df.select(key.alias("k")).sample(False, frac, seed).orderBy("k").collect()]
-    bounds = []
-    for i in range(1, b):
-        if sample:
-            cand = sample[min(len(sample) - 1, (len(sample) * i) // b)]
-            if not bounds or cand != bounds[-1]:
-                bounds.append(cand)
-    bucket = _bucket_expr(key, bounds, fields) if bounds else F.lit(0)
-    tagged = df.withColumn("_bucket", bucket)
-    counts = sorted(tuple(r) for r in tagged.groupBy("_bucket").count().collect())
-    offsets, run = [], 0
-    for bkt, cnt in counts:
-        offsets.append((int(bkt), run))
-        run += cnt
-    offs = spark.createDataFrame(offsets, "_bucket int, _offset bigint")
-    w = Window.partitionBy("_bucket").orderBy(*order_cols)
-    return (
-        tagged.join(F.broadcast(offs), "_bucket")
-        .withColumn(name, F.col("_offset") + F.row_number().over(w) - 1)
-        .drop("_bucket", "_offset")
+        return src.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)) - 1)
+    nb = max(buckets or default_buckets(df), math.ceil(n / rows_per_bucket))
+    pid = F.spark_partition_id().cast("bigint")
+    ranged = (
+        src.repartitionByRange(nb, *order_cols)
+        .sortWithinPartitions(*order_cols)
+        .withColumn("_b", pid)
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    counts = sorted(tuple(r) for r in ranged.groupBy("_b").count().collect())  # one row per partition
+    src.unpersist()
+    offsets, run = [], 0
+    for b, c in counts:
+        offsets.append((int(b), run))
+        run += c
+    offs = spark.createDataFrame(offsets, "_b bigint, _offset bigint")
+    return ranged.join(F.broadcast(offs), "_b").withColumn(name, F.col("_offset") + F.col("_local")).drop("_b", "_local", "_offset")
 
 
 def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -91,6 +76,6 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buc
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)))
-    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=small_rows)
+    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=0)
     starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
     return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
