@@ -115,3 +115,23 @@ def ensure_end(text) -> Column:
 def strip_quotes(text) -> Column:
     """Drop every double quote."""
     return F.replace(_col(text), F.lit('"'), F.lit(""))
+
+
+def with_decoded_call(df, text_col: str, out: str = "decoded"):
+    """P10 as staged columns (each heavy piece computed once per row): ``out`` =
+    STRUCT<name, kind, args_json> like ``decode_call_any``."""
+    from .args import args_json
+
+    t = F.col(text_col)
+    staged = df.withColumn("_dv", strict_json(t)).withColumn("_dfc", first_call(t))
+    is_obj = F.schema_of_variant(F.col("_dv")).startswith("OBJECT")
+    has_name = F.coalesce(F.try_variant_get(F.col("_dv"), "$", "map<string,variant>").getItem("functionName").isNotNull(), F.lit(False))
+    json_args = F.try_variant_get(F.col("_dv"), "$.arguments", "variant")
+    json_part = F.struct(
+        F.try_variant_get(F.col("_dv"), "$.functionName", "string").alias("name"),
+        F.lit("json").alias("kind"),
+        F.when(F.schema_of_variant(json_args).startswith("OBJECT"), F.to_json(json_args)).otherwise(F.lit("{}")).alias("args_json"),
+    )
+    tag_part = F.struct(F.col("_dfc.name").alias("name"), F.lit("tag").alias("kind"), F.to_json(F.parse_json(args_json(F.col("_dfc.args")))).alias("args_json"))
+    decoded = F.when(F.coalesce(t, F.lit("")) != "", F.when(is_obj & has_name, json_part).when(F.col("_dfc").isNotNull(), tag_part))
+    return staged.withColumn(out, decoded).drop("_dv", "_dfc")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import global_index, rank_in_group
+from .rules import bounded_broadcast
 
 # Delexicalisation patterns (value after location= / position=) and placeholders.
 LOC_RE = r"location\s*=\s*(['\"])?([^'\"\s,);\]}]+)"
@@ -122,6 +123,9 @@ def expand_templates(formats: DataFrame, merged_tags: DataFrame) -> DataFrame:
         t = merged_tags.select(
             F.col("block").alias(f"_b{i}"), F.col("slot").alias(f"_s{i}"), F.col("value").alias(f"_v{i}"), F.col("vpos").cast("int").alias(f"_p{i}")
         )
+        # slot vocabularies are usually small: broadcast them (size-checked) so the growing product
+        # side is never shuffled; beyond the bound the join is left to Spark (AQE splits a hot slot)
+        t = bounded_broadcast(t, 1_000_000)
         joined = need.join(t, (F.col("block") == F.col(f"_b{i}")) & (F.get(F.col("slots"), i) == F.col(f"_s{i}"))).select(
             *[c for c in need.columns if c not in ("parts", "order")],
             F.concat(F.col("parts"), F.array(F.col(f"_v{i}"))).alias("parts"),

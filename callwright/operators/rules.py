@@ -130,20 +130,57 @@ def fill_template(template: Column, args: Column, code: Column) -> Column:
     return F.when(filled.rlike(r"\{[^{}]*\}"), template).otherwise(filled)
 
 
+def _template_mapped(func: Column, args: Column, rule: Column) -> Column:
+    """J2 output text of one call given its matched template rule (null rule = identity)."""
+    out_args = F.transform(rule["out"], lambda o: str_arg(o["name"], fill_template(o["template"], args, func)))
+    name = F.when(rule.isNotNull(), F.coalesce(F.nullif(rule["map_func"], F.lit("")), func)).otherwise(func)
+    arguments = F.when(rule.isNotNull(), object_text(out_args)).otherwise(object_text(args))
+    return F.concat(F.lit('{"functionName":'), json_string(name), F.lit(',"arguments":'), arguments, F.lit("}"))
+
+
+def _template_rules(template_rules: DataFrame) -> DataFrame:
+    return template_rules.select("seq", "code", F.col("new_name").alias("map_func"), F.lit("").alias("map_enum"), "when", "out")
+
+
 def map_calls_template(calls: DataFrame, template_rules: DataFrame) -> DataFrame:
     """First template rule by code (wildcard '*') -> ``{"functionName", "arguments"}``; identity fallback.
 
     ``template_rules``: (seq, code, new_name, when ARRAY<STRUCT<k_pos,key,expect>>, out ARRAY<STRUCT<pos,name,template>>).
     """
-    rules = template_rules.select("seq", "code", F.col("new_name").alias("map_func"), F.lit("").alias("map_enum"), "when", "out")
-    m = match_calls(calls, rules, WILDCARDS_TEMPLATE, extra=("out",))
-    out_args = F.transform(
-        F.col("rule.out"), lambda o: str_arg(o["name"], fill_template(o["template"], F.col("args"), F.col("func")))
+    m = match_calls(calls, _template_rules(template_rules), WILDCARDS_TEMPLATE, extra=("out",))
+    return m.withColumn("mapped", _template_mapped(F.col("func"), F.col("args"), F.col("rule"))).drop("rule")
+
+
+def rules_map(rules: DataFrame, extra=()) -> DataFrame:
+    """All rules as one row ``map<code, array<rule>>`` (a small asset), for in-row matching."""
+    by_code = rules_by_code(rules, extra)
+    return by_code.agg(F.map_from_entries(F.collect_list(F.struct("code", "rules"))).alias("rules_by_code"))
+
+
+def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, dialect: str = "quoted") -> DataFrame:
+    """J2 per text row: ``mapped_json`` = JSON array of the mapped calls, computed inside the row.
+
+    The rule map is one broadcast row (size-checked), so rows are neither exploded nor regrouped:
+    no shuffle at all, whatever the number of calls per row."""
+    from ..functions.args import parse_args
+    from ..functions.tags import extract_calls
+
+    rm = bounded_broadcast(rules_map(_template_rules(template_rules), ("out",)), 1)
+    joined = df.crossJoin(rm)
+
+    # staged transforms: each stage reads the previous one's fields, so the argument parse and
+    # the rule match run once per call (lambdas get no common-subexpression elimination)
+    parsed = F.transform(extract_calls(F.col(text_col)), lambda c: F.struct(c["func"].alias("func"), parse_args(c["raw_args"], dialect).alias("args")))
+    matched = F.transform(
+        parsed,
+        lambda c: F.struct(
+            c["func"].alias("func"),
+            c["args"].alias("args"),
+            first_match(c["args"], F.coalesce(F.element_at(F.col("rules_by_code"), c["func"]), F.array()), WILDCARDS_TEMPLATE).alias("rule"),
+        ),
     )
-    name = F.when(F.col("rule").isNotNull(), F.coalesce(F.nullif(F.col("rule.map_func"), F.lit("")), F.col("func"))).otherwise(F.col("func"))
-    arguments = F.when(F.col("rule").isNotNull(), object_text(out_args)).otherwise(object_text(F.col("args")))
-    mapped = F.concat(F.lit('{"functionName":'), json_string(name), F.lit(',"arguments":'), arguments, F.lit("}"))
-    return m.withColumn("mapped", mapped).drop("rule")
+    mapped = F.transform(matched, lambda c: _template_mapped(c["func"], c["args"], c["rule"]))
+    return joined.withColumn("mapped_json", F.concat(F.lit("["), F.array_join(mapped, ","), F.lit("]"))).drop("rules_by_code")
 
 
 def map_calls_pairs(calls: DataFrame, pair_rules: DataFrame) -> DataFrame:

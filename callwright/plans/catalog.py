@@ -141,8 +141,9 @@ def q_empty_arg_calls(spark, sf_dir):
     + "SELECT c.row_id, c.pos, c.func, c.raw_args, t.query, t.llm_output FROM pcalls c JOIN tagged t USING (row_id)",
 )
 def q_calls_with_source(spark, sf_dir):
+    # J6 without a join: the source columns ride along the explode (calls come from these rows)
     src = fx.tagged(spark, sf_dir)
-    return prof.calls_with_source(prof.profile_calls(src), src)
+    return prof.profile_calls(src, keys=("row_id", "query", "llm_output")).select("row_id", "pos", "func", "raw_args", "query", "llm_output")
 
 
 def _spec_oracle() -> str:
@@ -672,12 +673,11 @@ FROM fc f LEFT JOIN lists l USING (row_id)""",
 )
 def q_expected_any_of(spark, sf_dir):
     t = fx.tagged(spark, sf_dir)
-    c = with_args(calls_op.calls_table(t), "raw_args", "quoted", "args")
-    mapped = rules_op.map_calls_template(c, fx.template_rules(spark))
-    lists = rules_op.per_row_json_list(mapped, t.select("row_id", "llm_output"))
+    lists = rules_op.map_rows_template(t.select("row_id", "llm_output"), "llm_output", fx.template_rules(spark))
     fc = lists.select("row_id", F.regexp_replace(first_call(F.col("llm_output"))["name"], "^function_", "").alias("predicted"), "mapped_json")
     fc = fc.filter(F.col("predicted").isNotNull())
-    return fc.select("row_id", "predicted", ev.any_of(ev.expected_candidates(F.col("mapped_json")), F.col("predicted")).alias("any_match"))
+    fc = ev.with_expected_candidates(fc, "mapped_json", "candidates")
+    return fc.select("row_id", "predicted", ev.any_of(F.col("candidates"), F.col("predicted")).alias("any_match"))
 
 
 @register("json_continuation_repair")
@@ -801,8 +801,8 @@ SELECT row_id, query, llm_output, strpos(query, '<loc>') > 0 OR strpos(llm_outpu
 )
 def q_delexicalise(spark, sf_dir):
     d = aug.delexicalise(fx.tagged(spark, sf_dir), "query", "llm_output", "location", "<loc>")
-    kept = aug.drop_placeholders(d, ["query", "llm_output"]).select("row_id", F.lit(False).alias("has_placeholder"))
-    return d.join(kept, "row_id", "left").select("row_id", "query", "llm_output", F.coalesce("has_placeholder", F.lit(True)).alias("has_placeholder"))
+    flag = F.contains(F.col("query"), F.lit("<loc>")) | F.contains(F.col("llm_output"), F.lit("<loc>"))
+    return d.select("row_id", "query", "llm_output", flag.alias("has_placeholder"))
 
 
 MERGED_TAGS_SQL = o.with_(o.TTAGS) + """, firsts AS (
