@@ -39,10 +39,11 @@ def global_index(
     order_cols,
     name: str = "idx",
     buckets: int | None = None,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
     spark = df.sparkSession
     order_cols = list(order_cols)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -70,8 +71,9 @@ def global_index(
     return ranged.join(F.broadcast(offs), "_b").withColumn(name, F.col("_offset") + F.col("_local")).drop("_b", "_local", "_offset")
 
 
-def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
     """1-based rank inside each group; a hot group is spread over many buckets, never one task."""
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
     group_cols, order_cols = list(group_cols), list(order_cols)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
