@@ -954,3 +954,39 @@ def q_schema_repair(spark, sf_dir):
 
     out = rep.schema_repair(fx.damaged(spark, sf_dir), "raw", fx.REPAIR_ARG_RULES, fx.REPAIR_SIGNATURES)
     return out.select("row_id", "raw", "repaired", F.array_join("tags", ";").alias("tags"), "status")
+
+
+# ---------------------------------------------------------------- reports
+
+
+@register(
+    "rows_by_function",
+    o.with_(o.TAGGED, o.PCALLS)
+    + "SELECT row_id, pos, func, raw_args, row_number() OVER (PARTITION BY func ORDER BY row_id, pos) AS func_seq FROM pcalls",
+)
+def q_rows_by_function(spark, sf_dir):
+    return prof.rows_by_function(_pcalls(spark, sf_dir)).select("row_id", "pos", "func", "raw_args", "func_seq")
+
+
+@register(
+    "expansion_report",
+    o.with_(o.TAGGED)
+    + ", aug AS (" + _augment_oracle(True) + ")\nSELECT (SELECT count(*) FROM tagged) AS rows_in, (SELECT count(*) FROM aug) AS rows_out",
+)
+def q_expansion_report(spark, sf_dir):
+    return aug.expansion_report(fx.tagged(spark, sf_dir), _augmented(spark, sf_dir, True))
+
+
+@register(
+    "pairing_report",
+    HS_SQL
+    + """, np AS (SELECT np FROM par),
+singles AS (SELECT count(*) AS n FROM hs WHERE r > n // 2)
+SELECT 'pairs' AS kind, (SELECT np FROM par) AS count
+UNION ALL SELECT 'singles' AS kind, (SELECT n FROM singles) + (SELECT count(*) FROM ord) - 2 * (SELECT np FROM par) AS count""",
+)
+def q_pairing_report(spark, sf_dir):
+    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
+    paired, left = pair_op.pair_pool(sampled, "row_id")
+    pairs = pair_op.merge_pairs(paired)
+    return pair_op.pairing_report(pairs, pair_op.singles(sampled, left, paired.count(), "row_id"))
