@@ -32,6 +32,10 @@ HEADLINE = [
     "template_expand",
     "pair_functions",
     "function_spec_inference",
+    "group_by_query",
+    "json_repair",
+    "schema_repair",
+    "prompt_matrix",
 ]
 
 
