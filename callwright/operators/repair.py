@@ -35,29 +35,31 @@ from ..functions.tags import extract_calls  # noqa: E402
 LOOKALIKES = {"＜": "<", "＞": ">", "〈": "<", "〉": ">", "（": "(", "）": ")", "；": ";"}
 
 
-def repair_text(text) -> F.Column:
-    """Tag-list repair: look-alike brackets, text after the first <end>, blanks around ';' and at the
-    ends, a missing '>' after the tag name, a missing ')' before the next call or the end, and a
-    final <end>.  Returns STRUCT<text, tags ARRAY<STRING>>.  Calls run together without ';', text
-    without '<' before the tag and square brackets are left broken on purpose (their labels say so)."""
-    s0 = F.coalesce(text if isinstance(text, F.Column) else F.col(text), F.lit(""))
+def with_repaired_text(df: DataFrame, text_col: str, out: str = "_rep") -> DataFrame:
+    """Tag-list repair as staged columns: look-alike brackets, text after the first <end>, blanks around
+    ';' and at the ends, a missing '>' after the tag name, a missing ')' before the next call or the end,
+    and a final <end>.  ``out`` = STRUCT<text, tags ARRAY<STRING>>.  Calls run together without ';',
+    text without '<' before the tag and square brackets are left broken on purpose (their labels say so).
+
+    Each step is its own column so no step is evaluated more than once per row."""
     src, dst = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
-    s1 = F.translate(s0, src, dst)
-    s2 = F.when(F.contains(s1, F.lit("<end>")), F.substring_index(s1, "<end>", 1)).otherwise(s1)
-    s3 = F.trim(F.regexp_replace(s2, r"\s*;\s*", ";"))
-    s4 = F.regexp_replace(s3, r"<function_([A-Za-z0-9_]+)\(", "<function_$1>(")
-    s5 = F.regexp_replace(F.regexp_replace(s4, r"\(([^()<>]*);<function_", "($1);<function_"), r"\(([^()<>]*)$", "($1)")
-    s6 = F.concat(F.regexp_replace(s5, r";$", ""), F.lit("<end>"))
+    s = df.withColumn("_s0", F.coalesce(F.col(text_col), F.lit("")))
+    s = s.withColumn("_s1", F.translate(F.col("_s0"), src, dst))
+    s = s.withColumn("_s2", F.when(F.contains(F.col("_s1"), F.lit("<end>")), F.substring_index(F.col("_s1"), "<end>", 1)).otherwise(F.col("_s1")))
+    s = s.withColumn("_s3", F.trim(F.regexp_replace(F.col("_s2"), r"\s*;\s*", ";")))
+    s = s.withColumn("_s4", F.regexp_replace(F.col("_s3"), r"<function_([A-Za-z0-9_]+)\(", "<function_$1>("))
+    s = s.withColumn("_s5", F.regexp_replace(F.regexp_replace(F.col("_s4"), r"\(([^()<>]*);<function_", "($1);<function_"), r"\(([^()<>]*)$", "($1)"))
+    text = F.concat(F.regexp_replace(F.col("_s5"), r";$", ""), F.lit("<end>"))
     tags = F.array_compact(
         F.array(
-            F.when(s1 != s0, F.lit("fullwidth")),
-            F.when(s2 != s1, F.lit("trim-after-end")),
-            F.when(s3 != s2, F.lit("whitespace")),
-            F.when(s4 != s3, F.lit("missing-gt")),
-            F.when(s5 != s4, F.lit("closeparen-insert")),
+            F.when(F.col("_s1") != F.col("_s0"), F.lit("fullwidth")),
+            F.when(F.col("_s2") != F.col("_s1"), F.lit("trim-after-end")),
+            F.when(F.col("_s3") != F.col("_s2"), F.lit("whitespace")),
+            F.when(F.col("_s4") != F.col("_s3"), F.lit("missing-gt")),
+            F.when(F.col("_s5") != F.col("_s4"), F.lit("closeparen-insert")),
         )
     )
-    return F.struct(s6.alias("text"), tags.alias("tags"))
+    return s.withColumn(out, F.struct(text.alias("text"), tags.alias("tags"))).drop("_s0", "_s1", "_s2", "_s3", "_s4", "_s5")
 
 
 def _rules_map(arg_rules: dict) -> F.Column:
@@ -101,24 +103,48 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
     drop extra keys and fill missing signature keys with the first enum value.  All inside the row:
     the schemas are map literals, so there is no join and no shuffle."""
     rmap, smap = _rules_map(arg_rules), _sig_map(signatures)
-    staged = df.withColumn("_rep", repair_text(F.col(text_col)))
+    staged = with_repaired_text(df, text_col, "_rep")
     staged = staged.withColumn("_calls", extract_calls(F.col("_rep.text")))
 
-    def fix_call(c):
-        fn = F.concat(F.lit("function_"), c["func"])
-        args = parse_args(c["raw_args"], "lenient")
-        checked = F.transform(
-            args,
-            lambda a: F.struct(
-                a["key"].alias("key"),
-                F.get(F.filter(F.coalesce(F.element_at(rmap, a["key"]), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0).alias("rule"),
-                a["canon"].alias("canon"),
-            ),
-        )
-        typed = F.transform(checked, lambda x: F.struct(x["key"].alias("key"), x["rule"].alias("rule"), _cast(x["canon"], x["rule"]["type"]).alias("val")))
-        kept = F.filter(typed, lambda x: x["rule"].isNotNull() & x["val"].isNotNull() & ((F.size(x["rule"]["enum"]) == 0) | F.array_contains(x["rule"]["enum"], x["val"])))
-        keys = F.transform(kept, lambda x: x["key"])
-        sigs = F.coalesce(F.element_at(smap, fn), F.array().cast("array<array<string>>"))
+    # staged transforms: every stage reads fields of the previous stage, so the argument parse,
+    # the rule lookup and the signature choice run once per call (lambdas get no common-
+    # subexpression elimination)
+    def rule_for(key, fn):
+        return F.get(F.filter(F.coalesce(F.element_at(rmap, key), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0)
+
+    s1 = F.transform(
+        F.col("_calls"),
+        lambda c: F.struct(F.concat(F.lit("function_"), c["func"]).alias("fn"), parse_args(c["raw_args"], "lenient").alias("args")),
+    )
+    s2 = F.transform(
+        s1,
+        lambda c: F.struct(
+            c["fn"].alias("fn"),
+            F.transform(c["args"], lambda a: F.struct(a["key"].alias("key"), rule_for(a["key"], c["fn"]).alias("rule"), a["canon"].alias("canon"))).alias("checked"),
+        ),
+    )
+    s3 = F.transform(
+        s2,
+        lambda c: F.struct(
+            c["fn"].alias("fn"),
+            F.filter(
+                F.transform(c["checked"], lambda x: F.struct(x["key"].alias("key"), x["rule"].alias("rule"), _cast(x["canon"], x["rule"]["type"]).alias("val"))),
+                lambda x: x["rule"].isNotNull() & x["val"].isNotNull() & ((F.size(x["rule"]["enum"]) == 0) | F.array_contains(x["rule"]["enum"], x["val"])),
+            ).alias("kept"),
+        ),
+    )
+    s4 = F.transform(
+        s3,
+        lambda c: F.struct(
+            c["fn"].alias("fn"),
+            c["kept"].alias("kept"),
+            F.transform(c["kept"], lambda x: x["key"]).alias("keys"),
+            F.coalesce(F.element_at(smap, c["fn"]), F.array().cast("array<array<string>>")).alias("sigs"),
+        ),
+    )
+
+    def choose(c):
+        keys, sigs = c["keys"], c["sigs"]
         full = F.get(F.filter(sigs, lambda s: F.forall(keys, lambda k: F.array_contains(s, k))), 0)
         best = F.aggregate(
             sigs,
@@ -126,17 +152,22 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
             lambda acc, s: F.when(F.size(F.array_intersect(s, keys)) > acc["n"], F.struct(F.size(F.array_intersect(s, keys)).alias("n"), s.alias("s"))).otherwise(acc),
         )["s"]
         chosen = F.when(F.size(sigs) == 0, keys).otherwise(F.coalesce(full, best))
+        return F.struct(c["fn"].alias("fn"), c["kept"].alias("kept"), chosen.alias("chosen"))
+
+    s5 = F.transform(s4, choose)
+
+    def render(c):
+        fn, kept = c["fn"], c["kept"]
         final = F.transform(
-            chosen,
+            c["chosen"],
             lambda k: F.coalesce(
                 F.get(F.transform(F.filter(kept, lambda x: x["key"] == k), lambda x: F.concat(k, F.lit("="), x["val"])), 0),
-                F.concat(k, F.lit("="), F.get(F.get(F.filter(F.coalesce(F.element_at(rmap, k), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0)["enum"], 0)),
+                F.concat(k, F.lit("="), F.get(rule_for(k, fn)["enum"], 0)),
             ),
         )
-        final = F.filter(final, lambda t: t.isNotNull())
-        return F.concat(F.lit("<"), fn, F.lit(">("), F.array_join(final, ", "), F.lit(")"))
+        return F.concat(F.lit("<"), fn, F.lit(">("), F.array_join(F.filter(final, lambda t: t.isNotNull()), ", "), F.lit(")"))
 
-    rebuilt = F.concat(F.array_join(F.transform(F.col("_calls"), fix_call), ";"), F.lit("<end>"))
+    rebuilt = F.concat(F.array_join(F.transform(s5, render), ";"), F.lit("<end>"))
     # arguments are only rebuilt once the text stage gives a well-formed call list: rebuilding a
     # broken list would silently drop or join calls the labels expect to stay broken
     rebuild = format_valid(F.col("_rep.text")) & (F.size("_calls") > 0)
