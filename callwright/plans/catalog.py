@@ -514,6 +514,7 @@ def q_limit_in_order(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation
 
+from ..functions.jsontext import strict_json  # noqa: E402
 from ..functions.normalise import format_valid, normalise_calls  # noqa: E402
 from ..operators import evaluate as ev  # noqa: E402
 
@@ -990,3 +991,43 @@ def q_pairing_report(spark, sf_dir):
     paired, left = pair_op.pair_pool(sampled, "row_id")
     pairs = pair_op.merge_pairs(paired)
     return pair_op.pairing_report(pairs, pair_op.singles(sampled, left, paired.count(), "row_id"))
+
+
+# ---------------------------------------------------------------- prompt render (P26) and name buckets
+
+# System text and few-shot block of the evaluation prompt used by the fixture.
+EVAL_SYS = "You are a function-calling router. Output ONLY one JSON object."
+EVAL_FEWSHOT = 'User: power on\nAssistant: {"calls":[{"name":"power_on","arguments":{}}]}\n'
+
+
+@register(
+    "eval_prompt_render",
+    o.with_(o.PREDS)
+    + "SELECT ex_id, "
+    + "'" + (EVAL_SYS + "\n\n" + EVAL_FEWSHOT + "User: ").replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    + " || user_text || chr(10) || 'Assistant: ' || '" + ev.ANSWER_PREFIX + "' AS prompt FROM predictions",
+)
+def q_eval_prompt_render(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    return p.select("ex_id", ev.eval_prompt(F.col("user_text"), EVAL_SYS, EVAL_FEWSHOT).alias("prompt"))
+
+
+@register(
+    "expected_name_buckets",
+    EVAL_ROWS_SQL.replace("SELECT ex_id, source, pred_text,", "SELECT ex_id, source, pred_text, gname, pname2,", 1)
+    + """SELECT gname AS expected_name, count(*) AS count,
+  count(*) FILTER (WHERE name1 AND pname2 IS NOT NULL) AS "all",
+  count(*) FILTER (WHERE name1 AND pname2 IS NULL) AS name_only,
+  count(*) FILTER (WHERE NOT name1 AND pname2 IS NOT NULL) AS arg_only
+FROM scored GROUP BY gname""",
+)
+def q_expected_name_buckets(spark, sf_dir):
+    scored = ev.score(fx.predictions(spark, sf_dir), True)
+    pred_args = F.to_json(F.try_variant_get(strict_json(F.col("pred_text")), "$.calls[0].arguments", "variant"))
+    gold_args = F.to_json(F.try_variant_get(strict_json(F.col("gold")), "$.calls[0].arguments", "variant"))
+    s = scored.select(
+        F.try_variant_get(strict_json(F.col("gold")), "$.calls[0].name", "string").alias("expected_name"),
+        F.col("name1").alias("name_match"),
+        F.coalesce(pred_args == gold_args, F.lit(False)).alias("args_match"),
+    )
+    return ev.name_buckets(s)
