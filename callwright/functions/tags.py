@@ -30,7 +30,7 @@ def extract_calls(text) -> Column:
     raws = F.regexp_extract_all(s, F.lit(TAG_RE), 2)
     calls = F.transform(
         names,
-        lambda n, i: F.struct((i + 1).alias("pos"), n.alias("func"), F.element_at(raws, i + 1).alias("raw_args")),
+        lambda n, i: F.struct((i + 1).alias("pos"), n.alias("func"), F.try_element_at(raws, i + 1).alias("raw_args")),
     )
     return F.coalesce(calls, F.array().cast("array<struct<pos:int,func:string,raw_args:string>>"))
 

@@ -110,7 +110,7 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
     # the rule lookup and the signature choice run once per call (lambdas get no common-
     # subexpression elimination)
     def rule_for(key, fn):
-        return F.get(F.filter(F.coalesce(F.element_at(rmap, key), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0)
+        return F.get(F.filter(F.coalesce(F.try_element_at(rmap, key), F.array()), lambda r: (F.size(r["target"]) == 0) | F.array_contains(r["target"], fn)), 0)
 
     s1 = F.transform(
         F.col("_calls"),
@@ -139,7 +139,7 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
             c["fn"].alias("fn"),
             c["kept"].alias("kept"),
             F.transform(c["kept"], lambda x: x["key"]).alias("keys"),
-            F.coalesce(F.element_at(smap, c["fn"]), F.array().cast("array<array<string>>")).alias("sigs"),
+            F.coalesce(F.try_element_at(smap, c["fn"]), F.array().cast("array<array<string>>")).alias("sigs"),
         ),
     )
 

@@ -176,7 +176,7 @@ def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, d
         lambda c: F.struct(
             c["func"].alias("func"),
             c["args"].alias("args"),
-            first_match(c["args"], F.coalesce(F.element_at(F.col("rules_by_code"), c["func"]), F.array()), WILDCARDS_TEMPLATE).alias("rule"),
+            first_match(c["args"], F.coalesce(F.try_element_at(F.col("rules_by_code"), c["func"]), F.array()), WILDCARDS_TEMPLATE).alias("rule"),
         ),
     )
     mapped = F.transform(matched, lambda c: _template_mapped(c["func"], c["args"], c["rule"]))
