@@ -50,12 +50,22 @@ def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = Tru
             new = F.transform(rule["sr"], lambda rep: F.struct(*[apply_rule(v[c], rule["ori"], rep).alias(c) for c in targets]))
             return F.concat(F.array(v), F.when(applicable, new).otherwise(F.array().cast(empty_type)))
 
-        nxt = F.flatten(F.transform(acc, grow))
-        return F.slice(nxt, 1, max_expansions) if max_expansions else nxt
-
-    working = F.aggregate(r, start, step)
+        nxt = F.flatten(F.transform(acc["vs"], grow))
+        if not max_expansions:
+            return F.struct(nxt.alias("vs"), acc["capped"].alias("capped"))
+        return F.struct(F.slice(nxt, 1, max_expansions).alias("vs"), (acc["capped"] | (F.size(nxt) > max_expansions)).alias("capped"))
+
+    state = F.aggregate(r, F.struct(start.alias("vs"), F.lit(False).alias("capped")), step)
+    staged = df.withColumn("_state", state)
+    working = F.col("_state.vs")
     kept = working if keep_original else F.slice(working, 2, F.greatest(F.size(working) - 1, F.lit(0)))
-    return df.withColumn("variants", F.array_distinct(kept))
+    # ``capped`` marks rows whose working list was cut by max_expansions after some rule
+    return staged.withColumn("variants", F.array_distinct(kept)).withColumn("capped", F.col("_state.capped")).drop("_state")
+
+
+def capped_report(expanded: DataFrame) -> DataFrame:
+    """How many rows hit the expansion cap."""
+    return expanded.agg(F.count(F.lit(1)).alias("rows"), F.count_if("capped").alias("capped_rows"))
 
 
 def explode_variants(df: DataFrame, id_col: str, use_suffix: bool = True) -> DataFrame:

@@ -36,7 +36,6 @@ def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function"
 
 def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42):
     """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired."""
-    spark = sampled.sparkSession
     pool = sampled.filter("in_pool")
     sizes = pool.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize"))
     stats = sizes.agg(F.sum("gsize").alias("n"), F.max("gsize").alias("m")).first()
@@ -53,15 +52,19 @@ def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42):
     used = F.col("pos") < pairs
     used = used | ((F.col("pos") >= offset) & (F.col("pos") < offset + pairs))
     leftovers = ordered.filter(~used).drop("pos", "gsize", "_neg")
-    del spark
     return paired, leftovers
 
 
-def merge_pairs(paired: DataFrame, query_col: str = "query", func_col: str = "function", seed: int = 42) -> DataFrame:
-    """Random order from an md5 bit of the pair number; ``q1 다음으로 q2`` and ``f1;f2<end>``; ids P%06d."""
+def merge_pairs(paired: DataFrame, query_col: str = "query", func_col: str = "function", seed: int = 42, strip_inner_end: bool = False) -> DataFrame:
+    """Random order from an md5 bit of the pair number; ``q1 다음으로 q2`` and ``f1;f2<end>``; ids P%06d.
+
+    D15: the reference appends ``<end>`` without removing one already inside a part; pass
+    ``strip_inner_end=True`` to drop a part's own trailing ``<end>`` first."""
     bit = F.substr(F.md5(F.concat(F.lit(f"{seed}:pair:"), F.col("pair_no").cast("string"))), F.lit(1), F.lit(1)).isin(*"01234567")
     qa, qb = F.col("a_" + query_col), F.col("b_" + query_col)
     fa, fb = F.col("a_" + func_col), F.col("b_" + func_col)
+    if strip_inner_end:
+        fa, fb = F.regexp_replace(fa, r"<end>\s*$", ""), F.regexp_replace(fb, r"<end>\s*$", "")
     query = F.when(bit, F.concat(qa, F.lit(JOINER), qb)).otherwise(F.concat(qb, F.lit(JOINER), qa))
     function = F.when(bit, F.concat(fa, F.lit(";"), fb, F.lit("<end>"))).otherwise(F.concat(fb, F.lit(";"), fa, F.lit("<end>")))
     return paired.select(

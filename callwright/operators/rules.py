@@ -113,9 +113,17 @@ def str_arg(key: str | Column, value: Column) -> Column:
     return F.struct(k.alias("key"), value.alias("raw"), F.lit("str").alias("vtype"), value.alias("canon"), F.concat(F.lit("s:"), value).alias("cmp")).cast(ARG_TYPE)
 
 
-def message_expected(converted: DataFrame, message_col: str = "query") -> DataFrame:
-    """K3: ``{"name": map_func, "arguments": {"code": func, **raw args}}`` as compact JSON text."""
-    arguments = dict_update(F.array(str_arg("code", F.col("func"))).cast(ARGS_TYPE), F.col("args"))
+def message_expected(converted: DataFrame, message_col: str = "query", source: str = "raw_args") -> DataFrame:
+    """K3: ``{"name": map_func, "arguments": {"code": func, **args}}`` as compact JSON text.
+
+    D10: the reference reads the raw arguments (``source="raw_args"``, the default) although its
+    documentation names the mapped ones; ``source="map_args"`` uses the rule's keys instead."""
+    from ..functions.args import parse_args
+
+    if source not in ("raw_args", "map_args"):
+        raise ValueError("source must be 'raw_args' or 'map_args'")
+    args = F.col("args") if source == "raw_args" else parse_args(F.col("map_args"), "plain")
+    arguments = dict_update(F.array(str_arg("code", F.col("func"))).cast(ARGS_TYPE), args)
     expected = F.concat(F.lit('{"name":'), json_string(F.col("map_func")), F.lit(',"arguments":'), object_text(arguments), F.lit("}"))
     return converted.select(F.trim(F.col(message_col)).alias("message"), expected.alias("expected"))
 

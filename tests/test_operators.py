@@ -64,8 +64,9 @@ def test_augmentation_cap_and_drop_original(spark):
     df = spark.createDataFrame([(1, "a x", "a")], "id int, q string, o string")
     full = aug.expand_variants(df, ["q", "o"], rules).first()["variants"]
     assert [v["q"] for v in full] == ["a x", "a y", "a z", "b x", "b y", "b z", "c x", "c y", "c z"]
-    capped = aug.expand_variants(df, ["q", "o"], rules, max_expansions=4).first()["variants"]
-    assert len(capped) <= 4
+    capped_row = aug.expand_variants(df, ["q", "o"], rules, max_expansions=4).first()
+    assert len(capped_row["variants"]) <= 4 and capped_row["capped"] is True
+    assert aug.expand_variants(df, ["q", "o"], rules).first()["capped"] is False
     dropped = aug.expand_variants(df, ["q", "o"], rules, keep_original=False).first()["variants"]
     assert [v["q"] for v in dropped] == [v["q"] for v in full][1:]
 
