@@ -173,7 +173,16 @@ def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, d
     from ..functions.args import parse_args
     from ..functions.tags import extract_calls
 
-    rm = bounded_broadcast(rules_map(_template_rules(template_rules), ("out",)), 1)
+    if template_rules.count() > MAX_BROADCAST_RULES:
+        # too many rules for one broadcast row: match per call through the (shuffle) join path
+        from ..functions.args import with_args
+        from .calls import calls_table
+
+        keyed = df.withColumn("_rid", F.monotonically_increasing_id()).persist()
+        calls = with_args(calls_table(keyed, text_col, ("_rid",)), "raw_args", dialect, "args")
+        mapped = map_calls_template(calls, template_rules)
+        return per_row_json_list(mapped, keyed, ("_rid",)).drop("_rid")
+    rm = F.broadcast(rules_map(_template_rules(template_rules), ("out",)))  # one row, size bounded by the check above
     joined = df.crossJoin(rm)
 
     # staged transforms: each stage reads the previous one's fields, so the argument parse and
