@@ -37,30 +37,36 @@ def rules_by_code(rules: DataFrame, extra=()) -> DataFrame:
     return rules.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rules"))
 
 
-def condition_holds(args: Column, w: Column, wildcards) -> Column:
-    """Key present and (wildcard or equal by the equality key)."""
-    return F.exists(args, lambda a: (a["key"] == w["key"]) & (w["expect"].isin(*wildcards) | (a["cmp"] == w["expect"])))
+def condition_holds(args: Column, w: Column, wildcards, strict_types: bool = False) -> Column:
+    """Key present and (wildcard or equal).  Default equality is Python's ``==`` across numbers (D1:
+    True == 1 == 1.0); with ``strict_types`` the type must match too (expectations written by
+    ``assets.expect_key(v, strict=True)`` as ``<type>:<text>``)."""
+    def value(a):
+        return F.concat(a["vtype"], F.lit(":"), a["canon"]) if strict_types else a["cmp"]
 
+    return F.exists(args, lambda a: (a["key"] == w["key"]) & (w["expect"].isin(*wildcards) | (value(a) == w["expect"])))
 
-def first_match(args: Column, rules: Column, wildcards=WILDCARDS_CONVERT, when_field: str = "when") -> Column:
+
+def first_match(args: Column, rules: Column, wildcards=WILDCARDS_CONVERT, when_field: str = "when", strict_types: bool = False) -> Column:
     """First rule (array order) whose every condition holds; null when none or no rules."""
-    return F.get(F.filter(rules, lambda r: F.forall(r[when_field], lambda w: condition_holds(args, w, wildcards))), 0)
+    return F.get(F.filter(rules, lambda r: F.forall(r[when_field], lambda w: condition_holds(args, w, wildcards, strict_types))), 0)
 
 
 def arg_canon(args: Column, key: Column) -> Column:
     return F.get(F.filter(args, lambda a: a["key"] == key), 0)["canon"]
 
 
-def match_calls(calls: DataFrame, rules: DataFrame, wildcards=WILDCARDS_CONVERT, extra=()) -> DataFrame:
+def match_calls(calls: DataFrame, rules: DataFrame, wildcards=WILDCARDS_CONVERT, extra=(), strict_types: bool = False) -> DataFrame:
     """Calls (with ``func`` and ``args``) + the first matching rule struct as ``rule`` (left outer)."""
     by_code = bounded_broadcast(rules_by_code(rules, extra))
     joined = calls.join(by_code, calls["func"] == by_code["code"], "left").drop("code")
-    return joined.withColumn("rule", first_match(F.col("args"), F.coalesce(F.col("rules"), F.array()), wildcards)).drop("rules")
+    rule = first_match(F.col("args"), F.coalesce(F.col("rules"), F.array()), wildcards, strict_types=strict_types)
+    return joined.withColumn("rule", rule).drop("rules")
 
 
-def convert_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
+def convert_calls(calls: DataFrame, rules: DataFrame, strict_types: bool = False) -> DataFrame:
     """map_func / map_enum / map_args ('' when unmatched); map_args lists the rule's keys."""
-    m = match_calls(calls, rules, WILDCARDS_CONVERT)
+    m = match_calls(calls, rules, WILDCARDS_CONVERT, strict_types=strict_types)
     when_sorted = F.col("rule.when")
     map_args = F.array_join(
         F.transform(when_sorted, lambda w: F.concat(w["key"], F.lit("="), arg_canon(F.col("args"), w["key"]))), ", "

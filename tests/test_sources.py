@@ -126,3 +126,18 @@ def test_sinks_round_trip(spark):
     assert spark.read.option("header", True).csv(f"{d}/conv").count() == conv.count()
     sinks.write_by_function(conv.withColumnRenamed("query", "q"), f"{d}/byfunc")
     assert sorted(os.listdir(f"{d}/byfunc"))[0].startswith("_") or any(n.startswith("func=") for n in os.listdir(f"{d}/byfunc"))
+
+
+def test_strict_types_keep_bool_and_int_apart(spark):
+    from callwright.operators.calls import calls_with_args
+
+    doc = {"rules_by_func": {"on": {"A": {"code": "BP", "enable": True}}}}
+    loose = assets.conditions_frame(spark, assets.normalise_conversion_rules(doc))
+    strict_rows = [(s, c, mf, me, [(k, p, assets.expect_key(True, strict=True)) for k, p, _ in conds]) for s, c, mf, me, conds in assets.normalise_conversion_rules(doc)]
+    strict = assets.conditions_frame(spark, strict_rows)
+    df = spark.createDataFrame([(1, "<function_BP>(enable=1)<end>"), (2, "<function_BP>(enable=true)<end>")], "row_id long, llm_output string")
+    calls = calls_with_args(df)
+    got_loose = {r["row_id"]: r["map_func"] for r in rules_op.convert_calls(calls, rules_op.rules_from_conditions(loose)).collect()}
+    got_strict = {r["row_id"]: r["map_func"] for r in rules_op.convert_calls(calls, rules_op.rules_from_conditions(strict), strict_types=True).collect()}
+    assert got_loose == {1: "on", 2: "on"}
+    assert got_strict == {1: "", 2: "on"}
