@@ -51,7 +51,7 @@ def global_index(
     if n == 0:
         return src.withColumn(name, F.lit(None).cast("bigint"))
     if n <= small_rows:
-        return src.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)) - 1)
+        return src.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
     nb = max(buckets or default_buckets(df), math.ceil(n / rows_per_bucket))
     pid = F.spark_partition_id().cast("bigint")
     ranged = (
@@ -77,7 +77,7 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buc
     group_cols, order_cols = list(group_cols), list(order_cols)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("bigint"))
     indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=0)
     starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
     return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")

@@ -102,8 +102,11 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
     and invalid ones, pick the first signature holding every kept key (else the largest overlap),
     drop extra keys and fill missing signature keys with the first enum value.  All inside the row:
     the schemas are map literals, so there is no join and no shuffle."""
-    rmap, smap = _rules_map(arg_rules), _sig_map(signatures)
-    staged = with_repaired_text(df, text_col, "_rep")
+    # the schemas ride along as one broadcast row (asset-sized), so each row looks them up instead
+    # of rebuilding the map expressions per call
+    maps = df.sparkSession.range(1).select(_rules_map(arg_rules).alias("_rmap"), _sig_map(signatures).alias("_smap"))
+    rmap, smap = F.col("_rmap"), F.col("_smap")
+    staged = with_repaired_text(df.crossJoin(F.broadcast(maps)), text_col, "_rep")
     staged = staged.withColumn("_calls", extract_calls(F.col("_rep.text")))
 
     # staged transforms: every stage reads fields of the previous stage, so the argument parse,
@@ -177,4 +180,4 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
     ok = format_valid(F.col("repaired"))
     same = F.trim(F.col("repaired")) == F.trim(F.col(text_col))
     status = F.when(ok & same, F.lit("already_ok")).when(ok, F.lit("repaired_success")).otherwise(F.lit("still_broken"))
-    return out.withColumn("status", status).drop("_rep", "_calls", "_rebuild")
+    return out.withColumn("status", status).drop("_rep", "_calls", "_rebuild", "_rmap", "_smap")

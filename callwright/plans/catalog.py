@@ -983,8 +983,8 @@ def q_expansion_report(spark, sf_dir):
     HS_SQL
     + """, np AS (SELECT np FROM par),
 singles AS (SELECT count(*) AS n FROM hs WHERE r > n // 2)
-SELECT 'pairs' AS kind, (SELECT np FROM par) AS count
-UNION ALL SELECT 'singles' AS kind, (SELECT n FROM singles) + (SELECT count(*) FROM ord) - 2 * (SELECT np FROM par) AS count""",
+SELECT 'pairs' AS kind, CAST((SELECT np FROM par) AS BIGINT) AS count
+UNION ALL SELECT 'singles' AS kind, CAST((SELECT n FROM singles) + (SELECT count(*) FROM ord) - 2 * (SELECT np FROM par) AS BIGINT) AS count""",
 )
 def q_pairing_report(spark, sf_dir):
     sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
