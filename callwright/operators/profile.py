@@ -205,3 +205,13 @@ def calls_with_source(calls: DataFrame, source: DataFrame, keys=("row_id",)) ->
 def rows_by_function(calls_with_src: DataFrame, keys=("row_id",)) -> DataFrame:
     """A11 flat form: every call row with its position inside its function, ordered by (row, call)."""
     return rank_in_group(calls_with_src, ["func"], [*keys, "pos"], "func_seq")
+
+
+def calls_with_original(df: DataFrame, text_col: str = "llm_output", keys=("row_id",)) -> DataFrame:
+    """K6 full call records: each call with its parsed arguments and the whole source row embedded
+    as ``original`` (carried through the explode, so no join back to the source)."""
+    from ..functions.args import with_args
+
+    src = df.withColumn("original", F.struct(*[F.col(c) for c in df.columns]))
+    calls = calls_table(src, text_col, (*keys, "original"), reader="profile")
+    return with_args(calls, "raw_args", "profile", "args").select(*keys, "func", F.col("pos").alias("call_order"), "raw_args", "args", "original")

@@ -113,3 +113,13 @@ def test_streaming_matches_batch(spark):
     batch = q_rule_convert(spark, SF_SMALL)
     cols = ["row_id", "pos", "func", "map_func", "map_enum", "map_args"]
     assert sorted(streamed.select(cols).collect()) == sorted(batch.select(cols).collect())
+
+
+def test_calls_with_original_row(spark):
+    from callwright.operators.profile import calls_with_original
+
+    t = fx.tagged(spark, SF_SMALL)
+    out = calls_with_original(t)
+    row = out.filter(F.col("func") == "IO").first()
+    assert row["original"]["row_id"] == row["row_id"] and "<function_IO>" in row["original"]["llm_output"]
+    assert out.count() == t.selectExpr("size(filter(split(llm_output, ';'), p -> p rlike '<function_[A-Z]{2}>\\\\(')) AS n").agg(F.sum("n")).first()[0]
