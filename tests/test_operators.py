@@ -123,3 +123,29 @@ def test_calls_with_original_row(spark):
     row = out.filter(F.col("func") == "IO").first()
     assert row["original"]["row_id"] == row["row_id"] and "<function_IO>" in row["original"]["llm_output"]
     assert out.count() == t.selectExpr("size(filter(split(llm_output, ';'), p -> p rlike '<function_[A-Z]{2}>\\\\(')) AS n").agg(F.sum("n")).first()[0]
+
+
+def test_streaming_checks_with_python_path(spark):
+    from callwright.functions.normalise import format_valid, normalise_calls
+    from callwright.streaming.stateless import check_stream, read_tagged_stream, start_file_sink
+
+    src = tempfile.mkdtemp(prefix="cw-stream2-src-")
+    out = tempfile.mkdtemp(prefix="cw-stream2-out-")
+    rows = [(1, "q", "<function_A>(x=f(1), y=2)"), (2, "q", "<fuction_B>(k=v)<end>"), (3, "q", "none")]
+    spark.createDataFrame(rows, "row_id bigint, query string, llm_output string").write.mode("overwrite").json(f"{src}/in")
+    q = start_file_sink(check_stream(read_tagged_stream(spark, f"{src}/in")), f"{out}/res", "check_test")
+    q.awaitTermination(120)
+    got = {r["row_id"]: (r["normalised"], r["valid"]) for r in spark.read.parquet(f"{out}/res").collect()}
+    assert got == {1: ("<function_A>(x=f(1), y=2)<end>", False), 2: ("<function_B>(k=v)<end>", False), 3: ("<end>", False)}
+
+
+def test_repair_results_sink(spark):
+    from callwright.operators.repair import repair_status
+    from callwright.sources.sinks import write_repair_results
+
+    d = tempfile.mkdtemp(prefix="cw-rep-")
+    st = repair_status(fx.tagged(spark, SF_SMALL), "llm_output")
+    counts = {r["status"]: r["count"] for r in write_repair_results(st, f"{d}/out").collect()}
+    back = spark.read.json(f"{d}/out")
+    assert back.count() == sum(counts.values())
+    assert {r["outcome"] for r in back.select("outcome").distinct().collect()} <= {"success", "failure"}
