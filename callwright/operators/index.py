@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 # window: one task sorting a few tens of thousands of rows costs less than the extra jobs.
 SMALL_ROWS = 50_000
 ROWS_PER_BUCKET = 2_000_000
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -79,5 +80,10 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buc
     if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("bigint"))
     indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=0)
-    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
+    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start")).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per group: broadcast it when the group count is small (checked), so a hot group's
+    # rows are never shuffled to one task; beyond the bound the join is a shuffle join whose
+    # skewed partitions AQE splits (spark.sql.adaptive.skewJoin.enabled)
+    if starts.count() <= MAX_BROADCAST_GROUPS:
+        starts = F.broadcast(starts)
     return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
