@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import ensure_end, func_from_cell
 from .index import global_index, rank_in_group
+from .rules import bounded_broadcast
 
 JOINER = " 다음으로 "  # Fixed value: the word joining two utterances of a pair.
 
@@ -30,14 +31,14 @@ def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function"
     """X3 (+ P21): ``func_name``, ``in_pool``; rows without a function name are dropped."""
     named = df.withColumn("func_name", func_from_cell(F.col(func_col))).filter(F.col("func_name") != "").withColumn("_k", _key(id_col, seed))
     ranked = rank_in_group(named, ["func_name"], ["_k", id_col], "_r")
-    sizes = named.groupBy("func_name").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = bounded_broadcast(named.groupBy("func_name").agg(F.count(F.lit(1)).alias("_n")), 1_000_000)  # one row per function
     return ranked.join(sizes, "func_name").withColumn("in_pool", F.col("_r") <= F.floor(F.col("_n") / 2)).drop("_r", "_n")
 
 
 def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42):
     """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired."""
     pool = sampled.filter("in_pool")
-    sizes = pool.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize"))
+    sizes = bounded_broadcast(pool.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize")), 1_000_000)  # one row per function
     stats = sizes.agg(F.sum("gsize").alias("n"), F.max("gsize").alias("m")).first()
     n, m = int(stats["n"] or 0), int(stats["m"] or 0)
     h = n // 2

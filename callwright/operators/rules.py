@@ -20,8 +20,14 @@ MAX_BROADCAST_RULES = 200_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Broadcast hint only when the row count is proven small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Broadcast hint only when the row count is proven small; otherwise leave the join to Spark.
+
+    The side is persisted before it is counted, so an aggregate (one row per group) is computed
+    once for the count and the join, not twice."""
+    from pyspark import StorageLevel
+
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def rules_from_conditions(conds: DataFrame) -> DataFrame:
@@ -283,7 +289,9 @@ def group_by_query(calls: DataFrame, keys=("row_id",)) -> DataFrame:
 
     c = calls.filter(F.col("query") != "")
     ranked = rank_in_group(c, ["query"], [*keys, "pos"], "call_seq")
-    firsts = c.groupBy("query").agg(F.min(keys[0]).alias("query_first"))
+    # one row per query: broadcast when the query count is bounded, else a shuffle join whose hot
+    # partitions AQE splits
+    firsts = bounded_broadcast(c.groupBy("query").agg(F.min(keys[0]).alias("query_first")), 1_000_000)
     return ranked.join(firsts, "query").select("query", "query_first", "call_seq", "func", "raw_args")
 
 
