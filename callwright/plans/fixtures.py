@@ -138,7 +138,7 @@ FROM predictions
 
 
 # slot templates.  Two blocks of formats (block 1 repeats a format and has one whose slot <x>
-# has no values); tags come from block literals (prio 0) and from the region and part tables
+# has no values); tags come from block literals (prio 0) and from the region and customer tables
 # shared by every block (prio 1).  Fixed values: the formats and the literal tag words.
 TEMPLATE_FORMATS_SQL = """
 SELECT * FROM (VALUES
@@ -156,7 +156,7 @@ UNION ALL SELECT 2 AS block, '<o>' AS slot, 'there' AS value, 0 AS prio, 1 AS po
 UNION ALL SELECT b.block, '<a>' AS slot, t.v AS value, 1 AS prio, t.pos FROM (VALUES ('please', 1), ('kindly', 2)) AS t(v, pos)
   CROSS JOIN (VALUES (1), (2)) AS b(block)
 UNION ALL SELECT b.block, '<o>' AS slot, r_name AS value, 1 AS prio, r_regionkey AS pos FROM region CROSS JOIN (VALUES (1), (2)) AS b(block)
-UNION ALL SELECT b.block, '<v>' AS slot, p_name AS value, 1 AS prio, p_partkey AS pos FROM part CROSS JOIN (VALUES (1), (2)) AS b(block)
+UNION ALL SELECT b.block, '<v>' AS slot, c_name AS value, 1 AS prio, c_custkey AS pos FROM customer CROSS JOIN (VALUES (1), (2)) AS b(block)
 """
 
 
@@ -233,7 +233,7 @@ def template_formats(spark: SparkSession) -> DataFrame:
 
 
 def template_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, TEMPLATE_TAGS_SQL, ["region", "part"])
+    return _sql(spark, sf_dir, TEMPLATE_TAGS_SQL, ["region", "customer"])
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
