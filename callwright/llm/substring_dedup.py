@@ -41,8 +41,10 @@ ROWS_SQL = "part bigint, h bigint, did bigint, kind int"
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows without id get a number from their text."""
-    return rows.withColumn("did", F.when(F.col("did") != NO_ID, F.col("did")).otherwise(F.lit(WITHOUT_ID) + F.pmod("th", F.lit(WITHOUT_ID - 1))))
+    """Rows without id get a number from their text.  ``did`` is never null, also to the planner: a null
+    check on some joins only would keep them from sharing the exchange of the texts."""
+    number = F.when(F.col("did") != NO_ID, F.col("did")).otherwise(F.lit(WITHOUT_ID) + F.pmod("th", F.lit(WITHOUT_ID - 1)))
+    return rows.withColumn("did", F.coalesce(number, F.lit(WITHOUT_ID)))
 
 
 def levels(length: int, base: int) -> list[int]:
@@ -204,7 +206,7 @@ def _rest(rows: DataFrame, found: DataFrame, length: int, carry: tuple, ddl: str
         return out
 
     schema = pa.schema([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-    joined = rows.join(found, "did", "left").select(*carry, *({"th", "text", "hs"} - set(carry)))
+    joined = rows.join(found, "did", "left").select(*carry, "th", "text", "hs")
     return joined.mapInArrow(arrow_map(rest, schema, carry), ddl + "kept string, n_words bigint, n_removed bigint")
 
 
