@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import unicodedata
 import zlib
 from bisect import bisect_right
 
@@ -36,7 +38,7 @@ TIERS = (256, 512, 1024, 2048)
 FILLERS = 32  # one document in so many is cut into powers of two
 STEP_TOKENS = 16 * WINDOW
 RANK_ROWS = 200_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 END_ID = 1
 
 
@@ -48,6 +50,7 @@ class WordIds:
     def __init__(self, data: bytes):
         import json
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
@@ -64,12 +67,39 @@ class WordIds:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.memo]
-        for w, ids in zip(new, self.whole(new)):
+        hard = [w for w in set().union(*split) if w not in self.memo and not self._simple(w)]
+        for w, ids in zip(hard, self.whole(hard) if hard else []):
             self.memo[w] = ids.tobytes()
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u4") for words in split]
 
 
+    def _simple(self, word: bytes) -> bool:
+        """Learns a word of Latin letters with punctuation behind it: the file's pattern cuts it into just
+        these two, so the merges can run on them at once.  False for any other word."""
+        text = word.decode()
+        if not text.isascii() and (max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text)):
+            return False
+        low = text.lower()
+        core = low.rstrip(".,!?;:")
+        if not core.isalpha():
+            return False
+        ids = self._merged(core)
+        self.memo[word] = ids + self._merged(low[len(core) :]) if len(core) < len(low) else ids
+        return True
+
+    def _merged(self, part: str) -> bytes:
+        key = part.encode()
+        ids = self.memo.get(key)
+        if ids is None:
+            shown = part if part.isascii() else key.decode("latin-1").translate(_BYTE_LEVEL)
+            ids = self.memo[key] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
+
+#: How byte-level files show bytes: those without a sign of their own follow 255 in order.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 def _drops_space(spec: dict) -> bool:
     """True for files that make one space of white space and split by a pattern that matches none."""
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
