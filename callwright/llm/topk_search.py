@@ -16,7 +16,7 @@ first block, both of fixed size.
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor
 do rows without id; vectors of different dimension are not compared; rows with the query's own id
 are no candidates for it; equal query rows are answered once; other repeated rows are candidates each;
-ties go to the smaller id; columns other than id and vector are not read.
+ties go to the smaller id; a score beyond 64 bits is an error; columns other than id and vector are not read.
 """
 from __future__ import annotations
 
