@@ -2,31 +2,26 @@
 
 ``global_index`` gives every row its 0-based position in a total order:
 
-1. the input is range-partitioned on the order key (Spark samples the key once per
-   exchange) and sorted inside each partition; the partition count grows with the row
-   count (``rows_per_bucket``), so no partition outgrows a task;
-2. a row's position inside its partition comes from ``monotonically_increasing_id``
-   on the sorted partition; the result is persisted, so every later pass sees the same
-   positions (a lost block is recomputed from the same shuffle output and sort order:
-   the key is total, so the positions are the same);
-3. rows per partition are counted (one row per partition to the driver) and turned
-   into offsets held in a broadcast table whose size is the partition count.
+1. the input is range-partitioned on the order key and sorted inside each partition; the partition
+   count grows with the row count (``rows_per_bucket``), so no partition outgrows a task;
+2. each row takes its partition and its position there, and the result is written once to the shared
+   checkpoint folder.  Range bounds are sampled anew whenever such an exchange is computed again, so
+   positions must never be recomputed: from here on they are read, whatever is cached or lost;
+3. rows per partition are counted (one row per partition to the driver) and turned into offsets held
+   in a broadcast table whose size is the partition count.
 
-No window over the whole input, no extra shuffle beyond the range exchange, and no
-``collect`` of rows.  The order key must be unique (add the row key as the last column).
-Inputs with at most ``small_rows`` rows (a counted bound) use one ordered window instead.
+One path for every size; nothing is persisted, and no frame of the caller is unpersisted.  The order key
+must be unique (add the row key as the last column).
 """
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Inputs with at most this many rows (a counted, proven bound) are numbered by one ordered
-# window: one task sorting a few tens of thousands of rows costs less than the extra jobs.
-SMALL_ROWS = 50_000
+from ..session import checkpoint_dir
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BROADCAST_GROUPS = 1_000_000
 
@@ -40,30 +35,25 @@ def global_index(
     order_cols,
     name: str = "idx",
     buckets: int | None = None,
-    small_rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
-    small_rows = SMALL_ROWS if small_rows is None else small_rows
     spark = df.sparkSession
+    checkpoint_dir(spark)
     order_cols = list(order_cols)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = src.count()
+    n = df.count()
     if n == 0:
-        return src.withColumn(name, F.lit(None).cast("bigint"))
-    if n <= small_rows:
-        return src.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
+        return df.withColumn(name, F.lit(None).cast("bigint"))
     nb = max(buckets or default_buckets(df), math.ceil(n / rows_per_bucket))
     pid = F.spark_partition_id().cast("bigint")
     ranged = (
-        src.repartitionByRange(nb, *order_cols)
+        df.repartitionByRange(nb, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_b", pid)
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint()
     )
     counts = sorted(tuple(r) for r in ranged.groupBy("_b").count().collect())  # one row per partition
-    src.unpersist()
     offsets, run = [], 0
     for b, c in counts:
         offsets.append((int(b), run))
@@ -72,15 +62,11 @@ def global_index(
     return ranged.join(F.broadcast(offs), "_b").withColumn(name, F.col("_offset") + F.col("_local")).drop("_b", "_local", "_offset")
 
 
-def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
+def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None) -> DataFrame:
     """1-based rank inside each group; a hot group is spread over many buckets, never one task."""
-    small_rows = SMALL_ROWS if small_rows is None else small_rows
     group_cols, order_cols = list(group_cols), list(order_cols)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= small_rows:  # bounded: a window per group cannot exceed SMALL_ROWS rows
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("bigint"))
-    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets, small_rows=0)
-    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start")).persist(StorageLevel.MEMORY_AND_DISK)
+    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets)
+    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
     # one row per group: broadcast it when the group count is small (checked), so a hot group's
     # rows are never shuffled to one task; beyond the bound the join is a shuffle join whose
     # skewed partitions AQE splits (spark.sql.adaptive.skewJoin.enabled)

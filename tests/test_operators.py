@@ -16,8 +16,8 @@ from .conftest import SF_MID, SF_SMALL
 
 def test_global_index_is_exact_and_partition_independent(spark):
     df = spark.range(0, 5000).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(7)
-    a = global_index(df, ["k", "id"], "i", buckets=5, small_rows=0).select("id", "i")
-    b = global_index(df.repartition(3), ["k", "id"], "i", buckets=11, small_rows=0).select("id", "i")
+    a = global_index(df, ["k", "id"], "i", buckets=5).select("id", "i")
+    b = global_index(df.repartition(3), ["k", "id"], "i", buckets=11).select("id", "i")
     c = global_index(df, ["k", "id"], "i").select("id", "i")  # small-input path
     rows_a = sorted(a.collect())
     assert [r["i"] for r in sorted(rows_a, key=lambda r: r["i"])] == list(range(5000))
@@ -28,7 +28,7 @@ def test_global_index_is_exact_and_partition_independent(spark):
 
 def test_rank_in_group_handles_a_hot_group(spark):
     df = spark.range(0, 3000).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")))
-    r = rank_in_group(df, ["g"], ["id"], "r", buckets=8, small_rows=0)
+    r = rank_in_group(df, ["g"], ["id"], "r", buckets=8)
     hot = [row["r"] for row in r.filter("g = 'hot'").orderBy("id").collect()]
     assert hot == list(range(1, 1001))
 
@@ -149,3 +149,12 @@ def test_repair_results_sink(spark):
     back = spark.read.json(f"{d}/out")
     assert back.count() == sum(counts.values())
     assert {r["outcome"] for r in back.select("outcome").distinct().collect()} <= {"success", "failure"}
+
+
+def test_index_does_not_depend_on_the_cache(spark):
+    df = spark.range(0, 60_000).selectExpr("id", "md5(cast(id as string)) k").persist()
+    out = global_index(df, ["k", "id"], "i", buckets=7)
+    assert df.is_cached
+    spark.catalog.clearCache()
+    assert out.selectExpr("count(distinct i)", "min(i)", "max(i)").first()[:] == (60_000, 0, 59_999)
+    df.unpersist()
