@@ -161,3 +161,9 @@ def test_schema_repair_meets_labels(spark):
         ok = out[i]["status"] in ("already_ok", "repaired_success")
         assert ok == (label == "success"), (REPAIR_CASES[i], out[i]["repaired"])
     assert out[5]["status"] == "already_ok"
+
+
+def test_lenient_dialect_takes_long_texts(spark):
+    assert _args(spark, 'a=1, k="' + "v," * 500_000 + '"', "lenient")[0] == ("a", "int", "1")
+    assert len(_args(spark, "a=1, k=" + "v" * 1_000_000, "lenient")) == 2
+    assert [k for k, _, _ in _args(spark, 'a="x, b=1', "lenient")] == ['a="x', "b"] or _args(spark, 'a="x, b=1', "lenient")[1][0] == "b"
