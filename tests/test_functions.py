@@ -1,15 +1,17 @@
 """Column builders against small Python models of the documented semantics."""
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from callwright.functions.args import parse_args, with_args
+from callwright.functions.args import arg_tokens, parse_args, with_args
 from callwright.functions.jsontext import normalise_json, strict_json
-from callwright.functions.normalise import _scan, format_valid, is_regular, normalise_calls
+from callwright.functions.normalise import format_valid, normalise_calls
 from callwright.functions.tags import extract_calls, first_call
+from callwright.operators.evaluate import with_continuation_repair
 
 
 def _args(spark, text, dialect):
@@ -34,16 +36,40 @@ def test_quoted_and_lenient_dialects(spark):
 
 
 def test_profile_dialect_paths(spark):
-    # regular row (native path) and irregular rows (pandas UDF path)
     assert _args(spark, "a=True, b=None, c=1.0, d=\"x\"", "profile") == [("a", "bool", "True"), ("b", "none", "None"), ("c", "float", "1.0"), ("d", "str", "x")]
     assert _args(spark, 'a=f(1, 2), b=""q""', "profile") == [("a", "str", "f(1, 2)"), ("b", "str", "q")]
     assert _args(spark, 'a="x, y", b=1e5', "profile") == [("a", "str", "x, y"), ("b", "str", "1e5")]
 
 
+def _profile_model(text):
+    """Cuts at the commas whose text before them has even quotes and level parens (\"\" is one literal quote)."""
+    cuts = [-1]
+    for i, ch in enumerate(text):
+        before = text[:i].replace('""', "")
+        if ch == "," and before.count('"') % 2 == 0 and before.count("(") == before.count(")"):
+            cuts.append(i)
+    parts = [text[a + 1 : b].replace('""', '"').strip() for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    return [p for p in parts if "=" in p]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a=1", "k=", ",", ",", '"', '""', "(", ")", " ", "x"]), max_size=12), min_size=40, max_size=80))
+def test_profile_split_matches_model(spark, rows):
+    texts = ["".join(pieces).strip() for pieces in rows]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["p"] for r in df.select(arg_tokens(F.col("t"), "profile").alias("p")).collect()]
+    assert got == [_profile_model(t) for t in texts]
+
+
+def test_no_python_in_the_parsers(spark):
+    df = spark.createDataFrame([("a=1",)], "t string")
+    plans = [with_args(df, "t", "profile", "a"), df.select(normalise_calls("t")), with_continuation_repair(df, "t")]
+    for plan in plans:
+        assert "Python" not in plan._jdf.queryExecution().toString()
+
+
 def _plain_model(text):
     """Reference semantics of the plain dialect (ASCII number grammar, D2)."""
-    import re
-
     out = {}
     for part in [p.strip() for p in (text or "").strip().split(",") if p.strip()]:
         if "=" not in part:
@@ -93,6 +119,20 @@ def test_tag_extraction_and_first_call(spark):
     assert fc["name"] == "function_IO" and [a["canon"] for a in fc["args"]] == ["3", "자카르타"]
 
 
+def _normaliser_model(raw):
+    rest, calls = raw.replace('"', ""), []
+    while len(calls) < 2 and (tag := re.search(r"<fun?ction_([^>\w]*\w[^>]*)>\s*", rest)):
+        rest, inside = rest[tag.end() :], ""
+        if rest.startswith("("):
+            level = (i for i in range(1, len(rest) + 1) if rest[:i].count("(") == rest[:i].count(")"))
+            end = next(level, len(rest) + 1)
+            inside, rest = rest[1 : end - 1], rest[end:]
+        pairs = [p.partition("=") for p in inside.split(",")]
+        kv = [f"{k.strip()}={v.strip()}" for k, eq, v in pairs if eq and k.strip()]
+        calls.append("<function_" + re.sub(r"\W", "", tag[1]) + ">(" + ", ".join(kv[:2]) + ")")
+    return ";".join(calls) + "<end>"
+
+
 NORMALISER_CASES = [
     ('noise "<fuction_BP>(enable=1, type=0, extra=2);<function_MR>()<function_ZZ>()', "<function_BP>(enable=1, type=0);<function_MR>()<end>"),
     ("nothing here", "<end>"),
@@ -105,18 +145,48 @@ NORMALISER_CASES = [
 
 @pytest.mark.parametrize("raw,expected", NORMALISER_CASES)
 def test_normaliser_cases(spark, raw, expected):
-    assert _scan(raw) == expected
+    assert _normaliser_model(raw) == expected
     df = spark.createDataFrame([(raw,)], "t string")
     assert df.select(normalise_calls(F.col("t")).alias("n")).first()["n"] == expected
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.sampled_from(["<function_BP>", "<fuction_MR>", "(a=1, b=2, c=3)", "()", ";", " ", "x", "(k=v)", '"', "<end>", "=", ","]), max_size=8))
-def test_normaliser_native_agrees_with_scanner(spark, pieces):
-    raw = "".join(pieces)
-    df = spark.createDataFrame([(raw,)], "t string")
-    row = df.select(normalise_calls(F.col("t")).alias("n"), is_regular(F.col("t")).alias("r")).first()
-    assert row["n"] == _scan(raw)
+NORMALISER_PIECES = ["<function_BP>", "<fuction_MR>", "(a=1, b=2, c=3)", "()", ";", " ", "x", "(k=v)", '"', "<end>", "=", ",", "(", ")", "<function_", ">"]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(NORMALISER_PIECES), max_size=8), min_size=40, max_size=80))
+def test_normaliser_matches_model(spark, rows):
+    texts = ["".join(pieces) for pieces in rows]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["n"] for r in df.select(normalise_calls(F.col("t")).alias("n")).collect()] == [_normaliser_model(t) for t in texts]
+
+
+def test_normaliser_null_empty_and_long(spark):
+    df = spark.createDataFrame([(None,), ("",), ("<function_A>(" + "(x," * 200_000 + "k=v",)], "t string")
+    got = [r["n"] for r in df.select(normalise_calls(F.col("t")).alias("n")).collect()]
+    assert got[:2] == [None, "<end>"] and got[2] == "<function_A>(k=v)<end>"
+
+
+CONTINUATIONS = [
+    ('"f","arguments":{"a":1}}', '"f","arguments":{"a":1}}', True),
+    ('"f","arguments":{"a":1}', '"f","arguments":{"a":1}}', True),
+    ('"f", ', '"f"}', True),
+    ('"f","arguments":{"a":"x}"}} and more', '"f","arguments":{"a":"x}"}}', True),
+    ('"f","arguments":{"a":" \n x"} tail', '"f","arguments":{"a":"x"} tail', False),
+    ('"f","arguments":{"a":" \n x"}, junk', '"f","arguments":{"a":"x"}, junk', False),
+    ('"f","arguments":{"a":"x"}}}}', '"f","arguments":{"a":"x"}}', True),
+    ('"f","arguments":{"a":"x', '"f","arguments":{"a":"x"}}', True),
+    ("junk", "junk", False),
+    ("", "", False),
+]
+
+
+def test_continuation_repair_cases(spark):
+    rows = [(i, c) for i, (c, _, _) in enumerate(CONTINUATIONS)] + [(99, None)]
+    got = {r["i"]: r for r in with_continuation_repair(spark.createDataFrame(rows, "i int, c string"), "c").collect()}
+    for i, (_, expected, ok) in enumerate(CONTINUATIONS):
+        assert got[i]["repaired"] == '{"functionName":' + expected and got[i]["repaired_ok"] == ok
+    assert got[99]["repaired"] is None and got[99]["repaired_ok"] is False
 
 
 # Labelled repair cases (success_expected / fail_expected).
