@@ -45,14 +45,20 @@ def spec_from_inferred(spec: DataFrame) -> DataFrame:
 
 
 def function_blocks(spec: DataFrame) -> DataFrame:
-    """P32 per function: ``- name: description``, argument hint lines and a compact example."""
-    enums = spec.groupBy("func", "description", "arg", "arg_order").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("enum_pos", "enum_text"))), lambda e: e["enum_text"]), "/").alias("hint")
-    )
+    """P32 per function: ``- name: description``, argument hint lines and a compact example.
+
+    Hints are the enum values, then ``min=``, ``max=`` and ``pattern=`` where the spec has them; a row
+    without an argument stands for a function without any.  ``func_pos`` (file order) is kept if given.
+    """
+    limits = [
+        F.concat(F.lit(f"{label}="), F.max(name)) for name, label in (("minimum", "min"), ("maximum", "max"), ("pattern", "pattern")) if name in spec.columns
+    ]
+    pos = ["func_pos"] if "func_pos" in spec.columns else []
+    values = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("enum_pos", "enum_text"))), lambda e: e["enum_text"]), "/")
+    hints = spec.groupBy(*pos, "func", "description", "arg", "arg_order").agg(F.concat_ws(" ", F.nullif(values, F.lit("")), *limits).alias("hint"))
     line = F.concat(F.lit("    - "), F.col("arg"), F.lit(":"), F.when(F.col("hint") != "", F.concat(F.lit("  "), F.col("hint"))).otherwise(F.lit("")))
-    per_func = enums.groupBy("func", "description").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("arg_order"), F.lit(9999)).alias("o"), F.col("arg").alias("a"), line.alias("l")))).alias("args")
-    )
+    entry = F.struct(F.coalesce(F.col("arg_order"), F.lit(9999)).alias("o"), F.col("arg").alias("a"), line.alias("l"))
+    per_func = hints.groupBy(*pos, "func", "description").agg(F.sort_array(F.collect_list(F.when(F.col("arg").isNotNull(), entry))).alias("args"))
     head = F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.concat(F.lit("- "), F.col("func"), F.lit(": "), F.col("description"))).otherwise(
         F.concat(F.lit("- "), F.col("func"), F.lit(":"))
     )
@@ -62,12 +68,13 @@ def function_blocks(spec: DataFrame) -> DataFrame:
     body = F.when(
         F.size("args") > 0, F.concat_ws("\n", head, F.lit("  arguments (object):"), arg_lines, example)
     ).otherwise(F.concat_ws("\n", head, F.lit("  (no parameters)"), example))
-    return per_func.select("func", body.alias("block"))
+    return per_func.select(*pos, "func", body.alias("block"))
 
 
 def functions_section(blocks: DataFrame) -> DataFrame:
-    """The whole section as one row (one block per function: a small, bounded set)."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("func", "block"))), lambda b: b["block"]), "\n")
+    """The whole section as one row (one block per function: a small, bounded set), in file order if known."""
+    order = ["func_pos"] if "func_pos" in blocks.columns else []
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "func", "block"))), lambda b: b["block"]), "\n")
     return blocks.agg(F.concat(F.lit("\n".join(SECTION_HEADER) + "\n"), joined).alias("section"))
 
 

@@ -97,7 +97,7 @@ def conversion_report(converted: DataFrame) -> DataFrame:
 def _arg_json_value(a: Column) -> Column:
     return (
         F.when(a["vtype"] == "bool", F.lower(a["canon"]))
-        .when(a["vtype"].isin("int", "float"), a["canon"])
+        .when(a["vtype"].isin("int", "float", "json"), a["canon"])
         .when(a["vtype"] == "none", F.lit("null"))
         .otherwise(json_string(a["canon"]))
     )
@@ -143,16 +143,35 @@ def message_expected(converted: DataFrame, message_col: str = "query", source: s
 # ------------------------------------------------------------------ templates (J2) / pairs
 
 
+# The parts of a format template: escaped braces, fields, lone braces, text.
+TEMPLATE_PART_RE = r"\{\{|\}\}|\{[^{}]*\}|[{}]|[^{}]+"
+
+
 def fill_template(template: Column, args: Column, code: Column) -> Column:
-    """``str.format`` with {code, **args}; any placeholder left unfilled keeps the text as is."""
-    vars_ = F.concat(F.array(str_arg("code", code)), args)
-    filled = F.aggregate(vars_, template, lambda t, a: F.replace(t, F.concat(F.lit("{"), a["key"], F.lit("}")), a["canon"]))
-    return F.when(filled.rlike(r"\{[^{}]*\}"), template).otherwise(filled)
+    """``str.format`` with {code, **args} in one pass over the template; an argument named ``code`` wins.
+
+    Doubled braces are literal ones.  A lone brace or a field that names no argument (conversions, format
+    specs and positions included) keeps the whole template as it is.
+    """
+    values = dict_update(F.array(str_arg("code", code)).cast(ARGS_TYPE), args)
+    value = lambda field: F.get(F.filter(values, lambda a: F.concat(F.lit("{"), a["key"], F.lit("}")) == field), 0)["canon"]
+    filled = F.transform(
+        F.regexp_extract_all(template, F.lit(TEMPLATE_PART_RE), F.lit(0)),
+        lambda p: F.when(p == "{{", F.lit("{")).when(p == "}}", F.lit("}")).when(p.isin("{", "}"), F.lit(None)).when(p.startswith("{"), value(p)).otherwise(p),
+    )
+    return F.when(F.exists(filled, lambda p: p.isNull()), template).otherwise(F.array_join(filled, ""))
+
+
+def _template_out(out: Column, args: Column, func: Column) -> Column:
+    """Output argument of a template rule: text is filled, any other value keeps its type."""
+    v = out["template"]
+    typed = F.struct(out["name"].alias("key"), v.alias("raw"), out["vtype"].alias("vtype"), v.alias("canon"), F.lit(None).cast("string").alias("cmp"))
+    return F.when(out["vtype"] == "str", str_arg(out["name"], fill_template(v, args, func))).otherwise(typed.cast(ARG_TYPE))
 
 
 def _template_mapped(func: Column, args: Column, rule: Column) -> Column:
     """J2 output text of one call given its matched template rule (null rule = identity)."""
-    out_args = F.transform(rule["out"], lambda o: str_arg(o["name"], fill_template(o["template"], args, func)))
+    out_args = F.transform(rule["out"], lambda o: _template_out(o, args, func))
     name = F.when(rule.isNotNull(), F.coalesce(F.nullif(rule["map_func"], F.lit("")), func)).otherwise(func)
     arguments = F.when(rule.isNotNull(), object_text(out_args)).otherwise(object_text(args))
     return F.concat(F.lit('{"functionName":'), json_string(name), F.lit(',"arguments":'), arguments, F.lit("}"))
@@ -165,7 +184,7 @@ def _template_rules(template_rules: DataFrame) -> DataFrame:
 def map_calls_template(calls: DataFrame, template_rules: DataFrame) -> DataFrame:
     """First template rule by code (wildcard '*') -> ``{"functionName", "arguments"}``; identity fallback.
 
-    ``template_rules``: (seq, code, new_name, when ARRAY<STRUCT<k_pos,key,expect>>, out ARRAY<STRUCT<pos,name,template>>).
+    ``template_rules``: (seq, code, new_name, when ARRAY<STRUCT<k_pos,key,expect>>, out ARRAY<STRUCT<pos,name,template,vtype>>).
     """
     m = match_calls(calls, _template_rules(template_rules), WILDCARDS_TEMPLATE, extra=("out",))
     return m.withColumn("mapped", _template_mapped(F.col("func"), F.col("args"), F.col("rule"))).drop("rule")

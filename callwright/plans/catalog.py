@@ -226,7 +226,7 @@ def q_parse_args_lenient(spark, sf_dir):
 
 @register("args_profile_dialect")
 def q_args_profile_dialect(spark, sf_dir):
-    """Rows-only: the quote/paren-aware profile dialect over every tagged call (UDF branch on irregular rows)."""
+    """Rows-only: the quote/paren-aware profile dialect over every tagged call (no oracle)."""
     return calls_op.call_args_table(_calls(spark, sf_dir), "profile")
 
 
@@ -323,16 +323,18 @@ TEMPLATE_ORACLE = (
         "tout AS (" + fx.TEMPLATE_OUT_SQL + ")",
     )
     + """, filled AS (
-  SELECT b.row_id, b.pos, b.seq, t.pos AS opos, t.name,
-    CASE WHEN regexp_matches(x.v, '\\{[^{}]*\\}') THEN t.template ELSE x.v END AS val
+  SELECT b.row_id, b.pos, b.seq, t.pos AS opos, t.name, t.vtype,
+    CASE WHEN regexp_matches(x.v, '\\{[^{}]*\\}') THEN t.template ELSE replace(replace(x.v, chr(1), '{'), chr(2), '}') END AS val
   FROM best b JOIN calls c USING (row_id, pos) JOIN tout t ON t.seq = b.seq,
-  LATERAL (SELECT replace(replace(replace(t.template, '{code}', c.func),
+  LATERAL (SELECT replace(replace(replace(replace(replace(t.template, '{code}', c.func),
              '{location}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'location'), '{location}')),
-             '{volume}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'volume'), '{volume}')) AS v) x)
+             '{volume}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'volume'), '{volume}')),
+             '{{', chr(1)), '}}', chr(2)) AS v) x)
 SELECT c.row_id, c.pos, c.func, c.raw_args,
   CASE WHEN b.seq IS NOT NULL THEN
     '{"functionName":' || CAST(to_json(coalesce(nullif((SELECT DISTINCT map_func FROM rule_conditions r WHERE r.seq = b.seq), ''), c.func)) AS VARCHAR)
-    || ',"arguments":{' || coalesce((SELECT string_agg(CAST(to_json(f.name) AS VARCHAR) || ':' || CAST(to_json(f.val) AS VARCHAR), ',' ORDER BY f.opos)
+    || ',"arguments":{' || coalesce((SELECT string_agg(CAST(to_json(f.name) AS VARCHAR) || ':' ||
+        CASE f.vtype WHEN 'str' THEN CAST(to_json(f.val) AS VARCHAR) WHEN 'bool' THEN lower(f.val) WHEN 'none' THEN 'null' ELSE f.val END, ',' ORDER BY f.opos)
                                      FROM filled f WHERE f.row_id = c.row_id AND f.pos = c.pos), '') || '}}'
   ELSE
     '{"functionName":' || CAST(to_json(c.func) AS VARCHAR) || ',"arguments":{'

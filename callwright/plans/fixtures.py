@@ -63,15 +63,15 @@ SELECT * FROM (VALUES
 # Argument templates; {code} and {location} are filled from the call.
 TEMPLATE_OUT_SQL = """
 SELECT * FROM (VALUES
- (1,1,'mode','AI_Mode'),(1,2,'src','{code}'),
- (2,1,'mode','Outdoor'),(2,2,'src','{code}'),
- (3,1,'type','Personal_Info'),
- (4,1,'mode','Privacy_Mode'),
- (5,1,'target','Volume'),(5,2,'step','{volume}'),
- (6,1,'target','Volume'),(6,2,'level','{volume}'),
- (7,1,'type','Air_Quality'),(7,2,'where','{location}'),(7,3,'missing','{nowhere}'),
- (8,1,'style','Default')
-) AS t(seq, pos, name, template)
+ (1,1,'mode','AI_Mode','str'),(1,2,'src','{code}','str'),(1,3,'lvl','3','int'),
+ (2,1,'mode','Outdoor','str'),(2,2,'src','{code}','str'),(2,3,'on','True','bool'),
+ (3,1,'type','Personal_Info','str'),(3,2,'note','{{x}}','str'),
+ (4,1,'mode','Privacy_Mode','str'),(4,2,'ratio','1.5','float'),
+ (5,1,'target','Volume','str'),(5,2,'step','{volume}','str'),
+ (6,1,'target','Volume','str'),(6,2,'level','{{{volume}}}','str'),
+ (7,1,'type','Air_Quality','str'),(7,2,'where','{location}','str'),(7,3,'missing','{nowhere}','str'),
+ (8,1,'style','Default','str'),(8,2,'extra','None','none')
+) AS t(seq, pos, name, template, vtype)
 """
 
 # predictions(ex_id, user_text, gold, raw) from events.
@@ -253,9 +253,9 @@ def template_rules(spark: SparkSession) -> DataFrame:
 
     rules = rules_from_conditions(rule_conditions(spark))
     out = spark.sql(TEMPLATE_OUT_SQL).groupBy("seq").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "name", "template"))).alias("out")
+        F.sort_array(F.collect_list(F.struct("pos", "name", "template", "vtype"))).alias("out")
     )
-    return rules.join(out, "seq", "left").select("seq", "code", F.col("map_func").alias("new_name"), "when", F.coalesce("out", F.array().cast("array<struct<pos:int,name:string,template:string>>")).alias("out"))
+    return rules.join(out, "seq", "left").select("seq", "code", F.col("map_func").alias("new_name"), "when", F.coalesce("out", F.array().cast("array<struct<pos:int,name:string,template:string,vtype:string>>")).alias("out"))
 
 
 def pair_rules(spark: SparkSession) -> DataFrame:

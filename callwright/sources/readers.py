@@ -7,6 +7,8 @@ keeps each file in one partition in file order.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +20,24 @@ from ..functions.tags import extract_calls
 def _with_order(df: DataFrame, kind: int) -> DataFrame:
     return (
         df.withColumn("src_kind", F.lit(kind))
-        .withColumn("src_file", F.col("_metadata.file_path"))
+        .withColumn("src_file", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
         .withColumn("src_pos", F.monotonically_increasing_id())
     )
 
 
+GLOB_PARTS = {"**/": "(.*/)?", "*": "[^/]*", "?": "[^/]"}
+
+
+def _glob_regex(pattern: str) -> str:
+    return "^.*/" + "".join(GLOB_PARTS.get(part, re.escape(part)) for part in re.split(r"(\*\*/|\*|\?)", pattern)) + "$"
+
+
 def _glob_filter(df: DataFrame, patterns: str | None) -> DataFrame:
     """S3: comma-separated globs matched against the full path (pathGlobFilter sees names only)."""
-    if not patterns:
+    globs = [p.strip() for p in (patterns or "").split(",") if p.strip()]
+    if not globs:
         return df
-    cond = F.lit(False)
-    for pat in (p.strip() for p in patterns.split(",") if p.strip()):
-        rx = "^.*/" + pat.replace(".", r"\.").replace("**/", "(.*/)?").replace("*", "[^/]*").replace("?", "[^/]") + "$"
-        cond = cond | F.col("src_file").rlike(rx)
-    return df.filter(cond)
+    return df.filter(F.col("src_file").rlike("|".join(f"(?:{_glob_regex(p)})" for p in globs)))
 
 
 def _name_glob(patterns: str | None, default: str) -> str:
@@ -47,34 +53,42 @@ def read_json_arrays(spark: SparkSession, root: str, pattern: str = "json/*.json
         spark.read.option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _name_glob(pattern, "*.json"))
-        .schema(f"`{user_key}` string, `{assistant_key}` string, _corrupt_record string")
+        .schema(f"`{user_key}` variant, `{assistant_key}` variant, _corrupt_record string")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(root)
     )
     df = _glob_filter(_with_order(raw, 0), pattern)
-    parsed = strict_json(F.col(assistant_key))
+    user, answer = F.col(user_key), F.col(assistant_key)
+    kind = F.schema_of_variant(answer)
+    parsed = F.when(kind.startswith("OBJECT"), answer).when(kind == "STRING", strict_json(F.try_variant_get(answer, "$", "string")))
     err = (
         F.when(F.col("_corrupt_record").isNotNull(), F.lit("not a JSON array of objects"))
-        .when(F.col(user_key).isNull(), F.lit(f"missing key {user_key}"))
-        .when(F.col(assistant_key).isNull(), F.lit(f"missing key {assistant_key}"))
+        .when(user.isNull(), F.lit(f"missing key {user_key}"))
+        .when(answer.isNull(), F.lit(f"missing key {assistant_key}"))
+        .when(F.schema_of_variant(user) != "STRING", F.lit(f"{user_key} is no text"))
+        .when(~kind.startswith("OBJECT") & (kind != "STRING"), F.lit(f"{assistant_key} is neither an object nor text"))
         .when(parsed.isNull(), F.lit("invalid assistant JSON"))
     )
-    return df.select(
-        "src_kind", "src_file", "src_pos", pystrip(F.col(user_key)).alias("user"), F.to_json(parsed).alias("assistant"), err.alias("error")
-    )
+    text = F.when(F.schema_of_variant(user) == "STRING", pystrip(F.try_variant_get(user, "$", "string")))
+    return df.select("src_kind", "src_file", "src_pos", text.alias("user"), F.to_json(parsed).alias("assistant"), err.alias("error"))
 
 
 def read_labelled_csv(spark: SparkSession, root: str, pattern: str = "csv/*.csv", input_col: str = "input", output_col: str = "output_json", repair: bool = False) -> DataFrame:
     """CSV with header; both cells trimmed; rows with either empty are skipped; bad JSON is an
-    error unless repair (P2) fixes it."""
-    raw = (
+    error unless repair (P2) fixes it.
+
+    Spark maps cells by position, so a file whose header differs from the first one's fails the read
+    instead of filling the wrong columns; read such files by themselves.
+    """
+    source = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _name_glob(pattern, "*.csv"))
-        .csv(root)
     )
+    raw = source.csv(root)
+    raw = source.schema(raw.schema).option("enforceSchema", False).csv(root)
     missing = [c for c in (input_col, output_col) if c not in raw.columns]
     if missing:
         raise KeyError(f"CSV must contain columns {input_col!r}, {output_col!r}; missing {missing}")

@@ -47,7 +47,7 @@ def test_v2_and_template_and_replacement_assets(spark):
     v2 = assets.v2_rules(['{"raw_func":"BP","when":{"enable":0,"type":-1},"new_func":"mode","args":{"target":"AI_MODE"}}', ""])
     assert v2[0][1:3] == ("BP", "mode") and v2[0][4][0] == ("enable", 1, "n:0")
     tm = assets.template_map_rules({"function_map": {"function_BP": [{"when": {"enable": 1}, "new_name": "mode_off", "args": {"mode": "{code}"}}], "reverse_by_name": {}}})
-    assert tm[0]["code"] == "BP" and tm[0]["out"] == [(1, "mode", "{code}")]
+    assert tm[0]["code"] == "BP" and tm[0]["out"] == [(1, "mode", "{code}", "str")]
     assert assets.template_rules_frame(spark, tm).count() == 1
     d = _tmp("cw-rules-")
     with open(f"{d}/m.jsonl", "w", encoding="utf-8") as f:
@@ -141,3 +141,68 @@ def test_strict_types_keep_bool_and_int_apart(spark):
     got_strict = {r["row_id"]: r["map_func"] for r in rules_op.convert_calls(calls, rules_op.rules_from_conditions(strict), strict_types=True).collect()}
     assert got_loose == {1: "on", 2: "on"}
     assert got_strict == {1: "", 2: "on"}
+
+
+def _write(folder, name, text):
+    import os
+
+    path = f"{folder}/{name}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_json_array_violations_and_odd_file_names(spark):
+    d = _tmp("cw-json-")
+    rows = (
+        '[{"user": " a ", "assistant": {"b": 1}}, {"user": "t", "assistant": "{\\"c\\": 2}"}, {"user": 5, "assistant": {}},'
+        ' {"user": "x", "assistant": [1]}, {"user": "x", "assistant": 7}, {"user": "x"}, {"assistant": {}}, {"user": "x", "assistant": "{"}]'
+    )
+    _write(d, "json/a b+(1).json", rows)
+    got = [(r["user"], r["assistant"], r["error"]) for r in readers.read_json_arrays(spark, d).orderBy("src_pos").collect()]
+    assert got[:2] == [("a", '{"b":1}', None), ("t", '{"c":2}', None)]
+    assert [e for _, _, e in got[2:]] == [
+        "user is no text",
+        "assistant is neither an object nor text",
+        "assistant is neither an object nor text",
+        "missing key assistant",
+        "missing key user",
+        "invalid assistant JSON",
+    ]
+    assert readers.read_json_arrays(spark, d, "json/a b+(1).json").count() == 8
+    assert readers.read_json_arrays(spark, d, "json/a b+1.json").count() == 0
+
+
+def test_swapped_csv_headers_fail_instead_of_mixing_columns(spark):
+    d = _tmp("cw-csv-")
+    _write(d, "csv/1.csv", 'input,output_json\nhello,"{""a"": 1}"\n')
+    assert [(r["user"], r["assistant"]) for r in readers.read_labelled_csv(spark, d).collect()] == [("hello", '{"a":1}')]
+    _write(d, "csv/2.csv", 'output_json,input\n"{""a"": 2}",bye\n')
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_labelled_csv(spark, d).collect()
+
+
+def test_template_values_keep_their_type(spark):
+    doc = {"function_BP": [{"when": {"m": "__ANY__"}, "new_name": "never"}, {"when": {"a": "*"}, "new_name": "set", "args": {"lvl": 3, "on": True, "r": 1.5, "no": None, "l": [1], "t": "{{{a}}} {code}", "u": "{zz}"}}]}
+    rules = assets.template_rules_frame(spark, assets.template_map_rules(doc))
+    df = spark.createDataFrame([("<function_BP>(a={b}, b=1)",), ("<function_BP>(a=1, code=X)",)], "t string")
+    got = [r["mapped_json"] for r in rules_op.map_rows_template(df, "t", rules).collect()]
+    head = '[{"functionName":"set","arguments":{"lvl":3,"on":true,"r":1.5,"no":null,"l":[1],"t":'
+    assert got == [head + '"{{b}} BP","u":"{zz}"}}]', head + '"{1} X","u":"{zz}"}}]']
+
+
+def test_function_section_hints_order_and_empty_function(spark):
+    from callwright.operators import prompts
+
+    doc = {
+        "functions": [
+            {"name": "zeta", "description": "d", "args": [{"name": "v", "type": "int", "minimum": 0, "max": 9, "enum": ["a", "b"]}, {"name": "p", "pattern": "x+"}, {"name": "n"}]},
+            {"name": "alpha", "parameters": {}},
+        ]
+    }
+    text = prompts.functions_section(prompts.function_blocks(assets.spec_frame(spark, doc))).first()["section"]
+    assert text.split("Available functions:\n")[1] == (
+        "- zeta: d\n  arguments (object):\n    - v:  a/b min=0 max=9\n    - p:  pattern=x+\n    - n:\n"
+        '  example: {"name": "zeta", "arguments": {"v": "...", "p": "...", "n": "..."}}\n'
+        '- alpha:\n  (no parameters)\n  example: {"name": "alpha", "arguments": {}}'
+    )
