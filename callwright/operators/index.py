@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .broadcast import fits_broadcast
 from ..session import checkpoint_dir
 
 ROWS_PER_BUCKET = 2_000_000
@@ -67,9 +68,9 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buc
     group_cols, order_cols = list(group_cols), list(order_cols)
     indexed = global_index(df, group_cols + order_cols, "_gidx", buckets)
     starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
-    # one row per group: broadcast it when the group count is small (checked), so a hot group's
+    # one row per group: broadcast it when rows and bytes are small (checked), so a hot group's
     # rows are never shuffled to one task; beyond the bound the join is a shuffle join whose
     # skewed partitions AQE splits (spark.sql.adaptive.skewJoin.enabled)
-    if starts.count() <= MAX_BROADCAST_GROUPS:
+    if fits_broadcast(starts, MAX_BROADCAST_GROUPS):
         starts = F.broadcast(starts)
     return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")

@@ -2,7 +2,7 @@
 
 Rules are small assets.  They are grouped to one ordered array per function code
 and joined to the calls by code; the join broadcasts the rule side only after its
-row count is checked (``bounded_broadcast``), otherwise it is a plain shuffle join.
+rows and bytes are checked (``bounded_broadcast``), otherwise it is a plain shuffle join.
 Inside a call row the first matching rule is ``get(filter(rules, r -> ...), 0)``:
 first match in file order, every condition key present and equal (D1 equality key)
 or a wildcard.  No call is shuffled for a broadcast match.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .broadcast import fits_broadcast
 from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, json_string
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
@@ -20,14 +21,14 @@ MAX_BROADCAST_RULES = 200_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Broadcast hint only when the row count is proven small; otherwise leave the join to Spark.
+    """Broadcast hint only when row count and bytes are proven small; otherwise leave the join to Spark.
 
-    The side is persisted before it is counted, so an aggregate (one row per group) is computed
-    once for the count and the join, not twice."""
+    The side is persisted before it is measured, so an aggregate (one row per group) is computed
+    once for the measure and the join, not twice."""
     from pyspark import StorageLevel
 
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(kept) if fits_broadcast(kept, max_rows) else kept
 
 
 def rules_from_conditions(conds: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, d
     from ..functions.args import parse_args
     from ..functions.tags import extract_calls
 
-    if template_rules.count() > MAX_BROADCAST_RULES:
+    if not fits_broadcast(template_rules, MAX_BROADCAST_RULES):
         # too many rules for one broadcast row: match per call through the (shuffle) join path
         from ..functions.args import with_args
         from .calls import calls_table

@@ -158,3 +158,11 @@ def test_index_does_not_depend_on_the_cache(spark):
     spark.catalog.clearCache()
     assert out.selectExpr("count(distinct i)", "min(i)", "max(i)").first()[:] == (60_000, 0, 59_999)
     df.unpersist()
+
+
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    from callwright.operators.broadcast import fits_broadcast
+
+    df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "`a.b` int, t string")
+    assert fits_broadcast(df, 2) and not fits_broadcast(df, 1) and not fits_broadcast(df, 2, 500)
+    assert fits_broadcast(df.filter("t = 'none'"), 0)
