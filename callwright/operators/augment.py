@@ -2,9 +2,11 @@
 
 Rule-composed augmentation is a fold over the (small, driver-side) rule list inside
 each row: ``aggregate(rules, [v], (acc, r) -> flatten(transform(acc, v -> [v] ++ variants(v, r))))``.
-Variants stay inside the row until the final ``posexplode``; no shuffle.  The fan-out of
-a row is the product of (1 + |sr|) over its applicable rules: ``max_expansions`` caps the
-working list after every rule exactly as the reference does (off by default).
+The fan-out of a row is the product of (1 + |sr|) over its applicable rules: ``max_expansions``
+caps the working list after every rule exactly as the reference does (off by default).
+``augment`` folds as many rules inside a row as a bound on that product allows, so a short rule
+list needs no shuffle; a longer one is exploded between groups of rules, then cleared of repeats
+and numbered by key, and no row ever holds the whole product.
 
 Template expansion joins formats to slot values slot by slot (one join per slot
 position); a slot with many values is a join partner, never a collected array.
@@ -37,8 +39,9 @@ def apply_rule(text: Column, ori: Column, rep: Column) -> Column:
     return F.aggregate(ori, text, lambda t, o: F.replace(t, o, rep))
 
 
-def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = True, max_expansions: int | None = None) -> DataFrame:
-    """``variants`` = ARRAY<STRUCT<target cols>> per row, first-occurrence order, de-duplicated."""
+def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = True, max_expansions: int | None = None, distinct: bool = True) -> DataFrame:
+    """``variants`` = ARRAY<STRUCT<target cols>> per row, first-occurrence order, de-duplicated
+    unless ``distinct`` is off."""
     targets = list(target_cols)
     r = _rules_literal(rules)
     start = F.array(F.struct(*[F.col(c).cast("string").alias(c) for c in targets]))
@@ -60,7 +63,7 @@ def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = Tru
     working = F.col("_state.vs")
     kept = working if keep_original else F.slice(working, 2, F.greatest(F.size(working) - 1, F.lit(0)))
     # ``capped`` marks rows whose working list was cut by max_expansions after some rule
-    return staged.withColumn("variants", F.array_distinct(kept)).withColumn("capped", F.col("_state.capped")).drop("_state")
+    return staged.withColumn("variants", F.array_distinct(kept) if distinct else kept).withColumn("capped", F.col("_state.capped")).drop("_state")
 
 
 def capped_report(expanded: DataFrame) -> DataFrame:
@@ -72,11 +75,53 @@ def explode_variants(df: DataFrame, id_col: str, use_suffix: bool = True) -> Dat
     """One row per variant; variant 0 keeps the id, variant i>0 becomes ``<id>-R<i>``."""
     # posexplode_outer + null filter: avoids the inferred size(variants) > 0 filter that would run the fold twice
     ex = df.select("*", F.posexplode_outer("variants").alias("variant_idx", "_v")).filter(F.col("_v").isNotNull()).drop("variants")
-    label = F.col(id_col).cast("string")
-    if use_suffix:
-        label = F.when(F.col("variant_idx") == 0, label).otherwise(F.concat(label, F.lit("-R"), F.col("variant_idx").cast("string")))
     fields = [f.name for f in df.schema["variants"].dataType.elementType.fields]
-    return ex.select(*[c for c in ex.columns if c not in fields + ["_v"]], *[F.col("_v")[c].alias(c) for c in fields]).withColumn("index_label", label)
+    return ex.select(*[c for c in ex.columns if c not in fields + ["_v"]], *[F.col("_v")[c].alias(c) for c in fields]).withColumn("index_label", _label(id_col, use_suffix))
+
+
+def _label(id_col: str, use_suffix: bool) -> Column:
+    label = F.col(id_col).cast("string")
+    if not use_suffix:
+        return label
+    return F.when(F.col("variant_idx") == 0, label).otherwise(F.concat(label, F.lit("-R"), F.col("variant_idx").cast("string")))
+
+
+MAX_IN_ROW = 4096
+
+
+def rule_groups(rules, max_in_row: int = MAX_IN_ROW) -> list[list]:
+    """Consecutive rules whose product of (1 + |sr|) stays within the bound (at least one rule each)."""
+    groups, product = [], max_in_row + 1
+    for rule in sorted(rules):
+        fan_out = 1 + len(rule[2])
+        if product * fan_out > max_in_row:
+            groups.append([])
+            product = 1
+        groups[-1].append(rule)
+        product *= fan_out
+    return groups or [[]]
+
+
+def augment(df: DataFrame, id_col: str, target_cols, rules, keep_original: bool = True, use_suffix: bool = True, max_in_row: int = MAX_IN_ROW) -> DataFrame:
+    """G1 + P31 without a cap: one row per different variant, numbered in the order of the rule choices.
+
+    ``id_col`` must tell the rows of ``df`` apart.  Between groups of rules the variants are exploded
+    with the path of their positions, which orders them as the choices do."""
+    groups, targets = rule_groups(rules, max_in_row), list(target_cols)
+    if len(groups) == 1:
+        return explode_variants(expand_variants(df, targets, groups[0], keep_original), id_col, use_suffix).drop("capped")
+    rest = [c for c in df.columns if c not in targets]
+    cur = df.withColumn("_path", F.array().cast("array<int>"))
+    for group in groups:
+        # a rule may give back the original text: while only the untouched original is to go, such variants keep their own path
+        cur = explode_variants(expand_variants(cur, targets, group, distinct=keep_original), id_col, False).withColumn("_path", F.concat("_path", F.array("variant_idx")))
+        cur = cur.select(*rest, *targets, "_path")
+    if not keep_original:
+        cur = cur.filter(F.exists("_path", lambda p: p > 0))
+    firsts = cur.groupBy(id_col, *targets).agg(F.min("_path").alias("_path"))
+    ranked = rank_in_group(firsts, [id_col], ["_path"], "_rank").withColumn("variant_idx", (F.col("_rank") - 1).cast("int")).drop("_rank", "_path")
+    back = ranked.join(df.select(*rest), id_col)
+    return back.select(*rest, *targets, "variant_idx", _label(id_col, use_suffix).alias("index_label"))
 
 
 def expansion_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -166,8 +211,10 @@ def slot_type(slot) -> Column:
 
 def blocks_from_named_datas(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The alternative template shape ``{name, datas: ["<a> <b>"], tags: [{tag_name, word: [..]}]}``
-    -> (formats, tags) in the shape ``expand_templates`` / ``merge_tags`` take; block = row order."""
-    blocks = df.withColumn("block", F.monotonically_increasing_id())
+    -> (formats, tags) in the shape ``expand_templates`` / ``merge_tags`` take.  A column ``block`` gives the
+    order of the blocks; without one they are told apart by a hash of their content, which is the same in
+    both results however often the source is read (two equal blocks are one)."""
+    blocks = df if "block" in df.columns else df.withColumn("block", F.xxhash64("name", F.to_json("datas"), F.to_json("tags")))
     formats = blocks.select("block", F.col("name").alias("fname"), F.posexplode("datas").alias("fmt_pos", "fmt")).withColumn("fmt_pos", F.col("fmt_pos") + 1)
     tags = (
         blocks.select("block", F.explode("tags").alias("t"))

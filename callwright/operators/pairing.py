@@ -13,6 +13,8 @@ is one equi self-join on the position.
 """
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,28 @@ def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function"
     return ranked.join(sizes, "func_name").withColumn("in_pool", F.col("_r") <= F.floor(F.col("_n") / 2)).drop("_r", "_n")
 
 
-def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42):
-    """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired."""
+class PoolPlan(NamedTuple):
+    """Group sizes of the pool (one row per function), the distance between partners and the number of pairs."""
+
+    sizes: DataFrame
+    offset: int
+    pairs: int
+
+
+def pool_plan(sampled: DataFrame) -> PoolPlan:
     pool = sampled.filter("in_pool")
     sizes = bounded_broadcast(pool.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize")), 1_000_000)  # one row per function
     stats = sizes.agg(F.sum("gsize").alias("n"), F.max("gsize").alias("m")).first()
     n, m = int(stats["n"] or 0), int(stats["m"] or 0)
     h = n // 2
-    offset, pairs = (h, h) if m <= h else (m, n - m)
+    return PoolPlan(sizes, h, h) if m <= h else PoolPlan(sizes, m, n - m)
+
+
+def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42, plan: PoolPlan | None = None):
+    """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired.
+    ``plan`` is the pool's ``pool_plan`` where the caller has it already."""
+    pool = sampled.filter("in_pool")
+    sizes, offset, pairs = plan or pool_plan(sampled)
     ordered = global_index(pool.join(sizes, "func_name").withColumn("_neg", -F.col("gsize")), ["_neg", "func_name", "_k", id_col], "pos")
     cols = [c for c in sampled.columns if c not in ("in_pool",)]
     a = ordered.filter(F.col("pos") < pairs).select(F.col("pos").alias("pair_no"), *[F.col(c).alias("a_" + c) for c in cols])
@@ -86,6 +102,12 @@ def singles(sampled: DataFrame, leftovers: DataFrame, n_pairs: int, id_col: str
     )
 
 
-def pairing_report(pairs: DataFrame, singles_df: DataFrame) -> DataFrame:
-    """Pairs and singles counts."""
-    return pairs.select(F.lit("pairs").alias("kind")).unionByName(singles_df.select(F.lit("singles").alias("kind"))).groupBy("kind").count()
+def pairing_report(df: DataFrame, func_col: str = "function") -> DataFrame:
+    """Number of pairs and singles, from the group sizes alone: half of each group is pooled, the pool
+    gives as many pairs as halves or as partners of its largest group, all other rows stay single."""
+    sizes = df.select(func_from_cell(F.col(func_col)).alias("func_name")).filter(F.col("func_name") != "").groupBy("func_name").agg(F.count(F.lit(1)).alias("n"))
+    half = F.floor(F.col("n") / 2)
+    total = sizes.agg(*[F.coalesce(x, F.lit(0)).alias(a) for x, a in ((F.sum("n"), "rows"), (F.sum(half), "pool"), (F.max(half), "largest"))])
+    pairs = F.least(F.floor(F.col("pool") / 2), F.col("pool") - F.col("largest"))
+    kinds = [F.struct(F.lit(kind).alias("kind"), count.cast("bigint").alias("count")) for kind, count in (("pairs", pairs), ("singles", F.col("rows") - 2 * pairs))]
+    return total.select(F.inline(F.array(*kinds)))

@@ -32,10 +32,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_RULES) -> Dat
 
 
 def rules_from_conditions(conds: DataFrame) -> DataFrame:
-    """``(seq, code, map_func, map_enum, k, k_pos, expect)`` rows to one row per rule with its
-    ordered ``when`` array; a rule without conditions has an empty array."""
-    cond = F.when(F.col("k").isNotNull(), F.struct(F.col("k_pos").alias("k_pos"), F.col("k").alias("key"), F.col("expect").alias("expect")))
-    return conds.groupBy("seq", "code", "map_func", "map_enum").agg(F.sort_array(F.collect_list(cond)).alias("when"))
+    """``(seq, code, map_func, map_enum, k, k_pos, expect, value, vtype[, out])`` rows to one row per rule with
+    its ordered ``when`` array; a rule without conditions has an empty array.  ``expect`` is the equality
+    key, ``value`` and ``vtype`` are what the rule says; ``out`` (argument array) is carried along."""
+    cond = F.when(F.col("k").isNotNull(), F.struct("k_pos", F.col("k").alias("key"), "expect", "value", "vtype"))
+    extra = ["out"] if "out" in conds.columns else []
+    return conds.groupBy("seq", "code", "map_func", "map_enum", *extra).agg(F.sort_array(F.collect_list(cond)).alias("when"))
 
 
 def rules_by_code(rules: DataFrame, extra=()) -> DataFrame:
@@ -264,23 +266,26 @@ def per_row_json_list(mapped: DataFrame, source: DataFrame, keys=("row_id",)) ->
 def substitute(calls: DataFrame, rules: DataFrame, direction: str = "forward") -> DataFrame:
     """J4 / J5 on calls with ``func`` / ``args``.
 
-    forward: raw code + ``when`` subset -> (map_func, {enum: map_enum})
-    reverse: (map_func, args containing enum=map_enum) -> (code, when) with wildcards written back
-    as literal '*'.  Unmatched calls pass through unchanged.
+    forward: raw code + ``when`` subset -> (map_func, the rule's ``out`` arguments, {enum: map_enum} without any)
+    reverse: (map_func, args containing these) -> (code, when), values with the types of the rule and
+    wildcards written back as literal '*'.  Unmatched calls pass through unchanged.
     """
+    if direction not in ("forward", "reverse"):
+        raise ValueError("direction must be 'forward' or 'reverse'")
+    if "out" not in rules.columns:
+        rules = rules.withColumn("out", F.array(str_arg("enum", F.col("map_enum"))).cast(ARGS_TYPE))
     if direction == "forward":
-        m = match_calls(calls, rules, WILDCARDS_CONVERT)
+        m = match_calls(calls, rules, WILDCARDS_CONVERT, extra=("out",))
         out_func = F.coalesce(F.col("rule.map_func"), F.col("func"))
-        out_args = F.when(F.col("rule").isNotNull(), F.array(str_arg("enum", F.col("rule.map_enum")))).otherwise(F.col("args"))
+        out_args = F.when(F.col("rule").isNotNull(), F.col("rule.out")).otherwise(F.col("args"))
         return m.withColumn("out_func", out_func).withColumn("out_args", out_args).drop("rule")
-    if direction != "reverse":
-        raise ValueError("direction must be 'forward' or 'reverse'")
+    wild = lambda a: (a["vtype"] == "str") & a["canon"].isin(*WILDCARDS_CONVERT)
     rev = rules.select(
         "seq",
         F.col("map_func").alias("code"),
         F.col("code").alias("map_func"),
         F.lit("").alias("map_enum"),
-        F.array(F.struct(F.lit(1).alias("k_pos"), F.lit("enum").alias("key"), F.concat(F.lit("s:"), F.col("map_enum")).alias("expect"))).alias("when"),
+        F.transform("out", lambda a, i: F.struct((i + 1).alias("k_pos"), a["key"].alias("key"), F.when(wild(a), a["canon"]).otherwise(a["cmp"]).alias("expect"))).alias("when"),
         F.col("when").alias("back"),
     )
     m = match_calls(calls, rev, WILDCARDS_CONVERT, extra=("back",))
@@ -288,10 +293,10 @@ def substitute(calls: DataFrame, rules: DataFrame, direction: str = "forward") -
         F.col("rule.back"),
         lambda w: F.struct(
             w["key"].alias("key"),
-            F.when(w["expect"].isin(*WILDCARDS_CONVERT), w["expect"]).otherwise(F.substr(w["expect"], F.lit(3))).alias("raw"),
-            F.when(w["expect"].isin(*WILDCARDS_CONVERT), F.lit("str")).when(w["expect"].startswith("n:"), F.lit("int")).otherwise(F.lit("str")).alias("vtype"),
-            F.when(w["expect"].isin(*WILDCARDS_CONVERT), w["expect"]).otherwise(F.substr(w["expect"], F.lit(3))).alias("canon"),
-            w["expect"].alias("cmp"),
+            w["value"].alias("raw"),
+            w["vtype"].alias("vtype"),
+            w["value"].alias("canon"),
+            F.when(w["expect"].isin(*WILDCARDS_CONVERT), F.concat(F.lit("s:"), w["value"])).otherwise(w["expect"]).alias("cmp"),
         ),
     )
     out_func = F.coalesce(F.col("rule.map_func"), F.col("func"))

@@ -185,7 +185,7 @@ def q_function_spec_inference(spark, sf_dir):
 
 # ---------------------------------------------------------------- calls (B1)
 
-from ..functions.args import args_text, with_args  # noqa: E402
+from ..functions.args import args_json, args_text, with_args  # noqa: E402
 from ..functions.tags import first_call  # noqa: E402
 from ..operators import calls as calls_op  # noqa: E402
 from ..operators import rules as rules_op  # noqa: E402
@@ -224,23 +224,23 @@ def q_parse_args_lenient(spark, sf_dir):
     return calls_op.call_args_table(_calls(spark, sf_dir), "lenient")
 
 
-@register("args_profile_dialect")
+@register("args_profile_dialect", _args_oracle("profile"))
 def q_args_profile_dialect(spark, sf_dir):
-    """Rows-only: the quote/paren-aware profile dialect over every tagged call (no oracle)."""
+    """The quote/paren-aware profile dialect over every tagged call."""
     return calls_op.call_args_table(_calls(spark, sf_dir), "profile")
 
 
 FC_FULL = r"<\s*function_([A-Za-z0-9]+)\s*>\s*\(([^\n]*?)\)\s*(?:<\s*end\s*>\s*)?$"
 FC_LOOSE = r"<\s*function_([A-Za-z0-9]+)\s*>\s*(?:\(([^\n]*?)\))?"
-FIRST_CALL_SQL = o.with_(
-    o.TAGGED,
+FIRST_CALL_BLOCKS = ",\n".join([
     f"""fc0 AS (SELECT row_id, {o.strip(f"split_part({o.strip('llm_output')}, ';', 1)")} AS t FROM tagged)""",
     f"""fc AS (SELECT row_id, 1 AS pos,
         CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 1) ELSE regexp_extract(t, '{FC_LOOSE}', 1) END AS fname,
         CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 2) ELSE regexp_extract(t, '{FC_LOOSE}', 2) END AS raw_args
       FROM fc0 WHERE regexp_matches(t, '{FC_LOOSE}'))""",
     o.typed_args("fargs", "fc", "row_id, pos", "lenient"),
-) + """SELECT f.row_id, 'function_' || f.fname AS name, f.raw_args,
+])
+FIRST_CALL_SQL = o.with_(o.TAGGED, FIRST_CALL_BLOCKS) + """SELECT f.row_id, 'function_' || f.fname AS name, f.raw_args,
    coalesce((SELECT string_agg(a.key || '=' || a.canon, ', ' ORDER BY a.arg_pos) FROM fargs a WHERE a.row_id = f.row_id), '') AS args_text
 FROM fc f"""
 
@@ -313,7 +313,7 @@ def q_emit_message_expected(spark, sf_dir):
     return rules_op.message_expected(_converted(spark, sf_dir))
 
 
-TEMPLATE_ORACLE = (
+TEMPLATE_HEAD = (
     o.with_(
         o.TAGGED,
         o.CALLS,
@@ -330,6 +330,11 @@ TEMPLATE_ORACLE = (
              '{location}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'location'), '{location}')),
              '{volume}', coalesce((SELECT canon FROM cargs a WHERE a.row_id = b.row_id AND a.pos = b.pos AND a.key = 'volume'), '{volume}')),
              '{{', chr(1)), '}}', chr(2)) AS v) x)
+"""
+)
+TEMPLATE_ORACLE = (
+    TEMPLATE_HEAD
+    + """
 SELECT c.row_id, c.pos, c.func, c.raw_args,
   CASE WHEN b.seq IS NOT NULL THEN
     '{"functionName":' || CAST(to_json(coalesce(nullif((SELECT DISTINCT map_func FROM rule_conditions r WHERE r.seq = b.seq), ''), c.func)) AS VARCHAR)
@@ -396,7 +401,7 @@ REVERSE_ORACLE = (
     + """, rev_rule AS (
   SELECT map_func, map_enum, min(seq) AS seq FROM rule_conditions GROUP BY map_func, map_enum),
 rev_when AS (
-  SELECT seq, coalesce(string_agg(k || '=' || CASE WHEN expect IN ('*', '__ANY__') THEN expect ELSE substr(expect, 3) END, ', ' ORDER BY k_pos), '') AS txt
+  SELECT seq, coalesce(string_agg(k || '=' || value, ', ' ORDER BY k_pos), '') AS txt
   FROM rule_conditions GROUP BY seq)
 SELECT f.row_id, f.pos, coalesce(rc.code, f.out_func) AS out_func, CASE WHEN rc.code IS NOT NULL THEN w.txt ELSE f.out_args END AS out_args
 FROM fwd f
@@ -413,6 +418,43 @@ def q_substitute_reverse(spark, sf_dir):
     return rev.select("row_id", "pos", "out_func", args_text(F.col("out_args")).alias("out_args"))
 
 
+def _json_args(name: str, value: str, vtype: str) -> str:
+    """Compact JSON members of argument rows (typed text) as one SQL expression."""
+    typed = f"CASE {vtype} WHEN 'str' THEN CAST(to_json({value}) AS VARCHAR) WHEN 'bool' THEN lower({value}) WHEN 'none' THEN 'null' ELSE {value} END"
+    return f"CAST(to_json({name}) AS VARCHAR) || ':' || {typed}"
+
+
+V2_ORACLE = (
+    RULE_ORACLE_HEAD
+    + ", v2out AS (" + fx.V2_OUT_SQL + f"""),
+fwd AS (
+  SELECT c.row_id, c.pos, b.seq, CASE WHEN b.seq IS NULL THEN c.func ELSE (SELECT DISTINCT map_func FROM rule_conditions r WHERE r.seq = b.seq) END AS fwd_func,
+    '{{' || coalesce(CASE WHEN b.seq IS NULL
+      THEN (SELECT string_agg({_json_args('a.key', 'a.canon', 'a.vtype')}, ',' ORDER BY a.arg_pos) FROM cargs a WHERE a.row_id = c.row_id AND a.pos = c.pos)
+      ELSE (SELECT string_agg({_json_args('v.key', 'v.value', 'v.vtype')}, ',' ORDER BY v.pos) FROM v2out v WHERE v.seq = b.seq) END, '') || '}}' AS fwd_args
+  FROM calls c LEFT JOIN best b USING (row_id, pos)),
+back AS (
+  SELECT s.seq, min(t.seq) AS back_seq FROM (SELECT DISTINCT seq, map_func FROM rule_conditions) s JOIN (SELECT DISTINCT seq, map_func FROM rule_conditions) t USING (map_func)
+  WHERE NOT EXISTS (SELECT 1 FROM v2out w WHERE w.seq = t.seq AND NOT EXISTS (
+    SELECT 1 FROM v2out v WHERE v.seq = s.seq AND v.key = w.key AND (w.value = '*' OR v.cmp = w.cmp)))
+  GROUP BY s.seq)
+SELECT f.row_id, f.pos, f.fwd_func, f.fwd_args, coalesce((SELECT DISTINCT code FROM rule_conditions r WHERE r.seq = k.back_seq), f.fwd_func) AS back_func,
+  CASE WHEN k.back_seq IS NULL THEN f.fwd_args ELSE '{{' || coalesce((SELECT string_agg({_json_args('r.k', 'r.value', 'r.vtype')}, ',' ORDER BY r.k_pos)
+    FROM rule_conditions r WHERE r.seq = k.back_seq AND r.k IS NOT NULL), '') || '}}' END AS back_args
+FROM fwd f LEFT JOIN back k ON k.seq = f.seq"""
+)
+
+
+@register("substitute_v2", V2_ORACLE)
+def q_substitute_v2(spark, sf_dir):
+    rules = fx.v2_rules(spark)
+    keep = ["row_id", "pos", "fwd_func", "fwd_args"]
+    fwd = rules_op.substitute(_plain_calls(spark, sf_dir), rules, "forward").withColumn("fwd_args", rules_op.object_text(F.col("out_args")))
+    again = fwd.select("row_id", "pos", F.col("out_func").alias("fwd_func"), "fwd_args", F.col("out_func").alias("func"), F.col("out_args").alias("args"))
+    back = rules_op.substitute(again, rules, "reverse")
+    return back.select(*keep, F.col("out_func").alias("back_func"), rules_op.object_text(F.col("out_args")).alias("back_args"))
+
+
 @register(
     "group_by_query",
     o.with_(o.TAGGED, o.CALLS)
@@ -664,28 +706,44 @@ def q_arg_compare_policy(spark, sf_dir):
 
 @register(
     "expected_any_of",
-    TEMPLATE_ORACLE.replace("\nFROM calls c LEFT JOIN best b USING (row_id, pos)", "\nFROM calls c LEFT JOIN best b USING (row_id, pos)), percall AS (SELECT * FROM mapped_calls", 1)
-    .replace("SELECT c.row_id, c.pos, c.func, c.raw_args,\n  CASE WHEN b.seq IS NOT NULL THEN", ", mapped_calls AS (SELECT c.row_id, c.pos, c.func, c.raw_args,\n  CASE WHEN b.seq IS NOT NULL THEN", 1)
-    + f"""),
-lists AS (SELECT row_id, '[' || string_agg(mapped, ',' ORDER BY pos) || ']' AS expected_json FROM percall GROUP BY row_id),
-fc0 AS (SELECT row_id, {o.strip(f"split_part({o.strip('llm_output')}, ';', 1)")} AS t FROM tagged),
-fc AS (SELECT row_id, CASE WHEN regexp_matches(t, '{FC_FULL}') THEN regexp_extract(t, '{FC_FULL}', 1) ELSE regexp_extract(t, '{FC_LOOSE}', 1) END AS pname
-       FROM fc0 WHERE regexp_matches(t, '{FC_LOOSE}'))
-SELECT f.row_id, f.pname AS predicted, coalesce(list_contains(json_extract_string(l.expected_json, '$[*].functionName'), f.pname), false) AS any_match
-FROM fc f LEFT JOIN lists l USING (row_id)""",
+    TEMPLATE_HEAD
+    + f""", cand AS (
+  SELECT c.row_id, c.pos,
+    CASE WHEN b.seq IS NULL THEN c.func ELSE coalesce(nullif((SELECT DISTINCT map_func FROM rule_conditions r WHERE r.seq = b.seq), ''), c.func) END AS name,
+    coalesce(CASE WHEN b.seq IS NULL
+      THEN (SELECT string_agg({_json_args('a.key', 'a.canon', 'a.vtype')}, ',' ORDER BY a.key) FROM cargs a WHERE a.row_id = c.row_id AND a.pos = c.pos)
+      ELSE (SELECT string_agg({_json_args('f.name', 'f.val', 'f.vtype')}, ',' ORDER BY f.name) FROM filled f WHERE f.row_id = c.row_id AND f.pos = c.pos) END, '') AS args
+  FROM calls c LEFT JOIN best b USING (row_id, pos)),
+"""
+    + FIRST_CALL_BLOCKS
+    + f"""
+SELECT p.row_id, p.fname AS predicted, coalesce(bool_or(d.name = p.fname), false) AS any_name,
+  coalesce(bool_or(d.name = p.fname AND d.args = coalesce((SELECT string_agg({_json_args('a.key', 'a.canon', 'a.vtype')}, ',' ORDER BY a.key) FROM fargs a WHERE a.row_id = p.row_id), '')), false) AS any_match
+FROM fc p LEFT JOIN cand d USING (row_id) GROUP BY p.row_id, p.fname""",
 )
 def q_expected_any_of(spark, sf_dir):
     t = fx.tagged(spark, sf_dir)
     lists = rules_op.map_rows_template(t.select("row_id", "llm_output"), "llm_output", fx.template_rules(spark))
-    fc = lists.select("row_id", F.regexp_replace(first_call(F.col("llm_output"))["name"], "^function_", "").alias("predicted"), "mapped_json")
-    fc = fc.filter(F.col("predicted").isNotNull())
+    fc = lists.withColumn("fc", first_call(F.col("llm_output"))).filter(F.col("fc").isNotNull())
+    predicted = F.regexp_replace(F.col("fc.name"), "^function_", "")
+    fc = fc.select("row_id", predicted.alias("predicted"), F.to_json(F.parse_json(args_json(F.col("fc.args")))).alias("pred_args"), "mapped_json")
     fc = ev.with_expected_candidates(fc, "mapped_json", "candidates")
-    return fc.select("row_id", "predicted", ev.any_of(F.col("candidates"), F.col("predicted")).alias("any_match"))
+    name, args = F.col("predicted"), F.col("pred_args")
+    return fc.select("row_id", "predicted", ev.any_of(F.col("candidates"), name).alias("any_name"), ev.any_of(F.col("candidates"), name, args).alias("any_match"))
 
 
-@register("json_continuation_repair")
+# What each cut leaves: up to four characters are closed again, without the arguments' value nothing parses.
+CONTINUATION_ORACLE = (
+    o.with_(o.PREDS)
+    + """, cut AS (SELECT ex_id, substr(gold, 19, CAST(length(gold) - 18 - ex_id % 6 AS INTEGER)) AS cont, json_extract_string(gold, '$.calls[0].name') AS g FROM predictions)
+SELECT ex_id, cont, '{"functionName":"' || g || '","arguments":' || CASE WHEN ex_id % 6 < 5 THEN '{}}' ELSE '' END AS repaired, ex_id % 6 < 5 AS repaired_ok
+FROM cut"""
+)
+
+
+@register("json_continuation_repair", CONTINUATION_ORACLE)
 def q_json_continuation_repair(spark, sf_dir):
-    """Rows-only: gold texts cut after '{"calls":[{"name":' and truncated at several points, then closed."""
+    """Gold texts cut after '{"calls":[{"name":' and truncated at several points, then closed."""
     p = fx.predictions(spark, sf_dir)
     body = F.substr(F.col("gold"), F.lit(len('{"calls":[{"name":') + 1))
     cont = F.substr(body, F.lit(1), F.length(body) - (F.col("ex_id") % 6).cast("int"))
@@ -775,8 +833,8 @@ FROM dedup"""
 
 def _augmented(spark, sf_dir, keep_original):
     t = fx.tagged(spark, sf_dir)
-    v = aug.expand_variants(t, ["query", "llm_output"], fx.REPLACEMENT_RULES, keep_original=keep_original)
-    return aug.explode_variants(v, "row_id").select("row_id", "variant_idx", "index_label", "query", "llm_output")
+    v = aug.augment(t, "row_id", ["query", "llm_output"], fx.REPLACEMENT_RULES, keep_original=keep_original)
+    return v.select("row_id", "variant_idx", "index_label", "query", "llm_output")
 
 
 @register("augment_rules", _augment_oracle(True))
@@ -891,9 +949,9 @@ FROM al""",
 )
 def q_pair_singles(spark, sf_dir):
     sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
-    paired, left = pair_op.pair_pool(sampled, "row_id")
-    n_pairs = paired.count()
-    return pair_op.singles(sampled, left, n_pairs, "row_id")
+    plan = pair_op.pool_plan(sampled)
+    _, left = pair_op.pair_pool(sampled, "row_id", plan=plan)
+    return pair_op.singles(sampled, left, plan.pairs, "row_id")
 
 
 # ---------------------------------------------------------------- prompts
@@ -989,10 +1047,7 @@ SELECT 'pairs' AS kind, CAST((SELECT np FROM par) AS BIGINT) AS count
 UNION ALL SELECT 'singles' AS kind, CAST((SELECT n FROM singles) + (SELECT count(*) FROM ord) - 2 * (SELECT np FROM par) AS BIGINT) AS count""",
 )
 def q_pairing_report(spark, sf_dir):
-    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
-    paired, left = pair_op.pair_pool(sampled, "row_id")
-    pairs = pair_op.merge_pairs(paired)
-    return pair_op.pairing_report(pairs, pair_op.singles(sampled, left, paired.count(), "row_id"))
+    return pair_op.pairing_report(_pairing_input(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- prompt render (P26) and name buckets

@@ -48,15 +48,29 @@ WHERE role = 'user' AND next_role = 'assistant'
 # The conversion rules of the fixture.
 RULE_CONDITIONS_SQL = """
 SELECT * FROM (VALUES
- (1,'BP','mode_on','AI_Mode','enable',1,'n:0'),(1,'BP','mode_on','AI_Mode','type',2,'n:-1'),
- (2,'BP','mode_off','Outdoor','enable',1,'n:1'),(2,'BP','mode_off','Outdoor','type',2,'n:0'),
- (3,'GN','info','Personal_Info','get',1,'n:1'),
- (4,'GN','mode_off','Privacy_Mode','enable',1,'n:0'),
- (5,'ZV','swap_env','Volume','volume',1,'n:-1'),
- (6,'ZV','set_env','Volume','volume',1,'*'),
- (7,'IO','info','Air_Quality','timeframe',1,'n:0'),(7,'IO','info','Air_Quality','location',2,'*'),
- (8,'MR','talk','Default',CAST(NULL AS STRING),CAST(NULL AS INT),CAST(NULL AS STRING))
-) AS r(seq, code, map_func, map_enum, k, k_pos, expect)
+ (1,'BP','mode_on','AI_Mode','enable',1,'n:0','0','int'),(1,'BP','mode_on','AI_Mode','type',2,'n:-1','-1','int'),
+ (2,'BP','mode_off','Outdoor','enable',1,'n:1','1','int'),(2,'BP','mode_off','Outdoor','type',2,'n:0','0','int'),
+ (3,'GN','info','Personal_Info','get',1,'n:1','True','bool'),
+ (4,'GN','mode_off','Privacy_Mode','enable',1,'n:0','False','bool'),
+ (5,'ZV','swap_env','Volume','volume',1,'n:-1','-1','int'),
+ (6,'ZV','set_env','Volume','volume',1,'*','*','str'),
+ (7,'IO','info','Air_Quality','timeframe',1,'n:0','0','int'),(7,'IO','info','Air_Quality','location',2,'*','*','str'),
+ (8,'MR','talk','Default',CAST(NULL AS STRING),CAST(NULL AS INT),CAST(NULL AS STRING),CAST(NULL AS STRING),CAST(NULL AS STRING))
+) AS r(seq, code, map_func, map_enum, k, k_pos, expect, value, vtype)
+"""
+
+# Output arguments of v2 rules built on F3 (J4): typed values in the rule's order.
+# Argument values.
+V2_OUT_SQL = """
+SELECT * FROM (VALUES
+ (1,1,'target','AI_MODE','str','s:AI_MODE'),(1,2,'enable','on','str','s:on'),
+ (2,1,'target','OUTDOOR','str','s:OUTDOOR'),(2,2,'level','3','int','n:3'),
+ (3,1,'target','PERSONAL','str','s:PERSONAL'),(3,2,'private','True','bool','n:1'),
+ (4,1,'target','PERSONAL','str','s:PERSONAL'),(4,2,'private','False','bool','n:0'),
+ (5,1,'volume','1.5','float','n:1.5'),
+ (6,1,'volume','*','str','s:*'),
+ (7,1,'target','AIR','str','s:AIR')
+) AS t(seq, pos, key, value, vtype, cmp)
 """
 
 # Output arguments of the template map built on F3 (J2): the rule's new name is map_func.
@@ -245,6 +259,19 @@ def rule_conditions(spark: SparkSession) -> DataFrame:
     return spark.sql(RULE_CONDITIONS_SQL)
 
 
+def v2_rules(spark: SparkSession) -> DataFrame:
+    """The rules of F3 with the output arguments of F3c; rule 8 has none."""
+    from pyspark.sql import functions as F
+
+    from ..functions.args import ARGS_TYPE
+    from ..operators.rules import rules_from_conditions
+
+    arg = F.struct("pos", F.struct("key", F.col("value").alias("raw"), "vtype", F.col("value").alias("canon"), "cmp").alias("a"))
+    out = spark.sql(V2_OUT_SQL).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(arg)), lambda x: x["a"]).cast(ARGS_TYPE).alias("out"))
+    conds = rule_conditions(spark).join(out, "seq", "left").withColumn("out", F.coalesce("out", F.array().cast(ARGS_TYPE)))
+    return rules_from_conditions(conds)
+
+
 def template_rules(spark: SparkSession) -> DataFrame:
     """(seq, code, new_name, when, out) built from F3 and F3b."""
     from pyspark.sql import functions as F

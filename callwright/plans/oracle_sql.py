@@ -130,10 +130,23 @@ def lenient_typed(raw: str = "raw") -> tuple[str, str, str]:
     return vtype, canon, cmp
 
 
+def profile_typed(raw: str = "raw") -> tuple[str, str, str]:
+    """Case-sensitive True / False / None, numbers as written, one pair of outer quotes dropped."""
+    q = f"(length({raw}) >= 2 AND ((starts_with({raw}, '\"') AND ends_with({raw}, '\"')) OR (starts_with({raw}, '''') AND ends_with({raw}, ''''))))"
+    vtype = f"""CASE WHEN {raw} = 'None' THEN 'none' WHEN {raw} IN ('True', 'False') THEN 'bool'
+        WHEN strpos({raw}, '.') > 0 AND regexp_matches({raw}, '{FLOAT_RE}') THEN 'float'
+        WHEN strpos({raw}, '.') = 0 AND regexp_matches({raw}, '{INT_RE}') AND try_cast({raw} AS BIGINT) IS NOT NULL THEN 'int' ELSE 'str' END"""
+    canon = f"""CASE {vtype} WHEN 'int' THEN CAST(CAST({raw} AS BIGINT) AS VARCHAR) WHEN 'float' THEN CAST(CAST({raw} AS DOUBLE) AS VARCHAR)
+        WHEN 'str' THEN CASE WHEN {q} THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END ELSE {raw} END"""
+    cmp = f"""CASE {vtype} WHEN 'bool' THEN CASE {raw} WHEN 'True' THEN 'n:1' ELSE 'n:0' END WHEN 'int' THEN 'n:' || {canon}
+        WHEN 'float' THEN 'n:' || {canon} ELSE 's:' || {canon} END"""
+    return vtype, canon, cmp
+
+
 def typed_args(name: str, src: str, keys: str, dialect: str) -> str:
     """(keys, arg_pos, key, raw, vtype, canon, cmp) for the rows of ``src`` with column raw_args."""
     split_name = f"{name}_kv"
-    typer = {"plain": plain_typed, "quoted": quoted_typed, "lenient": lenient_typed}[dialect]
+    typer = {"plain": plain_typed, "quoted": quoted_typed, "lenient": lenient_typed, "profile": profile_typed}[dialect]
     v, c, m = typer("raw")
     return (
         kv_split(src, split_name, "raw_args", keys, require_eq=(dialect != "lenient"))

@@ -7,10 +7,12 @@ keeps each file in one partition in file order.
 """
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.args import pystrip
 from ..functions.jsontext import json_with_repair, strict_json
@@ -73,34 +75,59 @@ def read_json_arrays(spark: SparkSession, root: str, pattern: str = "json/*.json
     return df.select("src_kind", "src_file", "src_pos", text.alias("user"), F.to_json(parsed).alias("assistant"), err.alias("error"))
 
 
-def read_labelled_csv(spark: SparkSession, root: str, pattern: str = "csv/*.csv", input_col: str = "input", output_col: str = "output_json", repair: bool = False) -> DataFrame:
-    """CSV with header; both cells trimmed; rows with either empty are skipped; bad JSON is an
-    error unless repair (P2) fixes it.
+def csv_files(spark: SparkSession, root: str, name_glob: str = "*.csv", recursive: bool = False) -> list[tuple[list[str], DataFrame]]:
+    """CSV files grouped by their header line: (column names, rows with these columns as text) per header.
 
-    Spark maps cells by position, so a file whose header differs from the first one's fails the read
-    instead of filling the wrong columns; read such files by themselves.
+    Every file is read by its own header.  The headers come from one distributed pass; only the different
+    headers and the file names reach the driver.  A line with more cells than the header is skipped, missing
+    cells are null.  Names must stand on one line; a byte-order mark is dropped; bytes that are not UTF-8
+    become the replacement character.
     """
-    source = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _name_glob(pattern, "*.csv"))
-    )
-    raw = source.csv(root)
-    raw = source.schema(raw.schema).option("enforceSchema", False).csv(root)
-    missing = [c for c in (input_col, output_col) if c not in raw.columns]
-    if missing:
-        raise KeyError(f"CSV must contain columns {input_col!r}, {output_col!r}; missing {missing}")
-    df = _glob_filter(_with_order(raw, 1), pattern)
-    user = pystrip(F.coalesce(F.col(input_col), F.lit("")))
-    out = pystrip(F.coalesce(F.col(output_col), F.lit("")))
-    df = df.withColumn("_u", user).withColumn("_o", out).filter((F.col("_u") != "") & (F.col("_o") != ""))
-    parsed = json_with_repair(F.col("_o"), repair)
-    return df.select(
-        "src_kind", "src_file", "src_pos", F.col("_u").alias("user"), F.to_json(parsed).alias("assistant"),
-        F.when(parsed.isNull(), F.lit("invalid JSON in output column")).alias("error"),
-    )
+    text = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", name_glob).text(root)
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).withColumn("line", F.monotonically_increasing_id())
+    firsts = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    by_header = firsts.groupBy("header").agg(F.sort_array(F.collect_list(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))).alias("paths"))
+    groups = []
+    for header, paths in sorted(tuple(r) for r in by_header.collect()):
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
+        fields = [T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)]
+        # brackets and the like in file names are no patterns here
+        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(T.StructType(fields)).csv(literal)
+        groups.append((names, rows.filter(F.col(f"c{len(names)}").isNull())))
+    return groups
+
+
+def _cell(names: list[str], wanted: str) -> Column:
+    """Stripped text of a named column, empty without it."""
+    return pystrip(F.coalesce(F.col(f"c{names.index(wanted)}"), F.lit(""))) if wanted in names else F.lit("")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def read_labelled_csv(spark: SparkSession, root: str, pattern: str = "csv/*.csv", input_col: str = "input", output_col: str = "output_json", repair: bool = False) -> DataFrame:
+    """CSV with header; both cells trimmed; rows with either empty are skipped; bad JSON is an
+    error unless repair (P2) fixes it.  A file without the two columns is an error that names what it has."""
+    frames = []
+    for names, rows in csv_files(spark, root, _name_glob(pattern, "*.csv"), recursive=True):
+        df = _glob_filter(_with_order(rows, 1), pattern)
+        if input_col not in names or output_col not in names:
+            if df.isEmpty():  # not among the wanted files
+                continue
+            raise KeyError(f"CSV must contain columns {input_col!r}, {output_col!r}; found {names}")
+        df = df.withColumn("_u", _cell(names, input_col)).withColumn("_o", _cell(names, output_col)).filter((F.col("_u") != "") & (F.col("_o") != ""))
+        frames.append(df.select("src_kind", "src_file", "src_pos", "_u", "_o"))
+    if not frames:
+        raise FileNotFoundError(f"no CSV files under {root}")
+    # positions of different headers may be equal: the file name tells such rows apart
+    df = _union(frames).withColumn("_p", json_with_repair(F.col("_o"), repair))
+    error = F.when(F.col("_p").isNull(), F.lit("invalid JSON in output column"))
+    return df.select("src_kind", "src_file", "src_pos", F.col("_u").alias("user"), F.to_json("_p").alias("assistant"), error.alias("error"))
 
 
 def read_labelled(spark: SparkSession, root: str, json_pattern: str = "json/*.json", csv_pattern: str = "csv/*.csv", repair: bool = False) -> DataFrame:
@@ -142,49 +169,110 @@ def read_jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(v.isNull(), F.raise_error(F.concat(F.lit("bad JSONL line: "), F.col("value")))).otherwise(v).alias("value"))
 
 
+# Header and key names of messages, expected answers, queries and tagged outputs.
+MESSAGE_NAMES = ("message", "query", "query(한글)")
+EXPECTED_NAMES = ("expected", "llm output", "assistant", "expect")
+QUERY_NAMES = ("query(한글)", "query", "message")
+OUTPUT_NAMES = ("llm output", "llm_output", "output", "expected")
+CSV_DIR_ALIASES = {"index": ("idx", "id"), "query": ("q", "utterance", "text"), "function": ("func", "functions", "call")}
+
+
+def _pick(names: list[str], candidates) -> str:
+    """The column a list of candidates means, whatever its case; '' without one."""
+    low = {n.strip().lower(): n for n in names}
+    return next((low[c] for c in candidates if c in low), "")
+
+
+def _json_text(value: Column) -> Column:
+    """Text of a VARIANT scalar, stripped; null if missing or JSON null."""
+    return pystrip(F.try_variant_get(value, "$", "string"))
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """``(message, expected)`` of a CSV file or folder (``.csv``) or of JSON lines; both stripped.
+
+    JSON lines: ``message`` if it is text, else the content of the first user entry of ``messages``, else of
+    its first entry; ``expected``, else ``assistant``, else ``{"calls": ..}``, objects and lists as compact JSON.
+    Rows without a message and malformed lines are dropped.
+    """
+    if path.lower().endswith(".csv"):
+        parts = [
+            rows.select(_cell(names, _pick(names, MESSAGE_NAMES)).alias("message"), _cell(names, _pick(names, EXPECTED_NAMES)).alias("expected"))
+            for names, rows in csv_files(spark, path)
+        ]
+        return _union(parts).filter(F.col("message") != "") if parts else spark.createDataFrame([], "message string, expected string")
+    get = lambda key, kind="variant": F.try_variant_get(F.col("value"), f"$.{key}", kind)
+    known = lambda v: F.when(~F.is_variant_null(v), v)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    content = lambda m: text(F.try_variant_get(m, "$.content", "variant"))
+    user = F.filter("_messages", lambda m: (F.try_variant_get(m, "$.role", "string") == "user") & content(m).isNotNull())
+    df = read_jsonl_tolerant(spark, path).withColumn("_messages", get("messages", "array<variant>"))
+    message = F.coalesce(text(get("message")), content(F.get(user, 0)), content(F.get(F.col("_messages"), 0)))
+    calls = F.when(get("calls").isNotNull(), F.concat(F.lit('{"calls":'), F.to_json(get("calls")), F.lit("}")))
+    answer = F.coalesce(known(get("expected")), known(get("assistant")))
+    kind = F.schema_of_variant(answer)
+    expected = (
+        F.when(answer.isNull() & get("assistant").isNull(), calls)
+        .when(kind == "STRING", _json_text(answer))
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(answer))
+    )
+    return df.select(pystrip(message).alias("message"), F.coalesce(expected, F.lit("")).alias("expected"), (message != "").alias("_kept")).filter("_kept").drop("_kept")
+
+
+def _tagged_record(df: DataFrame) -> DataFrame:
+    """(query, llm_output) to records: the calls of the tagged text with their arguments as JSON."""
+    from ..functions.args import args_json, parse_args
+
+    call = lambda c: F.struct(c["pos"].alias("pos"), c["func"].alias("func"), c["raw_args"].alias("raw_args"), args_json(parse_args(c["raw_args"], "plain")).alias("args_json"))
+    return df.filter(F.col("query") != "").withColumn("calls", F.transform(extract_calls(F.col("llm_output")), call))
+
+
 def read_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Tagged rows (CSV with header aliases, or JSON lines) -> ``(query, llm_output, calls)``."""
+    """``(query, llm_output, calls)`` of CSV, JSON lines (``json``) or JSON files holding one object or an
+    array (``json_array``); ``calls`` = ARRAY<STRUCT<pos, func, raw_args, args_json>>.
+
+    Objects that have ``query`` and ``calls`` already pass through (``code`` stands for ``func``; entries that
+    are no objects go; no output text and no raw arguments); other rows without a query are dropped.
+    """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    else:
-        raw = spark.read.json(path)
-    low = {c.lower().strip(): c for c in raw.columns}
-    q = next((low[k] for k in ("query(한글)", "query", "message") if k in low), None)
-    o = next((low[k] for k in ("llm output", "llm_output", "output") if k in low), None)
-    if q is None or o is None:
-        raise KeyError(f"no query/output header among {raw.columns}")
-    df = raw.select(pystrip(F.coalesce(F.col(f"`{q}`"), F.lit(""))).alias("query"), pystrip(F.coalesce(F.col(f"`{o}`"), F.lit(""))).alias("llm_output"))
-    return df.filter(F.col("query") != "").withColumn("calls", extract_calls(F.col("llm_output")))
+        parts = [
+            rows.select(_cell(names, _pick(names, QUERY_NAMES)).alias("query"), _cell(names, _pick(names, OUTPUT_NAMES)).alias("llm_output"))
+            for names, rows in csv_files(spark, path)
+        ]
+        return _tagged_record(_union(parts))
+    if fmt not in ("json", "json_array"):
+        raise ValueError("fmt must be 'csv', 'json' or 'json_array'")
+    keys = ["Query(한글)", "query", "message", "LLM Output", "expected", "calls"]
+    source = spark.read.schema(", ".join(f"`{k}` variant" for k in keys)).option("mode", "DROPMALFORMED")
+    raw = source.option("multiLine", fmt == "json_array").json(path)
+    ready = F.col("query").isNotNull() & F.col("calls").isNotNull()
+    first = lambda *names: F.coalesce(*[F.nullif(_json_text(F.col(f"`{n}`")), F.lit("")) for n in names], F.lit(""))
+    tagged = _tagged_record(raw.filter(~ready).select(first(*keys[:3]).alias("query"), first(*keys[3:5]).alias("llm_output")))
+
+    def call(c, i):
+        part = lambda key, kind: F.try_variant_get(c, f"$.{key}", kind)
+        name = F.coalesce(F.nullif(part("func", "string"), F.lit("")), part("code", "string"), F.lit(""))
+        return F.struct((i + 1).alias("pos"), name.alias("func"), F.lit(None).cast("string").alias("raw_args"), F.coalesce(F.to_json(part("args", "variant")), F.lit("{}")).alias("args_json"))
+
+    objects = F.filter(F.try_variant_get(F.col("calls"), "$", "array<variant>"), lambda c: F.schema_of_variant(c).startswith("OBJECT"))
+    calls = F.coalesce(F.transform(objects, call), F.array().cast(tagged.schema["calls"].dataType))
+    records = raw.filter(ready).select(F.coalesce(_json_text(F.col("query")), F.lit("")).alias("query"), F.lit("").alias("llm_output"), calls.alias("calls"))
+    return records.unionByName(tagged)
 
 
 def read_csv_dir(spark: SparkSession, directory: str) -> DataFrame:
     """Every ``*.csv`` of a folder; alias headers (idx/id, q/utterance/text, func/functions/call);
-    malformed lines dropped; newlines become spaces; files missing a column are skipped; file name kept."""
-    import glob
-    import os
-
-    alias = {"idx": "index", "id": "index", "q": "query", "utterance": "query", "text": "query", "func": "function", "functions": "function", "call": "function"}
+    lines with too many cells dropped; newlines become spaces; files missing a column are skipped; file name kept."""
     frames = []
-    for path in sorted(glob.glob(os.path.join(directory, "*.csv"))):
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
-        ren = {}
-        if not {"index", "query", "function"} <= set(df.columns):
-            for c in df.columns:
-                lc = c.strip().lower()
-                if lc in alias:
-                    ren[c] = alias[lc]
-        for a, b in ren.items():
-            df = df.withColumnRenamed(a, b)
-        if not {"index", "query", "function"} <= set(df.columns):
+    for names, rows in csv_files(spark, directory):
+        wanted = {c: c if set(CSV_DIR_ALIASES) <= set(names) else _pick(names, (c, *aliases)) for c, aliases in CSV_DIR_ALIASES.items()}
+        if not all(wanted.values()):
             continue  # the reference warns and skips such files
-        clean = [pystrip(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\r\n|\n", " ")).alias(c) for c in ("index", "query", "function")]
-        frames.append(df.select(*clean, F.lit(os.path.basename(path)).alias("src_path")))
+        clean = [pystrip(F.regexp_replace(_cell(names, n), "\r\n|\n", " ")).alias(c) for c, n in wanted.items()]
+        frames.append(rows.select(*clean, F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("src_path")))
     if not frames:
         raise FileNotFoundError(f"no usable CSV files in {directory}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return _union(frames)
 
 
 def read_prompt_parts(spark: SparkSession, path: str) -> DataFrame:

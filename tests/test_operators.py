@@ -71,6 +71,29 @@ def test_augmentation_cap_and_drop_original(spark):
     assert [v["q"] for v in dropped] == [v["q"] for v in full][1:]
 
 
+def test_augmentation_of_long_rule_lists(spark):
+    rules = [(k, [w], [w, w.upper(), f"{w}{w}"]) for k, w in enumerate("abcde", start=1)]
+    df = spark.createDataFrame([(1, "a b c", "a"), (2, "d", ""), (3, "", "x"), (4, None, "e")], "id int, q string, o string")
+    for keep in (True, False):
+        row = lambda r: (r["id"], r["variant_idx"], r["index_label"], r["q"], r["o"])
+        in_row = sorted(map(row, aug.augment(df, "id", ["q", "o"], rules, keep).collect()), key=str)
+        staged = sorted(map(row, aug.augment(df, "id", ["q", "o"], rules, keep, max_in_row=8).collect()), key=str)
+        assert in_row == staged and len(in_row) > 30
+    long = [(k, [f"w{k}"], [f"x{k}"]) for k in range(200)]
+    assert len(aug.rule_groups(long)) == 17 and sum(aug.rule_groups(long), []) == long
+    assert [r["q"] for r in aug.augment(spark.createDataFrame([(1, "w3 w150")], "id int, q string"), "id", ["q"], long).orderBy("variant_idx").collect()] == [
+        "w3 w150", "w3 x150", "x3 w150", "x3 x150"
+    ]
+
+
+def test_pairing_report_counts_the_pairs(spark):
+    for sizes in ([7, 2, 1], [4, 4, 4], [1], [9]):
+        rows = [(i, "q", f"<function_{chr(65 + g)}>()") for g, n in enumerate(sizes) for i in range(100 * g, 100 * g + n)]
+        df = spark.createDataFrame(rows, "index int, query string, function string")
+        paired, _ = pair_op.pair_pool(pair_op.half_sample(df))
+        assert {r["kind"]: r["count"] for r in pair_op.pairing_report(df).collect()} == {"pairs": paired.count(), "singles": len(rows) - 2 * paired.count()}
+
+
 def test_labelled_readers_round_trip(spark):
     chat = fx.chat_labelled(spark, SF_SMALL).filter(F.col("conv_id") % 5 != 0).orderBy("conv_id", "turn").collect()
     root = tempfile.mkdtemp(prefix="cw-read-")

@@ -35,7 +35,7 @@ def test_conversion_rule_documents_match_fixture(spark):
         ("IO", "info", "Air_Quality"),
         ("MR", "talk", "Default"),
     ]
-    assert rows[4][4] == [("timeframe", 1, "n:0"), ("location", 2, "*")]
+    assert rows[4][4] == [("timeframe", 1, "n:0", "0", "int"), ("location", 2, "*", "*", "str")]
     conds = assets.conditions_frame(spark, rows)
     calls = rules_op.match_calls(
         __import__("callwright.operators.calls", fromlist=["x"]).calls_with_args(fx.tagged(spark, SF_SMALL)), rules_op.rules_from_conditions(conds)
@@ -45,7 +45,9 @@ def test_conversion_rule_documents_match_fixture(spark):
 
 def test_v2_and_template_and_replacement_assets(spark):
     v2 = assets.v2_rules(['{"raw_func":"BP","when":{"enable":0,"type":-1},"new_func":"mode","args":{"target":"AI_MODE"}}', ""])
-    assert v2[0][1:3] == ("BP", "mode") and v2[0][4][0] == ("enable", 1, "n:0")
+    assert v2[0][1:3] == ("BP", "mode") and v2[0][4][0] == ("enable", 1, "n:0", "0", "int")
+    assert v2[0][5] == [("target", "AI_MODE", "str", "AI_MODE", "s:AI_MODE")]
+    assert assets.conditions_frame(spark, v2).columns[-1] == "out"
     tm = assets.template_map_rules({"function_map": {"function_BP": [{"when": {"enable": 1}, "new_name": "mode_off", "args": {"mode": "{code}"}}], "reverse_by_name": {}}})
     assert tm[0]["code"] == "BP" and tm[0]["out"] == [(1, "mode", "{code}", "str")]
     assert assets.template_rules_frame(spark, tm).count() == 1
@@ -133,7 +135,7 @@ def test_strict_types_keep_bool_and_int_apart(spark):
 
     doc = {"rules_by_func": {"on": {"A": {"code": "BP", "enable": True}}}}
     loose = assets.conditions_frame(spark, assets.normalise_conversion_rules(doc))
-    strict_rows = [(s, c, mf, me, [(k, p, assets.expect_key(True, strict=True)) for k, p, _ in conds]) for s, c, mf, me, conds in assets.normalise_conversion_rules(doc)]
+    strict_rows = [(s, c, mf, me, [(k, p, assets.expect_key(True, strict=True), *typed) for k, p, _, *typed in conds]) for s, c, mf, me, conds in assets.normalise_conversion_rules(doc)]
     strict = assets.conditions_frame(spark, strict_rows)
     df = spark.createDataFrame([(1, "<function_BP>(enable=1)<end>"), (2, "<function_BP>(enable=true)<end>")], "row_id long, llm_output string")
     calls = calls_with_args(df)
@@ -173,13 +175,46 @@ def test_json_array_violations_and_odd_file_names(spark):
     assert readers.read_json_arrays(spark, d, "json/a b+1.json").count() == 0
 
 
-def test_swapped_csv_headers_fail_instead_of_mixing_columns(spark):
+def test_swapped_csv_headers_are_read_by_name(spark):
     d = _tmp("cw-csv-")
     _write(d, "csv/1.csv", 'input,output_json\nhello,"{""a"": 1}"\n')
     assert [(r["user"], r["assistant"]) for r in readers.read_labelled_csv(spark, d).collect()] == [("hello", '{"a":1}')]
     _write(d, "csv/2.csv", 'output_json,input\n"{""a"": 2}",bye\n')
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.read_labelled_csv(spark, d).collect()
+    _write(d, "csv/a [1].csv", 'extra,input,output_json\nx,hi,"{""a"": 3}"\nx,too,"{""a"": 4}",many\nshort,row\n')
+    rows = sorted((r["user"], r["assistant"]) for r in readers.read_labelled_csv(spark, d).collect())
+    assert rows == [("bye", '{"a":2}'), ("hello", '{"a":1}'), ("hi", '{"a":3}')]
+    _write(d, "csv/3.csv", "other\n1\n")
+    with pytest.raises(KeyError, match="other"):
+        readers.read_labelled_csv(spark, d)
+    assert readers.read_labelled_csv(spark, d, "csv/1.csv").count() == 1
+
+
+def test_messages_and_records(spark):
+    d = _tmp("cw-msg-")
+    _write(d, "m.csv", "\ufeffEXPECT,Query(한글)\n<function_MR>(), 안녕 \nx,\n")
+    assert [tuple(r) for r in readers.read_messages(spark, f"{d}/m.csv").collect()] == [("안녕", "<function_MR>()")]
+    lines = [
+        '{"message": " a ", "expected": {"k": [1, "x"]}}',
+        '{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}], "assistant": " t "}',
+        '{"messages": [{"role": "system", "content": "s"}], "calls": [{"name": "f"}]}',
+        '{"message": 5, "expected": "x"}', "", "{bad", '{"message": "n", "expected": null, "assistant": null}',
+    ]
+    _write(d, "m.jsonl", "\n".join(lines))
+    got = sorted(tuple(r) for r in readers.read_messages(spark, f"{d}/m.jsonl").collect())
+    assert got == [("a", '{"k":[1,"x"]}'), ("n", ""), ("s", '{"calls":[{"name":"f"}]}'), ("u", "t")]
+    records = [
+        '{"query": " q ", "calls": [{"code": "BP", "args": {"b": 1, "a": true}}, 7, {"func": "MR"}]}',
+        '{"Query(한글)": "한", "LLM Output": "<function_IO>(a=1, b=x)<end>"}',
+        '{"message": "", "expected": "<function_MR>()"}', '{"query": "", "calls": null}',
+    ]
+    _write(d, "r.jsonl", "\n".join(records + ["{bad"]))
+    _write(d, "r.json", "[" + ",\n".join(records) + "]")
+    _write(d, "r.csv", 'QUERY,Expected\nq,"<function_IO>(a=1, b=x)"\n,"<function_MR>()"\n')
+    flat = lambda df: sorted((r["query"], [(c["pos"], c["func"], c["args_json"]) for c in r["calls"]]) for r in df.collect())
+    expected = [("", []), ("q", [(1, "BP", '{"a":true,"b":1}'), (2, "MR", "{}")]), ("한", [(1, "IO", '{"a":1,"b":"x"}')])]
+    assert flat(readers.read_records(spark, f"{d}/r.jsonl", "json")) == expected
+    assert flat(readers.read_records(spark, f"{d}/r.json", "json_array")) == expected
+    assert flat(readers.read_records(spark, f"{d}/r.csv")) == [("q", [(1, "IO", '{"a":1,"b":"x"}')])]
 
 
 def test_template_values_keep_their_type(spark):
