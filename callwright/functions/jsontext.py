@@ -17,11 +17,14 @@ def _col(c) -> Column:
 def strict_json(c) -> Column:
     """VARIANT of the text when it is exactly one JSON value, else null.
 
-    ``json_array_length('[' || text || ']') = 1`` (a streaming parse) rejects trailing text,
-    empty text and value lists; the VARIANT parse then rejects what the variant format cannot
-    hold (duplicate keys, NaN)."""
-    one_value = F.json_array_length(F.concat(F.lit("["), _col(c), F.lit("]"))) == 1
-    return F.when(one_value, F.try_parse_json(_col(c)))
+    Two streaming parses reject trailing text, empty text and value lists: as the only element of an
+    array and as the value of an object member; text that ends the one early is an error in the other
+    (``{}]`` and ``{}}``).  The VARIANT parse then rejects what the variant format cannot hold (duplicate
+    keys, NaN)."""
+    t = _col(c)
+    one_element = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
+    one_member = F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
+    return F.when(one_element & one_member, F.try_parse_json(t))
 
 
 def normalise_json(c) -> Column:

@@ -95,7 +95,8 @@ def test_plain_dialect_matches_model(spark, pairs):
 
 
 def test_strict_json_rejects_trailing_text(spark):
-    probes = ['{"a":1}', '{"a":1} x', '1, "x": 2', "  ", '"s"', "[1,2]", "{a:1}", "null", '{"b":1,"a":2}', "1 2", "[1,]", '{"a":{"b":[true,false]}}', '{"a":1}}', "{'a':1}", "01", '{"a":1}\n']
+    probes = ['{"a":1}', '{"a":1} x', '1, "x": 2', "  ", '"s"', "[1,2]", "{a:1}", "null", '{"b":1,"a":2}', "1 2", "[1,]", '{"a":{"b":[true,false]}}', '{"a":1}}', "{'a':1}", "01", '{"a":1}\n',
+              '{"a":1}]', '{"a":{}}]}', "[1]]", '1] "x"', "{}],[1", "{}},{", '{}}, "w": {', "]", "}", '[{"a":[1]},2]']
     df = spark.createDataFrame([(p,) for p in probes], "t string")
     got = [r["ok"] for r in df.select(strict_json(F.col("t")).isNotNull().alias("ok")).collect()]
 
