@@ -1088,3 +1088,8 @@ def q_expected_name_buckets(spark, sf_dir):
         F.coalesce(pred_args == gold_args, F.lit(False)).alias("args_match"),
     )
     return ev.name_buckets(s)
+
+
+# ---------------------------------------------------------------- file sources (registered by their module)
+
+from . import source_queries  # noqa: E402, F401
