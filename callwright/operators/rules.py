@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .broadcast import fits_broadcast
 from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, json_string
+from ..session import checkpoint_dir
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
 WILDCARDS_TEMPLATE = ("*",)  # template map and pair rules (J2, J3)
@@ -212,7 +213,9 @@ def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, d
         from ..functions.args import with_args
         from .calls import calls_table
 
-        keyed = df.withColumn("_rid", F.monotonically_increasing_id()).persist()
+        checkpoint_dir(df.sparkSession)
+        # row ids are written once: computed again they could differ
+        keyed = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
         calls = with_args(calls_table(keyed, text_col, ("_rid",)), "raw_args", dialect, "args")
         mapped = map_calls_template(calls, template_rules)
         return per_row_json_list(mapped, keyed, ("_rid",)).drop("_rid")

@@ -217,6 +217,14 @@ def test_messages_and_records(spark):
     assert flat(readers.read_records(spark, f"{d}/r.csv")) == [("q", [(1, "IO", '{"a":1,"b":"x"}')])]
 
 
+def test_rows_map_alike_with_too_many_rules_for_a_broadcast(spark, monkeypatch):
+    t = fx.tagged(spark, SF_SMALL).select("row_id", "llm_output")
+    mapped = lambda: sorted(tuple(r) for r in rules_op.map_rows_template(t, "llm_output", fx.template_rules(spark)).select("row_id", "mapped_json").collect())
+    in_row = mapped()
+    monkeypatch.setattr(rules_op, "MAX_BROADCAST_RULES", 0)
+    assert mapped() == in_row
+
+
 def test_template_values_keep_their_type(spark):
     doc = {"function_BP": [{"when": {"m": "__ANY__"}, "new_name": "never"}, {"when": {"a": "*"}, "new_name": "set", "args": {"lvl": 3, "on": True, "r": 1.5, "no": None, "l": [1], "t": "{{{a}}} {code}", "u": "{zz}"}}]}
     rules = assets.template_rules_frame(spark, assets.template_map_rules(doc))
