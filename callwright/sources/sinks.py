@@ -16,6 +16,14 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame
     return df.groupBy("split").count()
 
 
+def split_report(df: DataFrame) -> DataFrame:
+    """K1: one row with the rows of each split and, where the readers' ``src_kind`` and ``src_file`` are kept,
+    the number of JSON and CSV files they came from."""
+    counts = [F.count_if(F.col("split") == name).alias(name) for name in ("train", "eval", "test")]
+    files = [F.count_distinct(F.when(F.col("src_kind") == kind, F.col("src_file"))).alias(name) for kind, name in ((0, "json_files"), (1, "csv_files"))]
+    return df.agg(*counts, *(files if {"src_kind", "src_file"} <= set(df.columns) else []))
+
+
 def write_converted_csv(converted: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: fixed six columns with header."""
     converted.select("func", "raw_args", "query", "map_func", "map_enum", "map_args").write.mode(mode).option("header", True).csv(path)

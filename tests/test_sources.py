@@ -115,6 +115,13 @@ def test_csv_dir_aliases_and_skips(spark):
     assert len(rows) == len(t) and all("\n" not in r["query"] for r in rows) and {r["src_path"] for r in rows} == {"a.csv"}
 
 
+def test_split_report_counts_rows_and_files(spark):
+    rows = [("train", 0, "a.json"), ("train", 0, "a.json"), ("eval", 0, "b.json"), ("train", 1, "c.csv")]
+    df = spark.createDataFrame(rows, "split string, src_kind int, src_file string")
+    assert sinks.split_report(df).first().asDict() == {"train": 3, "eval": 1, "test": 0, "json_files": 2, "csv_files": 1}
+    assert sinks.split_report(df.drop("src_file").limit(0)).first().asDict() == {"train": 0, "eval": 0, "test": 0}
+
+
 def test_sinks_round_trip(spark):
     d = _tmp("cw-sink-")
     from callwright.plans.catalog import q_rule_convert, q_split_exact
