@@ -213,6 +213,38 @@ def test_quality_rules_tell_junk(spark):
     assert len(clean) > 300 and sum(r.kept for r in clean) >= 0.99 * len(clean)
 
 
+def test_quality_rules_common_words(spark):
+    """Plain letters without common words and texts under a wrong language go; clean texts stay."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    listed, langs = {w for v in quality_rules.COMMON.values() for w in v}, list(quality_rules.COMMON)
+    clean = {k: [] for k in langs}
+    for r in rows.where("doc_id % 7 = 0 and length(text) > 1000").collect():
+        ws = (r.text or "").split()
+        seen = Counter(zip(ws, ws[1:], ws[2:]))
+        if r.lang in clean and len(ws) >= 200 and not set("#*$%&|<>") & set(r.text) and 3 * sum(n for n in seen.values() if n > 1) < len(ws) and sum(w in quality_rules.COMMON[r.lang] for w in ws) >= 0.08 * len(ws):
+            clean[r.lang].append(r.text)
+    docs, kind = [], {}
+
+    def add(what, text, lang):
+        kind[len(docs)] = what
+        docs.append((len(docs), text, lang))
+
+    for a in langs:
+        assert len(clean[a]) >= 20
+        for t in clean[a]:
+            add("clean", t, a)
+        for t in clean[a][:4]:
+            add("letters", " ".join(w for w in t.split() if w not in listed), a)
+            for b in langs:
+                if b != a:
+                    add(f"{a} as {b}", t, b)
+    got = Counter((kind[r.doc_id], r.kept) for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect())
+    wrong = [f"{a} as {b}" for a in langs for b in langs if a != b]
+    assert got["clean", True] >= 0.995 * (got["clean", True] + got["clean", False])
+    assert got["letters", True] == 0 and got["letters", False] == 16
+    assert {k: got[k, True] for k in wrong if got[k, True]} == {}, got
+
+
 # ------------------------------------------------------------- 5 URL lists
 
 
