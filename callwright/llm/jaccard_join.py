@@ -5,9 +5,10 @@ from it by random orders (its minimum in each order); two sets choose the same t
 probability of their Jaccard similarity.
 
 * Run r puts every set into the bucket of its r-th token.  A bucket of more than ``LIMIT`` sets is
-  split again: its sets follow ``BRANCHES`` further tokens, chosen by the bucket's path; after
+  split again: its sets follow ``BRANCHES`` further tokens, chosen by run and depth; after
   ``DEPTH`` splits, or when small, a bucket is compared by brute force.
-* Runs are repeated until a pair at the threshold is missed with a probability below ``MISS``.
+* No two runs and no two depths share a token, so runs are independent.  They are repeated until a pair
+  at the threshold is missed with a probability below ``MISS``, even if all its buckets are split.
 * Brute force computes exact similarities of the sets, so no false link comes out.  A bucket that no
   split makes small is dealt out as pairs of blocks, so a task holds two blocks at most.
 * A pair that meets in several buckets counts in the first of them only.  So links are counted, and
@@ -21,6 +22,7 @@ rows are copies like others; columns other than id and text are not read; each i
 """
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -43,11 +45,21 @@ WITHOUT_ID = 2**62  # ids of sets that no row with an id holds start here
 
 
 def runs_for(threshold: float, miss: float = MISS) -> int:
-    """Runs after which a pair at the threshold is missed with probability ``miss`` at most."""
+    """Runs after which a pair at the threshold is missed with probability ``miss`` at most.  In one run it
+    must agree in the first token and, at each depth, in one of the branch tokens: all are different orders."""
     one = threshold * (1 - (1 - threshold) ** BRANCHES) ** DEPTH
     return max(1, math.ceil(math.log(miss) / math.log(1 - one)))
 
 
+def branch_at(run, depth: int, branch, n_runs: int):
+    """Place of a branch token; the first tokens of the runs come before all of them."""
+    return n_runs + (run * DEPTH + depth) * BRANCHES + branch
+
+
+def tokens_for(n_runs: int) -> int:
+    return n_runs * (1 + DEPTH * BRANCHES)
+
+
 def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the windows of ``size`` words; of all words if there are fewer."""
     if not words:
@@ -62,13 +74,22 @@ def identity(s: np.ndarray) -> int:
     return int((mix(mix(s) ^ np.uint64(len(s))).sum(dtype=np.uint64)).view(np.int64))
 
 
+@functools.cache
+def orders(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Constants of ``n`` unrelated orders."""
+    flips, factors = mix(mix(mix(np.arange(1, 2 * n + 1, dtype=np.uint64)))).reshape(2, n, 1)
+    return flips, factors | np.uint64(1)
+
+
 def tokens(s: np.ndarray, n: int) -> np.ndarray:
     """The minima of a set in ``n`` random orders (32 bits each)."""
-    out = np.empty(n, np.int32)
-    for i in range(n):
-        seed = np.uint64((0xD6E8FEB86659FD93 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)
-        out[i] = (((s ^ (seed >> np.uint64(7))) * (seed | np.uint64(1))) >> np.uint64(32)).min().astype(np.uint32).view(np.int32)
-    return out
+    flips, factors = orders(n)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 512):  # bounds the memory for long texts
+        x = s[at : at + 512] ^ flips
+        x *= factors
+        np.minimum(low, x.min(1), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signed(docs: DataFrame, size: int, n: int) -> DataFrame:
@@ -90,22 +111,24 @@ def signed(docs: DataFrame, size: int, n: int) -> DataFrame:
 # ---------------------------------------------------------------- buckets
 
 
-def buckets(sets: DataFrame, n_runs: int, n_tokens: int, limit: int) -> DataFrame:
+def buckets(sets: DataFrame, n_runs: int, limit: int) -> DataFrame:
     """(rid, leaf, m): the buckets of two sets or more that each set ends in; m: their size."""
-    rows = sets.select("rid", F.posexplode(F.slice("tokens", 1, n_runs)).alias("run", "token")).select("rid", F.xxhash64("run", "token").alias("node"))
+    rows = sets.select("rid", "tokens", F.posexplode(F.slice("tokens", 1, n_runs)).alias("run", "token"))
+    own = F.slice("tokens", branch_at(F.col("run"), 0, 0, n_runs) + 1, DEPTH * BRANCHES)  # goes along: a split needs no join
+    rows = rows.select("rid", F.xxhash64("run", "token").alias("node"), own.alias("own"))
     leaves = None
     for depth in range(DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m >= 2")
-        rows = staged(rows.join(sizes, "node").select("rid", F.col("node").alias("leaf"), "m"), "buckets")
+        rows = staged(rows.join(sizes, "node").select("rid", F.col("node").alias("leaf"), "m", "own"), "buckets")
         large = F.lit(False) if depth == DEPTH else F.col("m") > limit
-        ended = rows.where(~large)
+        ended = rows.where(~large).drop("own")
         leaves = ended if leaves is None else leaves.unionByName(ended)
         if depth == DEPTH or not rows.where(large).limit(1).count():
             return leaves
         branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
-        at = F.pmod(F.xxhash64("leaf") + F.col("branch") * 7919, F.lit(n_tokens)).cast("int")  # distinct for each branch
-        rows = rows.where(large).join(sets.select("rid", "tokens"), "rid").withColumn("branch", branch)
-        rows = rows.select("rid", F.xxhash64("leaf", "branch", F.get("tokens", at)).alias("node"))
+        rows = rows.where(large).withColumn("branch", branch)
+        at = branch_at(0, depth, F.col("branch"), 0)
+        rows = rows.select("rid", F.xxhash64("leaf", "branch", F.get("own", at)).alias("node"), "own")
 
 
 def in_blocks(leaves: DataFrame, block: int) -> DataFrame:
@@ -237,13 +260,12 @@ def classes(text: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, li
     every row of (did, th, text)."""
     spark = text.sparkSession
     n_runs = runs_for(threshold, miss)
-    n_tokens = n_runs + 8
-    rows = staged(signed(text, size, n_tokens), "signed")
+    rows = staged(signed(text, size, tokens_for(n_runs)), "signed")
     first = F.min(F.struct("did", "th", "tokens"))
     sets = rows.where("rid != 0").groupBy("rid").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
     label = F.when(F.col("f.did") != NO_ID, F.col("f.did")).otherwise(F.lit(WITHOUT_ID) + F.pmod("rid", F.lit(WITHOUT_ID)))
     sets = staged(sets.select("rid", F.col("f.did").alias("did"), F.col("f.th").alias("th"), F.col("f.tokens").alias("tokens"), label.alias("rep"), "copies"), "sets")
-    leaves = buckets(sets, n_runs, n_tokens, limit)
+    leaves = buckets(sets, n_runs, limit)
     of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     n = partitions(spark)
     members = in_blocks(leaves, block).join(of_set, "rid").repartition(n, "task").sortWithinPartitions("task")

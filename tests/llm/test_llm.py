@@ -436,6 +436,37 @@ def test_jaccard_join_splits_and_blocks(spark):
     assert kept == {c for _, c, _ in brute_classes(texts)}
 
 
+def test_jaccard_join_misses_no_more_than_it_says(spark):
+    """Pairs at the threshold whose buckets are all split twice."""
+    n, miss = 3000, 0.01
+    texts = []
+    for i in range(n):
+        shared = " ".join(f"s{i}x{j}" for j in range(44))  # 40 shingles, and 5 more on either side
+        texts += [(2 * i + k, shared + "".join(f" e{i}x{k}x{j}" for j in range(5))) for k in range(2)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = jaccard_join.near_duplicates(df, limit=1, miss=miss)
+    assert n - out.where("n_links = 1").count() / 2 <= miss * n
+
+
+def test_jaccard_join_tokens():
+    """Agreements of pairs at the threshold are spread as those of independent tokens; the runs share none."""
+    n_runs, t = jaccard_join.runs_for(0.8), 0.8
+    places = [*range(n_runs), *(jaccard_join.branch_at(r, d, b, n_runs) for r in range(n_runs) for d in range(jaccard_join.DEPTH) for b in range(jaccard_join.BRANCHES))]
+    assert sorted(places) == list(range(jaccard_join.tokens_for(n_runs)))
+    assert (1 - t * (1 - (1 - t) ** 2) ** 2) ** n_runs <= 1e-6
+    draw = np.random.default_rng(5)
+    new = lambda k: draw.integers(0, 2**64, k, np.uint64)
+    same = []
+    for _ in range(3000):
+        both = new(160)
+        a, b = (jaccard_join.tokens(np.r_[both, new(20)], len(places)) for _ in range(2))
+        same.append(a == b)
+    same = np.array(same)
+    assert abs(same.mean() - t) < 0.004
+    assert abs(np.corrcoef(same.T) - np.eye(len(places))).max() < 5 / 3000**0.5
+    assert abs(same.sum(1).var() / (len(places) * t * (1 - t)) - 1) < 0.12
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
