@@ -3,7 +3,8 @@
 A window of ``length`` words can only repeat in another document if every shorter window inside it
 does.  So the search begins with short windows (``base`` words), keeps those that repeat, extends
 the survivors to twice the length, and so on up to ``length``; without survivors nothing is left to
-extend.
+extend.  As registered (``BASE`` 7, ``LENGTH`` 13) that is two levels, 7 and 13 words, without a doubling
+in between: more levels (4, 8, 13) needed more disk than the budget.
 
 * Level 1 does not take every start: in each window of ``length`` words it takes the inner window
   with the smallest hash (a minimiser).  Equal windows choose equal inner windows, so none is lost,
