@@ -2,7 +2,8 @@
 
 State of a :class:`LineIndex` (all Spark tables in the shared folder, none on the driver):
 
-* ``postings`` (k1, k2, did): one row for each line key of each live document;
+* ``postings`` (k1, k2, did, th): one row for each line key of each live row; documents are told apart by
+  ``did``, but what a row loses is collected by (did, th), so rows that share an id do not meet;
 * ``refs`` (shard, k1, k2, n_docs, owner): exact number of documents holding a key, smallest id;
 * ``filters`` (shard, filter): a cuckoo filter of the shard's keys.  It says at once that a key is
   new, so an insertion looks up only the remaining keys in the exact table; a deletion takes the
@@ -141,23 +142,24 @@ def key_hash(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-PAIRS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64())])
+PAIRS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("th", pa.int64())])
 
 
 def line_pairs(docs: DataFrame, least: int = MIN_CODE_POINTS) -> DataFrame:
-    """(k1, k2, did): the distinct line keys of each row."""
+    """(k1, k2, did, th): the distinct line keys of each row."""
 
     def pairs(batch):
-        hashes, dids = [], []
-        for text, did in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist()):
+        hashes, dids, ths = [], [], []
+        for text, did, th in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist(), batch.column("th").to_pylist()):
             keys = {key_hash(k) for k in {line_key(x) for x in text.split(b"\n")} if counts(k, least)}
             hashes += keys
             dids += [did] * len(keys)
+            ths += [th] * len(keys)
         both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-        return {"k1": both[:, 0], "k2": both[:, 1], "did": np.array(dids, np.int64)}
+        return {"k1": both[:, 0], "k2": both[:, 1], "did": np.array(dids, np.int64), "th": np.array(ths, np.int64)}
 
     small_batches(docs.sparkSession)
-    return docs.select("text", "did").mapInArrow(arrow_map(pairs, PAIRS), "k1 bigint, k2 bigint, did bigint")
+    return docs.select("text", "did", "th").mapInArrow(arrow_map(pairs, PAIRS), "k1 bigint, k2 bigint, did bigint, th bigint")
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ class LineIndex:
     @classmethod
     def empty(cls, spark: SparkSession, shards: int, least: int = MIN_CODE_POINTS) -> "LineIndex":
         return cls(
-            spark.createDataFrame([], "k1 bigint, k2 bigint, did bigint"),
+            spark.createDataFrame([], "k1 bigint, k2 bigint, did bigint, th bigint"),
             spark.createDataFrame([], REFS),
             spark.createDataFrame([], "shard int, filter binary"),
             shards,
@@ -194,9 +196,9 @@ class LineIndex:
         return self._merge(staged(line_pairs(keyed(documents_of(docs, id_col, text_col)), self.least), "line-postings"), -1)
 
     def _merge(self, pairs: DataFrame, sign: int) -> "LineIndex":
-        pairs = pairs.distinct()  # rows that repeat an id are one document
+        rows, pairs = pairs, pairs.select("k1", "k2", "did").distinct()  # rows that repeat an id are one document
         if sign > 0:
-            postings = self.postings.unionByName(pairs)
+            postings = self.postings.unionByName(rows)
             change = pairs
             gone = None
         else:
@@ -222,9 +224,9 @@ class LineIndex:
         return F.pmod(F.shiftrightunsigned("k1", 20), F.lit(self.shards)).cast("int")
 
     def dropped(self) -> DataFrame:
-        """(did, k1, k2): the keys that a document loses, since a smaller id holds them."""
+        """(did, th, k1, k2): the keys that a row loses, since a smaller id holds them."""
         repeated = self.refs.where("n_docs >= 2").select("k1", "k2", "owner")
-        return self.postings.join(repeated, ["k1", "k2"]).where("did != owner").select("did", "k1", "k2")
+        return self.postings.join(repeated, ["k1", "k2"]).where("did != owner").select("did", "th", "k1", "k2")
 
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, kept (text), n_lines, n_dropped of indexed documents; a kept text is null only if
@@ -238,8 +240,8 @@ class LineIndex:
 
     def _rest(self, rows: DataFrame) -> DataFrame:
         """own_* columns, kept, n_lines, n_dropped of rows with did, th, text."""
-        drop = self.dropped().groupBy("did").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
-        drop = drop.select("did", F.col("drop.k1").alias("k1"), F.col("drop.k2").alias("k2"))
+        drop = self.dropped().groupBy("did", "th").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))  # a set: equal rows
+        drop = drop.select("did", "th", F.col("drop.k1").alias("k1"), F.col("drop.k2").alias("k2"))
         least = self.least
 
         def rest(batch):
@@ -260,7 +262,7 @@ class LineIndex:
         schema = pa.schema([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
         small_batches(rows.sparkSession)
         carry, ddl = carried(rows)
-        joined = rows.join(drop, "did", "left").select(*carry, "text", "k1", "k2")
+        joined = rows.join(drop, ["did", "th"], "left").select(*carry, "text", "k1", "k2")
         return joined.mapInArrow(arrow_map(rest, schema, carry), ddl + "kept string, n_lines bigint, n_dropped bigint")
 
 

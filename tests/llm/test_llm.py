@@ -306,6 +306,17 @@ def test_cuckoo_filter():
     assert not made.contains(keys[0, :100], keys[1, :100]).any() and made.contains(keys[0, 100:30_000], keys[1, 100:30_000]).all()
 
 
+def test_lines_of_rows_without_id(spark):
+    """Rows that share an id, or have none, fetch the keys of their own lines only."""
+    texts = [(i, f"shared line number {i}\nonly here is {i}") for i in range(40)]
+    texts += [(k, f"shared line number {i}\nrest of the row {i}x{k}") for i in range(40) for k in (None, 50)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sizes = [r["count"] for r in line_dedup.LineIndex.build(df).dropped().groupBy("did", "th").count().collect()]
+    assert sizes == [1] * 80
+    got = Counter((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+    assert got == Counter(brute_lines(texts))
+
+
 # ------------------------------------------------------------- 7 top-k search
 
 
