@@ -94,4 +94,22 @@ SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_tex
 FROM cls LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op5_url_lists": OP5, "op6_line_dedup": OP6, "op7_topk_search": OP7, "op9_substring_dedup": OP9, "op10_jaccard_join": OP10}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+long AS (SELECT r, doc_id, len(ts) AS n FROM docs WHERE len(ts) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM long),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM wanted) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+score AS (
+  SELECT item_id, doc_id, r, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM tf JOIN long USING (r) JOIN w USING (t) JOIN wanted USING (t), total GROUP BY item_id, doc_id, r
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES = {"op5_url_lists": OP5, "op6_line_dedup": OP6, "op7_topk_search": OP7, "op9_substring_dedup": OP9, "op10_jaccard_join": OP10, "op12_lexical_search": OP12}
