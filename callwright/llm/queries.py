@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, lexical_search, line_dedup, packing, quality_rules, sentencepiece_codec, sharding, substring_dedup, topk_search, url_lists, word_bpe
+from . import html_extract, jaccard_join, lexical_search, line_dedup, packing, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_alignment, topk_search, url_lists, word_bpe
 from .oracles import ORACLES  # noqa: F401  (the driver's gate reads it)
 
 
@@ -77,6 +77,11 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return token_alignment.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -85,4 +90,4 @@ def op13_word_bpe(spark, sf_dir):
     return word_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_sharding, op4_quality_rules, op5_url_lists, op6_line_dedup, op7_topk_search, op8_html_extraction, op9_substring_dedup, op10_jaccard_join, op12_lexical_search, op13_word_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_sharding, op4_quality_rules, op5_url_lists, op6_line_dedup, op7_topk_search, op8_html_extraction, op9_substring_dedup, op10_jaccard_join, op11_token_alignment, op12_lexical_search, op13_word_bpe)}

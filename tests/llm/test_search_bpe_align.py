@@ -10,14 +10,115 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from callwright.llm import lexical_search, word_bpe
+from callwright.llm import lexical_search, token_alignment, word_bpe
 
 from .test_llm import LONG, SCHEMA, TEXTS, edge, nothing  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+# ------------------------------------------------------------- 11 token alignment
+
+ODD = [(20, "<|endoftext|> a  b\tc \u3000d </s> <0x0A>\n\n e "), (21, " lead"), (22, "\nlead line\x00nul 😀 ñandú"), (23, "▁meta"), (24, "x" * 3000), (25, "the the the")]
+
+
+@pytest.fixture(scope="module")
+def both():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(BYTES)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def brute_align(both, text):
+    """(A ids, B ids, links as places, groups) by comparing all byte ranges of the libraries' own offsets."""
+    a, b = both
+    full = f" {text or ''}".encode()
+    a_ids, b_ids = a.encode(f" {text or ''}", add_special_tokens=False).ids, b.encode(text or "")
+    a_len = [len(a.decode([i]).encode()) if "\ufffd" not in a.decode([i]) else len(a.id_to_token(i)) for i in a_ids]
+    b_len = [1 if b.is_byte(i) else len(b.id_to_piece(i).replace("▁", " ").encode()) for i in b_ids]
+    b_bytes = b"".join(bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in b_ids)
+    if not text or b_bytes != full:
+        return [], [], [], []
+    a_end, b_end = np.cumsum(a_len).tolist(), np.cumsum(b_len).tolist()
+    assert a_end[-1] == b_end[-1] == len(full)
+    links = [(i, j) for i in range(len(a_ids)) for j in range(len(b_ids)) if a_end[i] - a_len[i] < b_end[j] and b_end[j] - b_len[j] < a_end[i]]
+    cuts = sorted(set(a_end) & set(b_end))
+    groups = [([x for x, e in zip(a_ids, a_end) if lo < e <= hi], [y for y, e in zip(b_ids, b_end) if lo < e <= hi]) for lo, hi in zip([0, *cuts], cuts)]
+    return a_ids, b_ids, links, groups
+
+
+def short_texts():
+    return [(i, t if t is None or len(t) < 5000 else t[:4000]) for i, t in [*TEXTS, *ODD]]
+
+
+def spelled(groups):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+
+
+def test_alignment_equals_brute_force(spark, nothing, both):
+    rows = short_texts()
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id bigint, text string, block string, pairs int").repartition(3)
+    brute = {t: brute_align(both, t) for _, t in rows}
+    got = Counter((r.doc_id, *(tuple(r[n]) for n in ("a_ids", "b_ids", "link_a", "link_b")), len(r.cuts)) for r in token_alignment.align(df, BYTES, PIECES).collect())
+    want = Counter()
+    for i, t in rows:
+        a, b, links, groups = brute[t]
+        links = sorted(links)
+        want[i, tuple(a), tuple(b), tuple(x for x, _ in links), tuple(y for _, y in links), len(groups)] += 1
+    assert got == want
+
+    counts = Counter((a[x], b[y]) for _, t in rows for a, b, links, _ in [brute[t]] for x, y in links)
+    top = defaultdict(int)
+    for (_, y), n in counts.items():
+        top[y] = max(top[y], n)
+    want = Counter()
+    for i, t in rows:
+        a, b, links, groups = brute[t]
+        of = [counts[a[x], b[y]] for x, y in links]
+        best = sum(n == top[b[y]] for n, (_, y) in zip(of, links))
+        want[i, len(a), len(b), len(groups), len(links), best, sum(of), hashlib.sha256(spelled(groups).encode()).hexdigest() if a else ""] += 1
+    out = token_alignment.digests(df, BYTES, PIECES)
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert Counter(tuple(r) for r in out.collect()) == want
+    assert token_alignment.digests(nothing, BYTES, PIECES).count() == 0 and token_alignment.align(nothing, BYTES, PIECES).count() == 0
+
+
+def test_lanes_units_and_passes_change_nothing(both, monkeypatch):
+    texts = [(t or "").encode() for _, t in [*TEXTS, *ODD]]
+    ids = list(range(len(texts)))
+
+    def rows():
+        block = token_alignment._Block(1)
+        block.add(token_alignment.TwoTokenizers(*token_alignment._files(BYTES, PIECES)), ids, texts)
+        out = block.rows().to_pylist()
+        pairs = dict(zip(out[-1]["pairs"], out[-1]["times"]))
+        spell = [np.array(out[-1]["pairs"])[np.frombuffer(r["codes"], np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()].tolist() for r in out[:-1]]
+        return [[r[k] for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")] for r in out[:-1]], pairs, spell
+
+    want = rows()
+    for name, value in (("LANE_CHUNKS", 3), ("UNIT_CHUNKS", 50), ("PASS_CHUNKS", 70), ("CALL_BYTES", 1)):
+        monkeypatch.setattr(token_alignment, name, value)
+    assert rows() == want
+
+
+def test_chunks_encode_like_whole_texts(both):
+    two = token_alignment.TwoTokenizers(*token_alignment._files(BYTES, PIECES))
+    r = random.Random(2)
+    signs, whole = "ab Σéß'sS<|>́İ\t\n  12٣中ñ!.,-\x1c\x00\u3000\xa0\x85😀", ["<|endoftext|>", " ", "'s", "▁", "  ", "</s>", "<0x0A>", "the ", "of\n"]
+    texts = ["".join(r.choice(signs) if r.random() < 0.8 else r.choice(whole) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts += [f"a{c}b {c} 1{c} {c}{c} x" for c in map(chr, range(0x3200))]
+    for t, s in zip(texts, two.slots([t.encode() for t in texts])):
+        if "▁" in t:
+            assert not len(s)
+        else:
+            assert [two.ids[0].get(s)[0].tolist(), two.ids[1].get(s)[0].tolist()] == [both[0].encode(f" {t}", add_special_tokens=False).ids, both[1].encode(t)], t
+
+
 # ------------------------------------------------------------- 12 lexical search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
