@@ -8,16 +8,16 @@ caps the working list after every rule exactly as the reference does (off by def
 list needs no shuffle; a longer one is exploded between groups of rules, then cleared of repeats
 and numbered by key, and no row ever holds the whole product.
 
-Template expansion joins formats to slot values slot by slot (one join per slot
-position); a slot with many values is a join partner, never a collected array.
+Template expansion counts the product of each format's slot values and deals ranges of product numbers
+over the tasks.  A number is unranked in mixed radix to its slots' value positions, and its place in the
+whole expansion follows by arithmetic.  A range fetches just the blocks of values that its numbers use.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import global_index, rank_in_group
-from .rules import bounded_broadcast
+from .index import global_index, int_digits, rank_in_group
 
 # Delexicalisation patterns (value after location= / position=) and placeholders.
 LOC_RE = r"location\s*=\s*(['\"])?([^'\"\s,);\]}]+)"
@@ -119,7 +119,8 @@ def augment(df: DataFrame, id_col: str, target_cols, rules, keep_original: bool
     if not keep_original:
         cur = cur.filter(F.exists("_path", lambda p: p > 0))
     firsts = cur.groupBy(id_col, *targets).agg(F.min("_path").alias("_path"))
-    ranked = rank_in_group(firsts, [id_col], ["_path"], "_rank").withColumn("variant_idx", (F.col("_rank") - 1).cast("int")).drop("_rank", "_path")
+    # rows of one source row that agree in all but the last choice share a bucket
+    ranked = rank_in_group(firsts, [id_col], ["_path"], "_rank", [F.get("_path", F.lit(i)) for i in range(len(groups) - 1)]).withColumn("variant_idx", (F.col("_rank") - 1).cast("int")).drop("_rank", "_path")
     back = ranked.join(df.select(*rest), id_col)
     return back.select(*rest, *targets, "variant_idx", _label(id_col, use_suffix).alias("index_label"))
 
@@ -159,44 +160,66 @@ def merge_tags(tags: DataFrame) -> DataFrame:
     """``(block, slot, value, prio, pos)`` -> values per (block, slot) in priority order, first kept,
     ranked by the bucketed rank (``vpos`` from 1)."""
     firsts = tags.groupBy("block", "slot", "value").agg(F.min(F.struct("prio", "pos")).alias("_o"))
-    ranked = rank_in_group(firsts.select("block", "slot", "value", F.col("_o.prio").alias("prio"), F.col("_o.pos").alias("pos")), ["block", "slot"], ["prio", "pos", "value"], "vpos")
-    return ranked.select("block", "slot", "value", "vpos")
+    flat = firsts.select("block", "slot", "value", F.col("_o.prio").alias("prio"), F.col("_o.pos").alias("pos"))
+    digits = [F.col("prio"), F.shiftright(F.col("pos").cast("bigint"), 20)]
+    return rank_in_group(flat, ["block", "slot"], ["prio", "pos", "value"], "vpos", digits).select("block", "slot", "value", "vpos")
 
 
-def expand_templates(formats: DataFrame, merged_tags: DataFrame) -> DataFrame:
+#: Product numbers of one range, and slot values of one block (SQL literals of the plan's arithmetic).
+RANGE_PRODUCTS = 1 << 16
+BLOCK_VALUES = 1 << 12
+
+
+def expand_templates(formats: DataFrame, merged_tags: DataFrame, range_products: int = RANGE_PRODUCTS, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Every format ``(block, fname, fmt_pos, fmt)`` filled with the cartesian product of its slot
     values, joined by one space; formats with a slot lacking values produce nothing.
 
-    Returns ``(block, fname, fmt_pos, query, order)`` where ``order`` is the value positions.
+    Returns ``(block, fname, fmt_pos, query, order, seq)``: ``order`` is the value positions, ``seq`` the
+    place in the order of (block, format, values).  ``(block, fmt_pos)`` tells the formats apart.
+
+    * ``radix``: number of values of each slot; ``weight``: product of the radices behind it;
+    * a range of at most ``range_products`` numbers uses for each slot the values from its first quotient to its
+      last one, so about two values for each number, fetched in blocks of ``block_values``.
     """
-    f = formats.withColumn("slots", F.regexp_extract_all(F.col("fmt"), F.lit(r"<[^>]+>"), 0)).filter(F.size("slots") > 0)
-    max_slots = f.agg(F.max(F.size("slots"))).first()[0] or 0  # formats are a small asset
-    cur = f.withColumn("parts", F.array().cast("array<string>")).withColumn("order", F.array().cast("array<int>"))
-    for i in range(max_slots):
-        need = cur.filter(F.size("slots") > i)
-        done = cur.filter(F.size("slots") <= i)
-        t = merged_tags.select(
-            F.col("block").alias(f"_b{i}"), F.col("slot").alias(f"_s{i}"), F.col("value").alias(f"_v{i}"), F.col("vpos").cast("int").alias(f"_p{i}")
-        )
-        # slot vocabularies are usually small: broadcast them (size-checked) so the growing product
-        # side is never shuffled; beyond the bound the join is left to Spark (AQE splits a hot slot)
-        t = bounded_broadcast(t, 1_000_000)
-        joined = need.join(t, (F.col("block") == F.col(f"_b{i}")) & (F.get(F.col("slots"), i) == F.col(f"_s{i}"))).select(
-            *[c for c in need.columns if c not in ("parts", "order")],
-            F.concat(F.col("parts"), F.array(F.col(f"_v{i}"))).alias("parts"),
-            F.concat(F.col("order"), F.array(F.col(f"_p{i}"))).alias("order"),
-        )
-        cur = done.unionByName(joined)
-    return cur.select("block", "fname", "fmt_pos", F.array_join("parts", " ").alias("query"), "order")
+    f = formats.select("block", "fname", "fmt_pos", F.regexp_extract_all(F.col("fmt"), F.lit(r"<[^>]+>"), 0).alias("slots"))
+    key = ["block", "fname", "fmt_pos"]
+    counted = merged_tags.groupBy("block", "slot").agg(F.count(F.lit(1)).alias("radix"))
+    slots = f.select(*key, F.posexplode("slots").alias("i", "slot")).join(counted, ["block", "slot"], "left")
+    per_format = slots.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "slot", F.coalesce("radix", F.lit(0)).alias("radix")))).alias("s"))
+    behind = F.expr("transform(s, x -> aggregate(slice(s, x.i + 2, size(s)), 1L, (p, y) -> p * y.radix))")
+    sized = per_format.withColumn("w", behind).withColumn("products", F.expr("get(w, 0) * get(s, 0).radix")).where("products > 0")
+    before = Window.partitionBy(F.lit(0)).orderBy("block", "fmt_pos").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("start", F.coalesce(F.sum("products").over(before), F.lit(0)))
+    ranges = sized.withColumn("lo", F.explode(F.expr(f"sequence(0L, products - 1, {range_products}L)"))).withColumn("hi", F.least(F.col("lo") + range_products, "products") - 1)
+
+    # the blocks of values that a range needs of each slot: from its first to its last quotient, around the radix
+    used = ranges.select(*key, "lo", "hi", F.inline(F.arrays_zip(F.col("s"), F.col("w")))).select(*key, "lo", "hi", "s.i", "s.slot", "s.radix", "w")
+    used = used.withColumns({"q0": F.expr("lo div w"), "q1": F.expr("hi div w")}).withColumns({"a": F.expr("q0 % radix"), "b": F.expr("q1 % radix")})
+    part = F.expr(
+        f"case when q1 - q0 + 1 >= radix then sequence(0L, (radix - 1) div {block_values}) when a <= b then sequence(a div {block_values}, b div {block_values})"
+        f" else array_union(sequence(0L, b div {block_values}), sequence(a div {block_values}, (radix - 1) div {block_values})) end"
+    )
+    wanted = used.select(*key, "lo", "i", "slot", F.explode(part).alias("part"))
+    number = F.col("vpos").cast("bigint") - 1
+    values = merged_tags.groupBy("block", "slot", F.floor(number / block_values).alias("part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("vpos", "value"))), lambda x: x["value"]).alias("values")
+    )
+    entry = F.struct(F.struct(F.col("i"), F.col("part")).alias("k"), F.col("values").alias("v"))
+    held = wanted.join(values, ["block", "slot", "part"]).groupBy(*key, "lo").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+
+    numbered = ranges.join(held, [*key, "lo"]).repartition(*key, "lo").select("*", F.explode(F.sequence("lo", "hi")).alias("k"))
+    order = F.expr("transform(s, (x, j) -> (k div get(w, j)) % x.radix)")
+    query = F.expr(f"array_join(transform(at, (p, j) -> get(element_at(held, named_struct('i', j, 'part', p div {block_values})), cast(p % {block_values} as int))), ' ')")
+    return numbered.withColumn("at", order).select(
+        *key, query.alias("query"), F.transform("at", lambda p: (p + 1).cast("int")).alias("order"), (F.col("start") + F.col("k")).alias("seq")
+    )
 
 
 def number_queries(expanded: DataFrame) -> DataFrame:
     """O4 + W3: drop repeated (query, fname) keeping the first in (block, format, values) order, then
-    number the rest 1..n in that order."""
-    key = F.struct("block", "fmt_pos", "order")
-    firsts = expanded.groupBy("query", "fname").agg(F.min(key).alias("_k"))
-    flat = firsts.select("query", "fname", F.col("_k.block").alias("block"), F.col("_k.fmt_pos").alias("fmt_pos"), F.col("_k.order").alias("order"))
-    indexed = global_index(flat, ["block", "fmt_pos", "order"], "_i")
+    number the rest 1..n in that order.  ``seq`` is that order already, so only the gaps are counted."""
+    firsts = expanded.groupBy("query", "fname").agg(F.min("seq").alias("_seq"))
+    indexed = global_index(firsts, ["_seq"], "_i", int_digits("_seq"))
     return indexed.select((F.col("_i") + 1).alias("index"), "query", F.col("fname").alias("function"))
 
 

@@ -1,76 +1,95 @@
-"""Exact, deterministic row numbering without a global window (B2; O1, O2, W3, X2).
+"""Exact, deterministic positions without a global sort, sampling or checkpoint (B2; O1, O2, W3, X2).
 
-``global_index`` gives every row its 0-based position in a total order:
+A position in a total order is the number of rows before the row's bucket plus the row's place in
+the bucket.  Buckets follow from the row alone: ``digits`` of the order key, from coarse to fine, whose
+order agrees with the order of the rows.  A task that is computed again therefore gives the same answer.
 
-1. the input is range-partitioned on the order key and sorted inside each partition; the partition
-   count grows with the row count (``rows_per_bucket``), so no partition outgrows a task;
-2. each row takes its partition and its position there, and the result is written once to the shared
-   checkpoint folder.  Range bounds are sampled anew whenever such an exchange is computed again, so
-   positions must never be recomputed: from here on they are read, whatever is cached or lost;
-3. rows per partition are counted (one row per partition to the driver) and turned into offsets held
-   in a broadcast table whose size is the partition count.
+1. rows are counted by (group, digits): one pre-aggregated table with a row for each bucket;
+2. prefix sums over the tree of digits, one window for each level, which never sees more rows than
+   one digit has values;
+3. rows meet their bucket's offset and are numbered within the bucket.
 
-One path for every size; nothing is persisted, and no frame of the caller is unpersisted.  The order key
-must be unique (add the row key as the last column).
+The input is evaluated twice and nothing runs while the query is built.  The usual digits:
+
+* ``md5_digits``: 4 hex digits of an md5 key, 65,536 even buckets, one level (O2, X2, X3);
+* ``int_digits``: the number without its lowest 40 and 20 bits, two levels; a bucket spans 2**20
+  numbers, so dense row numbers give buckets of a million;
+* ``text_digits``: the first 4, 12 and 32 signs.  Values of one group that share 32 signs share a bucket.
+
+The order key must be unique (add the row key as the last column).  Nulls come first, as in an
+ascending sort, and a null group is a group.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def md5_digits(key) -> list[Column]:
+    return [F.left(_col(key), F.lit(4))]
 
-from .broadcast import fits_broadcast
-from ..session import checkpoint_dir
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BROADCAST_GROUPS = 1_000_000
+def int_digits(key) -> list[Column]:
+    key = _col(key).cast("bigint")
+    return [F.shiftright(key, 40), F.shiftright(key, 20)]
 
 
-def default_buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def text_digits(key) -> list[Column]:
+    return [F.left(_col(key), F.lit(n)) for n in (4, 12, 32)]
 
 
-def global_index(
-    df: DataFrame,
-    order_cols,
-    name: str = "idx",
-    buckets: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
+def digits_of(df: DataFrame, order_col: str) -> list[Column]:
+    """Digits of a column by its type; a column of any other type is one digit by itself."""
+    kind = df.schema[order_col].dataType
+    if isinstance(kind, T.StringType):
+        return text_digits(order_col)
+    if isinstance(kind, T.IntegralType):
+        return int_digits(order_col)
+    return [F.col(order_col)]
+
+
+def positions(df: DataFrame, order_cols, name: str, group_cols=(), digits: list[Column] | None = None, group_min: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``name``: the 0-based position in the order of ``order_cols`` (ascending) within the group.
+
+    ``digits`` (coarse to fine) must be ordered as the rows are; by default they come from the first order column.
+    ``group_min`` names columns whose minimum in the group is added too, taken along with the counts.
+    """
+    order_cols, group_cols = list(order_cols), list(group_cols)
+    digits = digits or digits_of(df, order_cols[0])
+    levels = [f"_digit{i}" for i in range(len(digits))]
+    # structs compare equal where their nulls are, so null groups and digits need no care of their own
+    group = F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("all"))
+    rows = df.withColumns({"_group": group, **{n: F.struct(d.alias("d")) for n, d in zip(levels, digits)}})
+    least = group_min or {}
+    buckets = rows.groupBy("_group", *levels).agg(F.count(F.lit(1)).alias("_rows"), *[F.min(c).alias(n) for n, c in least.items()])
+    offsets, above = buckets, buckets
+    for depth in range(len(levels), 0, -1):
+        parents, last = ["_group", *levels[: depth - 1]], levels[depth - 1]
+        before = Window.partitionBy(*parents).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+        counted = above.withColumn(f"_before{depth}", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        if depth == 1:
+            counted = counted.withColumns({n: F.min(n).over(Window.partitionBy("_group")) for n in least})
+        else:
+            counted = counted.drop(*least)
+        offsets = counted.drop("_rows") if depth == len(levels) else offsets.join(counted.drop("_rows"), ["_group", *levels[:depth]])
+        above = above.groupBy(*parents).agg(F.sum("_rows").alias("_rows"), *[F.min(n).alias(n) for n in least])
+    start = sum((F.col(f"_before{d}") for d in range(2, len(levels) + 1)), F.col("_before1"))
+    offsets = offsets.select("_group", *levels, start.alias("_start"), *least)
+    within = Window.partitionBy("_group", *levels).orderBy(*order_cols)
+    placed = rows.join(offsets, ["_group", *levels]).withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name, *least)
+
+
+def global_index(df: DataFrame, order_cols, name: str = "idx", digits: list[Column] | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the order of ``order_cols`` (ascending)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    order_cols = list(order_cols)
-    n = df.count()
-    if n == 0:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    nb = max(buckets or default_buckets(df), math.ceil(n / rows_per_bucket))
-    pid = F.spark_partition_id().cast("bigint")
-    ranged = (
-        df.repartitionByRange(nb, *order_cols)
-        .sortWithinPartitions(*order_cols)
-        .withColumn("_b", pid)
-        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
-        .checkpoint()
-    )
-    counts = sorted(tuple(r) for r in ranged.groupBy("_b").count().collect())  # one row per partition
-    offsets, run = [], 0
-    for b, c in counts:
-        offsets.append((int(b), run))
-        run += c
-    offs = spark.createDataFrame(offsets, "_b bigint, _offset bigint")
-    return ranged.join(F.broadcast(offs), "_b").withColumn(name, F.col("_offset") + F.col("_local")).drop("_b", "_local", "_offset")
-
-
-def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", buckets: int | None = None) -> DataFrame:
+    return positions(df, order_cols, name, (), digits)
+
+
+def rank_in_group(df: DataFrame, group_cols, order_cols, name: str = "rank", digits: list[Column] | None = None, group_min: dict[str, str] | None = None) -> DataFrame:
     """1-based rank inside each group; a hot group is spread over many buckets, never one task."""
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    indexed = global_index(df, group_cols + order_cols, "_gidx", buckets)
-    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
-    # one row per group: broadcast it when rows and bytes are small (checked), so a hot group's
-    # rows are never shuffled to one task; beyond the bound the join is a shuffle join whose
-    # skewed partitions AQE splits (spark.sql.adaptive.skewJoin.enabled)
-    if fits_broadcast(starts, MAX_BROADCAST_GROUPS):
-        starts = F.broadcast(starts)
-    return indexed.join(starts, group_cols).withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
+    return positions(df, order_cols, name, group_cols, digits, group_min).withColumn(name, F.col(name) + 1)

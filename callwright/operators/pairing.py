@@ -1,26 +1,26 @@
 """Function pairing of single-call utterances.
 
-X3 half sample: inside each function, rows ranked by a seeded md5 key; the first
-``floor(n/2)`` go to the pairing pool.  The rank is the bucketed rank, so a function
-holding a third of the corpus is still spread over many tasks.
+X3 half sample: inside each function, the first ``floor(n/2)`` rows by a seeded md5 key go to the
+pairing pool.  The last such key of each function is selected by histograms (``select``), so
+the table itself is neither sorted nor shuffled, however many rows one function has.
 
 X4 maximum pairing of different functions, closed form (no heap, no driver loop):
 order the pool by (group size desc, function, key), N rows, largest group M, h = N // 2.
 If M <= h: offset = h and h pairs, else offset = M and N - M pairs; row i pairs with
-row i + offset.  No pair shares a function and the count equals the greedy's.
-Group sizes are one row per function (a bounded driver collect); the pairing itself
-is one equi self-join on the position.
+row i + offset.  No pair shares a function and the count equals the greedy's.  A row's place is
+its function's start (prefix sums of the group sizes, one row for each function) plus its rank in
+the function (buckets of the md5 key); the pairing itself is one equi self-join on the place.
 """
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import ensure_end, func_from_cell
-from .index import global_index, rank_in_group
-from .rules import bounded_broadcast
+from .index import md5_digits, rank_in_group
+from .select import first_of_groups
 
 JOINER = " 다음으로 "  # Fixed value: the word joining two utterances of a pair.
 
@@ -32,13 +32,24 @@ def _key(col: str, seed: int):
 def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function", seed: int = 42) -> DataFrame:
     """X3 (+ P21): ``func_name``, ``in_pool``; rows without a function name are dropped."""
     named = df.withColumn("func_name", func_from_cell(F.col(func_col))).filter(F.col("func_name") != "").withColumn("_k", _key(id_col, seed))
-    ranked = rank_in_group(named, ["func_name"], ["_k", id_col], "_r")
-    sizes = bounded_broadcast(named.groupBy("func_name").agg(F.count(F.lit(1)).alias("_n")), 1_000_000)  # one row per function
-    return ranked.join(sizes, "func_name").withColumn("in_pool", F.col("_r") <= F.floor(F.col("_n") / 2)).drop("_r", "_n")
+    return first_of_groups(named, ["func_name"], "_k", id_col, lambda n: F.floor(n / 2), "in_pool")
+
+
+def _starts(df: DataFrame, order) -> DataFrame:
+    """``func_name``, its number of rows ``gsize`` and the rows of all functions before it ``_start``: one row for
+    each function."""
+    sizes = df.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_start", F.coalesce(F.sum("gsize").over(before), F.lit(0)))
+
+
+def _ranked(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    return rank_in_group(df, ["func_name"], ["_k", id_col], name, md5_digits("_k"))
 
 
 class PoolPlan(NamedTuple):
-    """Group sizes of the pool (one row per function), the distance between partners and the number of pairs."""
+    """Group sizes and starts of the pool (one row per function), the distance between partners and the number
+    of pairs."""
 
     sizes: DataFrame
     offset: int
@@ -46,8 +57,7 @@ class PoolPlan(NamedTuple):
 
 
 def pool_plan(sampled: DataFrame) -> PoolPlan:
-    pool = sampled.filter("in_pool")
-    sizes = bounded_broadcast(pool.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize")), 1_000_000)  # one row per function
+    sizes = _starts(sampled.filter("in_pool"), [F.desc("gsize"), "func_name"])
     stats = sizes.agg(F.sum("gsize").alias("n"), F.max("gsize").alias("m")).first()
     n, m = int(stats["n"] or 0), int(stats["m"] or 0)
     h = n // 2
@@ -55,20 +65,22 @@ def pool_plan(sampled: DataFrame) -> PoolPlan:
 
 
 def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42, plan: PoolPlan | None = None):
-    """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired.
+    """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired, with
+    ``left_no`` from 0 (they are all of one function, the largest, so their places follow one another).
     ``plan`` is the pool's ``pool_plan`` where the caller has it already."""
-    pool = sampled.filter("in_pool")
     sizes, offset, pairs = plan or pool_plan(sampled)
-    ordered = global_index(pool.join(sizes, "func_name").withColumn("_neg", -F.col("gsize")), ["_neg", "func_name", "_k", id_col], "pos")
+    pool = _ranked(sampled.filter("in_pool"), id_col, "_r")
+    ordered = pool.join(sizes, "func_name").withColumn("pos", F.col("_start") + F.col("_r") - 1).drop("gsize", "_start", "_r")
     cols = [c for c in sampled.columns if c not in ("in_pool",)]
     a = ordered.filter(F.col("pos") < pairs).select(F.col("pos").alias("pair_no"), *[F.col(c).alias("a_" + c) for c in cols])
     b = ordered.filter((F.col("pos") >= offset) & (F.col("pos") < offset + pairs)).select(
         (F.col("pos") - offset).alias("pair_no"), *[F.col(c).alias("b_" + c) for c in cols]
     )
     paired = a.join(b, "pair_no")
-    used = F.col("pos") < pairs
-    used = used | ((F.col("pos") >= offset) & (F.col("pos") < offset + pairs))
-    leftovers = ordered.filter(~used).drop("pos", "gsize", "_neg")
+    # what no pair takes: places from ``pairs`` to ``offset`` (all of the largest function), or the last of an odd pool
+    left = (F.col("pos") >= pairs) & (F.col("pos") < offset) | (F.col("pos") >= offset + pairs)
+    first = pairs if offset > pairs else offset + pairs
+    leftovers = ordered.filter(left).withColumn("left_no", F.col("pos") - first).drop("pos")
     return paired, leftovers
 
 
@@ -91,11 +103,13 @@ def merge_pairs(paired: DataFrame, query_col: str = "query", func_col: str = "fu
 
 def singles(sampled: DataFrame, leftovers: DataFrame, n_pairs: int, id_col: str = "index", query_col: str = "query", func_col: str = "function") -> DataFrame:
     """Rows outside the pool then pool leftovers, ``<end>`` ensured, ids continuing after the pairs."""
-    outside = sampled.filter(~F.col("in_pool")).select(F.lit(0).alias("_kind"), "func_name", "_k", id_col, query_col, func_col)
-    left = leftovers.select(F.lit(1).alias("_kind"), "func_name", "_k", id_col, query_col, func_col)
-    allrows = outside.unionByName(left)
-    indexed = global_index(allrows, ["_kind", "func_name", "_k", id_col], "_i")
-    return indexed.select(
+    outside = sampled.filter(~F.col("in_pool"))
+    starts = _starts(outside, ["func_name"])
+    total = outside.agg(F.count(F.lit(1)).alias("_outside"))
+    first = _ranked(outside, id_col, "_r").join(starts, "func_name").withColumn("_i", F.col("_start") + F.col("_r") - 1)
+    last = leftovers.join(F.broadcast(total)).withColumn("_i", F.col("_outside") + F.col("left_no"))  # total is one row
+    cols = ["_i", query_col, func_col]
+    return first.select(*cols).unionByName(last.select(*cols)).select(
         F.concat(F.lit("P"), F.lpad((F.col("_i") + n_pairs).cast("string"), 6, "0")).alias("index"),
         F.col(query_col).alias("query"),
         ensure_end(F.col(func_col)).alias("function"),

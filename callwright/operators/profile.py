@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.args import FLOAT_RE, float_text
 from .calls import call_args_table, calls_table
 from .index import rank_in_group
-from .rules import bounded_broadcast
 
 # Function descriptions used by spec inference (A8); other names get "<func> function".
 FUNC_DESCRIPTIONS = {
@@ -144,8 +143,8 @@ def function_spec(value_list: DataFrame, descriptions: DataFrame) -> DataFrame:
     enum_value is the JSON scalar of the cast value; equal values after the cast
     (1 and 1.0) keep their first occurrence in sorted text order.
     """
-    # one row per key: broadcast when small, so a key holding most values is never shuffled to one task
-    typed = value_list.join(bounded_broadcast(infer_value_types(value_list), 1_000_000), ["func", "arg_key"])
+    # one row per key: Spark broadcasts it by its measured size, else AQE splits a key that holds most values
+    typed = value_list.join(infer_value_types(value_list), ["func", "arg_key"])
     v = F.trim(F.col("value"))
     is_int = v.rlike(r"^-?[0-9]+$")
     num = v.try_cast("double")
@@ -163,9 +162,9 @@ def function_spec(value_list: DataFrame, descriptions: DataFrame) -> DataFrame:
         .groupBy("func", "arg_key", "arg_type", "_eq")
         .agg(F.min_by("enum_value", "value_pos").alias("enum_value"), F.min("value_pos").alias("_first"))
     )
-    ranked = rank_in_group(firsts, ["func", "arg_key"], ["_first"], "enum_pos").drop("_eq", "_first")
+    ranked = rank_in_group(firsts, ["func", "arg_key"], ["_first"], "enum_pos", [F.shiftright("_first", 20)]).drop("_eq", "_first")
     desc = F.coalesce(F.col("description"), F.concat("func", F.lit(" function")))
-    return ranked.join(bounded_broadcast(descriptions, 1_000_000), "func", "left").select(
+    return ranked.join(descriptions, "func", "left").select(
         "func", desc.alias("description"), "arg_key", "arg_type", "enum_pos", "enum_value"
     )
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rules import bounded_broadcast
-
 # Header and guard lines of the generated prompts.
 SECTION_HEADER = [
     "Output JSON format (fixed):",
@@ -88,9 +86,10 @@ def preamble(what, how) -> F.Column:
 def prompt_matrix(parts: DataFrame, section: DataFrame) -> DataFrame:
     """Every FORMAT x WHAT x HOW x RULE combination (parts: kind, pos, text), preamble + section."""
     def kind(k):
-        return bounded_broadcast(parts.filter(F.col("kind") == k).select(F.col("pos").alias(f"{k}_pos"), F.col("text").alias(k)), 100_000)
+        return parts.filter(F.col("kind") == k).select(F.col("pos").alias(f"{k}_pos"), F.col("text").alias(k))
 
-    grid = kind("format").crossJoin(kind("what")).crossJoin(kind("how")).crossJoin(kind("rule")).crossJoin(bounded_broadcast(section, 1))
+    # the product is the feature; which side is broadcast is left to Spark, which knows the sizes
+    grid = kind("format").crossJoin(kind("what")).crossJoin(kind("how")).crossJoin(kind("rule")).crossJoin(section)
     text = F.concat_ws(
         "\n",
         F.when(F.col("what") != "", F.col("what")),

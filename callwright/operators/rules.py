@@ -316,11 +316,8 @@ def group_by_query(calls: DataFrame, keys=("row_id",)) -> DataFrame:
     from .index import rank_in_group
 
     c = calls.filter(F.col("query") != "")
-    ranked = rank_in_group(c, ["query"], [*keys, "pos"], "call_seq")
-    # one row per query: broadcast when the query count is bounded, else a shuffle join whose hot
-    # partitions AQE splits
-    firsts = bounded_broadcast(c.groupBy("query").agg(F.min(keys[0]).alias("query_first")), 1_000_000)
-    return ranked.join(firsts, "query").select("query", "query_first", "call_seq", "func", "raw_args")
+    ranked = rank_in_group(c, ["query"], [*keys, "pos"], "call_seq", group_min={"query_first": keys[0]})
+    return ranked.select("query", "query_first", "call_seq", "func", "raw_args")
 
 
 def render_args(args: Column) -> Column:

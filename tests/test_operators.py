@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from callwright.operators import augment as aug
 from callwright.operators import chat as chat_op
 from callwright.operators import pairing as pair_op
-from callwright.operators.index import global_index, rank_in_group
+from callwright.operators.index import global_index, md5_digits, positions, rank_in_group, text_digits
+from callwright.operators.select import first_of_groups, first_rows
 from callwright.plans import fixtures as fx
 
 from .conftest import SF_MID, SF_SMALL
@@ -16,9 +17,9 @@ from .conftest import SF_MID, SF_SMALL
 
 def test_global_index_is_exact_and_partition_independent(spark):
     df = spark.range(0, 5000).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(7)
-    a = global_index(df, ["k", "id"], "i", buckets=5).select("id", "i")
-    b = global_index(df.repartition(3), ["k", "id"], "i", buckets=11).select("id", "i")
-    c = global_index(df, ["k", "id"], "i").select("id", "i")  # small-input path
+    a = global_index(df, ["k", "id"], "i", md5_digits("k")).select("id", "i")
+    b = global_index(df.repartition(3), ["k", "id"], "i", text_digits("k")).select("id", "i")
+    c = global_index(df, ["k", "id"], "i").select("id", "i")
     rows_a = sorted(a.collect())
     assert [r["i"] for r in sorted(rows_a, key=lambda r: r["i"])] == list(range(5000))
     assert rows_a == sorted(b.collect()) == sorted(c.collect())
@@ -28,11 +29,53 @@ def test_global_index_is_exact_and_partition_independent(spark):
 
 def test_rank_in_group_handles_a_hot_group(spark):
     df = spark.range(0, 3000).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")))
-    r = rank_in_group(df, ["g"], ["id"], "r", buckets=8)
+    r = rank_in_group(df, ["g"], ["id"], "r")
     hot = [row["r"] for row in r.filter("g = 'hot'").orderBy("id").collect()]
     assert hot == list(range(1, 1001))
 
 
+def test_positions_with_nulls_signs_and_sparse_keys(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate((g, v) for g in ("a", None, "hot") for v in (None, -5, -(2**50), 2**62, 0, 7, 2**20, 2**40 + 3))]
+    rows += [("hot", 2**33 * k, 1000 + k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, v bigint, id int").repartition(4)
+    got = {r.id: r.p for r in positions(df, ["v", "id"], "p", ["g"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        of = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: n for n, r in enumerate(of)}
+    assert got == want
+    least = rank_in_group(df, ["g"], ["id"], "r", group_min={"first_v": "v"}).select("g", "first_v").distinct().collect()
+    assert {(r.g, r.first_v) for r in least} == {(g, -(2**50)) for g in ("a", None, "hot")}
+    assert positions(df.where("false"), ["v", "id"], "p", ["g"]).count() == 0
+
+
+def test_building_a_position_runs_nothing(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run here")
+    try:
+        df = spark.range(0, 1000).withColumn("k", F.md5(F.col("id").cast("string")))
+        out = chat_op.split_exact(rank_in_group(df, ["k"], ["id"], "r"), F.col("k"), order_cols=["id"])
+        half = pair_op.half_sample(df.selectExpr("id index", "'<function_AB>()' function"))
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 1000 and half.where("in_pool").count() == 500
+
+
+def test_selection_equals_a_sort(spark):
+    df = spark.range(0, 6000).selectExpr("id", "md5(cast(id as string)) k", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then concat('g', id % 40) end g", "cast(id * 7919 % 6007 as bigint) - 3000 v", "concat('shared/prefix/', id % 50) t").repartition(5)
+    got = {(r.id, r.chosen) for r in first_of_groups(df, ["g"], "k", "id", lambda n: F.floor(n / 2), "chosen").collect()}
+    df.createOrReplaceTempView("selection_input")
+    want = spark.sql("select id, row_number() over (partition by g order by k, id) <= floor(count(*) over (partition by g) / 2) c from selection_input").collect()
+    assert got == {(r.id, r.c) for r in want}
+    for order in (["v"], ["t", "v"], ["t", "k"], ["g", "id"]):
+        ordered = [r.id for r in df.orderBy(*order).select("id").collect()]
+        for n in (1, 37, 2500, 5999, 6000, 7000):
+            assert sorted(r.id for r in first_rows(df, order, n, sort_rows=20).collect()) == sorted(ordered[:n]), (order, n)
+    same = spark.range(0, 50).selectExpr("'x' t", "cast(null as bigint) v")
+    assert first_rows(same, ["t", "v"], 20, sort_rows=1).count() == 20 and first_rows(same.where("false"), ["t"], 5, 1).count() == 0
+
+
 def test_split_exact_counts(spark):
     assert chat_op.parse_split("80,10,10") == [0.8, 0.1, 0.1]
     assert chat_op.cut_points(60, chat_op.parse_split("80,10,10")) == (48, 54)
@@ -176,7 +219,7 @@ def test_repair_results_sink(spark):
 
 def test_index_does_not_depend_on_the_cache(spark):
     df = spark.range(0, 60_000).selectExpr("id", "md5(cast(id as string)) k").persist()
-    out = global_index(df, ["k", "id"], "i", buckets=7)
+    out = global_index(df, ["k", "id"], "i")
     assert df.is_cached
     spark.catalog.clearCache()
     assert out.selectExpr("count(distinct i)", "min(i)", "max(i)").first()[:] == (60_000, 0, 59_999)
