@@ -166,7 +166,7 @@ def merge_tags(tags: DataFrame) -> DataFrame:
 
 
 #: Product numbers of one range, and slot values of one block (SQL literals of the plan's arithmetic).
-RANGE_PRODUCTS = 1 << 16
+RANGE_PRODUCTS = 1 << 13
 BLOCK_VALUES = 1 << 12
 
 
@@ -207,12 +207,12 @@ def expand_templates(formats: DataFrame, merged_tags: DataFrame, range_products:
     entry = F.struct(F.struct(F.col("i"), F.col("part")).alias("k"), F.col("values").alias("v"))
     held = wanted.join(values, ["block", "slot", "part"]).groupBy(*key, "lo").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
 
-    numbered = ranges.join(held, [*key, "lo"]).repartition(*key, "lo").select("*", F.explode(F.sequence("lo", "hi")).alias("k"))
-    order = F.expr("transform(s, (x, j) -> (k div get(w, j)) % x.radix)")
-    query = F.expr(f"array_join(transform(at, (p, j) -> get(element_at(held, named_struct('i', j, 'part', p div {block_values})), cast(p % {block_values} as int))), ' ')")
-    return numbered.withColumn("at", order).select(
-        *key, query.alias("query"), F.transform("at", lambda p: (p + 1).cast("int")).alias("order"), (F.col("start") + F.col("k")).alias("seq")
-    )
+    # the texts of a range are made inside its row, so the values are not copied to each product
+    places = "transform(sequence(lo, hi), k -> transform(s, (x, j) -> (k div get(w, j)) % x.radix))"
+    text = f"array_join(transform(at, (p, j) -> get(element_at(held, named_struct('i', j, 'part', p div {block_values})), cast(p % {block_values} as int))), ' ')"
+    made = F.expr(f"transform({places}, (at, n) -> named_struct('query', {text}, 'order', transform(at, p -> cast(p + 1 as int)), 'seq', start + lo + n))")
+    dealt = ranges.join(held, [*key, "lo"]).repartition(*key, "lo")
+    return dealt.withColumn("made", made).select(*key, F.inline("made"))
 
 
 def number_queries(expanded: DataFrame) -> DataFrame:

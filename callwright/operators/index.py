@@ -14,7 +14,7 @@ The input is evaluated twice and nothing runs while the query is built.  The usu
 * ``md5_digits``: 4 hex digits of an md5 key, 65,536 even buckets, one level (O2, X2, X3);
 * ``int_digits``: the number without its lowest 40 and 20 bits, two levels; a bucket spans 2**20
   numbers, so dense row numbers give buckets of a million;
-* ``text_digits``: the first 4, 12 and 32 signs.  Values of one group that share 32 signs share a bucket.
+* ``text_digits``: the first 8 and 32 signs.  Values of one group that share 32 signs share a bucket.
 
 The order key must be unique (add the row key as the last column).  Nulls come first, as in an
 ascending sort, and a null group is a group.
@@ -40,7 +40,7 @@ def int_digits(key) -> list[Column]:
 
 
 def text_digits(key) -> list[Column]:
-    return [F.left(_col(key), F.lit(n)) for n in (4, 12, 32)]
+    return [F.left(_col(key), F.lit(n)) for n in (8, 32)]
 
 
 def digits_of(df: DataFrame, order_col: str) -> list[Column]:

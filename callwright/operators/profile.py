@@ -7,7 +7,7 @@ combine), so a hot function or key is pre-aggregated before any shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.args import FLOAT_RE, float_text
@@ -96,14 +96,20 @@ def func_arg_value_frequency(args: DataFrame) -> DataFrame:
     )
 
 
-def func_arg_value_list(args: DataFrame) -> DataFrame:
+def func_arg_value_list(args: DataFrame, typed: bool = False) -> DataFrame:
     """A7 long form: distinct value texts per (func, key) with their sorted position.
 
     Distinct values are found by a partial aggregate; the position comes from the
-    bucketed rank, so a key with very many values never sits in one task.
+    bucketed rank, so a key with very many values never sits in one task.  ``typed`` adds the
+    ``arg_type`` of each key (P29), taken along with the rank's counts.
     """
     distinct = args.select("func", "arg_key", F.col("val").alias("value")).distinct()
-    return rank_in_group(distinct, ["func", "arg_key"], ["value"], "value_pos")
+    if not typed:
+        return rank_in_group(distinct, ["func", "arg_key"], ["value"], "value_pos")
+    kinds = value_kinds(F.col("value"))
+    flagged = distinct.withColumns({f"_{k}": c.cast("int") for k, c in kinds.items()})
+    ranked = rank_in_group(flagged, ["func", "arg_key"], ["value"], "value_pos", group_min={f"_all_{k}": f"_{k}" for k in kinds})
+    return ranked.select("func", "arg_key", "value", "value_pos", type_of({k: F.col(f"_all_{k}") == 1 for k in kinds}).alias("arg_type"))
 
 
 def func_arg_value_arrays(args: DataFrame) -> DataFrame:
@@ -125,26 +131,31 @@ def func_arg_pivot(args: DataFrame, keys=None) -> DataFrame:
     return args.groupBy("func").pivot("arg_key", list(keys)).agg(F.count(F.lit(1))).fillna(0)
 
 
+def value_kinds(value: Column) -> dict[str, Column]:
+    """What a value text may stand for."""
+    v = F.trim(value)
+    return {"word": F.lower(v).isin("true", "false"), "bit": v.isin("0", "1"), "number": v.rlike(FLOAT_RE)}
+
+
+def type_of(every: dict[str, Column]) -> Column:
+    """The type of a key whose values are all of these kinds."""
+    return F.when(every["word"] | every["bit"], F.lit("boolean")).when(every["number"], F.lit("number")).otherwise(F.lit("string"))
+
+
 def infer_value_types(value_list: DataFrame) -> DataFrame:
     """Type of each (func, key) from its distinct value texts: boolean, number or string."""
-    v = F.trim(F.col("value"))
-    return value_list.groupBy("func", "arg_key").agg(
-        F.when(F.bool_and(F.lower(v).isin("true", "false")), F.lit("boolean"))
-        .when(F.bool_and(v.isin("0", "1")), F.lit("boolean"))
-        .when(F.bool_and(v.rlike(FLOAT_RE)), F.lit("number"))
-        .otherwise(F.lit("string"))
-        .alias("arg_type")
-    )
+    every = {k: F.bool_and(c) for k, c in value_kinds(F.col("value")).items()}
+    return value_list.groupBy("func", "arg_key").agg(type_of(every).alias("arg_type"))
 
 
 def function_spec(value_list: DataFrame, descriptions: DataFrame) -> DataFrame:
     """A8 long form: ``(func, description, arg_key, arg_type, enum_pos, enum_value)``.
 
-    enum_value is the JSON scalar of the cast value; equal values after the cast
+    ``value_list`` is A7's, best with its types.  enum_value is the JSON scalar of the cast value; equal values after the cast
     (1 and 1.0) keep their first occurrence in sorted text order.
     """
-    # one row per key: Spark broadcasts it by its measured size, else AQE splits a key that holds most values
-    typed = value_list.join(infer_value_types(value_list), ["func", "arg_key"])
+    # without types: one row per key, which Spark broadcasts by its measured size, else AQE splits a key with most values
+    typed = value_list if "arg_type" in value_list.columns else value_list.join(infer_value_types(value_list), ["func", "arg_key"])
     v = F.trim(F.col("value"))
     is_int = v.rlike(r"^-?[0-9]+$")
     num = v.try_cast("double")

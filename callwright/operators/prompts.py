@@ -88,8 +88,11 @@ def prompt_matrix(parts: DataFrame, section: DataFrame) -> DataFrame:
     def kind(k):
         return parts.filter(F.col("kind") == k).select(F.col("pos").alias(f"{k}_pos"), F.col("text").alias(k))
 
-    # the product is the feature; which side is broadcast is left to Spark, which knows the sizes
-    grid = kind("format").crossJoin(kind("what")).crossJoin(kind("how")).crossJoin(kind("rule")).crossJoin(section)
+    # the product is the feature and as large as all factors together, so no factor of a product that can be
+    # made is too large to send; the section is one row
+    grid = kind("format")
+    for factor in (kind("what"), kind("how"), kind("rule"), section):
+        grid = grid.crossJoin(F.broadcast(factor))
     text = F.concat_ws(
         "\n",
         F.when(F.col("what") != "", F.col("what")),

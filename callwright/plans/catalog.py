@@ -179,7 +179,7 @@ FROM firsts f LEFT JOIN descs d USING (func)"""
 
 @register("function_spec_inference", _spec_oracle())
 def q_function_spec_inference(spark, sf_dir):
-    values = prof.func_arg_value_list(_pargs(spark, sf_dir))
+    values = prof.func_arg_value_list(_pargs(spark, sf_dir), typed=True)
     return prof.function_spec(values, prof.descriptions_frame(spark))
 
 

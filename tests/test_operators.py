@@ -232,3 +232,27 @@ def test_broadcast_needs_few_rows_and_few_bytes(spark):
     df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "`a.b` int, t string")
     assert fits_broadcast(df, 2) and not fits_broadcast(df, 1) and not fits_broadcast(df, 2, 500)
     assert fits_broadcast(df.filter("t = 'none'"), 0)
+
+
+def test_template_products_equal_a_loop(spark):
+    from itertools import product
+
+    formats = [(1, "A", 1, "<x> <y>"), (1, "B", 2, "<y>"), (2, "A", 1, "<x> <z> <x>"), (2, "C", 2, "<none> <x>"), (3, "D", 1, "no slot")]
+    values = {(1, "<x>"): 5, (1, "<y>"): 23, (2, "<x>"): 7, (2, "<z>"): 1}
+    tags = [(b, s, f"{s}{v % 6}", v + 1) for (b, s), n in values.items() for v in range(n)]
+    f = spark.createDataFrame(formats, "block int, fname string, fmt_pos int, fmt string")
+    t = spark.createDataFrame(tags, "block int, slot string, value string, vpos bigint").repartition(3)
+    want, seen, numbered = [], set(), []
+    for block, fname, pos, fmt in formats:
+        slots = [w for w in fmt.split() if w.startswith("<")]
+        lists = [[(v, p) for b, s, v, p in tags if (b, s) == (block, slot)] for slot in slots]
+        for choice in product(*lists) if slots and all(lists) else []:
+            want.append((block, fname, pos, " ".join(v for v, _ in choice), [p for _, p in choice], len(want)))
+    for _, fname, _, query, _, _ in want:
+        if (query, fname) not in seen:
+            seen.add((query, fname))
+            numbered.append((len(numbered) + 1, query, fname))
+    for ranges, blocks in ((1 << 13, 1 << 12), (4, 3), (10, 2), (1, 1)):
+        out = aug.expand_templates(f, t, ranges, blocks)
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want), (ranges, blocks)
+    assert sorted(tuple(r) for r in aug.number_queries(out).collect()) == numbered
