@@ -1,4 +1,4 @@
-"""Queries over the file sources (S2, S6, S7, S8): the input is derived from the driver tables, written to the
+"""Queries over the file sources (S1, S2, S6, S7, S8): the input is derived from the driver tables, written to the
 shared checkpoint folder and read back with the reader.  The write runs while the query is built."""
 from __future__ import annotations
 
@@ -42,6 +42,36 @@ def q_source_labelled_csv(spark, sf_dir):
     return readers.read_labelled_csv(spark, root).select("user", "assistant", "error")
 
 
+ARRAY_ORACLE = (
+    o.with_(o.TAGGED)
+    + """SELECT CASE WHEN row_id % 5 <> 4 THEN query END AS "user",
+  CASE WHEN row_id % 5 IN (0, 1, 4) THEN '{"a":"}, \\"[y","id":' || row_id || '}' END AS assistant,
+  CASE row_id % 5 WHEN 2 THEN 'invalid assistant JSON' WHEN 3 THEN 'missing key assistant' WHEN 4 THEN 'user is no text' END AS error
+FROM tagged"""
+)
+
+
+@register("source_json_array", ARRAY_ORACLE)
+def q_source_json_array(spark, sf_dir):
+    """S1 from files that hold one array each: answers as objects and as JSON text, and each kind of bad element."""
+    root = _folder(spark, "arrays")
+    kind = F.col("row_id") % 5
+    answer = F.to_json(F.struct(F.lit('}, "[y').alias("a"), F.col("row_id").alias("id")))
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    member = (
+        F.when(kind.isin(0, 4), F.concat(F.lit(', "assistant": '), answer))
+        .when(kind == 1, F.concat(F.lit(', "assistant": '), text(answer)))
+        .when(kind == 2, F.lit(', "assistant": "{\\"a\\": "'))
+        .otherwise(F.lit(""))
+    )
+    user = F.when(kind == 4, F.col("row_id").cast("string")).otherwise(text(F.col("query")))
+    element = F.concat(F.lit('{"user": '), user, member, F.lit("}"))
+    rows = fx.tagged(spark, sf_dir).select(F.floor(F.col("row_id") / 5000).alias("bucket"), element.alias("element"))
+    files = rows.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("element"), ", "), F.lit("]")).alias("value"))
+    files.write.partitionBy("bucket").text(f"{root}/json")
+    return readers.read_json_arrays(spark, root, "json/**/*").select("user", "assistant", "error")
+
+
 MESSAGES_ORACLE = (
     o.with_(o.TAGGED)
     + f"""SELECT query AS message, CASE row_id % 4 WHEN 0 THEN {o.strip('llm_output')} WHEN 1 THEN '{{"a":[1],"id":' || row_id || '}}'

@@ -1,31 +1,20 @@
 """Corpus readers (S1-S9, S14) built on Spark's file sources.
 
 Every reader keeps an order key ``(kind, path, pos)`` (JSON before CSV, then file, then
-position in the file) so limits and splits can follow source order exactly.  Positions
-come from ``monotonically_increasing_id`` over non-splittable (multiLine) reads, which
-keeps each file in one partition in file order.
+position in the file) so limits and splits can follow source order exactly.  JSON arrays and CSV files are
+split over many tasks (``splittable``); nothing is read while a reader is built.
 """
 from __future__ import annotations
 
-import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.args import pystrip
 from ..functions.jsontext import json_with_repair, strict_json
 from ..functions.tags import extract_calls
-
-
-def _with_order(df: DataFrame, kind: int) -> DataFrame:
-    return (
-        df.withColumn("src_kind", F.lit(kind))
-        .withColumn("src_file", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
-        .withColumn("src_pos", F.monotonically_increasing_id())
-    )
-
+from .splittable import csv_records, json_elements
 
 GLOB_PARTS = {"**/": "(.*/)?", "*": "[^/]*", "?": "[^/]"}
 
@@ -48,23 +37,24 @@ def _name_glob(patterns: str | None, default: str) -> str:
     return names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
 
 
+def _member(value: Column, key: str) -> Column:
+    return F.try_variant_get(value, "$['" + key.replace("'", "\\'") + "']", "variant")
+
+
 def read_json_arrays(spark: SparkSession, root: str, pattern: str = "json/*.json", user_key: str = "user", assistant_key: str = "assistant") -> DataFrame:
     """JSON files holding an array of objects; ``user`` must be text, ``assistant`` an object or
-    JSON text.  Adds ``error`` (null when the row is valid) instead of raising; see ``require_valid``."""
-    raw = (
-        spark.read.option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _name_glob(pattern, "*.json"))
-        .schema(f"`{user_key}` variant, `{assistant_key}` variant, _corrupt_record string")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(root)
-    )
-    df = _glob_filter(_with_order(raw, 0), pattern)
-    user, answer = F.col(user_key), F.col(assistant_key)
+    JSON text.  Adds ``error`` (null when the row is valid) instead of raising; see ``require_valid``.
+
+    Strict: another top level, text between elements, an element that is no object or a missing end gives a
+    row with an error.  A large file is many tasks' work."""
+    raw = json_elements(spark, root, _name_glob(pattern, "*.json")).withColumn("src_kind", F.lit(0))
+    df = _glob_filter(raw, pattern).withColumn("_v", strict_json(F.col("element")))
+    df = df.withColumns({"_user": _member(F.col("_v"), user_key), "_answer": _member(F.col("_v"), assistant_key)})
+    user, answer = F.col("_user"), F.col("_answer")
     kind = F.schema_of_variant(answer)
     parsed = F.when(kind.startswith("OBJECT"), answer).when(kind == "STRING", strict_json(F.try_variant_get(answer, "$", "string")))
     err = (
-        F.when(F.col("_corrupt_record").isNotNull(), F.lit("not a JSON array of objects"))
+        F.when(F.col("_v").isNull(), F.lit("not a JSON array of objects"))
         .when(user.isNull(), F.lit(f"missing key {user_key}"))
         .when(answer.isNull(), F.lit(f"missing key {assistant_key}"))
         .when(F.schema_of_variant(user) != "STRING", F.lit(f"{user_key} is no text"))
@@ -75,57 +65,31 @@ def read_json_arrays(spark: SparkSession, root: str, pattern: str = "json/*.json
     return df.select("src_kind", "src_file", "src_pos", text.alias("user"), F.to_json(parsed).alias("assistant"), err.alias("error"))
 
 
-def csv_files(spark: SparkSession, root: str, name_glob: str = "*.csv", recursive: bool = False) -> list[tuple[list[str], DataFrame]]:
-    """CSV files grouped by their header line: (column names, rows with these columns as text) per header.
+def _named(name: str) -> Column:
+    """Place of a column of a CSV record in its file's header, null without it."""
+    return F.nullif(F.array_position("header", name), F.lit(0)) - 1
+
+
+def _picked(candidates) -> Column:
+    """Place of the column that a list of candidates means, whatever its case; null without one."""
+    back = F.reverse(F.transform("header", lambda n: F.lower(F.trim(n))))
+    return F.coalesce(*[F.size("header") - F.nullif(F.array_position(back, c), F.lit(0)) for c in candidates])
 
-    Every file is read by its own header.  The headers come from one distributed pass; only the different
-    headers and the file names reach the driver.  A line with more cells than the header is skipped, missing
-    cells are null.  Names must stand on one line; a byte-order mark is dropped; bytes that are not UTF-8
-    become the replacement character.
-    """
-    text = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", name_glob).text(root)
-    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).withColumn("line", F.monotonically_increasing_id())
-    firsts = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    by_header = firsts.groupBy("header").agg(F.sort_array(F.collect_list(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))).alias("paths"))
-    groups = []
-    for header, paths in sorted(tuple(r) for r in by_header.collect()):
-        names = next(csv.reader([header.lstrip("\ufeff")]), [])
-        fields = [T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)]
-        # brackets and the like in file names are no patterns here
-        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(T.StructType(fields)).csv(literal)
-        groups.append((names, rows.filter(F.col(f"c{len(names)}").isNull())))
-    return groups
-
-
-def _cell(names: list[str], wanted: str) -> Column:
-    """Stripped text of a named column, empty without it."""
-    return pystrip(F.coalesce(F.col(f"c{names.index(wanted)}"), F.lit(""))) if wanted in names else F.lit("")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+
+def _cell(place: Column) -> Column:
+    """Stripped text of the cell at a place, empty without it."""
+    return pystrip(F.coalesce(F.get("cells", place.cast("int")), F.lit("")))
 
 
 def read_labelled_csv(spark: SparkSession, root: str, pattern: str = "csv/*.csv", input_col: str = "input", output_col: str = "output_json", repair: bool = False) -> DataFrame:
     """CSV with header; both cells trimmed; rows with either empty are skipped; bad JSON is an
-    error unless repair (P2) fixes it.  A file without the two columns is an error that names what it has."""
-    frames = []
-    for names, rows in csv_files(spark, root, _name_glob(pattern, "*.csv"), recursive=True):
-        df = _glob_filter(_with_order(rows, 1), pattern)
-        if input_col not in names or output_col not in names:
-            if df.isEmpty():  # not among the wanted files
-                continue
-            raise KeyError(f"CSV must contain columns {input_col!r}, {output_col!r}; found {names}")
-        df = df.withColumn("_u", _cell(names, input_col)).withColumn("_o", _cell(names, output_col)).filter((F.col("_u") != "") & (F.col("_o") != ""))
-        frames.append(df.select("src_kind", "src_file", "src_pos", "_u", "_o"))
-    if not frames:
-        raise FileNotFoundError(f"no CSV files under {root}")
-    # positions of different headers may be equal: the file name tells such rows apart
-    df = _union(frames).withColumn("_p", json_with_repair(F.col("_o"), repair))
+    error unless repair (P2) fixes it.  A file without the two columns fails the job with what it has."""
+    df = _glob_filter(csv_records(spark, root, _name_glob(pattern, "*.csv"), recursive=True), pattern)
+    missing = _named(input_col).isNull() | _named(output_col).isNull()
+    failure = F.raise_error(F.concat(F.lit(f"CSV must contain columns {input_col!r}, {output_col!r}; found "), F.array_join("header", ", ")))
+    place = lambda name: F.when(missing, failure.cast("bigint")).otherwise(_named(name))
+    cut = df.select(F.lit(1).alias("src_kind"), "src_file", "src_pos", _cell(place(input_col)).alias("_u"), _cell(place(output_col)).alias("_o"))
+    df = cut.filter((F.col("_u") != "") & (F.col("_o") != "")).withColumn("_p", json_with_repair(F.col("_o"), repair))
     error = F.when(F.col("_p").isNull(), F.lit("invalid JSON in output column"))
     return df.select("src_kind", "src_file", "src_pos", F.col("_u").alias("user"), F.to_json("_p").alias("assistant"), error.alias("error"))
 
@@ -153,7 +117,9 @@ def read_labelled(spark: SparkSession, root: str, json_pattern: str = "json/*.js
 
 def require_valid(df: DataFrame) -> DataFrame:
     """Strict mode: fail the job on the first row with an error (the reference raises)."""
-    return df.withColumn("_chk", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid row: "), F.col("error"))))).drop("_chk")
+    # a filter, so that the check stays in the plan whatever columns are read
+    failure = F.raise_error(F.concat(F.lit("invalid row: "), F.col("error"))).cast("boolean")
+    return df.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(failure))
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str) -> DataFrame:
@@ -177,12 +143,6 @@ OUTPUT_NAMES = ("llm output", "llm_output", "output", "expected")
 CSV_DIR_ALIASES = {"index": ("idx", "id"), "query": ("q", "utterance", "text"), "function": ("func", "functions", "call")}
 
 
-def _pick(names: list[str], candidates) -> str:
-    """The column a list of candidates means, whatever its case; '' without one."""
-    low = {n.strip().lower(): n for n in names}
-    return next((low[c] for c in candidates if c in low), "")
-
-
 def _json_text(value: Column) -> Column:
     """Text of a VARIANT scalar, stripped; null if missing or JSON null."""
     return pystrip(F.try_variant_get(value, "$", "string"))
@@ -196,11 +156,8 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     Rows without a message and malformed lines are dropped.
     """
     if path.lower().endswith(".csv"):
-        parts = [
-            rows.select(_cell(names, _pick(names, MESSAGE_NAMES)).alias("message"), _cell(names, _pick(names, EXPECTED_NAMES)).alias("expected"))
-            for names, rows in csv_files(spark, path)
-        ]
-        return _union(parts).filter(F.col("message") != "") if parts else spark.createDataFrame([], "message string, expected string")
+        rows = csv_records(spark, path)
+        return rows.select(_cell(_picked(MESSAGE_NAMES)).alias("message"), _cell(_picked(EXPECTED_NAMES)).alias("expected")).filter(F.col("message") != "")
     get = lambda key, kind="variant": F.try_variant_get(F.col("value"), f"$.{key}", kind)
     known = lambda v: F.when(~F.is_variant_null(v), v)
     text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -235,11 +192,8 @@ def read_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     are no objects go; no output text and no raw arguments); other rows without a query are dropped.
     """
     if fmt == "csv":
-        parts = [
-            rows.select(_cell(names, _pick(names, QUERY_NAMES)).alias("query"), _cell(names, _pick(names, OUTPUT_NAMES)).alias("llm_output"))
-            for names, rows in csv_files(spark, path)
-        ]
-        return _tagged_record(_union(parts))
+        rows = csv_records(spark, path)
+        return _tagged_record(rows.select(_cell(_picked(QUERY_NAMES)).alias("query"), _cell(_picked(OUTPUT_NAMES)).alias("llm_output")))
     if fmt not in ("json", "json_array"):
         raise ValueError("fmt must be 'csv', 'json' or 'json_array'")
     keys = ["Query(한글)", "query", "message", "LLM Output", "expected", "calls"]
@@ -263,16 +217,12 @@ def read_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def read_csv_dir(spark: SparkSession, directory: str) -> DataFrame:
     """Every ``*.csv`` of a folder; alias headers (idx/id, q/utterance/text, func/functions/call);
     lines with too many cells dropped; newlines become spaces; files missing a column are skipped; file name kept."""
-    frames = []
-    for names, rows in csv_files(spark, directory):
-        wanted = {c: c if set(CSV_DIR_ALIASES) <= set(names) else _pick(names, (c, *aliases)) for c, aliases in CSV_DIR_ALIASES.items()}
-        if not all(wanted.values()):
-            continue  # the reference warns and skips such files
-        clean = [pystrip(F.regexp_replace(_cell(names, n), "\r\n|\n", " ")).alias(c) for c, n in wanted.items()]
-        frames.append(rows.select(*clean, F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("src_path")))
-    if not frames:
-        raise FileNotFoundError(f"no usable CSV files in {directory}")
-    return _union(frames)
+    rows = csv_records(spark, directory)
+    plain = F.forall(F.array(*map(F.lit, CSV_DIR_ALIASES)), lambda c: F.array_contains("header", c))
+    places = {c: F.when(plain, _named(c)).otherwise(_picked((c, *aliases))) for c, aliases in CSV_DIR_ALIASES.items()}
+    complete = rows.withColumns({f"_{c}": p for c, p in places.items()}).filter(" and ".join(f"_{c} is not null" for c in places))
+    clean = [pystrip(F.regexp_replace(_cell(F.col(f"_{c}")), "\r\n|\n", " ")).alias(c) for c in places]
+    return complete.select(*clean, F.element_at(F.split("src_file", "/"), -1).alias("src_path"))
 
 
 def read_prompt_parts(spark: SparkSession, path: str) -> DataFrame:

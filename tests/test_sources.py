@@ -191,8 +191,8 @@ def test_swapped_csv_headers_are_read_by_name(spark):
     rows = sorted((r["user"], r["assistant"]) for r in readers.read_labelled_csv(spark, d).collect())
     assert rows == [("bye", '{"a":2}'), ("hello", '{"a":1}'), ("hi", '{"a":3}')]
     _write(d, "csv/3.csv", "other\n1\n")
-    with pytest.raises(KeyError, match="other"):
-        readers.read_labelled_csv(spark, d)
+    with pytest.raises(Exception, match="found other"):
+        readers.read_labelled_csv(spark, d).collect()
     assert readers.read_labelled_csv(spark, d, "csv/1.csv").count() == 1
 
 
@@ -256,3 +256,76 @@ def test_function_section_hints_order_and_empty_function(spark):
         '  example: {"name": "zeta", "arguments": {"v": "...", "p": "...", "n": "..."}}\n'
         '- alpha:\n  (no parameters)\n  example: {"name": "alpha", "arguments": {}}'
     )
+
+
+def _splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield lambda size: _splits(spark, size)
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_json_array_is_split_over_tasks(spark, small_splits):
+    import random
+
+    r = random.Random(4)
+    odd = ['"', "\\", "}", "{", "[", "]", ",", "x", "\n", "é", "中", ":", '\\"']
+    text = lambda: "".join(r.choice(odd) for _ in range(r.randint(0, 25)))
+    rows = [{"user": "u" + text(), "assistant": {text(): [text(), {"a": {}}], "n": i} if i % 3 else json.dumps({"t": text()})} for i in range(200)]
+    rows[77]["assistant"] = {"long": "}{" * 1500}
+    d = _tmp("cw-split-")
+    _write(d, "json/a.json", json.dumps(rows))
+    _write(d, "json/b.json", json.dumps(rows, ensure_ascii=False, indent=3) + "\n")
+    _write(d, "json/empty.json", " [\n] ")
+    want = [x["user"].strip() for x in rows]
+    for size in (1 << 27, 4000, 300):
+        small_splits(size)
+        df = readers.read_json_arrays(spark, d)
+        got = df.orderBy("src_file", "src_pos").collect()
+        assert [x["user"] for x in got] == want * 2 and not any(x["error"] for x in got)
+        assert [json.loads(x["assistant"]) for x in got[:200]] == [a if isinstance(a, dict) else json.loads(a) for a in (x["assistant"] for x in rows)]
+    assert spark.read.option("lineSep", "}").text(f"{d}/json").rdd.getNumPartitions() > 50
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"user": "a", "assistant": {}}', "", "7", '[{"user": "a", "assistant": {}}', '[{"user": "a", "assistant": {}},]', '[{"user": "a", "assistant": {}} {"user": "b", "assistant": {}}]',
+     '[[{"user": "a", "assistant": {}}]]', '[{"user": "a", "assistant": {}}] x', '[1, {"user": "a", "assistant": {}}]', '[{"user": "a", "assistant": {}}, 1]', '[{"user": "a, "assistant": {}}]', "[1]"],
+)
+def test_other_top_levels_are_errors(spark, text):
+    d = _tmp("cw-strict-")
+    _write(d, "json/a.json", text + " ")
+    rows = readers.read_json_arrays(spark, d).collect()
+    assert any(r["error"] for r in rows)
+    with pytest.raises(Exception, match="invalid row"):
+        readers.require_valid(readers.read_json_arrays(spark, d)).collect()
+
+
+def test_csv_is_split_over_tasks(spark, small_splits):
+    import csv as python_csv
+    import random
+
+    from callwright.sources.splittable import csv_records
+
+    r = random.Random(9)
+    odd = ['"', ",", "\n", "x", "y", " ", "é", "\r\n", '""', "'"]
+    rows = [["id", "a", "b"]] + [[str(i), "".join(r.choice(odd) for _ in range(r.randint(0, 30))), 'mid"quote' if i % 5 == 0 else "p\nq"] for i in range(400)]
+    rows[50][1] = 'line\n"' * 900
+    d = _tmp("cw-csvsplit-")
+    with open(f"{d}/a.csv", "w", encoding="utf-8", newline="") as f:
+        python_csv.writer(f, lineterminator="\n").writerows(rows[:200])
+        f.write('\nx,un"quoted "" cell,"closed"tail\n1,2,3,4\nshort\n')
+        python_csv.writer(f).writerows(rows[200:])
+    with open(f"{d}/a.csv", encoding="utf-8", newline="") as f:
+        want = [x for x in list(python_csv.reader(f))[1:] if x and len(x) <= 3]
+    for size in (1 << 27, 5000, 400, 60):
+        small_splits(size)
+        got = csv_records(spark, d).orderBy("src_pos").collect()
+        assert [x["cells"] for x in got] == want, size
+        assert {tuple(x["header"]) for x in got} == {("id", "a", "b")}
