@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-* Rows are dealt to parts by a hash.  How many rows of each part go to each shard is drawn from the
+* Equal rows are counted and numbered, so that each row has a key of its own, and dealt to parts by its
+  hash.  How many rows of each part go to each shard is drawn from the
   multivariate hypergeometric law (row sums: part sizes, column sums: shard sizes, which differ by one
   at most): the matrix has the distribution that a uniform shuffle of all rows would give.
 * Each part is permuted (order of a keyed hash); its first rows go to shard 0, the next to shard 1...
@@ -9,10 +10,12 @@
 
 The draw sees one count for each part, ``MAX_PARTS`` at most, however many rows there are; all rows
 stay in DataFrame operations.  A part or bin has some ``ROWS`` rows; nothing depends on
-keys of the data, so hot sources or copies do not gather.
+keys of the data, so hot sources or copies do not gather.  The law is exact at any size: numpy's generator
+up to 10**9 rows, beyond that inversion of the probabilities around their mode, which follow from
+ratios of neighbours.
 
 Defined results: a null text has size 1 and crc 0; null ids are dealt by the text; equal rows are
-interchangeable; every row gets one slot; an empty table has none; columns other than id and text
+numbered and dealt each; every row gets one slot; an empty table has none; columns other than id and text
 are not read.
 """
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import documents_of, staged
 
 ROWS = 100_000
 MAX_PARTS = 65_536
+SPREAD = 16
 
 
 def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
@@ -47,19 +51,28 @@ def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(draw, good: int, bad: int, n: int) -> int:
-    """numpy's generator ends at 10**9 rows; beyond, a draw of halves of the sample keeps the law."""
     if not n or not good:
         return 0
     if not bad:
         return n
-    if good + bad < 10**9:
-        return int(draw.hypergeometric(good, bad, n))
-    # normal law of the same mean and variance, cut to what is possible: at this size its error is
-    # far below one row in a thousand standard deviations
+    return int(draw.hypergeometric(good, bad, n)) if good + bad < 10**9 else _by_inversion(draw, good, bad, n)
+
+
+def _by_inversion(draw, good: int, bad: int, n: int) -> int:
+    """One draw of any size.  Probabilities relative to the mode's are products of ratios of neighbours;
+    what lies more than ``SPREAD`` standard deviations off weighs less than a double can tell."""
     total = good + bad
-    mean = n * good / total
-    sd = math.sqrt(max(0.0, n * (good / total) * (bad / total) * (total - n) / (total - 1)))
-    return int(min(max(round(draw.normal(mean, sd)), max(0, n - bad)), min(n, good)))
+    least, most = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), least), most)
+    sd = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)))
+    width = int(SPREAD * sd) + 100
+    up = np.arange(mode, min(most, mode + width), dtype=np.int64)
+    down = np.arange(mode, max(least, mode - width), -1, dtype=np.int64)
+    rising = (good - up) / (up + 1.0) * ((n - up) / (bad - n + up + 1.0))
+    falling = down / (good - down + 1.0) * ((bad - n + down) / (n - down + 1.0))
+    logs = np.r_[np.cumsum(np.log(falling))[::-1], 0.0, np.cumsum(np.log(rising))]
+    upto = np.cumsum(np.exp(logs))
+    return mode - len(down) + int(np.searchsorted(upto, draw.random() * upto[-1], "right"))
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, rows: int = ROWS) -> DataFrame:
@@ -68,7 +81,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id"
     text = F.coalesce("text", F.lit(""))
     base = documents_of(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     key = ("doc_id", "size", "text_crc32")
-    base = staged(base, "shard-rows")
+    # equal rows, counted with a map-side combine, become rows with a number; many copies in blocks
+    counted = base.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    blocks = counted.select(*key, "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {rows})")).alias("block")).repartition(*key, "block")
+    numbers = F.expr(f"sequence(block * {rows}, least(copies, (block + 1) * {rows}) - 1)")
+    key = (*key, "copy")
+    base = staged(blocks.select(*key[:-1], F.explode(numbers).alias("copy")), "shard-rows")
     parts = min(MAX_PARTS, max(1, math.ceil(base.count() / rows)))
     base = base.withColumn("part", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(parts)).cast("int"))
     sizes = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
@@ -87,4 +105,4 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id"
     before = sent.groupBy("shard", "bin").count().select("shard", "bin", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
     inner = Window.partitionBy("shard", "bin").orderBy(second, *key)
     ranked = sent.withColumn("rank", F.row_number().over(inner))
-    return ranked.join(before, ["shard", "bin"]).select(*key, "shard", (F.col("before") + F.col("rank") - 1).cast("bigint").alias("slot"))
+    return ranked.join(before, ["shard", "bin"]).select(*key[:-1], "shard", (F.col("before") + F.col("rank") - 1).cast("bigint").alias("slot"))
