@@ -10,8 +10,9 @@ laid out anew in many page layouts, where the layout tells the label of each blo
 are a function of the sample and the seed; they have a fixed size and go out with the tasks.
 
 Defined results: null or empty html gives an empty text; text outside of any tag is a block; unclosed and
-stray tags are tolerated; scripts, styles, comments and unrendered elements are never text; very long
-pages are read whole; equal rows give equal results; columns other than id, url and html are not read.
+stray tags are tolerated; scripts, styles, comments and unrendered elements are never text (an unrendered
+element ends with its parent, svg and math also at a tag that cannot stand in them, and any other that is
+never closed is empty; an unclosed script, style, textarea or title takes the rest of the page, as in browsers); very long pages are read whole; equal rows give equal results; columns other than id, url and html are not read.
 """
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small_batches
 
 SAMPLE_PAGES = 150
+SAMPLE_PAGE_BYTES = 65_536  # larger pages take no part in training
 LAYOUTS = 700
 EPOCHS = 10
 HIDDEN = 20
@@ -37,7 +39,11 @@ SEED = 7
 # Elements of HTML.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = set("script style noscript template svg math iframe object canvas head title select option textarea datalist audio video map".split())
+UNSEEN = set("script style noscript template svg math iframe object canvas head title select textarea datalist audio video".split())
+RAW = ("script", "style", "textarea", "title")  # ended by their own tag alone, or by the page's end
+FOREIGN = ("svg", "math")
+#: start tags that end an open one of these
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 TAGS = "html body div section article main p span h1 h2 h3 h4 h5 h6 ul ol li a nav aside header footer form table tr td th blockquote pre figure figcaption button label dl dt dd details summary address fieldset dialog menu center".split()
 NAMES = (
     "ad ads adv advert advertisement advertising promo promotion sponsor sponsored banner nav navbar navigation menu breadcrumb breadcrumbs header masthead top footer foot bottom "
@@ -62,6 +68,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, characters in links) of each block with text, in page order."""
     out, path, texts, links = [], [], [], 0  # path: (tag, tokens)
     hidden = None  # the element whose content is not text
+    within: list[str] = []  # elements open inside the hidden one
+    last_end: dict[str, int] = {}  # where each kind of unseen element is closed for the last time
+
+    def closes_after(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last_end[tag] >= at
 
     def end_block():
         nonlocal texts, links
@@ -72,7 +85,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     at, n = 0, len(page)
     while at < n:
-        if hidden in ("script", "style", "textarea", "title"):  # ended by their own tag alone
+        if hidden in RAW:
             m = re.compile(rf"</{hidden}\s*>", re.I).search(page, at)
             at, hidden = (m.end() if m else n), None
             continue
@@ -90,9 +103,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not tag:
             continue
         if hidden:
-            if m[1] and tag == hidden:
+            if m[1]:
+                if tag in within:
+                    del within[len(within) - 1 - within[::-1].index(tag) :]
+                    continue
+                if tag == hidden:
+                    hidden = None
+                    continue
+                if all(t != tag for t, _ in path):
+                    continue
+                hidden = None  # its parent ends, so it ends as well
+            elif hidden in FOREIGN and tag in BREAKOUT and "foreignobject" not in within:
                 hidden = None
-            continue
+            else:
+                if tag not in VOID and not m[3].rstrip().endswith("/"):
+                    within.append(tag)
+                continue
         if m[1]:
             where = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag), None)
             if tag not in INLINE:
@@ -101,8 +127,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 del path[where:]
             continue
         if tag in UNSEEN:
-            if tag not in ("head",) and not m[3].rstrip().endswith("/"):
-                hidden = tag
+            # one that is never closed counts as empty, except those that end by their own tag alone or by others
+            if tag != "head" and not m[3].rstrip().endswith("/") and (tag in RAW or tag in FOREIGN or closes_after(tag, at)):
+                hidden, within = tag, []
             continue
         if tag == "br":
             texts.append(" ")
@@ -378,9 +405,26 @@ def fit(sample: tuple[str, ...], seed: int = SEED, layouts: int = LAYOUTS, epoch
 
 
 def sample_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", n: int = SAMPLE_PAGES) -> tuple[str, ...]:
-    """The pages that training takes: at most ``n``, by the hash of their id."""
-    rows = pages.select(F.xxhash64(f"`{id_col}`", f"`{html_col}`").alias("k"), F.col(f"`{html_col}`").alias("html")).where("html is not null")
-    return tuple(r["html"] for r in rows.orderBy("k").limit(n).collect())
+    """The pages that training takes: at most ``n`` of at most ``SAMPLE_PAGE_BYTES``, by the hash of their id.
+
+    First some 4 n keys below a threshold reach the driver (more rounds where copies are many), then just
+    the ``n`` pages themselves: no more for a larger table."""
+    html = F.col(f"`{html_col}`")
+    rows = pages.select(F.xxhash64(f"`{id_col}`", f"`{html_col}`").alias("k"), html.alias("html")).where(F.octet_length("html") <= SAMPLE_PAGE_BYTES)
+    total, share = rows.count(), 1.0
+    keys: list[int] = []
+    if total > 4 * n:
+        share = 4 * n / total
+    while total:
+        below = rows if share >= 1 else rows.where(F.col("k") < int(-(2**63) + share * 2**64))
+        keys = [r["k"] for r in below.select("k").distinct().orderBy("k").limit(n).collect()]
+        if len(keys) == n or share >= 1:
+            break
+        share *= 8
+    if not keys:
+        return ()
+    chosen = rows.where(F.col("k") <= keys[-1]).groupBy("k").agg(F.first("html").alias("html"))
+    return tuple(r["html"] for r in sorted(chosen.collect()))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, weights: dict | None = None) -> DataFrame:
