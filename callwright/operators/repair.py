@@ -16,7 +16,7 @@ def repair_status(df: DataFrame, raw_col: str, repair=normalise_calls) -> DataFr
     """``repaired`` and ``status`` per row."""
     repaired = df.withColumn("repaired", repair(F.col(raw_col)))
     ok = format_valid(F.col("repaired"))
-    same = F.trim(F.col("repaired")) == F.trim(F.col(raw_col))
+    same = pystrip("repaired") == pystrip(raw_col)
     status = F.when(ok & same, F.lit("already_ok")).when(ok, F.lit("repaired_success")).otherwise(F.lit("still_broken"))
     return repaired.withColumn("status", status)
 
@@ -28,7 +28,7 @@ def repair_report(statuses: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ P17 schema-driven repair (our contract)
 
-from ..functions.args import parse_args  # noqa: E402
+from ..functions.args import parse_args, pystrip  # noqa: E402
 from ..functions.tags import extract_calls  # noqa: E402
 
 # Bracket look-alikes mapped to ASCII (full-width and CJK angle brackets only).
@@ -178,6 +178,6 @@ def schema_repair(df: DataFrame, text_col: str, arg_rules: dict, signatures: dic
     out = staged.withColumn("repaired", F.when(F.col("_rebuild"), rebuilt).otherwise(F.col("_rep.text")))
     out = out.withColumn("tags", F.when(F.col("_rebuild"), F.array_union(F.col("_rep.tags"), F.array(F.lit("rebuild-calls")))).otherwise(F.col("_rep.tags")))
     ok = format_valid(F.col("repaired"))
-    same = F.trim(F.col("repaired")) == F.trim(F.col(text_col))
+    same = pystrip("repaired") == pystrip(text_col)
     status = F.when(ok & same, F.lit("already_ok")).when(ok, F.lit("repaired_success")).otherwise(F.lit("still_broken"))
     return out.withColumn("status", status).drop("_rep", "_calls", "_rebuild", "_rmap", "_smap")

@@ -6,6 +6,10 @@ rows and bytes are checked (``bounded_broadcast``), otherwise it is a plain shuf
 Inside a call row the first matching rule is ``get(filter(rules, r -> ...), 0)``:
 first match in file order, every condition key present and equal (D1 equality key)
 or a wildcard.  No call is shuffled for a broadcast match.
+
+Where one code has more than ``MAX_RULES_IN_ROW`` rules that walk is too long, and ``match_by_index`` takes
+its place: every rule is filed under its rarest condition, a call looks up its own arguments only, and
+equal calls look once.  Both give the same rule.
 """
 from __future__ import annotations
 
@@ -13,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .broadcast import fits_broadcast
-from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, json_string
+from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, json_string, pystrip
 from ..session import checkpoint_dir
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
 WILDCARDS_TEMPLATE = ("*",)  # template map and pair rules (J2, J3)
 MAX_BROADCAST_RULES = 200_000
+MAX_RULES_IN_ROW = 2_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_RULES) -> DataFrame:
@@ -68,12 +73,52 @@ def arg_canon(args: Column, key: Column) -> Column:
 
 def match_calls(calls: DataFrame, rules: DataFrame, wildcards=WILDCARDS_CONVERT, extra=(), strict_types: bool = False) -> DataFrame:
     """Calls (with ``func`` and ``args``) + the first matching rule struct as ``rule`` (left outer)."""
+    largest = rules.groupBy("code").count().agg(F.max("count")).first()[0] or 0
+    if largest > MAX_RULES_IN_ROW:
+        return match_by_index(calls, rules, wildcards, extra, strict_types)
     by_code = bounded_broadcast(rules_by_code(rules, extra))
     joined = calls.join(by_code, calls["func"] == by_code["code"], "left").drop("code")
     rule = first_match(F.col("args"), F.coalesce(F.col("rules"), F.array()), wildcards, strict_types=strict_types)
     return joined.withColumn("rule", rule).drop("rules")
 
 
+def match_by_index(calls: DataFrame, rules: DataFrame, wildcards=WILDCARDS_CONVERT, extra=(), strict_types: bool = False) -> DataFrame:
+    """``match_calls`` by an index of the rules.
+
+    A rule is filed under the one of its conditions that the fewest rules of its code share, as (code, key,
+    expected value); a rule of wildcards alone under (code, key), one without conditions under its code.
+    Each different (func, args) looks up its code, its keys and its (key, value) pairs, the found rules are
+    checked in full, and the first by ``seq`` counts.  Calls meet their rule by (func, args).
+    """
+    fields = ["seq", "map_func", "map_enum", "when", *extra]
+    rule_type = rules.select(F.struct(*fields)).schema[0].dataType
+    wild = F.col("w.expect").isin(*wildcards)
+    none = F.lit(None).cast("string")
+    # a wildcard names its key only; a null stands for "any", as no key or value is null in a lookup
+    terms = rules.select("code", F.struct(*fields).alias("rule"), F.posexplode_outer("when").alias("i", "w"))
+    terms = terms.select("code", "rule", "i", F.col("w.key").alias("key"), F.when(~wild, F.col("w.expect")).alias("expect"))
+    shared = terms.groupBy("code", "key", "expect").agg(F.countDistinct("rule.seq").alias("shared"))
+    same = lambda a, b: (a["code"] == b["code"]) & a["key"].eqNullSafe(b["key"]) & a["expect"].eqNullSafe(b["expect"])
+    weighed = terms.alias("t").join(shared.alias("s"), same({c: F.col(f"t.{c}") for c in ("code", "key", "expect")}, {c: F.col(f"s.{c}") for c in ("code", "key", "expect")})).select("t.*", "s.shared")
+    place = F.struct("shared", F.coalesce("i", F.lit(-1)).alias("i"), "key", "expect")
+    filed = weighed.groupBy("code", F.col("rule.seq").alias("seq")).agg(F.min(place).alias("p"), F.first("rule").alias("rule"))
+    index = filed.select(F.col("code").alias("r_code"), F.col("p.key").alias("r_key"), F.col("p.expect").alias("r_expect"), "rule")
+
+    def value(a):
+        return F.concat(a["vtype"], F.lit(":"), a["canon"]) if strict_types else a["cmp"]
+
+    probe = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    probes = F.concat(F.array(probe(none, none)), F.transform("args", lambda a: probe(a["key"], none)), F.transform("args", lambda a: probe(a["key"], value(a))))
+    distinct = calls.select("func", "args").distinct()
+    asked = distinct.select("func", "args", F.explode(F.array_distinct(probes)).alias("q"))
+    on = (F.col("func") == F.col("r_code")) & F.col("q.k").eqNullSafe(F.col("r_key")) & F.col("q.v").eqNullSafe(F.col("r_expect"))
+    found = asked.join(index, on)
+    holds = F.forall(F.col("rule.when"), lambda w: condition_holds(F.col("args"), w, wildcards, strict_types))
+    best = found.where(holds).groupBy("func", "args").agg(F.min_by("rule", F.col("rule.seq")).alias("rule"))
+    best = best.select(F.col("func").alias("_func"), F.col("args").alias("_args"), F.col("rule").cast(rule_type).alias("rule"))
+    return calls.join(best, (F.col("func") == F.col("_func")) & F.col("args").eqNullSafe(F.col("_args")), "left").drop("_func", "_args")
+
+
 def convert_calls(calls: DataFrame, rules: DataFrame, strict_types: bool = False) -> DataFrame:
     """map_func / map_enum / map_args ('' when unmatched); map_args lists the rule's keys."""
     m = match_calls(calls, rules, WILDCARDS_CONVERT, strict_types=strict_types)
@@ -141,7 +186,7 @@ def message_expected(converted: DataFrame, message_col: str = "query", source: s
     args = F.col("args") if source == "raw_args" else parse_args(F.col("map_args"), "plain")
     arguments = dict_update(F.array(str_arg("code", F.col("func"))).cast(ARGS_TYPE), args)
     expected = F.concat(F.lit('{"name":'), json_string(F.col("map_func")), F.lit(',"arguments":'), object_text(arguments), F.lit("}"))
-    return converted.select(F.trim(F.col(message_col)).alias("message"), expected.alias("expected"))
+    return converted.select(pystrip(message_col).alias("message"), expected.alias("expected"))
 
 
 # ------------------------------------------------------------------ templates (J2) / pairs

@@ -238,3 +238,39 @@ def test_lenient_dialect_takes_long_texts(spark):
     assert _args(spark, 'a=1, k="' + "v," * 500_000 + '"', "lenient")[0] == ("a", "int", "1")
     assert len(_args(spark, "a=1, k=" + "v" * 1_000_000, "lenient")) == 2
     assert [k for k, _, _ in _args(spark, 'a="x, b=1', "lenient")] == ['a="x', "b"] or _args(spark, 'a="x, b=1', "lenient")[1][0] == "b"
+
+
+def test_json_dumps_equals_python(spark):
+    import json
+    import random
+
+    from callwright.functions.jsontext import json_dumps
+
+    r = random.Random(3)
+
+    def value(depth=0):
+        kind = r.randint(0, 9 if depth < 4 else 5)
+        plain = [r.randint(-5, 5), r.choice([1.0, -0.5, 2.5, 100.0, 12345.678]), r.choice(["a", 'é"q\\', "x\ny", "", "{[,:]}", "\t/"]), True, None, 0]
+        if kind < 6:
+            return plain[kind]
+        if kind == 6:
+            return {r.choice('abcdxyz"é'): value(depth + 1) for _ in range(r.randint(0, 4))}
+        return [value(depth + 1) for _ in range(r.randint(0, 4))]
+
+    texts = [json.dumps(value(), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 2])) for _ in range(300)]
+    texts += ['{"a":1,"b":2,"a":{"c":1.50}}', '{"a":{"a":1,"a":2},"a":[]}', " -0 ", "[-0, -0.0, 1e2, 1E-2]", '"s"', '{"a b":1,"a":2,"a\\"":3}']
+    texts += ['{"a":1,}', "{} x", "", "[1 2]", None, '{"u":"\\u00e9\\/"}', '{"":1}', "[[],{}]", json.dumps({"a": 'x\\"' * 20_000})]
+
+    def dumps(text, **how):
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"), **how)
+        except (TypeError, ValueError):
+            return None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", json_dumps("t").alias("a"), json_dumps("t", sort_keys=True).alias("b"), json_dumps("t", flat=True).alias("c")).collect()
+    for row in rows:
+        assert (row["a"], row["b"]) == (dumps(texts[row["i"]]), dumps(texts[row["i"]], sort_keys=True))
+        if (texts[row["i"]] or "").startswith("["):
+            loaded = json.loads(texts[row["i"]]) if row["a"] else None
+            assert row["c"] == (None if loaded is None else "".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in loaded))

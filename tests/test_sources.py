@@ -232,6 +232,41 @@ def test_rows_map_alike_with_too_many_rules_for_a_broadcast(spark, monkeypatch):
     assert mapped() == in_row
 
 
+def test_rules_by_index_match_like_rules_in_a_row(spark):
+    import random
+
+    from callwright.operators.calls import calls_with_args
+
+    r = random.Random(8)
+    value = lambda: r.choice(["*", "__ANY__", 1, 2, 3, 1.0, True, "x", "yy"])
+    conds = []
+    for seq in range(400):
+        keys = r.sample("abcd", r.randint(0, 3))
+        code = r.choice(["BP", "BP", "BP", "GN"])
+        for pos, key in enumerate(keys) if keys else [(None, None)]:
+            v = value() if key else None
+            conds.append((seq, code, f"f{seq}", f"e{seq}", key, None if key is None else pos + 1, None if key is None else assets.expect_key(v), None if v is None else str(v), "str"))
+    rules = rules_op.rules_from_conditions(spark.createDataFrame(conds, "seq int, code string, map_func string, map_enum string, k string, k_pos int, expect string, value string, vtype string"))
+    rules = rules.where("seq > 12 or size(when) > 0")  # else the first rule without conditions takes all calls
+    text = lambda: f"<function_{r.choice(['BP', 'GN', 'ZZ'])}>({', '.join(f'{k}={r.choice([1, 2, 3, 1.0, True, chr(120), 7])}' for k in r.sample('abcde', r.randint(0, 4)))})"
+    df = spark.createDataFrame([(i, text()) for i in range(300)], "row_id long, llm_output string").repartition(3)
+    calls = calls_with_args(df.unionByName(df))
+    for wildcards in (rules_op.WILDCARDS_CONVERT, rules_op.WILDCARDS_TEMPLATE):
+        for part in (rules, rules.where("size(when) > 1"), rules.where("seq > 1000")):
+            flat = lambda out: sorted((x["row_id"], x["pos"], x["func"], -1 if x["rule"] is None else x["rule"]["seq"]) for x in out.collect())
+            assert flat(rules_op.match_by_index(calls, part, wildcards)) == flat(rules_op.match_calls(calls, part, wildcards))
+
+
+def test_many_rules_of_one_code_are_looked_up(spark, monkeypatch):
+    from callwright.operators.calls import calls_with_args
+
+    conds = spark.range(0, 50_000).selectExpr("cast(id as int) seq", "'BP' code", "concat('f', id) map_func", "'' map_enum", "'v' k", "1 k_pos", "concat('n:', id) expect", "cast(id as string) value", "'int' vtype")
+    rules = rules_op.rules_from_conditions(conds)
+    calls = calls_with_args(spark.range(0, 2000).selectExpr("id row_id", "concat('<function_BP>(u=1, v=', id * 30, ')') llm_output"))
+    out = rules_op.convert_calls(calls, rules).select("row_id", "map_func").collect()
+    assert len(out) == 2000 and all(r["map_func"] == (f"f{r['row_id'] * 30}" if r["row_id"] * 30 < 50_000 else "") for r in out)
+
+
 def test_template_values_keep_their_type(spark):
     doc = {"function_BP": [{"when": {"m": "__ANY__"}, "new_name": "never"}, {"when": {"a": "*"}, "new_name": "set", "args": {"lvl": 3, "on": True, "r": 1.5, "no": None, "l": [1], "t": "{{{a}}} {code}", "u": "{zz}"}}]}
     rules = assets.template_rules_frame(spark, assets.template_map_rules(doc))
