@@ -53,11 +53,12 @@ def digits_of(df: DataFrame, order_col: str) -> list[Column]:
     return [F.col(order_col)]
 
 
-def positions(df: DataFrame, order_cols, name: str, group_cols=(), digits: list[Column] | None = None, group_min: dict[str, str] | None = None) -> DataFrame:
+def positions(df: DataFrame, order_cols, name: str, group_cols=(), digits: list[Column] | None = None, group_min: dict[str, str] | None = None, group_size: str | None = None) -> DataFrame:
     """Adds ``name``: the 0-based position in the order of ``order_cols`` (ascending) within the group.
 
     ``digits`` (coarse to fine) must be ordered as the rows are; by default they come from the first order column.
-    ``group_min`` names columns whose minimum in the group is added too, taken along with the counts.
+    ``group_min`` names columns whose minimum in the group is added too, taken along with the counts;
+    ``group_size`` names a column for the number of rows of the group.
     """
     order_cols, group_cols = list(order_cols), list(group_cols)
     digits = digits or digits_of(df, order_cols[0])
@@ -73,16 +74,18 @@ def positions(df: DataFrame, order_cols, name: str, group_cols=(), digits: list[
         before = Window.partitionBy(*parents).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
         counted = above.withColumn(f"_before{depth}", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         if depth == 1:
-            counted = counted.withColumns({n: F.min(n).over(Window.partitionBy("_group")) for n in least})
+            whole = Window.partitionBy("_group")
+            counted = counted.withColumns({n: F.min(n).over(whole) for n in least} | ({group_size: F.sum("_rows").over(whole)} if group_size else {}))
         else:
             counted = counted.drop(*least)
         offsets = counted.drop("_rows") if depth == len(levels) else offsets.join(counted.drop("_rows"), ["_group", *levels[:depth]])
         above = above.groupBy(*parents).agg(F.sum("_rows").alias("_rows"), *[F.min(n).alias(n) for n in least])
     start = sum((F.col(f"_before{d}") for d in range(2, len(levels) + 1)), F.col("_before1"))
-    offsets = offsets.select("_group", *levels, start.alias("_start"), *least)
+    more = [*least, *([group_size] if group_size else [])]
+    offsets = offsets.select("_group", *levels, start.alias("_start"), *more)
     within = Window.partitionBy("_group", *levels).orderBy(*order_cols)
     placed = rows.join(offsets, ["_group", *levels]).withColumn(name, F.col("_start") + F.row_number().over(within) - 1)
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name, *least)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name, *more)
 
 
 def global_index(df: DataFrame, order_cols, name: str = "idx", digits: list[Column] | None = None) -> DataFrame:

@@ -364,3 +364,37 @@ def test_csv_is_split_over_tasks(spark, small_splits):
         got = csv_records(spark, d).orderBy("src_pos").collect()
         assert [x["cells"] for x in got] == want, size
         assert {tuple(x["header"]) for x in got} == {("id", "a", "b")}
+
+
+def test_grouped_documents_read_back(spark):
+    from glob import glob
+
+    from callwright.operators import profile as prof
+    from callwright.sources import documents
+
+    d = _tmp("cw-doc-")
+    rows = [(i, f'<function_{"AB" if i % 3 else ["CD", "EF"][i % 2]}>(k={i % 7}, t="x{i}")<end>', f'q "{i}"\\n') for i in range(900)]
+    t = spark.createDataFrame(rows, "row_id long, llm_output string, query string").repartition(5)
+    calls = prof.calls_with_source(prof.profile_calls(t), t)
+    record = F.to_json(F.struct("row_id", F.col("pos").alias("call_order"), "raw_args", "query"))
+
+    def loaded(lines, name):
+        documents.write_document(lines, f"{d}/{name}", files=4)
+        files = sorted(glob(f"{d}/{name}/part-*"))
+        return json.loads("".join(open(f, encoding="utf-8").read() for f in files)), files
+
+    doc, files = loaded(documents.by_function(calls, record), "by_function")
+    assert len(files) > 1
+    want = {}
+    for r in calls.orderBy("func", "row_id", "pos").collect():
+        want.setdefault(r["func"], []).append({"row_id": r["row_id"], "call_order": r["pos"], "raw_args": r["raw_args"], "query": r["query"]})
+    assert doc == want and len(want["AB"]) > 500
+    args = prof.profile_args(prof.profile_calls(t))
+    values = prof.func_arg_value_list(args)
+    doc, _ = loaded(documents.value_list_document(values), "values")
+    assert doc == [{"func": r["func"], "arg_key": r["arg_key"], "values": r["values"]} for r in prof.func_arg_value_arrays(args).orderBy("func", "arg_key").collect()]
+    spec = prof.function_spec(values, prof.descriptions_frame(spark))
+    doc, _ = loaded(documents.function_spec_document(spec), "spec")
+    flat = [(f["name"], f["description"], a["name"], a["type"], n + 1, json.dumps(e)) for f in doc["functions"] for a in f["args"] for n, e in enumerate(a["enum"])]
+    assert flat == [tuple(r) for r in spec.select("func", "description", "arg_key", "arg_type", "enum_pos", "enum_value").orderBy("func", "arg_key", "enum_pos").collect()]
+    assert documents.by_function(calls.where("false"), record).count() == 0
