@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .broadcast import fits_broadcast
-from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, json_string, pystrip
+from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, float_text, json_string, number_cmp, pystrip
 from ..session import checkpoint_dir
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
@@ -311,22 +311,14 @@ def per_row_json_list(mapped: DataFrame, source: DataFrame, keys=("row_id",)) ->
 # ------------------------------------------------------------------ substitution
 
 
-def substitute(calls: DataFrame, rules: DataFrame, direction: str = "forward") -> DataFrame:
-    """J4 / J5 on calls with ``func`` / ``args``.
-
-    forward: raw code + ``when`` subset -> (map_func, the rule's ``out`` arguments, {enum: map_enum} without any)
-    reverse: (map_func, args containing these) -> (code, when), values with the types of the rule and
-    wildcards written back as literal '*'.  Unmatched calls pass through unchanged.
-    """
+def _directed(rules: DataFrame, direction: str):
+    """(rules as matched in this direction, their extra column, (func, args, rule) -> (func, args))."""
     if direction not in ("forward", "reverse"):
         raise ValueError("direction must be 'forward' or 'reverse'")
     if "out" not in rules.columns:
         rules = rules.withColumn("out", F.array(str_arg("enum", F.col("map_enum"))).cast(ARGS_TYPE))
     if direction == "forward":
-        m = match_calls(calls, rules, WILDCARDS_CONVERT, extra=("out",))
-        out_func = F.coalesce(F.col("rule.map_func"), F.col("func"))
-        out_args = F.when(F.col("rule").isNotNull(), F.col("rule.out")).otherwise(F.col("args"))
-        return m.withColumn("out_func", out_func).withColumn("out_args", out_args).drop("rule")
+        return rules, "out", lambda func, args, rule: (F.coalesce(rule["map_func"], func), F.when(rule.isNotNull(), rule["out"]).otherwise(args))
     wild = lambda a: (a["vtype"] == "str") & a["canon"].isin(*WILDCARDS_CONVERT)
     rev = rules.select(
         "seq",
@@ -336,22 +328,97 @@ def substitute(calls: DataFrame, rules: DataFrame, direction: str = "forward") -
         F.transform("out", lambda a, i: F.struct((i + 1).alias("k_pos"), a["key"].alias("key"), F.when(wild(a), a["canon"]).otherwise(a["cmp"]).alias("expect"))).alias("when"),
         F.col("when").alias("back"),
     )
-    m = match_calls(calls, rev, WILDCARDS_CONVERT, extra=("back",))
-    back_args = F.transform(
-        F.col("rule.back"),
-        lambda w: F.struct(
-            w["key"].alias("key"),
-            w["value"].alias("raw"),
-            w["vtype"].alias("vtype"),
-            w["value"].alias("canon"),
-            F.when(w["expect"].isin(*WILDCARDS_CONVERT), F.concat(F.lit("s:"), w["value"])).otherwise(w["expect"]).alias("cmp"),
-        ),
-    )
-    out_func = F.coalesce(F.col("rule.map_func"), F.col("func"))
-    out_args = F.when(F.col("rule").isNotNull(), back_args.cast(ARGS_TYPE)).otherwise(F.col("args"))
+
+    def written_back(w):
+        cmp = F.when(w["expect"].isin(*WILDCARDS_CONVERT), F.concat(F.lit("s:"), w["value"])).otherwise(w["expect"])
+        return F.struct(w["key"].alias("key"), w["value"].alias("raw"), w["vtype"].alias("vtype"), w["value"].alias("canon"), cmp.alias("cmp"))
+
+    def build(func, args, rule):
+        back = F.transform(rule["back"], written_back)
+        return F.coalesce(rule["map_func"], func), F.when(rule.isNotNull(), back.cast(ARGS_TYPE)).otherwise(args)
+
+    return rev, "back", build
+
+
+def substitute(calls: DataFrame, rules: DataFrame, direction: str = "forward") -> DataFrame:
+    """J4 / J5 on calls with ``func`` / ``args``.
+
+    forward: raw code + ``when`` subset -> (map_func, the rule's ``out`` arguments, {enum: map_enum} without any)
+    reverse: (map_func, args containing these) -> (code, when), values with the types of the rule and
+    wildcards written back as literal '*'.  Unmatched calls pass through unchanged.
+    """
+    table, extra, build = _directed(rules, direction)
+    m = match_calls(calls, table, WILDCARDS_CONVERT, extra=(extra,))
+    out_func, out_args = build(F.col("func"), F.col("args"), F.col("rule"))
     return m.withColumn("out_func", out_func).withColumn("out_args", out_args).drop("rule")
 
 
+def args_of_object(text) -> Column:
+    """Typed argument array of a JSON object's text; lists and objects stay JSON text (``json``)."""
+    members = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+
+    def arg(m):
+        v, kind = m["value"], F.schema_of_variant(m["value"])
+        plain = F.try_variant_get(v, "$", "string")
+        vtype = (
+            F.when(kind == "STRING", F.lit("str"))
+            .when(kind == "BOOLEAN", F.lit("bool"))
+            .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
+            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), F.lit("float"))
+            .when(kind == "VOID", F.lit("none"))
+            .otherwise(F.lit("json"))
+        )
+        number = F.try_variant_get(v, "$", "double")
+        canon = (
+            F.when(vtype == "bool", F.initcap(plain)).when(vtype == "float", float_text(number)).when(vtype == "none", F.lit("None")).when(vtype == "json", F.to_json(v)).otherwise(plain)
+        )
+        cmp = (
+            F.when(vtype == "bool", F.when(plain == "true", F.lit("n:1")).otherwise(F.lit("n:0")))
+            .when(vtype == "int", F.concat(F.lit("n:"), plain))
+            .when(vtype == "float", number_cmp(number))
+            .when(vtype == "none", F.lit("z:None"))
+            .otherwise(F.concat(F.lit("s:"), canon))
+        )
+        return F.struct(m["key"].alias("key"), canon.alias("raw"), vtype.alias("vtype"), canon.alias("canon"), cmp.alias("cmp"))
+
+    return F.coalesce(F.transform(members, arg), F.array()).cast(ARGS_TYPE)
+
+
+def apply_rules_to_records(records: DataFrame, rules: DataFrame, direction: str = "forward") -> DataFrame:
+    """K5: records in, records out; every call of ``calls`` (ARRAY<STRUCT<pos, func, raw_args, args_json>>, as the
+    record reader gives them) rewritten by J4 or J5; ``raw_args`` of a rewritten record are null.
+
+    Calls are matched as a table of their different (func, arguments), whose rewritten form then stands
+    in each record that holds it: the records themselves are neither exploded nor regrouped when the rules fit
+    a broadcast, and each different call is matched once when they do not.
+    """
+    table, extra, build = _directed(rules, direction)
+    columns = [c for c in records.columns if c != "calls"]
+
+    def rewritten(func, args, rule):
+        out_func, out_args = build(func, args, rule)
+        return out_func.alias("func"), object_text(out_args).alias("args_json")
+
+    if fits_broadcast(table, MAX_RULES_IN_ROW):
+        staged = records.crossJoin(F.broadcast(rules_map(table, (extra,))))  # one row, size bounded by the check above
+        read = F.transform("calls", lambda c: F.struct(c["pos"].alias("pos"), c["func"].alias("func"), args_of_object(c["args_json"]).alias("args")))
+        of_code = lambda func: F.coalesce(F.try_element_at(F.col("rules_by_code"), func), F.array())
+        matched = F.transform(read, lambda c: F.struct(c["pos"].alias("pos"), c["func"].alias("func"), c["args"].alias("args"), first_match(c["args"], of_code(c["func"])).alias("rule")))
+        made = F.transform(matched, lambda c: F.struct(c["pos"].alias("pos"), *rewritten(c["func"], c["args"], c["rule"])))
+    else:
+        asked = records.select(F.explode("calls").alias("c")).select(F.col("c.func").alias("func"), F.col("c.args_json").alias("given")).distinct()
+        answers = match_calls(asked.withColumn("args", args_of_object(F.col("given"))), table, WILDCARDS_CONVERT, extra=(extra,))
+        answers = answers.select(F.struct("func", F.col("given").alias("args_json")).alias("k"), F.struct(*rewritten(F.col("func"), F.col("args"), F.col("rule"))).alias("v"))
+        # each different list of calls is put together once
+        lists = records.select("calls").distinct()
+        called = lists.select("calls", F.explode("calls").alias("c")).select("calls", F.col("c.pos").alias("pos"), F.struct(F.col("c.func").alias("func"), F.col("c.args_json").alias("args_json")).alias("k"))
+        joined = called.join(answers, "k").groupBy("calls").agg(F.sort_array(F.collect_list(F.struct("pos", "v.func", "v.args_json"))).alias("_made"))
+        staged = records.join(joined, "calls", "left")
+        made = F.coalesce(F.col("_made"), F.array())
+    kept = lambda c: F.struct(c["pos"].alias("pos"), c["func"].alias("func"), F.lit(None).cast("string").alias("raw_args"), c["args_json"].alias("args_json"))
+    return staged.withColumn("_out", made).select(*columns, F.transform("_out", kept).alias("calls"))
+
+
 def group_by_query(calls: DataFrame, keys=("row_id",)) -> DataFrame:
     """A10 long form: calls of all records sharing a query, in record then call order.
 
