@@ -1008,9 +1008,68 @@ def q_prompt_matrix(spark, sf_dir):
     return prompts_op.prompt_matrix(parts, section)
 
 
-@register("schema_repair")
+_VALID_CALL = r"^<function_[A-Za-z0-9_]+>\([^()]*\)$"
+
+
+def _valid_sql(text: str) -> str:
+    """P16 of a text: ends with <end>, every ';' part is a whole call, no two calls run together."""
+    head = o.strip(f"regexp_replace(regexp_replace(regexp_replace({o.strip(text)}, '<end>$', ''), '\\s+$', ''), ';$', '')")
+    return f"""(ends_with({o.strip(text)}, '<end>') AND {head} <> '' AND NOT regexp_matches({head}, '\\)\\s*<function_')
+    AND len(list_filter(string_split({head}, ';'), lambda p: NOT regexp_matches({o.strip('p')}, '{_VALID_CALL}'))) = 0)"""
+
+
+def _repair_oracle() -> str:
+    rules = ", ".join(
+        f"('{arg}', {n}, {t}, '{r['type']}')"
+        for arg, rs in fx.REPAIR_ARG_RULES.items()
+        for n, r in enumerate(rs)
+        for t in ([f"'{x}'" for x in r["target"]] or ["NULL"])
+    )
+    enums = ", ".join(f"('{arg}', {n}, {i}, '{v}')" for arg, rs in fx.REPAIR_ARG_RULES.items() for n, r in enumerate(rs) for i, v in enumerate(r["enum"]))
+    members = ", ".join(f"('{fn}', {s}, {i}, '{a}')" for fn, sigs in fx.REPAIR_SIGNATURES.items() for s, sig in enumerate(sigs) for i, a in enumerate(sig))
+    signatures = ", ".join(f"('{fn}', {s})" for fn, sigs in fx.REPAIR_SIGNATURES.items() for s in range(len(sigs)))
+    return (
+        o.with_(
+            o.TAGGED,
+            "damaged AS (" + fx.DAMAGED_SQL + ")",
+            "s1 AS (SELECT *, translate(raw, '＜＞〈〉（）；', '<><>();') AS t1 FROM damaged)",
+            "s2 AS (SELECT *, CASE WHEN strpos(t1, '<end>') > 0 THEN split_part(t1, '<end>', 1) ELSE t1 END AS t2 FROM s1)",
+            "s3 AS (SELECT *, trim(regexp_replace(t2, '\\s*;\\s*', ';', 'g')) AS t3 FROM s2)",
+            "s4 AS (SELECT *, regexp_replace(t3, '<function_([A-Za-z0-9_]+)\\(', '<function_\\1>(', 'g') AS t4 FROM s3)",
+            "s5 AS (SELECT *, regexp_replace(regexp_replace(t4, '\\(([^()<>]*);<function_', '(\\1);<function_', 'g'), '\\(([^()<>]*)$', '(\\1)') AS t5 FROM s4)",
+            "fixed AS (SELECT row_id, raw, regexp_replace(t5, ';$', '') || '<end>' AS txt, list_filter([CASE WHEN t1 <> raw THEN 'fullwidth' END, CASE WHEN t2 <> t1 THEN 'trim-after-end' END,"
+            " CASE WHEN t3 <> t2 THEN 'whitespace' END, CASE WHEN t4 <> t3 THEN 'missing-gt' END, CASE WHEN t5 <> t4 THEN 'closeparen-insert' END], lambda x: x IS NOT NULL) AS tags FROM s5)",
+            o.CALLS.replace("calls AS", "rcalls AS", 1).replace("llm_output", "txt").replace("FROM tagged", "FROM fixed"),
+            o.typed_args("rargs", "rcalls", "row_id, pos, func", "lenient"),
+            f"rules AS (SELECT * FROM (VALUES {rules}) AS r(arg, n, target, type))",
+            f"enums AS (SELECT * FROM (VALUES {enums}) AS e(arg, n, i, v))",
+            f"members AS (SELECT * FROM (VALUES {members}) AS m(fn, sig, i, arg))",
+            f"sigs AS (SELECT * FROM (VALUES {signatures}) AS s(fn, sig))",
+            # the first rule of the argument that names the function, or names none
+            "ruled AS (SELECT a.row_id, a.pos, 'function_' || a.func AS fn, a.arg_pos, a.key, a.canon, r.n, r.type FROM rargs a JOIN rules r ON r.arg = a.key AND (r.target IS NULL OR r.target = 'function_' || a.func)"
+            " QUALIFY row_number() OVER (PARTITION BY a.row_id, a.pos, a.key ORDER BY r.n) = 1)",
+            "cast_ AS (SELECT *, CASE type WHEN 'integer' THEN CASE WHEN regexp_matches(canon, '^-?[0-9]+$') THEN CAST(try_cast(canon AS BIGINT) AS VARCHAR) END"
+            " WHEN 'boolean' THEN CASE WHEN lower(canon) IN ('true', '1') THEN 'True' WHEN lower(canon) IN ('false', '0') THEN 'False' END ELSE canon END AS val FROM ruled)",
+            "kept AS (SELECT c.* FROM cast_ c WHERE val IS NOT NULL AND (NOT EXISTS (SELECT 1 FROM enums e WHERE e.arg = c.key AND e.n = c.n) OR EXISTS (SELECT 1 FROM enums e WHERE e.arg = c.key AND e.n = c.n AND e.v = c.val)))",
+            # how many kept keys each signature of the call's function holds; all of them, or the most, wins, the first of equals
+            "overlap AS (SELECT c.row_id, c.pos, s.sig, (SELECT count(*) FROM kept k JOIN members m ON m.fn = s.fn AND m.sig = s.sig AND m.arg = k.key WHERE k.row_id = c.row_id AND k.pos = c.pos) AS n"
+            " FROM rcalls c JOIN sigs s ON s.fn = 'function_' || c.func)",
+            "chosen AS (SELECT row_id, pos, sig FROM overlap QUALIFY row_number() OVER (PARTITION BY row_id, pos ORDER BY n DESC, sig) = 1)",
+            "slots AS (SELECT c.row_id, c.pos, m.fn, m.i, m.arg FROM chosen c JOIN rcalls r USING (row_id, pos) JOIN members m ON m.fn = 'function_' || r.func AND m.sig = c.sig"
+            " UNION ALL SELECT k.row_id, k.pos, k.fn, k.arg_pos, k.key FROM kept k WHERE NOT EXISTS (SELECT 1 FROM sigs s WHERE s.fn = k.fn))",
+            "filled AS (SELECT s.row_id, s.pos, s.i, s.arg || '=' || coalesce(k.val, (SELECT e.v FROM enums e JOIN (SELECT arg, min(n) AS n FROM rules r WHERE r.arg = s.arg AND (r.target IS NULL OR r.target = s.fn) GROUP BY arg) f"
+            " ON f.arg = e.arg AND f.n = e.n WHERE e.i = 0)) AS kv FROM slots s LEFT JOIN kept k ON k.row_id = s.row_id AND k.pos = s.pos AND k.key = s.arg)",
+            "built AS (SELECT c.row_id, string_agg('<function_' || c.func || '>(' || coalesce((SELECT string_agg(f.kv, ', ' ORDER BY f.i) FROM filled f WHERE f.row_id = c.row_id AND f.pos = c.pos AND f.kv IS NOT NULL), '') || ')', ';' ORDER BY c.pos) || '<end>' AS txt FROM rcalls c GROUP BY c.row_id)",
+            f"done AS (SELECT f.row_id, f.raw, {_valid_sql('f.txt')} AND b.txt IS NOT NULL AS rebuilt, CASE WHEN {_valid_sql('f.txt')} AND b.txt IS NOT NULL THEN b.txt ELSE f.txt END AS repaired, f.tags FROM fixed f LEFT JOIN built b USING (row_id))",
+        )
+        + f"""SELECT row_id, raw, repaired, array_to_string(CASE WHEN rebuilt THEN list_append(tags, 'rebuild-calls') ELSE tags END, ';') AS tags,
+  CASE WHEN {_valid_sql('repaired')} AND {o.strip('repaired')} = {o.strip('raw')} THEN 'already_ok' WHEN {_valid_sql('repaired')} THEN 'repaired_success' ELSE 'still_broken' END AS status FROM done"""
+    )
+
+
+@register("schema_repair", _repair_oracle())
 def q_schema_repair(spark, sf_dir):
-    """Rows-only: P17 over damaged tagged text (our contract; no reference implementation)."""
+    """P17 over damaged tagged text in six ways (our contract; no reference implementation)."""
     from ..operators import repair as rep
 
     out = rep.schema_repair(fx.damaged(spark, sf_dir), "raw", fx.REPAIR_ARG_RULES, fx.REPAIR_SIGNATURES)
@@ -1092,4 +1151,4 @@ def q_expected_name_buckets(spark, sf_dir):
 
 # ---------------------------------------------------------------- file sources (registered by their module)
 
-from . import document_queries, json_queries, record_queries, source_queries  # noqa: E402, F401
+from . import branch_queries, document_queries, json_queries, record_queries, source_queries  # noqa: E402, F401
