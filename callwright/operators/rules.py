@@ -27,14 +27,9 @@ MAX_RULES_IN_ROW = 2_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Broadcast hint only when row count and bytes are proven small; otherwise leave the join to Spark.
-
-    The side is persisted before it is measured, so an aggregate (one row per group) is computed
-    once for the measure and the join, not twice."""
-    from pyspark import StorageLevel
-
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if fits_broadcast(kept, max_rows) else kept
+    """Broadcast hint only when row count and bytes are proven small; otherwise leave the join to Spark.  For
+    assets (rules, cases, prompts): the measure is one aggregate, nothing is kept."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def rules_from_conditions(conds: DataFrame) -> DataFrame:

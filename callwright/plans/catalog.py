@@ -1151,4 +1151,4 @@ def q_expected_name_buckets(spark, sf_dir):
 
 # ---------------------------------------------------------------- file sources (registered by their module)
 
-from . import branch_queries, document_queries, json_queries, record_queries, source_queries  # noqa: E402, F401
+from . import asset_queries, branch_queries, document_queries, json_queries, record_queries, source_queries  # noqa: E402, F401

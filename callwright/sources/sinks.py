@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _csv(df: DataFrame, path: str, mode: str) -> None:
+    """CSV as Python's ``csv`` writes it: quotes are doubled, blanks at the ends of a cell stay."""
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**plain).csv(path)
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """K1: chat rows partitioned by ``split`` as JSON lines (nulls kept); returns the split counts."""
     df.write.mode(mode).option("ignoreNullFields", False).partitionBy("split").json(path)
@@ -26,7 +32,7 @@ def split_report(df: DataFrame) -> DataFrame:
 
 def write_converted_csv(converted: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: fixed six columns with header."""
-    converted.select("func", "raw_args", "query", "map_func", "map_enum", "map_args").write.mode(mode).option("header", True).csv(path)
+    _csv(converted.select("func", "raw_args", "query", "map_func", "map_enum", "map_args"), path, mode)
 
 
 def write_message_expected(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -38,7 +44,7 @@ def write_by_extension(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     """K4/K5: CSV for ``.csv``, JSON lines otherwise; nested columns become JSON text in CSV."""
     if path.lower().endswith(".csv"):
         flat = [F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema.fields]
-        df.select(*flat).write.mode(mode).option("header", True).csv(path)
+        _csv(df.select(*flat), path, mode)
     else:
         df.write.mode(mode).json(path)
 
