@@ -25,15 +25,28 @@ POS_RE = r"position\s*=\s*(['\"])?([^'\"\s,);\]}]+)"
 
 
 def _rules_literal(rules) -> Column:
-    """Rule list (seq, ori, sr) as an array literal; rules are a small asset read on the driver."""
+    """Rule list (seq, ori, sr) as an array literal; rules are a small asset read on the driver.  ``later``: a rule
+    before it may write one of its tokens, so a text without the tokens does not rule it out."""
+    ordered = sorted(rules)
     return F.array(
         *[
-            F.struct(F.array(*[F.lit(o) for o in ori if o]).alias("ori"), F.array(*[F.lit(s) for s in sr]).alias("sr"))
-            for _, ori, sr in sorted(rules)
+            F.struct(
+                F.array(*[F.lit(o) for o in ori if o]).cast("array<string>").alias("ori"),
+                F.array(*[F.lit(s) for s in sr]).cast("array<string>").alias("sr"),
+                F.lit(any(_may_write(new, token) for _, _, earlier in ordered[:i] for new in earlier for token in ori if token)).alias("later"),
+            )
+            for i, (_, ori, sr) in enumerate(ordered)
         ]
     )
 
 
+def _may_write(new: str, token: str) -> bool:
+    """Whether a text may come to hold ``token`` by having ``new`` put into it: the token then lies over some of the
+    new signs, so one holds the other or an end of one is the start of the other."""
+    ends = any(new.endswith(token[:n]) or new.startswith(token[-n:]) for n in range(1, min(len(new), len(token)) + 1))
+    return not new or new in token or token in new or ends
+
+
 def apply_rule(text: Column, ori: Column, rep: Column) -> Column:
     """Replace every token of ``ori`` (in list order, cascading) by ``rep``."""
     return F.aggregate(ori, text, lambda t, o: F.replace(t, o, rep))
@@ -43,7 +56,9 @@ def expand_variants(df: DataFrame, target_cols, rules, keep_original: bool = Tru
     """``variants`` = ARRAY<STRUCT<target cols>> per row, first-occurrence order, de-duplicated
     unless ``distinct`` is off."""
     targets = list(target_cols)
-    r = _rules_literal(rules)
+    # one look at the row's own texts leaves the few rules that can matter; only they are folded over the variants
+    texts = F.array(*[F.col(c).cast("string") for c in targets])
+    r = F.filter(_rules_literal(rules), lambda rule: rule["later"] | F.exists(rule["ori"], lambda tok: F.exists(texts, lambda s: F.contains(s, tok))))
     start = F.array(F.struct(*[F.col(c).cast("string").alias(c) for c in targets]))
     empty_type = "array<struct<" + ",".join(f"{c}:string" for c in targets) + ">>"
 

@@ -256,3 +256,37 @@ def test_template_products_equal_a_loop(spark):
         out = aug.expand_templates(f, t, ranges, blocks)
         assert sorted(tuple(r) for r in out.collect()) == sorted(want), (ranges, blocks)
     assert sorted(tuple(r) for r in aug.number_queries(out).collect()) == numbered
+
+
+def test_many_rules_give_the_variants_of_a_plain_loop(spark):
+    import random
+
+    r = random.Random(12)
+    syllables = ["가", "나", "다", "ab", "b", "c", " ", "켜", "꺼줘"]
+    word = lambda n: "".join(r.choice(syllables) for _ in range(n))
+    rules = [(i, [word(r.randint(2, 4)) for _ in range(r.randint(1, 3))], [word(r.randint(1, 3)) for _ in range(r.randint(1, 2))]) for i in range(117)]
+    rules[5] = (5, ["zz"], ["", "q"])
+    rows = [(i, word(r.randint(1, 9)), "zz" if i % 10 == 0 else word(2)) for i in range(60)]
+
+    def variants(texts):
+        work = [texts]
+        for _, ori, sr in rules:
+            grown = []
+            for v in work:
+                grown.append(v)
+                if any(o in t for o in ori for t in v):
+                    for new in sr:
+                        made = []
+                        for t in v:
+                            for o in ori:
+                                t = t.replace(o, new)
+                            made.append(t)
+                        grown.append(tuple(made))
+            work = grown[:200]
+        return list(dict.fromkeys(work))
+
+    df = spark.createDataFrame(rows, "id int, q string, t string")
+    got = aug.expand_variants(df, ["q", "t"], rules, max_expansions=200).collect()
+    assert sum(len(x["variants"]) > 1 for x in got) > 10
+    for x in got:
+        assert [tuple(v) for v in x["variants"]] == variants(next((q, t) for i, q, t in rows if i == x["id"])), x["id"]
