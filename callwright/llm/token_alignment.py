@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, documents_of, small_batches, staged
+from .common import arrow_map, as_bytes, documents_of, partitions, small_batches, staged
 from .sentencepiece_codec import Codec as Pieces
 
 LANE_CHUNKS = 256
@@ -407,4 +407,6 @@ def digests(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     totals = totals.withColumn("best", (F.col("total") == F.max("total").over(of_b)).cast("bigint"))
     counts = held.select("block", "code", "pair").join(totals, "pair").select(F.col("block").alias("of_block"), "code", "total", "best")
     rows = blocks.where("pairs is null").drop("pairs", "times")
+    tasks = max(partitions(docs.sparkSession), blocks.where("pairs is not null").count())  # about one block in a task, however many there are
+    rows, counts = rows.repartition(tasks, "block"), counts.repartition(tasks, "of_block")
     return rows.groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(_scored, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
