@@ -1,4 +1,4 @@
-"""Queries whose input reaches the branches that regular text does not (P7, P15, E9): shapes of argument and call
+"""Queries whose input reaches the branches that regular text does not (P7, P12, P15, P19, E7, E9): shapes of argument and call
 texts, one for each row of the tagged corpus, with the results that the oracles spell out."""
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.args import with_args
+from ..operators import augment as aug
+from ..operators import evaluate as ev
 from ..operators.repair import repair_status
 from . import fixtures as fx
 from . import oracle_sql as o
@@ -73,3 +75,64 @@ def q_call_normalise_branches(spark, sf_dir):
     """Nested and unclosed parens, odd tags, a third call, text without a call, and a text that is right."""
     df = fx.tagged(spark, sf_dir).select("row_id", _shape([c[0] for c in CALLS]).alias("raw"))
     return repair_status(df, "raw").select("row_id", "repaired", "status")
+
+
+# Continuations behind '{"functionName":', what they are repaired to and whether that is JSON.
+CONTINUATIONS = [
+    ('"f{n}","arguments":{"a":1}', '"f{n}","arguments":{"a":1}}', True),
+    ('"f{n}", ', '"f{n}"}', True),
+    ('"f{n}","arguments":{"a":"x}"}} and more', '"f{n}","arguments":{"a":"x}"}}', True),
+    ('"f{n}","arguments":{"a":" \n x"} tail', '"f{n}","arguments":{"a":"x"} tail', False),
+    ('"f{n}","arguments":{"a":" \n x"}} tail', '"f{n}","arguments":{"a":"x"}}', True),
+    ('"f{n}","arguments":{"a":"x"}}}}', '"f{n}","arguments":{"a":"x"}}', True),
+    ('"f{n}","arguments":{"a":"x', '"f{n}","arguments":{"a":"x"}}', True),
+    ("junk {n}", "junk {n}", False),
+]
+
+
+@register(
+    "json_continuation_branches",
+    o.with_(o.TAGGED)
+    + f"SELECT row_id, '{{\"functionName\":' || CASE row_id % {len(CONTINUATIONS)} "
+    + " ".join(f"WHEN {i} THEN {_sql(c[1])}" for i, c in enumerate(CONTINUATIONS))
+    + f" END AS repaired, row_id % {len(CONTINUATIONS)} NOT IN ({', '.join(str(i) for i, c in enumerate(CONTINUATIONS) if not c[2])}) AS repaired_ok FROM tagged",
+)
+def q_json_continuation_branches(spark, sf_dir):
+    """A mended arguments object, a cut at the first two braces, brace runs, an open string, and no JSON at all."""
+    df = fx.tagged(spark, sf_dir).select("row_id", _shape([c[0] for c in CONTINUATIONS]).alias("cont"))
+    return ev.with_continuation_repair(df, "cont").select("row_id", "repaired", "repaired_ok")
+
+
+@register(
+    "delexicalise_position",
+    o.with_(o.TAGGED)
+    + """SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'go to <loc> now' ELSE query END AS query,
+  CASE WHEN row_id % 2 = 0 THEN '<function_FF>(position=<loc>, location=x)' ELSE '<function_FF>(position=''none' || row_id || ''')' END AS llm_output FROM tagged""",
+)
+def q_delexicalise_position(spark, sf_dir):
+    """P19 with the key position: quoted values, and values that the query does not hold."""
+    row, n = F.col("row_id"), F.col("row_id").cast("string")
+    even = row % 2 == 0
+    df = fx.tagged(spark, sf_dir).select(
+        "row_id",
+        F.when(even, F.concat(F.lit("go to seat"), n, F.lit(" now"))).otherwise(F.col("query")).alias("query"),
+        F.when(even, F.concat(F.lit("<function_FF>(position=seat"), n, F.lit(", location=x)"))).otherwise(F.concat(F.lit("<function_FF>(position='none"), n, F.lit("')"))).alias("llm_output"),
+    )
+    return aug.delexicalise(df, "query", "llm_output", "position", "<loc>")
+
+
+@register(
+    "text_match_stripped",
+    o.with_(o.TAGGED) + "SELECT CAST(row_id % 3 AS INTEGER) AS prompt_id, count(*) AS rows, count(*) FILTER (WHERE row_id % 2 = 0) AS all_match FROM tagged GROUP BY 1",
+)
+def q_text_match_stripped(spark, sf_dir):
+    """E7 with line breaks and other white space around the expected text and the raw output."""
+    row, n = F.col("row_id"), F.col("row_id").cast("string")
+    call = F.concat(F.lit("<function_AB>(a="), n, F.lit(")<end>"))
+    wrong = F.concat(F.lit("<function_AB>(a="), n, F.lit("0)<end>"))
+    grid = fx.tagged(spark, sf_dir).select(
+        (row % 3).cast("int").alias("prompt_id"),
+        F.concat(F.lit("\n\t"), call, F.lit(" \n")).alias("raw"),
+        F.concat(F.when(row % 2 == 0, call).otherwise(wrong), F.lit("\r\n　")).alias("expected"),
+    )
+    return ev.text_match(grid)
