@@ -112,11 +112,6 @@ def func_arg_value_list(args: DataFrame, typed: bool = False) -> DataFrame:
     return ranked.select("func", "arg_key", "value", "value_pos", type_of({k: F.col(f"_all_{k}") == 1 for k in kinds}).alias("arg_type"))
 
 
-def func_arg_value_arrays(args: DataFrame) -> DataFrame:
-    """A7 nested form for corpora whose per-key value sets are small (K10 JSON)."""
-    return args.groupBy("func", "arg_key").agg(F.sort_array(F.collect_set("val")).alias("values"))
-
-
 def query_list(value_list: DataFrame) -> DataFrame:
     """One ``func.key=value`` query per listed value."""
     return value_list.select(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .broadcast import fits_broadcast
-from ..functions.args import ARG_TYPE, ARGS_TYPE, args_text, float_text, json_string, number_cmp, pystrip
+from ..functions.args import ARG_TYPE, ARGS_TYPE, args_json, float_text, json_string, number_cmp, pystrip
 from ..session import checkpoint_dir
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
@@ -138,19 +138,8 @@ def conversion_report(converted: DataFrame) -> DataFrame:
     )
 
 
-def _arg_json_value(a: Column) -> Column:
-    return (
-        F.when(a["vtype"] == "bool", F.lower(a["canon"]))
-        .when(a["vtype"].isin("int", "float", "json"), a["canon"])
-        .when(a["vtype"] == "none", F.lit("null"))
-        .otherwise(json_string(a["canon"]))
-    )
-
-
-def object_text(args: Column) -> Column:
-    """Compact JSON object of an argument array, keys in argument order."""
-    body = F.array_join(F.transform(args, lambda a: F.concat(json_string(a["key"]), F.lit(":"), _arg_json_value(a))), ",")
-    return F.concat(F.lit("{"), body, F.lit("}"))
+#: Compact JSON object of an argument array, keys in argument order.
+object_text = args_json
 
 
 def dict_update(base: Column, more: Column) -> Column:
@@ -425,7 +414,3 @@ def group_by_query(calls: DataFrame, keys=("row_id",)) -> DataFrame:
     c = calls.filter(F.col("query") != "")
     ranked = rank_in_group(c, ["query"], [*keys, "pos"], "call_seq", group_min={"query_first": keys[0]})
     return ranked.select("query", "query_first", "call_seq", "func", "raw_args")
-
-
-def render_args(args: Column) -> Column:
-    return args_text(args)

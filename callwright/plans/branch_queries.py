@@ -136,3 +136,31 @@ def q_text_match_stripped(spark, sf_dir):
         F.concat(F.when(row % 2 == 0, call).otherwise(wrong), F.lit("\r\n　")).alias("expected"),
     )
     return ev.text_match(grid)
+
+
+@register(
+    "prediction_grid_match",
+    o.with_(o.TAGGED)
+    + "SELECT p.prompt_id, count(*) AS rows, count(*) FILTER (WHERE t.row_id % 3 <> p.prompt_id) AS all_match FROM tagged t CROSS JOIN (VALUES (1), (2)) AS p(prompt_id) GROUP BY p.prompt_id",
+)
+def q_prediction_grid_match(spark, sf_dir):
+    """Outputs kept as a table of their own meet the grid of prompts and messages; a cell without an output is a
+    miss, blank prompts take no part."""
+    t = fx.tagged(spark, sf_dir).select("row_id", "query")
+    call = F.concat(F.lit("<function_AB>(a="), F.col("msg_id").cast("string"), F.lit(")<end>"))
+    messages = t.select(F.col("row_id").alias("msg_id"), F.col("query").alias("message")).withColumn("expected", call)
+    prompts = spark.createDataFrame([(0, " \n"), (1, "first"), (2, "second")], "prompt_id int, prompt string")
+    known = t.select(F.col("row_id").alias("msg_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("prompt_id")).where("msg_id % 3 != prompt_id")
+    predictions = known.withColumn("raw", F.concat(F.lit('noise "'), call, F.lit('"')))
+    return ev.text_match(ev.attach_predictions(ev.prompt_grid(prompts, messages), predictions))
+
+
+@register(
+    "expansion_cap_report",
+    o.with_(o.TAGGED)
+    + "SELECT count(*) AS rows, count(*) FILTER (WHERE starts_with(query, 'click') OR starts_with(query, 'view') OR starts_with(query, 'signup')) AS capped_rows FROM tagged",
+)
+def q_expansion_cap_report(spark, sf_dir):
+    """G1 with the reference's cap of the working list (3 here): rows that a second applicable rule takes beyond it."""
+    expanded = aug.expand_variants(fx.tagged(spark, sf_dir), ["query", "llm_output"], fx.REPLACEMENT_RULES, max_expansions=3)
+    return aug.capped_report(expanded)

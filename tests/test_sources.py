@@ -392,7 +392,7 @@ def test_grouped_documents_read_back(spark):
     args = prof.profile_args(prof.profile_calls(t))
     values = prof.func_arg_value_list(args)
     doc, _ = loaded(documents.value_list_document(values), "values")
-    assert doc == [{"func": r["func"], "arg_key": r["arg_key"], "values": r["values"]} for r in prof.func_arg_value_arrays(args).orderBy("func", "arg_key").collect()]
+    assert doc == [{"func": r["func"], "arg_key": r["arg_key"], "values": r["values"]} for r in args.groupBy("func", "arg_key").agg(F.sort_array(F.collect_set("val")).alias("values")).orderBy("func", "arg_key").collect()]
     spec = prof.function_spec(values, prof.descriptions_frame(spark))
     doc, _ = loaded(documents.function_spec_document(spec), "spec")
     flat = [(f["name"], f["description"], a["name"], a["type"], n + 1, json.dumps(e)) for f in doc["functions"] for a in f["args"] for n, e in enumerate(a["enum"])]
