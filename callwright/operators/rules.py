@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .broadcast import fits_broadcast
+from .broadcast import fits, fits_broadcast, measure
 from ..functions.args import ARG_TYPE, ARGS_TYPE, args_json, float_text, json_string, number_cmp, pystrip
+from ..functions.normalise import let
 from ..session import checkpoint_dir
 
 WILDCARDS_CONVERT = ("*", "__ANY__")  # conversion rules (J1, J4, J5)
@@ -68,10 +69,12 @@ def arg_canon(args: Column, key: Column) -> Column:
 
 def match_calls(calls: DataFrame, rules: DataFrame, wildcards=WILDCARDS_CONVERT, extra=(), strict_types: bool = False) -> DataFrame:
     """Calls (with ``func`` and ``args``) + the first matching rule struct as ``rule`` (left outer)."""
-    largest = rules.groupBy("code").count().agg(F.max("count")).first()[0] or 0
-    if largest > MAX_RULES_IN_ROW:
+    by_code = rules_by_code(rules, extra)
+    measured = measure(by_code, F.max(F.size("rules")).alias("most"))
+    if (measured["most"] or 0) > MAX_RULES_IN_ROW:
         return match_by_index(calls, rules, wildcards, extra, strict_types)
-    by_code = bounded_broadcast(rules_by_code(rules, extra))
+    if fits(measured, MAX_BROADCAST_RULES):
+        by_code = F.broadcast(by_code)
     joined = calls.join(by_code, calls["func"] == by_code["code"], "left").drop("code")
     rule = first_match(F.col("args"), F.coalesce(F.col("rules"), F.array()), wildcards, strict_types=strict_types)
     return joined.withColumn("rule", rule).drop("rules")
@@ -180,33 +183,37 @@ def message_expected(converted: DataFrame, message_col: str = "query", source: s
 TEMPLATE_PART_RE = r"\{\{|\}\}|\{[^{}]*\}|[{}]|[^{}]+"
 
 
-def fill_template(template: Column, args: Column, code: Column) -> Column:
-    """``str.format`` with {code, **args} in one pass over the template; an argument named ``code`` wins.
+def template_values(args: Column, code: Column) -> Column:
+    """What the fields of a template stand for: {code, **args}; an argument named ``code`` wins."""
+    return dict_update(F.array(str_arg("code", code)).cast(ARGS_TYPE), args)
+
+
+def fill_template(template: Column, values: Column) -> Column:
+    """``str.format`` with ``template_values`` in one pass over the template.
 
     Doubled braces are literal ones.  A lone brace or a field that names no argument (conversions, format
     specs and positions included) keeps the whole template as it is.
     """
-    values = dict_update(F.array(str_arg("code", code)).cast(ARGS_TYPE), args)
     value = lambda field: F.get(F.filter(values, lambda a: F.concat(F.lit("{"), a["key"], F.lit("}")) == field), 0)["canon"]
     filled = F.transform(
         F.regexp_extract_all(template, F.lit(TEMPLATE_PART_RE), F.lit(0)),
         lambda p: F.when(p == "{{", F.lit("{")).when(p == "}}", F.lit("}")).when(p.isin("{", "}"), F.lit(None)).when(p.startswith("{"), value(p)).otherwise(p),
     )
-    return F.when(F.exists(filled, lambda p: p.isNull()), template).otherwise(F.array_join(filled, ""))
+    whole = let(filled, lambda f: F.when(F.exists(f, lambda p: p.isNull()), template).otherwise(F.array_join(f, "")))
+    return F.when(F.contains(template, F.lit("{")) | F.contains(template, F.lit("}")), whole).otherwise(template)
 
 
-def _template_out(out: Column, args: Column, func: Column) -> Column:
-    """Output argument of a template rule: text is filled, any other value keeps its type."""
-    v = out["template"]
-    typed = F.struct(out["name"].alias("key"), v.alias("raw"), out["vtype"].alias("vtype"), v.alias("canon"), F.lit(None).cast("string").alias("cmp"))
-    return F.when(out["vtype"] == "str", str_arg(out["name"], fill_template(v, args, func))).otherwise(typed.cast(ARG_TYPE))
+def _template_args(out: Column, values: Column) -> Column:
+    """Output arguments of a template rule: text is filled, any other value keeps its type.  Two steps, so that a
+    text is filled once."""
+    filled = F.transform(out, lambda x: F.struct(x["name"].alias("key"), x["vtype"].alias("vtype"), F.when(x["vtype"] == "str", fill_template(x["template"], values)).otherwise(x["template"]).alias("v")))
+    return F.transform(filled, lambda x: F.struct(x["key"].alias("key"), x["v"].alias("raw"), x["vtype"].alias("vtype"), x["v"].alias("canon"), F.lit(None).cast("string").alias("cmp"))).cast(ARGS_TYPE)
 
 
-def _template_mapped(func: Column, args: Column, rule: Column) -> Column:
+def _template_mapped(func: Column, args: Column, rule: Column, values: Column) -> Column:
     """J2 output text of one call given its matched template rule (null rule = identity)."""
-    out_args = F.transform(rule["out"], lambda o: _template_out(o, args, func))
     name = F.when(rule.isNotNull(), F.coalesce(F.nullif(rule["map_func"], F.lit("")), func)).otherwise(func)
-    arguments = F.when(rule.isNotNull(), object_text(out_args)).otherwise(object_text(args))
+    arguments = object_text(F.when(rule.isNotNull(), _template_args(rule["out"], values)).otherwise(args))
     return F.concat(F.lit('{"functionName":'), json_string(name), F.lit(',"arguments":'), arguments, F.lit("}"))
 
 
@@ -220,7 +227,8 @@ def map_calls_template(calls: DataFrame, template_rules: DataFrame) -> DataFrame
     ``template_rules``: (seq, code, new_name, when ARRAY<STRUCT<k_pos,key,expect>>, out ARRAY<STRUCT<pos,name,template,vtype>>).
     """
     m = match_calls(calls, _template_rules(template_rules), WILDCARDS_TEMPLATE, extra=("out",))
-    return m.withColumn("mapped", _template_mapped(F.col("func"), F.col("args"), F.col("rule"))).drop("rule")
+    m = m.withColumn("_values", F.when(F.col("rule").isNotNull(), template_values(F.col("args"), F.col("func"))))
+    return m.withColumn("mapped", _template_mapped(F.col("func"), F.col("args"), F.col("rule"), F.col("_values"))).drop("rule", "_values")
 
 
 def rules_map(rules: DataFrame, extra=()) -> DataFrame:
@@ -262,7 +270,8 @@ def map_rows_template(df: DataFrame, text_col: str, template_rules: DataFrame, d
             first_match(c["args"], F.coalesce(F.try_element_at(F.col("rules_by_code"), c["func"]), F.array()), WILDCARDS_TEMPLATE).alias("rule"),
         ),
     )
-    mapped = F.transform(matched, lambda c: _template_mapped(c["func"], c["args"], c["rule"]))
+    valued = F.transform(matched, lambda c: F.struct(c["func"].alias("func"), c["args"].alias("args"), c["rule"].alias("rule"), template_values(c["args"], c["func"]).alias("values")))
+    mapped = F.transform(valued, lambda c: _template_mapped(c["func"], c["args"], c["rule"], c["values"]))
     return joined.withColumn("mapped_json", F.concat(F.lit("["), F.array_join(mapped, ","), F.lit("]"))).drop("rules_by_code")
 
 

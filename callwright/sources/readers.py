@@ -197,8 +197,12 @@ def read_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     if fmt not in ("json", "json_array"):
         raise ValueError("fmt must be 'csv', 'json' or 'json_array'")
     keys = ["Query(한글)", "query", "message", "LLM Output", "expected", "calls"]
-    source = spark.read.schema(", ".join(f"`{k}` variant" for k in keys)).option("mode", "DROPMALFORMED")
-    raw = source.option("multiLine", fmt == "json_array").json(path)
+    if fmt == "json_array":  # split over tasks; elements that are no objects of their own go
+        value = strict_json(F.col("element"))
+        objects = json_elements(spark, path, "*", objects=True).withColumn("_v", value).where("_v is not null")
+        raw = objects.select(*[_member(F.col("_v"), k).alias(k) for k in keys])
+    else:
+        raw = spark.read.schema(", ".join(f"`{k}` variant" for k in keys)).option("mode", "DROPMALFORMED").json(path)
     ready = F.col("query").isNotNull() & F.col("calls").isNotNull()
     first = lambda *names: F.coalesce(*[F.nullif(_json_text(F.col(f"`{n}`")), F.lit("")) for n in names], F.lit(""))
     tagged = _tagged_record(raw.filter(~ready).select(first(*keys[:3]).alias("query"), first(*keys[3:5]).alias("llm_output")))

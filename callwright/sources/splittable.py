@@ -96,9 +96,11 @@ def _levels(b: np.ndarray, outside: np.ndarray) -> np.ndarray:
 class _JsonSummary:
     def __init__(self, row):
         self.key = row["path"], row["start"]
-        self.odd, self.depth = False, [0, 0]
+        self.odd, self.depth, self.first = False, [0, 0], ""
 
     def feed(self, values):
+        if self.key[1] == 0 and not self.first:
+            self.first = next((v.as_py().strip()[:1] for v in values if v.as_py().strip()), "")
         text = b"".join([v + b"}" for v in values.cast(pa.binary()).to_pylist()])
         b, outside, within, odd = _outside(text, False)
         # of the two readers, the one that is outside of strings now began inside one if the quotes so far are odd
@@ -108,7 +110,7 @@ class _JsonSummary:
         return iter(())
 
     def end(self):
-        yield from _table([(*self.key, int(self.odd), int(not self.odd), *self.depth, None)], _SUMMARY)
+        yield from _table([(*self.key, int(self.odd), int(not self.odd), *self.depth, self.first or None)], _SUMMARY)
 
 
 class _JsonRecords:
@@ -116,9 +118,12 @@ class _JsonRecords:
         self.row, self.inside, self.depth = row, bool(row["inside"]), row["depth"]
         self.held, self.pending, self.at, self.seen = None, b"", row["start"] + (row["start"] > 0), row["start"] == 0
         self.first = row["start"] == 0
+        self.read = 0
+        self.base = 0 if row["header"] == "{" else 1  # depth behind a record: a file of one object is one record
 
     def feed(self, values):
         texts = values.cast(pa.binary()).to_pylist()
+        self.read += sum(map(len, texts)) + len(texts)
         if self.held is not None:
             texts.insert(0, self.held)
         self.held = texts.pop()  # whether a separator stands behind the file's last text is known at the end only
@@ -127,7 +132,7 @@ class _JsonRecords:
     def _cut(self, text: bytes):
         b, outside, _, inside = _outside(text, self.inside)
         depth = self.depth + np.cumsum(_levels(b, outside))
-        ends = np.flatnonzero((b == 125) & outside & (depth == 1)) + 1
+        ends = np.flatnonzero((b == 125) & outside & (depth == self.base)) + 1
         if len(b):
             self.inside, self.depth = bool(inside), int(depth[-1])
         rows, last = [], 0
@@ -140,7 +145,8 @@ class _JsonRecords:
         yield from _table(rows, _RECORD)
 
     def end(self):
-        if not self.row["final"]:
+        ended = self.row["start"] == 0 and self.read == self.row["size"]  # a file read from its start shows its last sign
+        if not self.row["final"] or ended:
             yield from self._cut(self.held + b"}")
             rest = self.pending
         else:
@@ -264,12 +270,13 @@ def _scan(df: DataFrame, reader, ddl: str) -> DataFrame:
     return df.mapInArrow(functools.partial(_by_split, make=reader), ddl)
 
 
-def _read(spark: SparkSession, root, separator: str, name_glob: str, recursive: bool, summary, records) -> tuple[DataFrame, DataFrame]:
-    """(records, states); records: path, pos, opens, text or cells, closing."""
+def _read(spark: SparkSession, root, separator: str, name_glob: str, recursive: bool, summary, records, tell=()) -> tuple[DataFrame, DataFrame]:
+    """(records, states); records: path, pos, opens, text or cells, closing.  ``tell``: further columns of the states
+    that the records are cut by."""
     source = spark.read.option("lineSep", separator).option("recursiveFileLookup", recursive).option("pathGlobFilter", name_glob).text(root)
-    texts = source.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    texts = source.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
     states = _states(_scan(texts, summary, _SUMMARY_DDL))
-    cut = _scan(texts.join(F.broadcast(states.drop("header")), ["path", "start"]), records, _RECORD_DDL)
+    cut = _scan(texts.join(F.broadcast(states.select("path", "start", "inside", "depth", "final", *tell)), ["path", "start"]), records, _RECORD_DDL)
     # pieces of records that cross splits: a head ends the record that the tails before it began
     pieces = cut.where(F.col("part") != WHOLE)
     begun = Window.partitionBy("path").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -286,18 +293,24 @@ def _file(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def json_elements(spark: SparkSession, root, name_glob: str = "*.json", recursive: bool = True) -> DataFrame:
-    """(src_file, src_pos, element, error) of files that hold one JSON array of objects each.
+def json_elements(spark: SparkSession, root, name_glob: str = "*.json", recursive: bool = True, objects: bool = False) -> DataFrame:
+    """(src_file, src_pos, element, error) of files that hold one JSON array of objects each; with ``objects`` also of
+    files that hold one object.
 
-    ``element`` is the text of one object; ``error`` says where a file is no such array: text between elements,
+    ``element`` is the text of one object; ``error`` says where a file is nothing of the kind: text between elements,
     another top level, a missing end.  ``src_pos`` grows in file order.
     """
-    records, _ = _read(spark, root, "}", name_glob, recursive, _JsonSummary, _JsonRecords)
+    records, states = _read(spark, root, "}", name_glob, recursive, _JsonSummary, _JsonRecords, ("header",))
     blank = "[ \\t\\r\\n]*"
     behind = lambda sign: F.regexp_extract("text", f"^{blank}{sign}{blank}(?s:(\\{{.*))$", 1)
     body = F.when(F.col("opens"), behind("\\[")).otherwise(behind(","))
     # what stands behind the last element: the closing bracket, or the whole of an empty array
     closes = F.col("text").rlike(f"^{blank}\\]{blank}$") & ~F.col("opens") | F.col("text").rlike(f"^{blank}\\[{blank}\\]{blank}$") & F.col("opens")
+    if objects:
+        alone = F.col("header") == "{"
+        records = records.join(F.broadcast(states.where("start = 0").select("path", "header")), "path", "left").withColumn("header", F.coalesce("header", F.lit("")))
+        body = F.when(alone & F.col("opens"), behind("")).when(~alone, body).otherwise("")
+        closes = F.when(alone, F.col("text").rlike(f"^{blank}$") & ~F.col("opens")).otherwise(closes)
     rows = records.where(~(F.col("closing") & closes)).withColumn("element", F.when(~F.col("closing") & (body != ""), body))
     error = F.when(F.col("element").isNull(), F.lit("not a JSON array of objects"))
     return rows.select(_file(F.col("path")).alias("src_file"), F.col("pos").alias("src_pos"), "element", error.alias("error"))

@@ -398,3 +398,17 @@ def test_grouped_documents_read_back(spark):
     flat = [(f["name"], f["description"], a["name"], a["type"], n + 1, json.dumps(e)) for f in doc["functions"] for a in f["args"] for n, e in enumerate(a["enum"])]
     assert flat == [tuple(r) for r in spec.select("func", "description", "arg_key", "arg_type", "enum_pos", "enum_value").orderBy("func", "arg_key", "enum_pos").collect()]
     assert documents.by_function(calls.where("false"), record).count() == 0
+
+
+def test_records_of_json_files_are_split_and_single_objects_read(spark, small_splits):
+    d = _tmp("cw-records-")
+    record = lambda i: {"query": f"q}}{{ {i}", "calls": [{"code": "BP", "args": {"a": i, "t": '"}'}}, {"func": "MR"}]}
+    _write(d, "many.json", json.dumps([record(i) for i in range(300)], indent=1))
+    _write(d, "one.json", " " + json.dumps(record(1000)) + "\n")
+    _write(d, "flat.json", json.dumps({"message": "m", "expected": "<function_MR>()"}))
+    _write(d, "broken.json", json.dumps(record(1))[:-1])
+    for size in (1 << 27, 700):
+        small_splits(size)
+        got = sorted((r["query"], [(c["func"], c["args_json"]) for c in r["calls"]]) for r in readers.read_records(spark, d, "json_array").collect())
+        want = [(f"q}}{{ {i}", [("BP", json.dumps({"a": i, "t": '"}'}, separators=(",", ":"))), ("MR", "{}")]) for i in [*range(300), 1000]]
+        assert got == sorted([*want, ("m", [("MR", "{}")])])
