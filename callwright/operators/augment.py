@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import global_index, int_digits, rank_in_group
+from .index import global_index, rank_in_group
 
 # Delexicalisation patterns (value after location= / position=) and placeholders.
 LOC_RE = r"location\s*=\s*(['\"])?([^'\"\s,);\]}]+)"
@@ -176,7 +176,7 @@ def merge_tags(tags: DataFrame) -> DataFrame:
     ranked by the bucketed rank (``vpos`` from 1)."""
     firsts = tags.groupBy("block", "slot", "value").agg(F.min(F.struct("prio", "pos")).alias("_o"))
     flat = firsts.select("block", "slot", "value", F.col("_o.prio").alias("prio"), F.col("_o.pos").alias("pos"))
-    digits = [F.col("prio"), F.shiftright(F.col("pos").cast("bigint"), 20)]
+    digits = [F.struct("prio", F.shiftright(F.col("pos").cast("bigint"), 20))]
     return rank_in_group(flat, ["block", "slot"], ["prio", "pos", "value"], "vpos", digits).select("block", "slot", "value", "vpos")
 
 
@@ -234,7 +234,7 @@ def number_queries(expanded: DataFrame) -> DataFrame:
     """O4 + W3: drop repeated (query, fname) keeping the first in (block, format, values) order, then
     number the rest 1..n in that order.  ``seq`` is that order already, so only the gaps are counted."""
     firsts = expanded.groupBy("query", "fname").agg(F.min("seq").alias("_seq"))
-    indexed = global_index(firsts, ["_seq"], "_i", int_digits("_seq"))
+    indexed = global_index(firsts, ["_seq"], "_i", [F.shiftright("_seq", 20)])
     return indexed.select((F.col("_i") + 1).alias("index"), "query", F.col("fname").alias("function"))
 
 

@@ -11,7 +11,8 @@ order agrees with the order of the rows.  A task that is computed again therefor
 
 The input is evaluated twice and nothing runs while the query is built.  The usual digits:
 
-* ``md5_digits``: 4 hex digits of an md5 key, 65,536 even buckets, one level (O2, X2, X3);
+* ``md5_digits``: the first hex digits of an md5 key, even buckets, one level (O2, X2, X3); their number follows
+  ``spark.sql.shuffle.partitions``, which is set to suit the data (2 to 5 digits, some 16 buckets a partition);
 * ``int_digits``: the number without its lowest 40 and 20 bits, two levels; a bucket spans 2**20
   numbers, so dense row numbers give buckets of a million;
 * ``text_digits``: the first 8 and 32 signs.  Values of one group that share 32 signs share a bucket.
@@ -21,7 +22,9 @@ ascending sort, and a null group is a group.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +33,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def hex_digits() -> int:
+    """Hex digits that give some 16 buckets for each shuffle partition: 256 to 1,048,576 buckets."""
+    partitions = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(5, max(2, math.ceil(math.log(16 * partitions, 16))))
+
+
 def md5_digits(key) -> list[Column]:
-    return [F.left(_col(key), F.lit(4))]
+    return [F.left(_col(key), F.lit(hex_digits()))]
 
 
 def int_digits(key) -> list[Column]:

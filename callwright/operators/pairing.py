@@ -10,16 +10,18 @@ If M <= h: offset = h and h pairs, else offset = M and N - M pairs; row i pairs
 row i + offset.  No pair shares a function and the count equals the greedy's.  A row's place is
 its function's start (prefix sums of the group sizes, one row for each function) plus its rank in
 the function (buckets of the md5 key); the pairing itself is one equi self-join on the place.
+Pairing needs the ranks anyway, so ``half_sample(.., ranked=True)`` takes the half from them and
+keeps them; the pool and the rest are then placed without another pass.
 """
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import ensure_end, func_from_cell
-from .index import md5_digits, rank_in_group
+from .index import md5_digits, positions, rank_in_group
 from .select import first_of_groups
 
 JOINER = " 다음으로 "  # Fixed value: the word joining two utterances of a pair.
@@ -29,49 +31,58 @@ def _key(col: str, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(col).cast("string")))
 
 
-def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function", seed: int = 42) -> DataFrame:
-    """X3 (+ P21): ``func_name``, ``in_pool``; rows without a function name are dropped."""
+def half_sample(df: DataFrame, id_col: str = "index", func_col: str = "function", seed: int = 42, ranked: bool = False) -> DataFrame:
+    """X3 (+ P21): ``func_name``, ``in_pool``; rows without a function name are dropped.  ``ranked`` adds ``_r``, the
+    rank in the function (from 1), and ``_half``, how many of it are in the pool."""
     named = df.withColumn("func_name", func_from_cell(F.col(func_col))).filter(F.col("func_name") != "").withColumn("_k", _key(id_col, seed))
+    if ranked:
+        placed = positions(named, ["_k", id_col], "_r", ["func_name"], md5_digits("_k"), group_size="_n")
+        placed = placed.withColumn("_half", F.floor(F.col("_n") / 2)).withColumn("_r", F.col("_r") + 1).drop("_n")
+        return placed.withColumn("in_pool", F.col("_r") <= F.col("_half"))
     return first_of_groups(named, ["func_name"], "_k", id_col, lambda n: F.floor(n / 2), "in_pool")
 
 
-def _starts(df: DataFrame, order) -> DataFrame:
-    """``func_name``, its number of rows ``gsize`` and the rows of all functions before it ``_start``: one row for
-    each function."""
-    sizes = df.groupBy("func_name").agg(F.count(F.lit(1)).alias("gsize"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_start", F.coalesce(F.sum("gsize").over(before), F.lit(0)))
-
-
 def _ranked(df: DataFrame, id_col: str, name: str) -> DataFrame:
     return rank_in_group(df, ["func_name"], ["_k", id_col], name, md5_digits("_k"))
 
 
 class PoolPlan(NamedTuple):
-    """Group sizes and starts of the pool (one row per function), the distance between partners and the number
-    of pairs."""
+    """One row per function: pool size ``gsize``, rows before it in the pool (``_start``) and outside of it
+    (``_out_start``); the distance between partners, the number of pairs, the rows outside the pool."""
 
     sizes: DataFrame
     offset: int
     pairs: int
+    outside: int
 
 
 def pool_plan(sampled: DataFrame) -> PoolPlan:
-    sizes = _starts(sampled.filter("in_pool"), [F.desc("gsize"), "func_name"])
-    stats = sizes.agg(F.sum("gsize").alias("n"), F.max("gsize").alias("m")).first()
-    n, m = int(stats["n"] or 0), int(stats["m"] or 0)
+    """The driver sees two numbers for each function name."""
+    counted = sampled.groupBy("func_name").agg(F.count_if("in_pool").alias("pool"), F.count_if(~F.col("in_pool")).alias("out"))
+    rows = sorted(tuple(r) for r in counted.collect())
+    starts, run = {}, 0
+    for name, pool, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        starts[name] = run
+        run += pool
+    out_start, table = 0, []
+    for name, pool, out in rows:
+        table.append((name, pool, starts[name], out_start))
+        out_start += out
+    sizes = sampled.sparkSession.createDataFrame(table, "func_name string, gsize bigint, _start bigint, _out_start bigint")
+    n, m = run, max((r[1] for r in rows), default=0)
     h = n // 2
-    return PoolPlan(sizes, h, h) if m <= h else PoolPlan(sizes, m, n - m)
+    return PoolPlan(sizes, h, h, out_start) if m <= h else PoolPlan(sizes, m, n - m, out_start)
 
 
 def pair_pool(sampled: DataFrame, id_col: str = "index", seed: int = 42, plan: PoolPlan | None = None):
     """Returns (pairs, leftovers).  pairs: (pair_no, a_*, b_*); leftovers: pool rows left unpaired, with
     ``left_no`` from 0 (they are all of one function, the largest, so their places follow one another).
     ``plan`` is the pool's ``pool_plan`` where the caller has it already."""
-    sizes, offset, pairs = plan or pool_plan(sampled)
-    pool = _ranked(sampled.filter("in_pool"), id_col, "_r")
-    ordered = pool.join(sizes, "func_name").withColumn("pos", F.col("_start") + F.col("_r") - 1).drop("gsize", "_start", "_r")
-    cols = [c for c in sampled.columns if c not in ("in_pool",)]
+    sizes, offset, pairs, _ = plan or pool_plan(sampled)
+    pool = sampled.filter("in_pool")
+    pool = pool if "_r" in sampled.columns else _ranked(pool, id_col, "_r")
+    ordered = pool.join(sizes, "func_name").withColumn("pos", F.col("_start") + F.col("_r") - 1).drop("gsize", "_start", "_out_start", "_r", "_half")
+    cols = [c for c in sampled.columns if c not in ("in_pool", "_r", "_half")]
     a = ordered.filter(F.col("pos") < pairs).select(F.col("pos").alias("pair_no"), *[F.col(c).alias("a_" + c) for c in cols])
     b = ordered.filter((F.col("pos") >= offset) & (F.col("pos") < offset + pairs)).select(
         (F.col("pos") - offset).alias("pair_no"), *[F.col(c).alias("b_" + c) for c in cols]
@@ -101,13 +112,15 @@ def merge_pairs(paired: DataFrame, query_col: str = "query", func_col: str = "fu
     )
 
 
-def singles(sampled: DataFrame, leftovers: DataFrame, n_pairs: int, id_col: str = "index", query_col: str = "query", func_col: str = "function") -> DataFrame:
+def singles(
+    sampled: DataFrame, leftovers: DataFrame, n_pairs: int, id_col: str = "index", query_col: str = "query", func_col: str = "function", plan: PoolPlan | None = None
+) -> DataFrame:
     """Rows outside the pool then pool leftovers, ``<end>`` ensured, ids continuing after the pairs."""
+    plan = plan or pool_plan(sampled)
     outside = sampled.filter(~F.col("in_pool"))
-    starts = _starts(outside, ["func_name"])
-    total = outside.agg(F.count(F.lit(1)).alias("_outside"))
-    first = _ranked(outside, id_col, "_r").join(starts, "func_name").withColumn("_i", F.col("_start") + F.col("_r") - 1)
-    last = leftovers.join(F.broadcast(total)).withColumn("_i", F.col("_outside") + F.col("left_no"))  # total is one row
+    placed = outside.withColumn("_r", F.col("_r") - F.col("_half")) if "_r" in sampled.columns else _ranked(outside, id_col, "_r")
+    first = placed.join(plan.sizes, "func_name").withColumn("_i", F.col("_out_start") + F.col("_r") - 1)
+    last = leftovers.withColumn("_i", F.col("left_no") + plan.outside)
     cols = ["_i", query_col, func_col]
     return first.select(*cols).unionByName(last.select(*cols)).select(
         F.concat(F.lit("P"), F.lpad((F.col("_i") + n_pairs).cast("string"), 6, "0")).alias("index"),

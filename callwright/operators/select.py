@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .index import hex_digits
+
 #: Rows that one sort may take; larger digits are split by their next digit.
 SORT_ROWS = 100_000
 
@@ -18,19 +20,19 @@ def first_of_groups(df: DataFrame, group_cols, key: str, tie: str, wanted, name:
     """Adds ``name``: whether the row is among the first ``wanted(rows of its group)`` rows of its group in the
     order of (``key``, ``tie``).  ``key`` holds md5 hex digits; (``key``, ``tie``) must be unique in a group.
 
-    Three narrow passes: a histogram of 4 hex digits for each group, the k-th key among the rows of the
+    Three narrow passes: a histogram of the first hex digits for each group, the k-th key among the rows of the
     one digit that holds it, and a comparison with that key, one row for each group.
     """
     group_cols = list(group_cols)
-    group, digit = F.struct(*group_cols), F.left(F.col(key), F.lit(4))
+    group, digit = F.struct(*group_cols), F.left("_key", F.lit(hex_digits()))
     keys = df.select(group.alias("_group"), F.col(key).alias("_key"), F.col(tie).alias("_tie"))
     of_group = Window.partitionBy("_group")
     upto = of_group.orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
-    counted = keys.groupBy("_group", F.left("_key", F.lit(4)).alias("_digit")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = keys.groupBy("_group", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_rows"))
     counted = counted.withColumns({"_upto": F.sum("_rows").over(upto), "_wanted": wanted(F.sum("_rows").over(of_group))})
     # the digit in which the last wanted row lies, and how many of its rows are wanted
     cut = counted.where("_upto >= _wanted and _upto - _rows < _wanted").select("_group", "_digit", (F.col("_wanted") - F.col("_upto") + F.col("_rows")).alias("_need"))
-    inside = keys.withColumn("_digit", F.left("_key", F.lit(4))).join(cut, ["_group", "_digit"])
+    inside = keys.withColumn("_digit", digit).join(cut, ["_group", "_digit"])
     nth = F.row_number().over(of_group.orderBy("_key", "_tie"))
     last = inside.withColumn("_nth", nth).where("_nth = _need").select("_group", F.struct("_key", "_tie").alias("_last"))
     joined = df.withColumn("_group", group).join(last, "_group", "left")

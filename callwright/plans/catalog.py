@@ -931,7 +931,7 @@ SELECT 'P' || lpad(CAST(pair_no AS VARCHAR), 6, '0') AS "index",
 FROM pr""",
 )
 def q_pair_functions(spark, sf_dir):
-    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
+    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id", ranked=True)
     paired, _ = pair_op.pair_pool(sampled, "row_id")
     return pair_op.merge_pairs(paired).drop("pair_no")
 
@@ -948,10 +948,10 @@ SELECT 'P' || lpad(CAST(row_number() OVER (ORDER BY kind, func_name, k, row_id)
 FROM al""",
 )
 def q_pair_singles(spark, sf_dir):
-    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id")
+    sampled = pair_op.half_sample(_pairing_input(spark, sf_dir), "row_id", ranked=True)
     plan = pair_op.pool_plan(sampled)
     _, left = pair_op.pair_pool(sampled, "row_id", plan=plan)
-    return pair_op.singles(sampled, left, plan.pairs, "row_id")
+    return pair_op.singles(sampled, left, plan.pairs, "row_id", plan=plan)
 
 
 # ---------------------------------------------------------------- prompts

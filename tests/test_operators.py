@@ -3,6 +3,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from callwright.operators import augment as aug
@@ -87,9 +88,10 @@ def test_split_exact_counts(spark):
     assert {r["split"]: r["count"] for r in two.groupBy("split").count().collect()} == {"train": 209, "eval": 24}
 
 
-def test_pairing_properties(spark):
+@pytest.mark.parametrize("ranked", [False, True])
+def test_pairing_properties(spark, ranked):
     t = fx.tagged(spark, SF_MID).select("row_id", "query", F.col("llm_output").alias("function"))
-    sampled = pair_op.half_sample(t, "row_id")
+    sampled = pair_op.half_sample(t, "row_id", ranked=ranked)
     paired, left = pair_op.pair_pool(sampled, "row_id")
     pool = sampled.filter("in_pool")
     sizes = [r["count"] for r in pool.groupBy("func_name").count().collect()]
