@@ -1,10 +1,11 @@
 """Queries that read back what the sinks wrote (K1-K4, K7, K9) and that take their rules, specs and cases through the
-asset loaders (S10, S11, S13, S14).  The writes run while a query is built."""
+asset loaders (S10-S14).  The writes run while a query is built."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.args import with_args
+from ..operators import augment as aug
 from ..operators import evaluate as ev
 from ..operators import repair as rep
 from ..operators import rules as rules_op
@@ -133,3 +134,21 @@ def q_repair_cases_loaded(spark, sf_dir):
 def q_exact_with_as_written_rows(spark, sf_dir):
     """On predictions whose numbers are written alike both comparisons agree."""
     return ev.score(fx.predictions(spark, sf_dir), True, as_written=True).select("ex_id", "exact", "exact_as_written")
+
+
+@register(
+    "replacement_rules_loaded",
+    """SELECT c_custkey AS id, v.i AS variant_idx, CASE WHEN v.i = 0 THEN CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) || '-R' || v.i END AS index_label,
+  CASE v.i WHEN 0 THEN 'from <' || n_name || '>' WHEN 1 THEN 'from land ' || n_nationkey ELSE 'from "' || lower(n_name) || '"' END AS text
+FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES (0), (1), (2)) AS v(i)""",
+)
+def q_replacement_rules_loaded(spark, sf_dir):
+    """One rule for each nation as JSON lines, read by the loader and applied to every customer's text."""
+    path = _folder(spark, "replacements")
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    token = F.concat(F.lit("<"), "n_name", F.lit(">"))
+    new = F.array(F.concat(F.lit("land "), F.col("n_nationkey").cast("string")), F.concat(F.lit('"'), F.lower("n_name"), F.lit('"')))
+    nation.orderBy("n_nationkey").select(F.to_json(F.struct(F.array(token).alias("ori"), new.alias("sr")))).coalesce(1).write.text(path)  # 25 lines
+    rules = assets.replacement_rules_of([r["value"] for r in spark.read.text(path).collect()])
+    texts = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("from "), token).alias("text"))
+    return aug.augment(texts, "id", ["text"], rules).select("id", "variant_idx", "index_label", "text")

@@ -13,6 +13,10 @@ ORDER_SENSITIVE = [
     "group_by_query",
     "augment_rules",
     "half_sample",
+    "rows_by_function",
+    "func_arg_value_list",
+    "by_function_document",
+    "source_json_array",
 ]
 
 
