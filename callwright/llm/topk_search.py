@@ -10,8 +10,9 @@
   the lengths of the residuals bounds each score; only vectors whose bound reaches the score so
   far get their exact integer product.
 
-A task holds one block of queries and one of candidates; nothing is broadcast but the rotation and the
-first block, both of fixed size.
+A task holds a group of candidate blocks and streams a group of query blocks past them, longest vectors
+first; the k best so far raise a query's score from block to block.  So a block's bytes are sent once for each
+group that meets it.  Nothing is broadcast but the rotation and the first block, both of fixed size.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor
 do rows without id; vectors of different dimension are not compared; rows with the query's own id
@@ -31,6 +32,8 @@ from .common import partitions, staged
 SCALE = 64
 TOP = 20
 BLOCK = 4096
+SPAN = 16  # candidate blocks that a task holds
+QUERY_SPAN = 16  # query blocks that it streams past them
 QUERY_BLOCK = 1024
 HEAD = 16  # coordinates in the partial sum
 EXACT = 2**53  # integer products stay exact in doubles below
@@ -164,20 +167,60 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                 yield pd.DataFrame({"dim": [r.dim], "q_block": [r.q_block], "q_ids": [r.q_ids], "q_data": [r.q_data], "floors": [floor.tobytes()], "need": [need]})
 
     started = staged(rename(ask, "q").join(F.broadcast(rename(first, "c")), "dim").mapInPandas(start, "dim int, q_block bigint, q_ids binary, q_data binary, floors binary, need double"), "query-blocks")
-    # which blocks can hold a result: a table of block numbers; it has queries/QUERY_BLOCK x rows/BLOCK rows at most
-    lists = started.select("dim", "q_block", "need").join(rename(cand, "c").select("dim", "c_block", "c_longest"), "dim").where(F.col("c_longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_block", "c_block")
-    pairs = lists.join(started.drop("dim", "need"), "q_block").join(rename(cand, "c").drop("dim", "c_longest"), "c_block")
-
-    def rank(frames):
-        for f in frames:
-            for r in f.itertuples(index=False):
-                q_ids, q = _decode(r.q_ids, r.q_data, r.dim)
-                c_ids, c = _decode(r.c_ids, r.c_data, r.dim)
-                got, ids, scores = best(q_ids, q, c_ids, c, k, np.frombuffer(r.floors, np.float64), turns[r.dim])
-                if got:
-                    yield pd.DataFrame({"query_id": q_ids[got], "q_row": [f"{r.q_block}:{g}" for g in got], "vec_id": np.array(ids, np.int64), "score": np.array(scores, np.int64)})
-
-    n = max(1, partitions(vectors.sparkSession))
-    found = pairs.repartition(n, "q_block", "c_block").mapInPandas(rank, "query_id bigint, q_row string, vec_id bigint, score bigint")
+    # which groups of blocks can hold a result for which groups of queries: a table of group numbers
+    asked_n, held_n = started.count(), cand.count()
+    q_groups = max(1, -(-asked_n // QUERY_SPAN))
+    # groups of SPAN blocks, or smaller ones while there are fewer tiles than tasks
+    c_groups = max(1, -(-held_n // SPAN), min(held_n, -(-partitions(vectors.sparkSession) // q_groups)))
+    started = started.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(q_groups)))
+    cand = rename(cand, "c").withColumn("c_group", F.pmod(F.xxhash64("c_block"), F.lit(c_groups)))
+    needs = started.groupBy("dim", "q_group").agg(F.min("need").alias("need"))
+    lengths = cand.groupBy("dim", "c_group").agg(F.max("c_longest").alias("longest"))
+    wanted = needs.join(lengths, "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_group", "c_group")
+    # each side of a tile with names of its own, since both stem from the same blocks
+    asked_in = wanted.join(started, ["dim", "q_group"]).select("dim", "q_group", "c_group", "q_block", "q_ids", "q_data", "floors").groupBy("dim", "q_group", "c_group")
+    mine = wanted.join(cand, ["dim", "c_group"])
+    own = [F.col(c).alias(a) for c, a in (("dim", "h_dim"), ("q_group", "h_q"), ("c_group", "h_c"), ("c_ids", "h_ids"), ("c_data", "h_data"), ("c_longest", "h_longest"))]
+    held_in = mine.select(*own).groupBy("h_dim", "h_q", "h_c")
+
+    def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """One tile: its query blocks meet its candidate blocks, longest first, under rising floors."""
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "q_row": np.empty(0, object), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
+        held = held.sort_values("h_longest", ascending=False)
+        for r in asked.itertuples(index=False):
+            q_ids, q = _decode(r.q_ids, r.q_data, r.dim)
+            kept = _Kept(q, np.frombuffer(r.floors, np.float64).copy(), k)
+            for c in held.itertuples(index=False):
+                if c.h_longest * (1 + 1e-9) < kept.need():
+                    break
+                kept.add(*best(q_ids, q, *_decode(c.h_ids, c.h_data, r.dim), k, kept.floor, turns[r.dim]))
+            rows = [(i, d, s) for i, found in kept.found.items() for s, d in ((-m, d) for m, d in found)]
+            if rows:
+                got, ids, scores = zip(*rows)
+                out.append(pd.DataFrame({"query_id": q_ids[list(got)], "q_row": [f"{r.q_block}:{g}" for g in got], "vec_id": np.array(ids, np.int64), "score": np.array(scores, np.int64)}))
+        return pd.concat(out, ignore_index=True)
+
+    found = asked_in.cogroup(held_in).applyInPandas(rank, "query_id bigint, q_row string, vec_id bigint, score bigint")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Kept:
+    """The k best (score, candidate) of each query of a block so far, and the floors that follow."""
+
+    def __init__(self, q: np.ndarray, floor: np.ndarray, k: int):
+        self.floor, self.k, self.found = floor, k, {}
+        self.length = np.sqrt((q**2).sum(1))
+
+    def add(self, rows: list, ids: list, scores: list) -> None:
+        for i, d, s in zip(rows, ids, scores):
+            self.found.setdefault(i, []).append((-s, d))
+        for i in set(rows):
+            self.found[i] = sorted(self.found[i])[: self.k]
+            if len(self.found[i]) == self.k:  # just below, as a score may not be a double
+                self.floor[i] = max(self.floor[i], np.nextafter(float(-self.found[i][-1][0]), -np.inf))
+
+    def need(self) -> float:
+        """Length below which no candidate reaches the floor of any query."""
+        some = self.length > 0
+        return float(np.min(np.where(some, self.floor / np.where(some, self.length, 1), -np.inf), initial=np.inf))
